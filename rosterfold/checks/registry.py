@@ -257,7 +257,7 @@ def group_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _invitation_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decided = invitations.decided_events(_decisions(spark, sf_dir))
+    decided = pinned(invitations.decided_events(_decisions(spark, sf_dir)), "decided")
     # A decision follows its invitation whatever the dates in the test tables say.
     ahead = fx.created_invitations(spark, sf_dir).withColumn("ts", F.lit("1900-01-01").cast("timestamp_ntz"))
     return folds.invitation_history(ahead.unionByName(decided))

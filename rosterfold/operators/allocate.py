@@ -36,18 +36,19 @@ def allocated(requests: DataFrame, first: str, second: str, order: list[str],
     if held is not None:
         for key in (first, second):
             live = lookup(live, held.select(key).distinct(), [key], ["_place"], "left_anti")
+    live = pinned(live, "requests")
     granted, rounds = [], 0
     while True:
-        step = _round(live, first, second)
-        step = pinned(step, "allocate")
-        granted.append(step.filter("_granted").drop("_granted"))
-        live = step.filter("not _granted").drop("_granted")
+        granted.append(pinned(_winners(live, first, second), "granted"))
+        for key in (first, second):
+            live = lookup(live, granted[-1].select(key), [key], ["_place"], "left_anti")
+        live = pinned(live, "live")
         rounds += 1
         left = live.count()
         if left == 0:
             break
         if rounds >= many_rounds and left <= RESIDUE:
-            granted.append(pinned(_in_order(live, first, second), "allocate"))
+            granted.append(pinned(_in_order(live, first, second), "granted"))
             break
     result = granted[0]
     for more in granted[1:]:
@@ -55,17 +56,13 @@ def allocated(requests: DataFrame, first: str, second: str, order: list[str],
     return result.select(first, second, "_place.*")
 
 
-def _round(live: DataFrame, first: str, second: str) -> DataFrame:
-    """Granted rows of this round and the rows that stay live, told apart by ``_granted``."""
-    ahead_first = live.groupBy(first).agg(F.min(F.struct("_place", second)).alias("_least"))
-    ahead_second = live.groupBy(second).agg(F.min(F.struct("_place", first)).alias("_least"))
-    granted = (ahead_first.select(first, F.col(f"_least.{second}").alias(second), "_least._place")
-               .join(ahead_second.select(F.col(f"_least.{first}").alias(first), second, "_least._place"),
-                     [first, second, "_place"], "left_semi"))
-    stay = live
-    for key in (first, second):
-        stay = lookup(stay, granted.select(key), [key], ["_place"], "left_anti")
-    return granted.withColumn("_granted", F.lit(True)).unionByName(stay.withColumn("_granted", F.lit(False)))
+def _winners(live: DataFrame, first: str, second: str) -> DataFrame:
+    """Live requests that are the earliest of both their keys."""
+    of_first = live.groupBy(first).agg(F.min(F.struct("_place", second)).alias("_least"))
+    of_second = live.groupBy(second).agg(F.min(F.struct("_place", first)).alias("_least"))
+    return (of_first.select(first, F.col(f"_least.{second}").alias(second), "_least._place")
+            .join(of_second.select(F.col(f"_least.{first}").alias(first), second, "_least._place"),
+                  [first, second, "_place"], "left_semi"))
 
 
 def _in_order(live: DataFrame, first: str, second: str) -> DataFrame:

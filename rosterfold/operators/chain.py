@@ -38,6 +38,8 @@ def effective(requests: DataFrame, key: str, order: list[str]) -> DataFrame:
              .filter("not answers and goal is not null")
              .select(key, "place", "goal", (F.col("level") - 1).alias("level")))
     steps = pinned(steps, "chain")
+    if steps.isEmpty():
+        return starts.select(key, "level", "place.*")
     # A request nobody points to is dead unless it is a start.
     aimed = (steps.select(key, F.col("goal").alias("place"))
              .unionByName(starts.select(key, "place")).distinct())

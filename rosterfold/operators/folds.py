@@ -49,7 +49,7 @@ def _versions(log: DataFrame, order: list[str], created: str, payload: list[str]
     if prior is not None:
         known = prior.select("name", F.col("aggregate_version").alias("_version"),
                              F.struct("name", *payload).alias("_prior"))
-        rows = lookup(rows, known, ["name"], order)
+        rows = lookup(rows, known, ["name"], order, probe=log)
         version = F.coalesce(version, F.col("_version") + F.col("_place"))
     rows = rows.withColumn("aggregate_version", version.cast("int"))
     alive = F.col("aggregate_version").isNotNull()
@@ -101,7 +101,7 @@ def _membership_changes(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFr
     one leaves the list alone; what an event appends is in ``added_groups``.
     """
     events = lookup(events.withColumn("_at", F.struct(*USER_EVENT_ORDER)), _starts(events), ["name"],
-                    USER_EVENT_ORDER, "inner")
+                    USER_EVENT_ORDER, "inner", probe=events)
     events = events.filter(F.col("_at") >= F.col("_born")).drop("_born")
     resets = events.filter((F.col("event_type") == USER_CREATED) | (is_snapshot() & F.col("groups").isNotNull()))
     joins = F.col("event_type").isin(GROUP_CREATED, INVITATION_ACCEPTED)
@@ -122,11 +122,11 @@ def user_groups(events: DataFrame) -> DataFrame:
     reset = resets.groupBy("name").agg(F.max("_at").alias("_reset"))
     gone = removed.groupBy("name", "group_name").agg(F.max("_at").alias("_gone"))
     order = [*USER_EVENT_ORDER, "ordinal"]
-    alive = lookup(added, reset, ["name"], order)
+    alive = lookup(added, reset, ["name"], order, probe=events)
     alive = alive.filter(F.col("_at") >= F.col("_reset"))
-    alive = lookup(alive, gone, ["name", "group_name"], order)
+    alive = lookup(alive, gone, ["name", "group_name"], order, probe=events)
     alive = alive.filter(F.col("_gone").isNull() | (F.col("_at") > F.col("_gone")))
-    return (numbered(alive, ["name"], order, "position")
+    return (numbered(alive, ["name"], order, "position", probe=events)
             .select("name", "position", "group_name", F.col("ts").alias("since_ts"), F.col("seq").alias("since_seq")))
 
 
@@ -137,13 +137,13 @@ def group_spans(events: DataFrame) -> DataFrame:
     (since, ordinal) order. One row per addition, where a list per version would be quadratic.
     """
     added, resets, removed = _membership_changes(events)
-    ends = _first_after(_first_after(added, resets, ["name"], "_reset"), removed, ["name", "group_name"], "_gone")
+    ends = _first_after(_first_after(added, resets, ["name"], "_reset", events), removed, ["name", "group_name"], "_gone", events)
     until = F.least("_reset", "_gone")
     return ends.select("name", "group_name", F.col("ts").alias("since_ts"), F.col("seq").alias("since_seq"), "ordinal",
                        until["ts"].alias("until_ts"), until["seq"].alias("until_seq"))
 
 
-def _first_after(rows: DataFrame, marks: DataFrame, keys: list[str], name: str) -> DataFrame:
+def _first_after(rows: DataFrame, marks: DataFrame, keys: list[str], name: str, probe: DataFrame) -> DataFrame:
     """Add the place ``_at`` of the first mark after each row of its key, null without one.
 
     Rows and marks are merged and read backwards. A row at the place of a mark comes from that very
@@ -152,7 +152,7 @@ def _first_after(rows: DataFrame, marks: DataFrame, keys: list[str], name: str)
     asks = rows.withColumn("_mark", F.lit(1))
     answers = marks.select(*keys, "_at").withColumn("_mark", F.lit(0))
     merged = asks.unionByName(answers, allowMissingColumns=True)
-    return (OrderedRows.of(merged, keys, ["_at", "_mark", "ordinal"], descending=True)
+    return (OrderedRows.of(merged, keys, ["_at", "_mark", "ordinal"], descending=True, probe=probe)
             .running(lasts={name: F.when(F.col("_mark") == 0, F.col("_at"))}).rows()
             .filter("_mark = 1").drop("_mark"))
 

@@ -56,7 +56,11 @@ class HeavyKeys:
 
 
 def heavy_keys(df: DataFrame, keys: list[str]) -> HeavyKeys | None:
-    """Heavy keys of ``df``, or None when no task could get too many rows."""
+    """Heavy keys of ``df``, or None when no task could get too many rows.
+
+    Looking costs a pass over the key columns, so callers name a frame that is cheap to read, at
+    best the stored table that the joined rows came from.
+    """
     spark = df.sparkSession
     if planned_bytes(df) <= _setting(spark, _SMALL_BYTES):
         return None
@@ -80,17 +84,19 @@ def heavy_keys(df: DataFrame, keys: list[str]) -> HeavyKeys | None:
     return HeavyKeys(keys, spark.createDataFrame(table, schema), sum(row[-1] for row in table))
 
 
-def lookup(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], how: str = "left") -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], how: str = "left",
+           probe: DataFrame | None = None) -> DataFrame:
     """Equi-join that keeps every left row's key intact but not in one place.
 
     ``right`` has a bounded number of rows per key. Rows of a heavy left key are dealt out over
     salts by a hash of ``spread``, columns that tell the key's rows apart, and the right rows of
     those keys are repeated once per salt. When ``right`` is small enough to be broadcast nothing
-    is shuffled, so nothing needs salting.
+    is shuffled, so nothing needs salting. ``probe`` is a frame with the keys of ``left`` that is
+    cheaper to look at.
     """
     if fits_broadcast(right):
         return left.join(right, on, how)
-    heavy = heavy_keys(left, on)
+    heavy = heavy_keys(left if probe is None else probe, on)
     if heavy is None:
         return left.join(right, on, how)
     salted = (heavy.mark(left)
@@ -103,7 +109,8 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], spread: list[str],
     return salted.join(copies, [*on, SALT], how).drop(SALT)
 
 
-def exists_in(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], flag: str) -> DataFrame:
+def exists_in(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], flag: str,
+              probe: DataFrame | None = None) -> DataFrame:
     """``left`` with a boolean column: is there a row of ``right`` (unique on the key)?"""
     known = right.select(*on, F.lit(True).alias(flag))
-    return lookup(left, known, on, spread).withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return lookup(left, known, on, spread, probe=probe).withColumn(flag, F.coalesce(flag, F.lit(False)))

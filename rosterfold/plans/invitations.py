@@ -9,6 +9,7 @@ from rosterfold.functions.etags import INVITATION_SECRET, invitation_etag
 from rosterfold.functions.names import invitation_name, invitation_parent
 from rosterfold.operators.folds import INVITATION_ACCEPTED, INVITATION_CREATED, INVITATION_REJECTED
 from rosterfold.operators.gates import Gate, judged, passed, when_passed
+from rosterfold.operators.ordered import with_minimum
 from rosterfold.operators.skew import exists_in, lookup
 from rosterfold.schemas import INVITATION_EVENT, USER_EVENT, conform
 
@@ -34,7 +35,7 @@ def create_invitations(requests: DataFrame, users: DataFrame, groups: DataFrame,
     The etag belongs to the generated name, so it equals the one the stored invitation gets.
     """
     rows = exists_in(requests, groups.select(F.col("name").alias("group_name")), ["group_name"], ["request_id"], "_group")
-    rows = exists_in(rows, users.select(F.col("name").alias("parent")), ["parent"], ["request_id"], "_parent")
+    rows = exists_in(rows, users.select(F.col("name").alias("parent")), ["parent"], ["request_id"], "_parent", requests)
     gates = [Gate("group", ~F.col("_group"), _unknown("group", F.col("group_name"))),
              Gate("parent", ~F.col("_parent"), _unknown("parent", F.col("parent")))]
     name = invitation_name(F.col("parent"), F.col("request_id"))
@@ -56,7 +57,7 @@ def created_invitation_events(outcomes: DataFrame) -> DataFrame:
 def _with_stored(requests: DataFrame, invitations: DataFrame) -> DataFrame:
     stored = invitations.select("name", F.struct("group_name", "state", "create_time", "aggregate_version",
                                                  "etag").alias("cur"))
-    return lookup(requests.withColumnRenamed("etag", "request_etag"), stored, ["name"], ["request_id"])
+    return lookup(requests.withColumnRenamed("etag", "request_etag"), stored, ["name"], DECISION_ORDER, probe=requests)
 
 
 def _decided(rows: DataFrame, etag_now: Column, state_now: Column, secret: str, domain: str) -> DataFrame:
@@ -93,9 +94,8 @@ def replay_decisions(requests: DataFrame, invitations: DataFrame, secret: str =
     """
     place = F.struct(*DECISION_ORDER)
     rows = _with_stored(requests, invitations)
-    deciding = rows.filter((F.col("request_etag") == F.col("cur.etag")) & (F.col("cur.state") == PENDING))
-    won = deciding.groupBy("name").agg(F.min(place).alias("_won"))
-    rows = lookup(rows, won, ["name"], ["request_id"])
+    deciding = (F.col("request_etag") == F.col("cur.etag")) & (F.col("cur.state") == PENDING)
+    rows = with_minimum(rows, ["name"], F.when(deciding, place), "_won", DECISION_ORDER, probe=requests)
     late = F.coalesce(place > F.col("_won"), F.lit(False))
     etag_now = F.when(late, invitation_etag(F.col("name"), F.col("cur.aggregate_version") + 1, secret)).otherwise(
         F.col("cur.etag"))

@@ -53,10 +53,10 @@ def create_users(requests: DataFrame, held: DataFrame | None = None, secret: str
     place = F.struct(*ORDER)
     taken = {"uid": F.lit(False), "user_id": F.lit(False)}
     for key in taken:
-        rows = lookup(rows, granted.select(key, place.alias(f"_{key}_from")), [key], ["request_id"])
+        rows = lookup(rows, granted.select(key, place.alias(f"_{key}_from")), [key], ["request_id"], probe=requests)
         taken[key] = F.coalesce(F.col(f"_{key}_from") < place, F.lit(False))
         if held is not None:
-            rows = exists_in(rows, held.select(key).distinct(), [key], ["request_id"], f"_{key}_held")
+            rows = exists_in(rows, held.select(key).distinct(), [key], ["request_id"], f"_{key}_held", requests)
             taken[key] = taken[key] | F.col(f"_{key}_held")
     gates = [
         Gate("uid", taken["uid"], st.error_info(
@@ -133,7 +133,7 @@ def _updated(outcome: DataFrame, version: Column, display_name: Column, email: C
 
 def _with_current(requests: DataFrame, users: DataFrame) -> DataFrame:
     state = users.select("name", F.struct("uid", "display_name", "email", "aggregate_version", "etag").alias("cur"))
-    return lookup(requests.withColumnRenamed("etag", "request_etag"), state, ["name"], ["request_id"])
+    return lookup(requests.withColumnRenamed("etag", "request_etag"), state, ["name"], ["request_id"], probe=requests)
 
 
 def update_users(requests: DataFrame, users: DataFrame, secret: str = USER_SECRET,
@@ -193,7 +193,7 @@ def replay_updates(requests: DataFrame, users: DataFrame, secret: str = USER_SEC
 
     rows = lookup(rows, effects, ["name", "level", *ORDER], ["request_id"])
     hit = F.col("_effect").isNotNull()
-    scan = OrderedRows.of(rows, ["name"], ORDER).running(
+    scan = OrderedRows.of(rows, ["name"], ORDER, probe=requests).running(
         sums={"_moved": F.when(hit, 1).otherwise(0)},
         lasts={f"_kept_{field}": F.when(hit & masks.covers(F.col("_mask"), field), F.struct(F.col(f"_new_{field}").alias("v")))
                for field in ("display_name", "email")})
@@ -267,7 +267,8 @@ def remove_groups(requests: DataFrame, users: DataFrame, groups: DataFrame, secr
     state = users.select("name", "aggregate_version").join(sizes, "name", "left").select(
         F.col("name").alias("user_name"), F.struct("aggregate_version", "_size").alias("cur"))
     rows = lookup(requests, state, ["user_name"], ["request_id"])
-    rows = lookup(rows, held.withColumnRenamed("name", "user_name"), ["user_name", "group_name"], ["request_id"])
+    rows = lookup(rows, held.withColumnRenamed("name", "user_name"), ["user_name", "group_name"], ["request_id"],
+                  probe=requests)
     gates = [
         Gate("user", F.col("cur").isNull(), _missing_user(F.col("user_name"))),
         Gate("group", F.col("_equal").isNull(), st.not_found(
