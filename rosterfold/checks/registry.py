@@ -14,6 +14,7 @@ from rosterfold.functions.status import flat_status
 from rosterfold.functions.text import strip_blank, units
 from rosterfold.operators import folds
 from rosterfold.operators.gates import passed
+from rosterfold.operators.skew import Probe
 from rosterfold.operators.workspace import new_folder, pinned
 from rosterfold.plans import invitations, lookups, users
 from rosterfold.schemas import CREATE_INVITATION_REQUEST, CREATE_USER_REQUEST, INVITATION_EVENT, USER_EVENT
@@ -122,7 +123,8 @@ def _reaching_user_id(outcomes: DataFrame) -> DataFrame:
 
 @registered
 def user_id_running_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return users.seen_counts(_reaching_user_id(_creates(spark, sf_dir)), "user_id")
+    requests = fx.create_user_requests(spark, sf_dir)
+    return users.seen_counts(_reaching_user_id(users.create_users(requests)), "user_id", Probe(requests))
 
 
 @registered
@@ -318,7 +320,7 @@ def find_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 def get_user_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = fx.user_events(spark, sf_dir)
     known = folds.user_snapshot(folds.user_history(log))
-    return lookups.groups_of(fx.lookup_requests(spark, sf_dir), known, folds.user_groups(log)).select(
+    return lookups.groups_of(fx.lookup_requests(spark, sf_dir), known, folds.user_groups(log), Probe(log)).select(
         "name", "position", "group_name")
 
 

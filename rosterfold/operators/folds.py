@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rosterfold.functions.etags import INVITATION_SECRET, USER_SECRET, etag
 from rosterfold.functions.names import invitation_parent
 from rosterfold.operators.ordered import OrderedRows, numbered
-from rosterfold.operators.skew import lookup
+from rosterfold.operators.skew import Probe, lookup
 from rosterfold.schemas import INVITATION_EVENT_ORDER, USER_EVENT_ORDER
 
 # Event names.
@@ -41,7 +41,8 @@ def _versions(log: DataFrame, order: list[str], created: str, payload: list[str]
     """
     created_here = F.col("event_type") == created
     lasts = {"_payload": F.when(carries, F.struct(*payload))} if payload else {}
-    rows = (OrderedRows.of(log, ["name"], order)
+    probe = Probe(log)
+    rows = (OrderedRows.of(log, ["name"], order, probe=probe)
             .running(sums={"_place": F.lit(1), "epoch": F.when(created_here, 1).otherwise(0)}, lasts=lasts)
             .running(lasts={"_start": F.when(created_here, F.col("_place"))})
             .rows())
@@ -49,7 +50,7 @@ def _versions(log: DataFrame, order: list[str], created: str, payload: list[str]
     if prior is not None:
         known = prior.select("name", F.col("aggregate_version").alias("_version"),
                              F.struct("name", *payload).alias("_prior"))
-        rows = lookup(rows, known, ["name"], order, probe=log)
+        rows = lookup(rows, known, ["name"], order, probe=probe)
         version = F.coalesce(version, F.col("_version") + F.col("_place"))
     rows = rows.withColumn("aggregate_version", version.cast("int"))
     alive = F.col("aggregate_version").isNotNull()
@@ -94,14 +95,14 @@ def _starts(events: DataFrame) -> DataFrame:
             .groupBy("name").agg(F.min(F.struct(*USER_EVENT_ORDER)).alias("_born")))
 
 
-def _membership_changes(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _membership_changes(events: DataFrame, probe: Probe) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Added memberships, places of list resets per user, and removals, of events that have a subject.
 
     A created or updated event with a list resets the user's list to it. An updated event without
     one leaves the list alone; what an event appends is in ``added_groups``.
     """
     events = lookup(events.withColumn("_at", F.struct(*USER_EVENT_ORDER)), _starts(events), ["name"],
-                    USER_EVENT_ORDER, "inner", probe=events)
+                    USER_EVENT_ORDER, "inner", probe)
     events = events.filter(F.col("_at") >= F.col("_born")).drop("_born")
     resets = events.filter((F.col("event_type") == USER_CREATED) | (is_snapshot() & F.col("groups").isNotNull()))
     joins = F.col("event_type").isin(GROUP_CREATED, INVITATION_ACCEPTED)
@@ -118,15 +119,16 @@ def user_groups(events: DataFrame) -> DataFrame:
     An added element survives when neither a later reset of the user's list nor a later removal of
     the same group exists; both are maxima per key. Equal elements are kept, as the list keeps them.
     """
-    added, resets, removed = _membership_changes(events)
+    probe = Probe(events)
+    added, resets, removed = _membership_changes(events, probe)
     reset = resets.groupBy("name").agg(F.max("_at").alias("_reset"))
     gone = removed.groupBy("name", "group_name").agg(F.max("_at").alias("_gone"))
     order = [*USER_EVENT_ORDER, "ordinal"]
-    alive = lookup(added, reset, ["name"], order, probe=events)
+    alive = lookup(added, reset, ["name"], order, probe=probe)
     alive = alive.filter(F.col("_at") >= F.col("_reset"))
-    alive = lookup(alive, gone, ["name", "group_name"], order, probe=events)
+    alive = lookup(alive, gone, ["name", "group_name"], order, probe=probe)
     alive = alive.filter(F.col("_gone").isNull() | (F.col("_at") > F.col("_gone")))
-    return (numbered(alive, ["name"], order, "position", probe=events)
+    return (numbered(alive, ["name"], order, "position", probe=probe)
             .select("name", "position", "group_name", F.col("ts").alias("since_ts"), F.col("seq").alias("since_seq")))
 
 
@@ -136,14 +138,15 @@ def group_spans(events: DataFrame) -> DataFrame:
     This is the history of the group lists: the list at any version is the spans open at it, in
     (since, ordinal) order. One row per addition, where a list per version would be quadratic.
     """
-    added, resets, removed = _membership_changes(events)
-    ends = _first_after(_first_after(added, resets, ["name"], "_reset", events), removed, ["name", "group_name"], "_gone", events)
+    probe = Probe(events)
+    added, resets, removed = _membership_changes(events, probe)
+    ends = _first_after(_first_after(added, resets, ["name"], "_reset", probe), removed, ["name", "group_name"], "_gone", probe)
     until = F.least("_reset", "_gone")
     return ends.select("name", "group_name", F.col("ts").alias("since_ts"), F.col("seq").alias("since_seq"), "ordinal",
                        until["ts"].alias("until_ts"), until["seq"].alias("until_seq"))
 
 
-def _first_after(rows: DataFrame, marks: DataFrame, keys: list[str], name: str, probe: DataFrame) -> DataFrame:
+def _first_after(rows: DataFrame, marks: DataFrame, keys: list[str], name: str, probe: Probe) -> DataFrame:
     """Add the place ``_at`` of the first mark after each row of its key, null without one.
 
     Rows and marks are merged and read backwards. A row at the place of a mark comes from that very

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rosterfold.operators.skew import HeavyKeys, heavy_keys, lookup
+from rosterfold.operators.skew import HeavyKeys, Probe, lookup
 from rosterfold.operators.workspace import pinned
 
 CHUNK = "_chunk"
@@ -31,8 +31,8 @@ class OrderedRows:
 
     @staticmethod
     def of(df: DataFrame, keys: list[str], order: list[str], descending: bool = False,
-           probe: DataFrame | None = None) -> OrderedRows:
-        heavy = heavy_keys(df if probe is None else probe, keys)
+           probe: Probe | None = None) -> OrderedRows:
+        heavy = (probe or Probe(df)).heavy(keys)
         if heavy is None:
             return OrderedRows(df, keys, order, descending)
         directed = [F.desc(c) if descending else F.asc(c) for c in order]
@@ -82,19 +82,20 @@ class OrderedRows:
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, descending: bool = False,
-             probe: DataFrame | None = None) -> DataFrame:
+             probe: Probe | None = None) -> DataFrame:
     """Add the row's 1-based place inside its key."""
     return OrderedRows.of(df, keys, order, descending, probe).running(sums={name: F.lit(1)}).rows()
 
 
 def with_minimum(df: DataFrame, keys: list[str], value: Column, name: str, spread: list[str],
-                 probe: DataFrame | None = None) -> DataFrame:
+                 probe: Probe | None = None) -> DataFrame:
     """Add the least non-null ``value`` of the row's key.
 
     Ordinary keys need one exchange, which a join on the same keys before it has already paid for.
     With heavy keys the minimum is combined before the shuffle and joined back by a spread lookup.
     """
-    if heavy_keys(df if probe is None else probe, keys) is None:
+    probe = probe or Probe(df)
+    if probe.heavy(keys) is None:
         return df.withColumn(name, F.min(value).over(Window.partitionBy(*keys)))
     least = df.withColumn(name, value).filter(F.col(name).isNotNull()).groupBy(*keys).agg(F.min(name).alias(name))
     return lookup(df, least, keys, spread, probe=probe)

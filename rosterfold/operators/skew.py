@@ -84,19 +84,32 @@ def heavy_keys(df: DataFrame, keys: list[str]) -> HeavyKeys | None:
     return HeavyKeys(keys, spark.createDataFrame(table, schema), sum(row[-1] for row in table))
 
 
+class Probe:
+    """A frame to look for heavy keys in, each list of key columns at most once."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+        self._found: dict[tuple[str, ...], HeavyKeys | None] = {}
+
+    def heavy(self, keys: list[str]) -> HeavyKeys | None:
+        if tuple(keys) not in self._found:
+            self._found[tuple(keys)] = heavy_keys(self.df, keys)
+        return self._found[tuple(keys)]
+
+
 def lookup(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], how: str = "left",
-           probe: DataFrame | None = None) -> DataFrame:
+           probe: Probe | None = None) -> DataFrame:
     """Equi-join that keeps every left row's key intact but not in one place.
 
     ``right`` has a bounded number of rows per key. Rows of a heavy left key are dealt out over
     salts by a hash of ``spread``, columns that tell the key's rows apart, and the right rows of
     those keys are repeated once per salt. When ``right`` is small enough to be broadcast nothing
-    is shuffled, so nothing needs salting. ``probe`` is a frame with the keys of ``left`` that is
-    cheaper to look at.
+    is shuffled, so nothing needs salting. ``probe`` has the keys of ``left`` and is cheaper to look
+    at.
     """
     if fits_broadcast(right):
         return left.join(right, on, how)
-    heavy = heavy_keys(left if probe is None else probe, on)
+    heavy = (probe or Probe(left)).heavy(on)
     if heavy is None:
         return left.join(right, on, how)
     salted = (heavy.mark(left)
@@ -110,7 +123,7 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], spread: list[str],
 
 
 def exists_in(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], flag: str,
-              probe: DataFrame | None = None) -> DataFrame:
+              probe: Probe | None = None) -> DataFrame:
     """``left`` with a boolean column: is there a row of ``right`` (unique on the key)?"""
     known = right.select(*on, F.lit(True).alias(flag))
     return lookup(left, known, on, spread, probe=probe).withColumn(flag, F.coalesce(flag, F.lit(False)))

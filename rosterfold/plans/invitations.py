@@ -10,7 +10,7 @@ from rosterfold.functions.names import invitation_name, invitation_parent
 from rosterfold.operators.folds import INVITATION_ACCEPTED, INVITATION_CREATED, INVITATION_REJECTED
 from rosterfold.operators.gates import Gate, judged, passed, when_passed
 from rosterfold.operators.ordered import with_minimum
-from rosterfold.operators.skew import exists_in, lookup
+from rosterfold.operators.skew import Probe, exists_in, lookup
 from rosterfold.schemas import INVITATION_EVENT, USER_EVENT, conform
 
 # Invitation states.
@@ -35,7 +35,7 @@ def create_invitations(requests: DataFrame, users: DataFrame, groups: DataFrame,
     The etag belongs to the generated name, so it equals the one the stored invitation gets.
     """
     rows = exists_in(requests, groups.select(F.col("name").alias("group_name")), ["group_name"], ["request_id"], "_group")
-    rows = exists_in(rows, users.select(F.col("name").alias("parent")), ["parent"], ["request_id"], "_parent", requests)
+    rows = exists_in(rows, users.select(F.col("name").alias("parent")), ["parent"], ["request_id"], "_parent", Probe(requests))
     gates = [Gate("group", ~F.col("_group"), _unknown("group", F.col("group_name"))),
              Gate("parent", ~F.col("_parent"), _unknown("parent", F.col("parent")))]
     name = invitation_name(F.col("parent"), F.col("request_id"))
@@ -54,10 +54,10 @@ def created_invitation_events(outcomes: DataFrame) -> DataFrame:
     return conform(rows, INVITATION_EVENT)
 
 
-def _with_stored(requests: DataFrame, invitations: DataFrame) -> DataFrame:
+def _with_stored(requests: DataFrame, invitations: DataFrame, probe: Probe) -> DataFrame:
     stored = invitations.select("name", F.struct("group_name", "state", "create_time", "aggregate_version",
                                                  "etag").alias("cur"))
-    return lookup(requests.withColumnRenamed("etag", "request_etag"), stored, ["name"], DECISION_ORDER, probe=requests)
+    return lookup(requests.withColumnRenamed("etag", "request_etag"), stored, ["name"], DECISION_ORDER, probe=probe)
 
 
 def _decided(rows: DataFrame, etag_now: Column, state_now: Column, secret: str, domain: str) -> DataFrame:
@@ -81,7 +81,7 @@ def _decided(rows: DataFrame, etag_now: Column, state_now: Column, secret: str,
 def decide_invitations(requests: DataFrame, invitations: DataFrame, secret: str = INVITATION_SECRET,
                        domain: str = st.DOMAIN) -> DataFrame:
     """Outcome of accept and reject requests that all see the same stored invitations."""
-    rows = _with_stored(requests, invitations)
+    rows = _with_stored(requests, invitations, Probe(requests))
     return _decided(rows, F.col("cur.etag"), F.col("cur.state"), secret, domain)
 
 
@@ -92,10 +92,10 @@ def replay_decisions(requests: DataFrame, invitations: DataFrame, secret: str =
     A pending invitation is decided by the first request that carries its etag; that is a minimum
     per invitation. Later requests meet the next version, which is no longer pending.
     """
-    place = F.struct(*DECISION_ORDER)
-    rows = _with_stored(requests, invitations)
+    place, probe = F.struct(*DECISION_ORDER), Probe(requests)
+    rows = _with_stored(requests, invitations, probe)
     deciding = (F.col("request_etag") == F.col("cur.etag")) & (F.col("cur.state") == PENDING)
-    rows = with_minimum(rows, ["name"], F.when(deciding, place), "_won", DECISION_ORDER, probe=requests)
+    rows = with_minimum(rows, ["name"], F.when(deciding, place), "_won", DECISION_ORDER, probe)
     late = F.coalesce(place > F.col("_won"), F.lit(False))
     etag_now = F.when(late, invitation_etag(F.col("name"), F.col("cur.aggregate_version") + 1, secret)).otherwise(
         F.col("cur.etag"))

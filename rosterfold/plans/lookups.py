@@ -8,7 +8,8 @@ from rosterfold.functions import status as st
 from rosterfold.functions.names import is_user_name
 from rosterfold.functions.paging import page_offset, page_token
 from rosterfold.operators.gates import Gate, judged, is_passed, when_passed
-from rosterfold.operators.skew import lookup
+from rosterfold.operators.skew import Probe, lookup
+from rosterfold.operators.workspace import pinned
 
 USER_COLUMNS = ["uid", "display_name", "email", "aggregate_version", "etag"]
 
@@ -20,39 +21,44 @@ def _says(name: Column, text: str) -> Column:
     return F.concat(name, F.lit(text))
 
 
-def _read_user(rows: DataFrame, users: DataFrame, found: str, ahead: list[Gate]) -> DataFrame:
-    state = users.select(F.col("name").alias(found), F.struct(*USER_COLUMNS).alias("cur"))
-    rows = lookup(rows, state, [found], ["request_id"])
+def _stored(users: DataFrame) -> DataFrame:
+    return users.select("name", F.struct(*USER_COLUMNS).alias("cur"))
+
+
+def _answered(rows: DataFrame, ahead: list[Gate]) -> DataFrame:
     gates = [*ahead,
-             Gate("name", ~is_user_name(F.col(found)),
-                  st.status(st.INVALID_ARGUMENT, _says(F.col(found), " is not a valid name format."))),
-             Gate("user", F.col("cur").isNull(), st.not_found(_says(F.col(found), " does not exists.")))]
+             Gate("name", ~is_user_name(F.col("name")),
+                  st.status(st.INVALID_ARGUMENT, _says(F.col("name"), " is not a valid name format."))),
+             Gate("user", F.col("cur").isNull(), st.not_found(_says(F.col("name"), " does not exists.")))]
     return judged(rows, gates, st.ok(""))
 
 
 def get_users(requests: DataFrame, users: DataFrame) -> DataFrame:
     """Users by name."""
-    rows = _read_user(requests.select("request_id", "name"), users, "name", [])
-    return rows.select("request_id", "name", "gate", "status",
-                       *[when_passed(F.col(f"cur.{c}")).alias(c) for c in USER_COLUMNS])
+    rows = lookup(requests.select("request_id", "name"), _stored(users), ["name"], ["request_id"])
+    return _answered(rows, []).select("request_id", "name", "gate", "status",
+                                      *[when_passed(F.col(f"cur.{c}")).alias(c) for c in USER_COLUMNS])
 
 
 def find_users(requests: DataFrame, uid_names: DataFrame, users: DataFrame) -> DataFrame:
-    """Users by uid: uid to name, then name to user."""
-    rows = lookup(requests.select("request_id", "uid"), uid_names.select("uid", "name"), ["uid"], ["request_id"])
-    rows = rows.withColumnRenamed("uid", "asked_uid")
+    """Users by uid: uid to name, then name to user.
+
+    The two state tables have one row per key, so they are joined first and requests only once.
+    """
+    directory = uid_names.select(F.col("uid").alias("asked_uid"), "name").join(_stored(users), "name", "left")
+    asked = requests.select("request_id", F.col("uid").alias("asked_uid"))
+    rows = lookup(asked, directory, ["asked_uid"], ["request_id"])
     unknown = Gate("uid", F.col("name").isNull(),
                    st.not_found(F.concat(F.lit("Uid "), "asked_uid", F.lit(" does not exists."))))
-    rows = _read_user(rows, users, "name", [unknown])
-    return rows.select("request_id", "asked_uid", "name", "gate", "status",
-                       *[when_passed(F.col(f"cur.{c}")).alias(c) for c in USER_COLUMNS])
+    return _answered(rows, [unknown]).select("request_id", "asked_uid", "name", "gate", "status",
+                                             *[when_passed(F.col(f"cur.{c}")).alias(c) for c in USER_COLUMNS])
 
 
-def groups_of(requests: DataFrame, users: DataFrame, groups: DataFrame) -> DataFrame:
+def groups_of(requests: DataFrame, users: DataFrame, groups: DataFrame, probe: Probe | None = None) -> DataFrame:
     """Group rows of every distinct user that the requests name, once per user."""
     asked = requests.select("name").filter(is_user_name(F.col("name"))).distinct()
     asked = asked.join(users.select("name"), "name", "left_semi")
-    return lookup(groups, asked, ["name"], ["position"], "left_semi")
+    return lookup(groups, asked, ["name"], ["position"], "left_semi", probe)
 
 
 def list_invitations(requests: DataFrame, index: DataFrame, invitations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -73,14 +79,18 @@ def list_invitations(requests: DataFrame, index: DataFrame, invitations: DataFra
     end = F.col("offset") + F.col("page_size")
     answers = judged(rows, gates, st.ok("")).withColumn(
         "next_page_token", when_passed(F.when(end < F.col("total"), page_token(end.cast("int"))).otherwise("")))
+    answers = pinned(answers, "answers")
 
     last = F.least(end, F.col("total"))
     asked = answers.filter(is_passed() & (F.col("offset") < F.col("total"))).select(
         "request_id", "parent", F.col("offset").alias("_after"), last.alias("_last"),
         F.explode(F.sequence(F.floor(F.col("offset") / BLOCK), F.floor((last - 1) / BLOCK))).alias("_block"))
+    wanted = asked.select("parent", "_block").distinct()
     listed = index.withColumn("_block", F.floor((F.col("position") - 1) / BLOCK))
+    listed = listed.join(wanted, ["parent", "_block"], "left_semi")
+    state = invitations.select("name", "group_name", "state", "aggregate_version", "etag")
+    listed = lookup(listed, state, ["name"], ["parent", "position"], probe=Probe(index))
     items = lookup(asked, listed, ["parent", "_block"], ["request_id"], "inner")
     items = items.filter((F.col("position") > F.col("_after")) & (F.col("position") <= F.col("_last")))
-    state = invitations.select("name", "group_name", "state", "aggregate_version", "etag")
-    items = lookup(items.select("request_id", "parent", "position", "name"), state, ["name"], ["request_id"])
+    items = items.select("request_id", "parent", "position", *state.columns)
     return answers.select("request_id", "parent", "gate", "status", "total", "next_page_token"), items

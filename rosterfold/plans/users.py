@@ -17,7 +17,7 @@ from rosterfold.operators.chain import effective
 from rosterfold.operators.folds import GROUP_REMOVED, USER_CREATED, USER_UPDATED
 from rosterfold.operators.gates import Gate, judged, passed, when_passed
 from rosterfold.operators.ordered import OrderedRows, numbered
-from rosterfold.operators.skew import exists_in, lookup
+from rosterfold.operators.skew import Probe, exists_in, lookup
 from rosterfold.operators.workspace import pinned
 from rosterfold.schemas import USER, USER_EVENT, conform
 
@@ -50,13 +50,13 @@ def create_users(requests: DataFrame, held: DataFrame | None = None, secret: str
     rows = _checked(requests)
     valid = rows.filter(~rules.broken(F.col("_id_errors")) & ~rules.broken(F.col("_errors")))
     granted = allocated(valid.select("uid", "user_id", *ORDER), "uid", "user_id", ORDER, held)
-    place = F.struct(*ORDER)
+    place, probe = F.struct(*ORDER), Probe(requests)
     taken = {"uid": F.lit(False), "user_id": F.lit(False)}
     for key in taken:
-        rows = lookup(rows, granted.select(key, place.alias(f"_{key}_from")), [key], ["request_id"], probe=requests)
+        rows = lookup(rows, granted.select(key, place.alias(f"_{key}_from")), [key], ["request_id"], probe=probe)
         taken[key] = F.coalesce(F.col(f"_{key}_from") < place, F.lit(False))
         if held is not None:
-            rows = exists_in(rows, held.select(key).distinct(), [key], ["request_id"], f"_{key}_held", requests)
+            rows = exists_in(rows, held.select(key).distinct(), [key], ["request_id"], f"_{key}_held", probe)
             taken[key] = taken[key] | F.col(f"_{key}_held")
     gates = [
         Gate("uid", taken["uid"], st.error_info(
@@ -93,9 +93,9 @@ def releases(outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
             outcomes.filter(F.col("gate") == "fields").select("user_id", zero, *ORDER))
 
 
-def seen_counts(requests: DataFrame, key: str) -> DataFrame:
+def seen_counts(requests: DataFrame, key: str, probe: Probe | None = None) -> DataFrame:
     """Running number of requests per key, after each request."""
-    return numbered(requests, [key], ORDER, "value").select(key, "value", *ORDER)
+    return numbered(requests, [key], ORDER, "value", probe=probe).select(key, "value", *ORDER)
 
 
 # Update
@@ -131,9 +131,9 @@ def _updated(outcome: DataFrame, version: Column, display_name: Column, email: C
         when_passed(user_etag(F.col("name"), next_version, secret)).alias("etag"))
 
 
-def _with_current(requests: DataFrame, users: DataFrame) -> DataFrame:
+def _with_current(requests: DataFrame, users: DataFrame, probe: Probe) -> DataFrame:
     state = users.select("name", F.struct("uid", "display_name", "email", "aggregate_version", "etag").alias("cur"))
-    return lookup(requests.withColumnRenamed("etag", "request_etag"), state, ["name"], ["request_id"], probe=requests)
+    return lookup(requests, state, ["name"], ["request_id"], probe=probe)
 
 
 def update_users(requests: DataFrame, users: DataFrame, secret: str = USER_SECRET,
@@ -143,7 +143,8 @@ def update_users(requests: DataFrame, users: DataFrame, secret: str = USER_SECRE
     Two requests with the current etag can both pass, as when they read a replicated table at the
     same time; ``replay_updates`` lets every request see the earlier ones.
     """
-    rows = _against_current(_with_current(requests, conform(users, USER)))
+    requests = requests.withColumnRenamed("etag", "request_etag")
+    rows = _against_current(_with_current(requests, conform(users, USER), Probe(requests)))
     errors = rules.profile_violations(F.col("_new_display_name"), F.col("_new_email"), F.col("cur.uid"))
     rows = rows.withColumn("_errors", errors)
     outcome = judged(rows, _update_gates(domain, F.col("cur").isNotNull(), F.col("request_etag") == F.col("cur.etag"),
@@ -151,14 +152,14 @@ def update_users(requests: DataFrame, users: DataFrame, secret: str = USER_SECRE
     return _updated(outcome, F.col("cur.aggregate_version"), F.col("_new_display_name"), F.col("_new_email"), secret)
 
 
-def _named_versions(rows: DataFrame, secret: str) -> DataFrame:
+def _named_versions(rows: DataFrame, probe: Probe, secret: str) -> DataFrame:
     """How far above the stored version is the version each distinct etag of a user names?
 
     A user with d distinct etags in the log cannot move more than d versions, so d candidate tags
     per user, made from the rows themselves, are enough to read every etag that can matter.
     """
     tags = rows.select("name", "request_etag", F.col("cur.aggregate_version").alias("_base")).distinct()
-    placed = numbered(tags, ["name"], ["request_etag"], "_nth")
+    placed = numbered(tags, ["name"], ["request_etag"], "_nth", probe=probe)
     level = (F.col("_nth") - 1).cast("int")
     candidates = placed.select("name", level.alias("level"), user_etag(
         F.col("name"), F.col("_base") + level, secret).alias("request_etag"))
@@ -174,26 +175,25 @@ def replay_updates(requests: DataFrame, users: DataFrame, secret: str = USER_SEC
     matter only on the starting version, and whether a request is fine depends on nothing but
     itself, the version it names and the stored user.
     """
-    rows = _against_current(_with_current(requests, conform(users, USER)))
-    rows = pinned(lookup(rows, _named_versions(rows.filter("cur is not null"), secret), ["name", "request_etag"],
-                         ["request_id"]), "updates")
-
-    first = rules.profile_violations(F.col("_new_display_name"), F.col("_new_email"), F.col("cur.uid"))
-    fine = F.lit("fine")
-
-    def later_value(field: str) -> Column:
-        return F.when(masks.covers(F.col("_mask"), field), F.col(f"_new_{field}")).otherwise(fine)
-
-    later = rules.profile_violations(
-        F.when(masks.covers(F.col("_mask"), "display_name"), F.col("_new_display_name")).otherwise(fine),
-        F.when(masks.covers(F.col("_mask"), "email"), F.col("_new_email")).otherwise(fine), F.col("cur.uid"))
-    rows = rows.withColumn("_errors", F.when(F.col("level") > 0, later).otherwise(first))
+    requests = requests.withColumnRenamed("etag", "request_etag")
+    probe = Probe(requests)
+    rows = _against_current(_with_current(requests, conform(users, USER), probe))
+    named = _named_versions(rows.filter("cur is not null"), probe, secret)
+    rows = pinned(lookup(rows, named, ["name", "request_etag"], ["request_id"], probe=probe), "updates")
+
+    def judged_value(field: str) -> Column:
+        from_store = (F.col("level") > 0) & ~masks.covers(F.col("_mask"), field)
+        return F.when(from_store, "fine").otherwise(F.col(f"_new_{field}"))
+
+    rows = rows.withColumn("_errors", rules.profile_violations(
+        judged_value("display_name"), judged_value("email"), F.col("cur.uid")))
     able = rows.filter(F.col("level").isNotNull() & masks.is_known(F.col("_mask")) & ~rules.broken(F.col("_errors")))
     effects = effective(able.select("name", "level", *ORDER), "name", ORDER).withColumn("_effect", F.lit(1))
 
-    rows = lookup(rows, effects, ["name", "level", *ORDER], ["request_id"])
+    # The join key tells every row apart, so no key of it is heavy.
+    rows = rows.join(effects, ["name", "level", *ORDER], "left")
     hit = F.col("_effect").isNotNull()
-    scan = OrderedRows.of(rows, ["name"], ORDER, probe=requests).running(
+    scan = OrderedRows.of(rows, ["name"], ORDER, probe=probe).running(
         sums={"_moved": F.when(hit, 1).otherwise(0)},
         lasts={f"_kept_{field}": F.when(hit & masks.covers(F.col("_mask"), field), F.struct(F.col(f"_new_{field}").alias("v")))
                for field in ("display_name", "email")})
@@ -268,7 +268,7 @@ def remove_groups(requests: DataFrame, users: DataFrame, groups: DataFrame, secr
         F.col("name").alias("user_name"), F.struct("aggregate_version", "_size").alias("cur"))
     rows = lookup(requests, state, ["user_name"], ["request_id"])
     rows = lookup(rows, held.withColumnRenamed("name", "user_name"), ["user_name", "group_name"], ["request_id"],
-                  probe=requests)
+                  probe=Probe(requests))
     gates = [
         Gate("user", F.col("cur").isNull(), _missing_user(F.col("user_name"))),
         Gate("group", F.col("_equal").isNull(), st.not_found(

@@ -32,6 +32,9 @@ _CREATE_OUTCOME = f"request_id bigint, ts timestamp_ntz, uid string, user_id str
 _HELD = "uid string, user_id string"
 
 
+COMPACT_EVERY = 20
+
+
 def run_to_end(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None]) -> None:
     """Process everything available, batch after batch, and stop."""
     query = (stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
@@ -45,10 +48,11 @@ def user_fold(spark: SparkSession, root: str, secret: str = USER_SECRET) -> tupl
     state = BatchTable(spark, f"{root}/users", _USER_STATE)
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        history = folds.user_history(batch, state.current(["name"], batch_id), secret)
+        history = folds.user_history(batch, state.current(["name"], batch_id, batch), secret)
         changes.write(history.filter(F.col("aggregate_version").isNotNull()), batch_id)
-        written = changes.before().filter(F.col("batch_id") == batch_id)
-        state.write(folds.latest(written, ["name"], USER_EVENT_ORDER), batch_id)
+        state.write(folds.latest(changes.written(batch_id), ["name"], USER_EVENT_ORDER), batch_id)
+        if (batch_id + 1) % COMPACT_EVERY == 0:
+            state.compact(["name"], batch_id)
 
     return work, changes, state
 
@@ -59,6 +63,8 @@ def uid_map(spark: SparkSession, root: str, order: list[str]) -> tuple[Callable,
 
     def work(batch: DataFrame, batch_id: int) -> None:
         table.write(folds.uid_names(batch, order), batch_id)
+        if (batch_id + 1) % COMPACT_EVERY == 0:
+            table.compact(["uid"], batch_id)
 
     return work, table
 
@@ -89,7 +95,6 @@ def user_requests(spark: SparkSession, root: str) -> tuple[Callable, BatchTable,
     def work(batch: DataFrame, batch_id: int) -> None:
         taken = held.before(batch_id).select("uid", "user_id")
         outcomes.write(create_users(batch, taken), batch_id)
-        written = outcomes.before().filter(F.col("batch_id") == batch_id)
-        held.write(passed(written), batch_id)
+        held.write(passed(outcomes.written(batch_id)), batch_id)
 
     return work, outcomes, held

@@ -2,7 +2,8 @@
 
 Every micro-batch owns the folder ``batch_id=N`` of each table and overwrites it, so that a batch
 that runs again after a failure leaves the same rows. A state table holds one row per key and batch
-that touched the key; the current row of a key is the one of its latest batch.
+that touched the key; the current row of a key is the one of its latest batch. Now and then the
+current rows are written as one table, and later reads start there.
 """
 
 from __future__ import annotations
@@ -27,20 +28,47 @@ class BatchTable:
         names = T.StructType.fromDDL(self.columns).fieldNames()
         df.select(*names).write.mode("overwrite").parquet(f"{self.path}/{BATCH}={batch_id}")
 
-    def _exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+    def _complete(self, folder: str) -> list[str]:
+        """Names of the finished sub-folders of a folder."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        if not files.exists(path):
+            return []
+        found = [status.getPath() for status in files.listStatus(path) if status.isDirectory()]
+        return [p.getName() for p in found if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+
+    def _read(self, path: str) -> DataFrame:
+        return self.spark.read.schema(f"{self.columns}, {BATCH} bigint").parquet(path)
 
     def before(self, batch_id: int | None = None) -> DataFrame:
         """Rows of all batches before the given one, so that a repeated batch does not see itself."""
-        schema = f"{self.columns}, {BATCH} bigint"
-        if not self._exists():
-            return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).parquet(self.path)
+        if not self._complete(self.path):
+            return self.spark.createDataFrame([], f"{self.columns}, {BATCH} bigint")
+        rows = self._read(self.path)
         return rows if batch_id is None else rows.filter(F.col(BATCH) < batch_id)
 
     def rows(self) -> DataFrame:
         return self.before().drop(BATCH)
 
-    def current(self, keys: list[str], batch_id: int | None = None) -> DataFrame:
-        return latest(self.before(batch_id), keys, [BATCH]).drop(BATCH)
+    def written(self, batch_id: int) -> DataFrame:
+        return self.before().filter(F.col(BATCH) == batch_id).drop(BATCH)
+
+    def _compacted(self) -> str:
+        return f"{self.path}-compacted"
+
+    def current(self, keys: list[str], batch_id: int | None = None, wanted: DataFrame | None = None) -> DataFrame:
+        """State before the given batch, of the keys in ``wanted`` only when that is given."""
+        rows = self.before(batch_id)
+        done = [int(name.removeprefix("upto=")) for name in self._complete(self._compacted())]
+        done = [number for number in done if batch_id is None or number < batch_id]
+        if done:
+            start = max(done)
+            rows = rows.filter(F.col(BATCH) > start).unionByName(self._read(f"{self._compacted()}/upto={start}"))
+        if wanted is not None:
+            rows = rows.join(wanted.select(*keys).distinct(), keys, "left_semi")
+        return latest(rows, keys, [BATCH]).drop(BATCH)
+
+    def compact(self, keys: list[str], batch_id: int) -> None:
+        """Write the state after a batch as one table, so that readers can skip the batches it covers."""
+        state = self.current(keys, batch_id + 1).withColumn(BATCH, F.lit(batch_id).cast("long"))
+        state.write.mode("overwrite").parquet(f"{self._compacted()}/upto={batch_id}")

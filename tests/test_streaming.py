@@ -38,6 +38,20 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     assert before == (sorted(map(repr, changes.rows().collect())), sorted(map(repr, state.current(["name"]).collect())))
 
 
+def test_compacted_state_reads_the_same(spark, tmp_path):
+    table = BatchTable(spark, str(tmp_path / "t"), "name string, v int")
+    for number in range(4):
+        table.write(spark.createDataFrame([(f"k{n}", number) for n in range(number + 1)], "name string, v int"), number)
+        if number == 1:
+            table.compact(["name"], number)
+
+    def state(*args):
+        return {r.name: r.v for r in table.current(["name"], *args).collect()}
+
+    assert state() == {"k0": 3, "k1": 3, "k2": 3, "k3": 3} and state(2) == {"k0": 1, "k1": 1} and state(1) == {"k0": 0}
+    assert state(None, spark.createDataFrame([("k1",), ("zz",)], "name string")) == {"k1": 3}
+
+
 def test_create_requests_in_batches_equal_one_run(spark, tmp_path):
     rows = sorted(random_requests(13), key=lambda r: (r[1], r[0]))
     work, outcomes, held = jobs.user_requests(spark, str(tmp_path))
