@@ -262,7 +262,7 @@ def remove_groups(requests: DataFrame, users: DataFrame, groups: DataFrame, secr
     The resulting list is the user's group rows without the removed one; here it shows as the number
     of elements left, because repeating whole lists per request would be quadratic.
     """
-    held = groups.groupBy("name", "group_name").agg(F.count(F.lit(1)).alias("_equal"))
+    held = pinned(groups.groupBy("name", "group_name").agg(F.count(F.lit(1)).alias("_equal")), "held")
     sizes = held.groupBy("name").agg(F.sum("_equal").alias("_size"))
     state = users.select("name", "aggregate_version").join(sizes, "name", "left").select(
         F.col("name").alias("user_name"), F.struct("aggregate_version", "_size").alias("cur"))

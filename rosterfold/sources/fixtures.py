@@ -93,7 +93,9 @@ def created_invitations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decision_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _table(spark, sf_dir, "lineitem").filter("l_returnflag in ('A', 'R')")
-    rows = lines.join(_table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
+    # Both sides are big tables, so they are merged, also where the files are small enough to broadcast.
+    orders = _table(spark, sf_dir, "orders").hint("merge")
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
         "concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as string), cast(l_partkey as string)) as request_id",
         "l_shipdate as ts", "l_linenumber as line", "l_partkey as part",
         f"concat({_ORDER_USER}, '/groupInvitations/inv-', cast(l_orderkey as string)) as name",
