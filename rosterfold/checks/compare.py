@@ -50,6 +50,7 @@ def differences(spark: SparkSession, sf_dir: str, name: str) -> str | None:
 
 def main(sf_dir: str, names: list[str]) -> int:
     from rosterfold.checks.session import local_session
+    from rosterfold.operators.workspace import clear
 
     spark, failures = local_session(), 0
     for name in names or QUERIES:
@@ -60,6 +61,7 @@ def main(sf_dir: str, names: list[str]) -> int:
             problem = f"{type(error).__name__}: {str(error)[:600]}"
         failures += problem is not None
         print(f"{'FAIL' if problem else 'ok  '} {name} {time.time() - start:.2f}s {problem or ''}", flush=True)
+    clear(spark)
     return failures
 
 

@@ -14,7 +14,7 @@ from rosterfold.functions.status import flat_status
 from rosterfold.functions.text import strip_blank, units
 from rosterfold.operators import folds
 from rosterfold.operators.gates import passed
-from rosterfold.operators.skew import Probe
+from rosterfold.operators.skew import Probe, lookup
 from rosterfold.operators.workspace import new_folder, pinned
 from rosterfold.plans import invitations, lookups, users
 from rosterfold.schemas import CREATE_INVITATION_REQUEST, CREATE_USER_REQUEST, INVITATION_EVENT, USER_EVENT
@@ -31,10 +31,6 @@ def registered(query: Query) -> Query:
     return query
 
 
-def _without(df: DataFrame, *columns: str) -> DataFrame:
-    return df.drop(*columns)
-
-
 # Scalar functions.
 
 
@@ -81,7 +77,8 @@ def profile_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def mask_clean_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = fx.users(spark, sf_dir).select("name", F.col("display_name").alias("d"), F.col("email").alias("e"))
-    rows = fx.update_user_requests(spark, sf_dir).join(stored, "name").withColumn("m", masks.writable(F.col("mask")))
+    rows = lookup(fx.update_user_requests(spark, sf_dir), stored, ["name"], ["request_id"], "inner")
+    rows = rows.withColumn("m", masks.writable(F.col("mask")))
     return rows.select(
         "request_id", F.array_join(F.array_sort("m"), ",").alias("clean_mask"),
         masks.is_known(F.col("m")).alias("mask_known"),
@@ -142,16 +139,13 @@ def last_write_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def create_user_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _without(flat_status(_creates(spark, sf_dir), "request_id", "uid", "user_id", "gate", "name",
-                                "aggregate_version", "etag"), "precondition")
+    return flat_status(_creates(spark, sf_dir), "request_id", "uid", "user_id", "gate", "name",
+                                "aggregate_version", "etag").drop("precondition")
 
 
 @registered
 def user_created_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outcomes = _creates(spark, sf_dir)
-    outcomes = outcomes.withColumns({"display_name": strip_blank(F.col("display_name")),
-                                     "email": strip_blank(F.col("email"))})
-    return users.created_events(outcomes).select("name", "event_type", "seq", "uid", "display_name", "email")
+    return users.created_events(_creates(spark, sf_dir)).select("name", "event_type", "seq", "uid", "display_name", "email")
 
 
 _UPDATE_COLUMNS = ["request_id", "name", "gate", "display_name", "email", "aggregate_version", "etag"]
@@ -159,13 +153,13 @@ _UPDATE_COLUMNS = ["request_id", "name", "gate", "display_name", "email", "aggre
 
 @registered
 def update_user_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _without(flat_status(_updates(spark, sf_dir), *_UPDATE_COLUMNS), "precondition")
+    return flat_status(_updates(spark, sf_dir), *_UPDATE_COLUMNS).drop("precondition")
 
 
 @registered
 def update_user_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = users.replay_updates(fx.update_user_requests(spark, sf_dir), fx.users(spark, sf_dir))
-    return _without(flat_status(outcomes, *_UPDATE_COLUMNS), "precondition")
+    return flat_status(outcomes, *_UPDATE_COLUMNS).drop("precondition")
 
 
 def _removals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +184,7 @@ def _invites(spark: SparkSession, sf_dir: str) -> DataFrame:
 def create_invitation_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = flat_status(_invites(spark, sf_dir), "request_id", "parent", "group_name", "gate", "name", "state",
                        "create_time", "aggregate_version", "etag")
-    return _without(flat, "reason", "detail", "precondition")
+    return flat.drop("reason", "detail", "precondition")
 
 
 def _pending(spark: SparkSession, sf_dir: str) -> DataFrame:

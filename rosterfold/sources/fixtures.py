@@ -11,6 +11,7 @@ from rosterfold import schemas as s
 from rosterfold.functions.etags import invitation_etag, user_etag
 from rosterfold.operators.folds import (GROUP_CREATED, GROUP_REMOVED, INVITATION_ACCEPTED, INVITATION_CREATED,
                                         USER_CREATED, USER_UPDATED)
+from rosterfold.operators.skew import lookup
 
 _CUSTOMER = "concat('users/cust-', cast(c_custkey as string))"
 _ORDER_USER = "concat('users/cust-', cast(o_custkey as string))"
@@ -92,10 +93,11 @@ def created_invitations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decision_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _table(spark, sf_dir, "lineitem").filter("l_returnflag in ('A', 'R')")
+    lines = _table(spark, sf_dir, "lineitem").filter("l_returnflag in ('A', 'R')").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_returnflag", "l_linestatus")
     # Both sides are big tables, so they are merged, also where the files are small enough to broadcast.
-    orders = _table(spark, sf_dir, "orders").hint("merge")
-    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").hint("merge")
+    rows = lookup(lines, orders, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_shipdate"], "inner").selectExpr(
         "concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as string), cast(l_partkey as string)) as request_id",
         "l_shipdate as ts", "l_linenumber as line", "l_partkey as part",
         f"concat({_ORDER_USER}, '/groupInvitations/inv-', cast(l_orderkey as string)) as name",
