@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from rosterfold.functions import messages as text
 from rosterfold.functions.status import violation
 from rosterfold.functions.text import units
 
@@ -19,29 +20,29 @@ def _one(field: str, description: str) -> Column:
 def _sized(field: str, label: str, value: Column, low: int, high: int) -> Column:
     """At most one of empty, too short and too long, in that order."""
     size = units(value)
-    return (F.when(size == 0, _one(field, f"{label} must not be empty."))
-            .when(size < low, _one(field, f"{label} must has minimum {low} characters."))
-            .when(size > high, _one(field, f"{label} must has maximum {high} characters."))
+    return (F.when(size == 0, _one(field, text.EMPTY % label))
+            .when(size < low, _one(field, text.TOO_SHORT % (label, low)))
+            .when(size > high, _one(field, text.TOO_LONG % (label, high)))
             .otherwise(_none()))
 
 
 def _present(field: str, label: str, value: Column) -> Column:
-    return F.when(value == "", _one(field, f"{label} must not be empty.")).otherwise(_none())
+    return F.when(value == "", _one(field, text.EMPTY % label)).otherwise(_none())
 
 
 def user_id_violations(user_id: Column) -> Column:
     """Length and alphabet are judged separately, so a value can break both."""
     alphabet = F.when(user_id.rlike("[^a-z0-9-]"), _one(
-        "userId", "User Id can only contain lower case letter, digit, and hyphen.")).otherwise(_none())
-    return F.concat(_sized("userId", "User Id", user_id, 4, 63), alphabet)
+        "userId", text.BAD_ALPHABET)).otherwise(_none())
+    return F.concat(_sized("userId", text.USER_ID_LABEL, user_id, 4, 63), alphabet)
 
 
 def profile_violations(display_name: Column, email: Column, uid: Column) -> Column:
     """All broken profile rules, in the order display name, email, uid."""
     return F.concat(
-        _sized("user.displayName", "User display name", display_name, 4, 120),
-        _present("user.email", "User email", email),
-        _present("user.uid", "User uid", uid))
+        _sized("user.displayName", text.DISPLAY_NAME_LABEL, display_name, 4, 120),
+        _present("user.email", text.EMAIL_LABEL, email),
+        _present("user.uid", text.UID_LABEL, uid))
 
 
 def broken(violations: Column) -> Column:

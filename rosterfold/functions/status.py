@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rosterfold.functions import messages as text
+
 # Status codes.
 OK, INVALID_ARGUMENT, NOT_FOUND, ALREADY_EXISTS, FAILED_PRECONDITION, ABORTED = 0, 3, 5, 6, 9, 10
 
-# Fixed value: message of every invalid-argument status.
-INVALID_MESSAGE = "Request contain invalid arguments. See details for more information."
-
 # Name of the service put into error details; callers pass their own.
 DOMAIN = "directory"
 
@@ -46,7 +45,7 @@ def violation(field: str, description: Column | str) -> Column:
 
 
 def bad_request(violations: Column) -> Column:
-    return status(INVALID_ARGUMENT, INVALID_MESSAGE, violations=violations)
+    return status(INVALID_ARGUMENT, text.INVALID, violations=violations)
 
 
 def not_found(message: Column) -> Column:
@@ -64,8 +63,7 @@ def failed_precondition(kind: str, subject: str, description: str) -> Column:
 
 
 def stale_etag(provided: Column, domain: str = DOMAIN) -> Column:
-    return error_info(ABORTED, "Concurrency error.", "Etag is not the latest version.", "providedEtag",
-                      provided, domain)
+    return error_info(ABORTED, text.STALE, text.STALE_REASON, "providedEtag", provided, domain)
 
 
 FLAT_STATUS = ["code", "message", "violation_fields", "violation_texts", "reason", "detail", "precondition"]

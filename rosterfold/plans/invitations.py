@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rosterfold.functions import status as st
+from rosterfold.functions import messages as text, status as st
 from rosterfold.functions.etags import INVITATION_SECRET, invitation_etag
 from rosterfold.functions.names import invitation_name, invitation_parent
 from rosterfold.operators.folds import INVITATION_ACCEPTED, INVITATION_CREATED, INVITATION_REJECTED
@@ -20,7 +20,7 @@ DECISION_ORDER = ["ts", "line", "part"]
 
 
 def _unknown(field: str, name: Column) -> Column:
-    return st.bad_request(F.array(st.violation(field, F.concat(name, F.lit(" does not exists.")))))
+    return st.bad_request(F.array(st.violation(field, F.format_string(text.NOT_THERE, name))))
 
 
 def _moment() -> Column:
@@ -39,7 +39,7 @@ def create_invitations(requests: DataFrame, users: DataFrame, groups: DataFrame,
     gates = [Gate("group", ~F.col("_group"), _unknown("group", F.col("group_name"))),
              Gate("parent", ~F.col("_parent"), _unknown("parent", F.col("parent")))]
     name = invitation_name(F.col("parent"), F.col("request_id"))
-    return judged(rows, gates, st.ok("Group Invitation created.")).select(
+    return judged(rows, gates, st.ok(text.INVITATION_CREATED)).select(
         "request_id", "ts", "parent", "group_name", "gate", "status",
         when_passed(name).alias("name"),
         when_passed(F.lit(PENDING)).alias("state"),
@@ -65,8 +65,8 @@ def _decided(rows: DataFrame, etag_now: Column, state_now: Column, secret: str,
         Gate("invitation", F.col("cur").isNull(), _unknown("group", F.col("name"))),
         Gate("etag", F.col("request_etag") != etag_now, st.stale_etag(F.col("request_etag"), domain)),
         Gate("state", state_now != PENDING, st.failed_precondition(
-            "NOT_PENDING", f"{domain}/GroupInvitation", "Group invitation is not in pending state."))]
-    success = st.ok(F.concat(F.lit("Group Invitation "), F.lower("action")))
+            "NOT_PENDING", f"{domain}/GroupInvitation", text.NOT_PENDING))]
+    success = st.ok(F.when(F.col("action") == ACCEPTED, text.INVITATION_ACCEPTED).otherwise(text.INVITATION_REJECTED))
     version = F.col("cur.aggregate_version") + 1
     return judged(rows, gates, success).select(
         "request_id", *DECISION_ORDER, "name", "action", "gate", "status",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from rosterfold.functions import status as st
+from rosterfold.functions import messages as text, status as st
 from rosterfold.functions.names import is_user_name
 from rosterfold.functions.paging import page_offset, page_token
 from rosterfold.operators.gates import Gate, judged, is_passed, when_passed
@@ -17,10 +17,6 @@ USER_COLUMNS = ["uid", "display_name", "email", "aggregate_version", "etag"]
 BLOCK = 128
 
 
-def _says(name: Column, text: str) -> Column:
-    return F.concat(name, F.lit(text))
-
-
 def _stored(users: DataFrame) -> DataFrame:
     return users.select("name", F.struct(*USER_COLUMNS).alias("cur"))
 
@@ -28,8 +24,8 @@ def _stored(users: DataFrame) -> DataFrame:
 def _answered(rows: DataFrame, ahead: list[Gate]) -> DataFrame:
     gates = [*ahead,
              Gate("name", ~is_user_name(F.col("name")),
-                  st.status(st.INVALID_ARGUMENT, _says(F.col("name"), " is not a valid name format."))),
-             Gate("user", F.col("cur").isNull(), st.not_found(_says(F.col("name"), " does not exists.")))]
+                  st.status(st.INVALID_ARGUMENT, F.format_string(text.BAD_NAME, "name"))),
+             Gate("user", F.col("cur").isNull(), st.not_found(F.format_string(text.NOT_THERE, "name")))]
     return judged(rows, gates, st.ok(""))
 
 
@@ -49,7 +45,7 @@ def find_users(requests: DataFrame, uid_names: DataFrame, users: DataFrame) -> D
     asked = requests.select("request_id", F.col("uid").alias("asked_uid"))
     rows = lookup(asked, directory, ["asked_uid"], ["request_id"])
     unknown = Gate("uid", F.col("name").isNull(),
-                   st.not_found(F.concat(F.lit("Uid "), "asked_uid", F.lit(" does not exists."))))
+                   st.not_found(F.format_string(text.NO_UID, "asked_uid")))
     return _answered(rows, [unknown]).select("request_id", "asked_uid", "name", "gate", "status",
                                              *[when_passed(F.col(f"cur.{c}")).alias(c) for c in USER_COLUMNS])
 
@@ -72,10 +68,9 @@ def list_invitations(requests: DataFrame, index: DataFrame, invitations: DataFra
                            F.col("page_size").cast("long").alias("page_size"))
     rows = lookup(rows, sizes, ["parent"], ["request_id"])
     gates = [
-        Gate("index", F.col("total").isNull(), st.not_found(
-            F.concat(F.lit("No group invitations for user "), "parent", F.lit(".")))),
+        Gate("index", F.col("total").isNull(), st.not_found(F.format_string(text.NO_INVITATIONS, "parent"))),
         Gate("page_size", F.col("page_size") <= 0, st.bad_request(F.array(st.violation(
-            "page_size", "Page size must be positive."))))]
+            "page_size", text.BAD_PAGE_SIZE))))]
     end = F.col("offset") + F.col("page_size")
     answers = judged(rows, gates, st.ok("")).withColumn(
         "next_page_token", when_passed(F.when(end < F.col("total"), page_token(end.cast("int"))).otherwise("")))

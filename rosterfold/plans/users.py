@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rosterfold.functions import masks, rules, status as st
+from rosterfold.functions import masks, messages as text, rules, status as st
 from rosterfold.functions.etags import USER_SECRET, user_etag
 from rosterfold.functions.names import is_user_name, user_id_of, user_name
 from rosterfold.functions.text import strip_blank
@@ -25,7 +25,7 @@ ORDER = ["ts", "request_id"]
 
 
 def _missing_user(name: Column) -> Column:
-    return st.not_found(F.concat(F.lit("User with name "), name, F.lit(" does not exists.")))
+    return st.not_found(F.format_string(text.NO_USER, name))
 
 
 # Create
@@ -60,15 +60,14 @@ def create_users(requests: DataFrame, held: DataFrame | None = None, secret: str
             taken[key] = taken[key] | F.col(f"_{key}_held")
     gates = [
         Gate("uid", taken["uid"], st.error_info(
-            st.ALREADY_EXISTS, "User already exists.",
-            F.concat(F.lit("User with uid "), "uid", F.lit(" already exists.")), "uid", F.col("uid"), domain)),
+            st.ALREADY_EXISTS, text.UID_EXISTS, F.format_string(text.UID_EXISTS_REASON, "uid"), "uid", F.col("uid"),
+            domain)),
         Gate("user_id_format", rules.broken(F.col("_id_errors")), st.bad_request(F.col("_id_errors"))),
         Gate("user_id", taken["user_id"], st.error_info(
-            st.ALREADY_EXISTS, "User Id is taken.",
-            F.concat(F.lit("User with user id "), "user_id", F.lit(" already exists.")), "userId", F.col("user_id"),
-            domain)),
+            st.ALREADY_EXISTS, text.USER_ID_TAKEN, F.format_string(text.USER_ID_TAKEN_REASON, "user_id"), "userId",
+            F.col("user_id"), domain)),
         Gate("fields", rules.broken(F.col("_errors")), st.bad_request(F.col("_errors")))]
-    outcome = judged(rows, gates, st.ok("User created."))
+    outcome = judged(rows, gates, st.ok(text.USER_CREATED))
     name = user_name(F.col("user_id"))
     return outcome.select(
         *requests.columns, "gate", "status",
@@ -114,7 +113,7 @@ def _update_gates(domain: str, exists: Column, same_etag: Column, errors: Column
         Gate("user", ~exists, _missing_user(F.col("name"))),
         Gate("etag", ~same_etag, st.stale_etag(F.col("request_etag"), domain)),
         Gate("mask", ~masks.is_known(F.col("_mask")), st.bad_request(F.array(st.violation(
-            "update_mask", "Unable to map update_mask to User type.")))),
+            "update_mask", text.BAD_MASK)))),
         Gate("fields", rules.broken(errors), st.bad_request(errors))]
 
 
@@ -148,7 +147,7 @@ def update_users(requests: DataFrame, users: DataFrame, secret: str = USER_SECRE
     errors = rules.profile_violations(F.col("_new_display_name"), F.col("_new_email"), F.col("cur.uid"))
     rows = rows.withColumn("_errors", errors)
     outcome = judged(rows, _update_gates(domain, F.col("cur").isNotNull(), F.col("request_etag") == F.col("cur.etag"),
-                                         F.col("_errors")), st.ok("User updated."))
+                                         F.col("_errors")), st.ok(text.USER_UPDATED))
     return _updated(outcome, F.col("cur.aggregate_version"), F.col("_new_display_name"), F.col("_new_email"), secret)
 
 
@@ -200,7 +199,7 @@ def replay_updates(requests: DataFrame, users: DataFrame, secret: str = USER_SEC
     rows = scan.rows()
     before = F.col("_moved") - F.when(hit, 1).otherwise(0)
     outcome = judged(rows, _update_gates(domain, F.col("cur").isNotNull(), F.coalesce(F.col("level") == before, F.lit(False)),
-                                         F.col("_errors")), st.ok("User updated."))
+                                         F.col("_errors")), st.ok(text.USER_UPDATED))
 
     def value_now(field: str) -> Column:
         kept = F.col(f"_kept_{field}")
@@ -241,7 +240,7 @@ def upsert_users(requests: DataFrame, users: DataFrame, secret: str = USER_SECRE
     updated = update_users(rows.filter(F.col("route") == UPSERT_UPDATE).drop("route"), users, secret, domain)
 
     invalid = judged(rows.filter(F.col("route") == UPSERT_INVALID), [Gate("name", F.lit(True), st.status(
-        st.INVALID_ARGUMENT, F.concat("name", F.lit(" is not a valid name format."))))], st.ok(""))
+        st.INVALID_ARGUMENT, F.format_string(text.BAD_NAME, "name")))], st.ok(""))
 
     columns = [*ORDER, "name", "route", "gate", "status", "uid", "display_name", "email", "aggregate_version", "etag"]
     empty = F.lit(None)
@@ -271,10 +270,9 @@ def remove_groups(requests: DataFrame, users: DataFrame, groups: DataFrame, secr
                   probe=Probe(requests))
     gates = [
         Gate("user", F.col("cur").isNull(), _missing_user(F.col("user_name"))),
-        Gate("group", F.col("_equal").isNull(), st.not_found(
-            F.concat(F.lit("Group with name "), "group_name", F.lit(" does not exists."))))]
+        Gate("group", F.col("_equal").isNull(), st.not_found(F.format_string(text.NO_GROUP, "group_name")))]
     version = F.col("cur.aggregate_version") + 1
-    return judged(rows, gates, st.ok("Group removed.")).select(
+    return judged(rows, gates, st.ok(text.GROUP_REMOVED)).select(
         *ORDER, "user_name", "group_name", "gate", "status",
         when_passed(F.col("cur._size") - F.col("_equal")).alias("groups_left"),
         when_passed(version).alias("aggregate_version"),
