@@ -35,6 +35,9 @@ class OrderedRows:
         heavy = (probe or Probe(df)).heavy(keys)
         if heavy is None:
             return OrderedRows(df, keys, order, descending)
+        if probe is not None and probe.df is not df:
+            # Derived rows are read three times from here on (range sample, chunks, the rest).
+            df = pinned(df, "rows")
         directed = [F.desc(c) if descending else F.asc(c) for c in order]
         chunks = (heavy.part(df, heavy=True)
                   .repartitionByRange(heavy.pieces, *keys, *directed)
@@ -75,7 +78,7 @@ class OrderedRows:
         added = {name: F.coalesce(F.col(name), F.lit(0)) + F.coalesce(F.col(f"_before_{name}"), F.lit(0))
                  for name in sums}
         kept = {name: F.coalesce(F.col(name), F.col(f"_before_{name}")) for name in lasts}
-        return joined.withColumns({**added, **kept}).drop(*[f"_before_{name}" for name in sums + lasts])
+        return joined.withColumns({**added, **kept}).select(*local.columns)
 
     def rows(self) -> DataFrame:
         return self.df.drop(CHUNK) if self.heavy is not None else self.df

@@ -49,10 +49,11 @@ class HeavyKeys:
 
     def mark(self, df: DataFrame) -> DataFrame:
         """Add the number of pieces; null on rows of ordinary keys. No shuffle: the list is bounded."""
-        return df.join(F.broadcast(self.table), self.keys, "left")
+        return df.join(F.broadcast(self.table), self.keys, "left").select(*df.columns, PIECES)
 
     def part(self, df: DataFrame, heavy: bool) -> DataFrame:
-        return df.join(F.broadcast(self.table.select(*self.keys)), self.keys, "left_semi" if heavy else "left_anti")
+        kept = df.join(F.broadcast(self.table.select(*self.keys)), self.keys, "left_semi" if heavy else "left_anti")
+        return kept.select(*df.columns)
 
 
 def heavy_keys(df: DataFrame, keys: list[str]) -> HeavyKeys | None:

@@ -60,6 +60,11 @@ def test_running_values_equal_a_window(either, rows, descending):
     assert plain(got.withColumn("total", F.coalesce("total", F.lit(0)))) == plain(want)
 
 
+def test_columns_keep_their_order(heavy, rows):
+    got = OrderedRows.of(rows.select("seq", "ts", "key"), ["key"], ["ts", "seq"]).running(sums={"n": F.lit(1)}).rows()
+    assert got.columns == ["seq", "ts", "key", "n"]
+
+
 def test_values_run_on_top_of_running_values(either, rows):
     scan = OrderedRows.of(rows, ["key"], ["ts", "seq"]).running(sums={"place": F.lit(1)})
     got = scan.running(lasts={"mark": F.when(F.col("amount") == 2, F.col("place"))}).rows()
