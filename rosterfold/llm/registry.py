@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from rosterfold.llm.sharding import op1_minimax_shards
+from rosterfold.llm.token_ids import op4_rans_token_ids
 
-QUERIES = {f.__name__: f for f in (op1_minimax_shards,)}
+QUERIES = {f.__name__: f for f in (op1_minimax_shards, op4_rans_token_ids)}
 
 #: SQL for those that SQL can express.
 ORACLE: dict[str, str] = {}
