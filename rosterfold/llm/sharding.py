@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rosterfold.llm.shared import in_order, pinned, text_or_empty
+from rosterfold.llm.shared import in_order, pinned, table, text_or_empty
 
 RESOLUTION = 16_384
 GROUP = ["_hash", "text_crc32", "size"]
@@ -132,5 +132,5 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
 
 def op1_minimax_shards(spark, sf_dir: str) -> DataFrame:
     """All documents in eight shards, under the law ``bytes``."""
-    placed = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    placed = shard(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rosterfold.llm.shared import new_folder, partitions, pinned
+from rosterfold.llm.shared import new_folder, partitions, pinned, table
 from rosterfold.llm.words import pieces
 
 BLOCK = 1 << 20
@@ -305,7 +305,7 @@ def op4_rans_token_ids(spark: SparkSession, sf_dir: str, path: str | None = None
 
         path = public_tokenizers.path("byte_bpe_50k.json")
     path = str(path)
-    ids = pinned(tokenize(spark.read.parquet(f"{sf_dir}/documents.parquet"), path), "token-ids")
+    ids = pinned(tokenize(table(spark, sf_dir, "documents"), path), "token-ids")
     folder = new_folder(spark, "id-files")
     write_ids(ids, id_type(path), folder)
     return read_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
