@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from rosterfold.llm.decontamination import op8_spaced_seed_leaks
+from rosterfold.llm.mixing import OP7_SQL, op7_hypergeometric_mix
 from rosterfold.llm.sharding import op1_minimax_shards
 from rosterfold.llm.token_ids import op4_rans_token_ids
 
-QUERIES = {f.__name__: f for f in (op1_minimax_shards, op4_rans_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_minimax_shards, op4_rans_token_ids, op7_hypergeometric_mix, op8_spaced_seed_leaks)}
 
 #: SQL for those that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE = {"op7_hypergeometric_mix": OP7_SQL}
