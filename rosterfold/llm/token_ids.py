@@ -21,6 +21,8 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import pairwise
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +35,67 @@ from rosterfold.llm.words import pieces
 BLOCK = 1 << 20
 LANES = 2048
 CHECKPOINT = 256  # steps
-CACHED = 1_000_000  # chunks a Python worker remembers
+CACHED = 400_000  # chunks a Python worker remembers
+PUNCTUATION = ".,;:!?*#$%&@|()[]{}<>=+-~^/\\'\""  # neither letters, digits nor white space
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
+_ID = attrgetter("id")
+
+
+class Chunks(dict):
+    """Packed ids of chunks of text, found on first use.
+
+    A word of letters with at most one space before it is a whole pre-token, and so is the punctuation behind it; a line
+    break between visible characters is one too. Words go to the tokenizer's model at once, which leaves out its slower
+    text handling; chunks of any other form are encoded by the tokenizer.
+    """
+
+    def __init__(self, tokenizer, kind: str, plain: bool, bare: Chunks | None = None):
+        """``bare``: the chunks without a leading space; None for those themselves. Keys leave that space out."""
+        super().__init__()
+        self.bare, self.lead = (self, "") if bare is None else (bare, " ")
+        self.tokenizer, self.model, self.plain, self.code = tokenizer, tokenizer.model, plain, "H" if kind == "<u2" else "I"
+        # The letter that stands for each byte in a byte-level vocabulary: itself where it is visible, else the next
+        # free one from 256 on.
+        visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        self.letters = {b: b for b in visible} | {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*visible}))}
+        self.space = chr(self.letters[32]) if self.lead else ""
+
+    def __missing__(self, key: str) -> bytes:
+        if not self.plain:
+            ids = self.whole(self.lead + key)
+        elif "\n" in key and len(key) > 1 and _lines(key):
+            first, *rest = key.split("\n")
+            newline = self.bare["\n"]
+            return self[first] + newline + newline.join([self.bare[p] for p in rest])
+        else:
+            word = key.rstrip(PUNCTUATION)
+            if not word.isalpha():
+                ids = self.whole(self.lead + key)
+            elif len(word) < len(key):
+                again = word in self
+                ids = self[word] + self.bare[key[len(word):]]
+                if not again:
+                    return ids
+            else:
+                letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                ids = array(self.code, map(_ID, self.model.tokenize(self.space + letters))).tobytes()
+        self[key] = ids
+        return ids
+
+    def whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+def _lines(key: str) -> bool:
+    """Whether every line break stands between visible characters."""
+    parts = key.split("\n")
+    return all(parts) and not any(a[-1].isspace() or b[0].isspace() for a, b in pairwise(parts))
 
 
 class Encoder:
     """Ids of texts, packed. Splits a text before every space that has a visible character behind it, where the
-    tokenizer's own pre-tokenizer always splits too, and encodes each distinct chunk once. A chunk that is a word of
-    letters, or one with full stops and commas behind it, is one or two whole pre-tokens: these go to the tokenizer's
-    model at once, without its slower text handling. All else is encoded by the tokenizer."""
+    tokenizer's own pre-tokenizer always splits too, and encodes each distinct chunk once."""
 
     # A space before white space or at the end: such texts are encoded whole.
     _odd = re.compile(r" (?=\s|\Z)")
@@ -55,51 +108,18 @@ class Encoder:
         self.end = np.array([end], self.kind).tobytes()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         pre = self.tokenizer.pre_tokenizer
-        self.plain = self.tokenizer.normalizer is None and isinstance(pre, pre_tokenizers.ByteLevel) and pre.use_regex and not pre.add_prefix_space
-        # The letter that stands for each byte in a byte-level vocabulary: itself where it is visible, else the next
-        # free one from 256 on.
-        visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        self.letters = {b: b for b in visible} | {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*visible}))}
-        self.cache: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: set[str]) -> None:
-        rest, model, letters, cache = [], self.tokenizer.model, self.letters, self.cache
-        code = "H" if self.kind == "<u2" else "I"
-        for chunk in chunks:
-            core = chunk.rstrip(".,")
-            if self.plain and core[1:].isalpha() and core[0] == " ":
-                ids = cache.get(core)
-                if ids is None:
-                    tokens = model.tokenize(core.encode().decode("latin-1").translate(letters))
-                    ids = cache[core] = array(code, [t.id for t in tokens]).tobytes()
-                if len(core) < len(chunk):
-                    tail = chunk[len(core):]
-                    if tail not in cache:
-                        cache[tail] = self._ids([tail])[0]
-                    cache[chunk] = ids + cache[tail]
-            else:
-                rest.append(chunk)
-        cache.update(zip(rest, self._ids(rest)))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        chunks: list[list[str] | None] = []
-        for text in texts:
-            if self._odd.search(text) or any(s in text for s in self.special):
-                chunks.append(None)
-            else:
-                first, *rest = text.split(" ")
-                chunks.append([first, *map(" ".__add__, rest)] if first else list(map(" ".__add__, rest)))
-        wanted = {c for parts in chunks if parts for c in parts}
-        missing = wanted - self.cache.keys()
-        if len(self.cache) + len(missing) > CACHED:
-            self.cache, missing = {}, wanted
-        self._learn(missing)
-        known = self.cache.__getitem__
-        return [b"".join(map(known, parts)) + self.end if parts is not None else self._ids([text])[0] + self.end
-                for text, parts in zip(texts, chunks)]
+        plain = self.tokenizer.normalizer is None and isinstance(pre, pre_tokenizers.ByteLevel) and pre.use_regex and not pre.add_prefix_space
+        self.plain, self.bare = plain, Chunks(self.tokenizer, self.kind, plain)
+        self.spaced = Chunks(self.tokenizer, self.kind, plain, self.bare)
+
+    def encode(self, text: str) -> bytes:
+        if not self.plain or self._odd.search(text) or any(s in text for s in self.special):
+            return self.bare.whole(text) + self.end
+        for known in (self.bare, self.spaced):
+            if len(known) > CACHED:
+                known.clear()
+        first, *rest = text.split(" ")
+        return (self.bare[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest)) + self.end
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -112,7 +132,7 @@ def tokenize(docs: DataFrame, path: str, end: int = 0) -> DataFrame:
         encoder = _encoders.setdefault((path, end), None) or Encoder(path, end)
         _encoders[path, end] = encoder
         for batch in pieces(batches):
-            ids = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
+            ids = [encoder.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, ids binary")
