@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from rosterfold.llm.decontamination import op8_spaced_seed_leaks
 from rosterfold.llm.fingerprints import op9_imatch_fingerprints
+from rosterfold.llm.language_model import op2_log_bilinear_scores
 from rosterfold.llm.main_text import op10_site_template_text
 from rosterfold.llm.mixing import OP7_SQL, op7_hypergeometric_mix
 from rosterfold.llm.ngram_join import op6_grouped_prefix_join
@@ -11,7 +12,7 @@ from rosterfold.llm.quality import op3_quadratic_quality
 from rosterfold.llm.sharding import op1_minimax_shards
 from rosterfold.llm.token_ids import op4_rans_token_ids
 
-QUERIES = {f.__name__: f for f in (op1_minimax_shards, op3_quadratic_quality, op4_rans_token_ids, op6_grouped_prefix_join, op7_hypergeometric_mix, op8_spaced_seed_leaks, op9_imatch_fingerprints, op10_site_template_text)}
+QUERIES = {f.__name__: f for f in (op1_minimax_shards, op2_log_bilinear_scores, op3_quadratic_quality, op4_rans_token_ids, op6_grouped_prefix_join, op7_hypergeometric_mix, op8_spaced_seed_leaks, op9_imatch_fingerprints, op10_site_template_text)}
 
 #: SQL for those that SQL can express.
 ORACLE = {"op7_hypergeometric_mix": OP7_SQL}
