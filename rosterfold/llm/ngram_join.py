@@ -106,7 +106,7 @@ def _heavy(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """row, doc_id, n, fingerprints of the set and of the prefix, and the prefix of every document."""
+    """row, doc_id, text_hash, n, fingerprints of the set and of the prefix, and the prefix of every document."""
     bits, buckets, logs = _heavy(docs)
     last = max(0, len(buckets) - 1)
 
@@ -132,11 +132,11 @@ def _sets(docs: DataFrame) -> DataFrame:
                 prefixes.append(signed(chosen))
                 prints[2, k] = (mix(chosen) * mix(np.arange(1, len(chosen) + 1, dtype=np.uint64))).sum(dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), *(pa.array(signed(p)) for p in prints), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "fp1", "fp2", "fp3", "prefix"])
+                [batch.column(0), batch.column(2), pa.array(sizes), *(pa.array(signed(p)) for p in prints), pa.array(prefixes, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "n", "fp1", "fp2", "fp3", "prefix"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text")
-    found = rows.mapInArrow(run, "doc_id bigint, n bigint, fp1 bigint, fp2 bigint, fp3 bigint, prefix array<bigint>")
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("text_hash"))
+    found = rows.mapInArrow(run, "doc_id bigint, text_hash bigint, n bigint, fp1 bigint, fp2 bigint, fp3 bigint, prefix array<bigint>")
     return pinned(found.withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
 
 
@@ -265,10 +265,11 @@ def _labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """row, doc_id, n_shingles, component_id and class (``rep``, the row that stands for all equal sets) of every document."""
+    """row, doc_id, text_hash, n_shingles, component_id, class (``rep``, the row that stands for all equal sets) and whether
+    it is the one document of its component to keep, of every document."""
     sets = _sets(docs)
     key = ["n", "fp1", "fp2"]
-    classes = sets.filter("n > 0").groupBy(*key).agg(F.min("row").alias("rep"), F.min("doc_id").alias("first"), F.first("fp3").alias("fp3"))
+    classes = sets.filter("n > 0").groupBy(*key).agg(F.min("row").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.first("fp3").alias("fp3"))
     classes = pinned(classes.join(classes.groupBy("n", "fp3").agg(F.min("rep").alias("g")), ["n", "fp3"]), "classes")
     heads = classes.filter("rep = g").select("g").join(sets.select(F.col("row").alias("g"), "n", "prefix"), "g")
     shared = _shared(heads)
@@ -295,16 +296,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = pinned(rest, "other-pairs")
     known = _labelled(classes, links.union(_verified(rest, sets, docs)))
 
-    names = known.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = pinned(known.join(names, "label").select(*key, "rep", "component_id"), "named")
-    joined = sets.select("row", "doc_id", *key).join(named, key, "left")
-    return joined.select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "rep")
+    names = known.groupBy("label").agg(F.min("first").alias("first"))
+    named = pinned(known.drop("first").join(names, "label").select(*key, "rep", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("kept_row")), "named")
+    joined = sets.select("row", "doc_id", "text_hash", *key).join(named, key, "left")
+    return joined.select("row", "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+                         "rep", F.coalesce(F.col("row") == F.col("kept_row"), F.lit(True)).alias("kept"))
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each group of near duplicates, the one of the smallest doc_id, and all documents without shingles."""
-    found = near_duplicates(docs).filter("n_shingles > 0 and (doc_id <> component_id or doc_id is null and component_id is not null)").select("doc_id").distinct()
-    return docs.join(found.select(F.col("doc_id").alias("_gone")), F.expr("doc_id <=> _gone"), "left_anti")
+    """One document of each component, the one of the smallest doc_id, and all documents without shingles.
+
+    Rows of equal doc_id and equal text are one document here: they stay or go together.
+    """
+    found = pinned(near_duplicates(docs).select("doc_id", "text_hash", "kept"), "duplicates")
+    gone = found.groupBy("doc_id", "text_hash").agg(F.max("kept").alias("kept")).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    return docs.join(gone, F.expr("doc_id <=> _id") & (F.xxhash64("text") == F.col("_hash")), "left_anti")
 
 
 def op6_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
