@@ -6,11 +6,12 @@ is so high share a shingle among their first ``n - ceil(0.8 n) + 1`` in any comm
 1. ``_heavy``: shingle frequencies over all documents, counted in hashed buckets; only the largest buckets (a bounded
    list) are kept. They decide the order, never the result.
 2. ``_sets``: for each document the size, a 128-bit fingerprint of its set, and its prefix. Equal sets form a class,
-   classes of equal prefix and size a group; only one row of each group goes on.
-3. ``_shared``: the prefix shingles that two or more groups have, each with a pivot drawn by hash.
+   classes of equal prefix and size a group.
+3. ``_shared``: the prefix shingles that two or more groups have, each with pivots, its first groups by hash.
 4. Groups are tested against pivots first, which joins large sets of near copies in linear work.
-5. Group pairs that share a prefix shingle, pass the size and position filters, and are not yet known to be connected
-   are all expanded to pairs of classes and tested (``_remaining``). Long runs are cut in blocks.
+5. Group pairs that share prefix shingles and are not yet known to be connected (``_remaining``) are filtered by their
+   sizes and by how many prefix shingles they share (``_may_link``), all expanded to pairs of classes, and tested. Long
+   runs are cut in blocks.
 
 Whether two classes link is decided on their whole sets. Members of a class are never expanded into pairs.
 
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from rosterfold.llm.components import components
@@ -37,6 +39,8 @@ RANGE_BITS = 22
 FLUSH = 8_000_000
 PIVOTS = 3
 RUN = 4096
+SEEN = 200_000  # groups a task remembers, to drop copies early
+FILTER_BITS = 28
 SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -105,94 +109,192 @@ def _heavy(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     return bits, found["bucket"].to_numpy(np.uint64), np.log2(found["n"].to_numpy(float)).astype(np.uint64)
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """row, doc_id, text_hash, n, fingerprints of the set and of the prefix, and the prefix of every document."""
-    bits, buckets, logs = _heavy(docs)
-    last = max(0, len(buckets) - 1)
+class _Order:
+    """The common order of shingles: those of rare buckets by hash, then the frequent ones by the logarithm of their count."""
+
+    def __init__(self, docs: DataFrame):
+        self.bits, self.buckets, self.logs = _heavy(docs)
+
+    def prefixes(self, sets: list[np.ndarray]) -> Iterator[tuple[np.ndarray, int]]:
+        """The prefix of each set, and the rank at which it ends."""
+        every = np.concatenate(sets)
+        rank = every >> np.uint64(6)
+        if len(self.buckets):
+            bucket = every >> np.uint64(64 - self.bits)
+            at = np.minimum(np.searchsorted(self.buckets, bucket), len(self.buckets) - 1)
+            rank = np.where(self.buckets[at] == bucket, rank | self.logs[at] << np.uint64(58), rank)
+        rank >>= np.uint64(1)  # ends are compared as signed numbers
+        end = 0
+        for shingles in sets:
+            n = len(shingles)
+            own, end = rank[end:end + n], end + n
+            order = np.argsort(own, kind="stable")[:n - (4 * n + 4) // 5 + 1]
+            yield shingles[order], int(own[order[-1]]) if n else 0
+
+
+def _group(n: int, prefix: np.ndarray) -> int:
+    """The name of all sets of this size and prefix."""
+    h = (mix(prefix) * mix(np.arange(1, len(prefix) + 1, dtype=np.uint64))).sum(keepdims=True, dtype=np.uint64)
+    return int(signed(mix(h + np.uint64(n)))[0])
+
+
+def _prints(shingles: np.ndarray) -> tuple[int, int]:
+    """A 128-bit fingerprint of a set."""
+    return tuple(int(signed(mix(shingles ^ salt).sum(keepdims=True, dtype=np.uint64))[0]) for salt in (np.uint64(0), SALT))
+
+
+def _sets(docs: DataFrame, order: _Order) -> DataFrame:
+    """row, doc_id, text_hash, n, the fingerprint of the set, the group g and the end of its prefix, of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             sets = list(Words(batch.column(1)).shingle_sets())
-            sizes = np.array([len(s) for s in sets], np.int64)
-            ends = np.cumsum(sizes)
-            every = np.concatenate(sets)
-            prints = np.zeros((3, len(sets)), np.uint64)
-            for k, salt in enumerate((np.uint64(0), SALT)):
-                upto = np.concatenate([[np.uint64(0)], np.cumsum(mix(every ^ salt), dtype=np.uint64)])
-                prints[k] = upto[ends] - upto[ends - sizes]
-            rank = every >> np.uint64(6)
-            if len(buckets):
-                bucket = every >> np.uint64(64 - bits)
-                at = np.minimum(np.searchsorted(buckets, bucket), last)
-                rank = np.where(buckets[at] == bucket, rank | logs[at] << np.uint64(58), rank)
-            prefixes = []
-            for k, (shingles, end, n) in enumerate(zip(sets, ends, sizes)):
-                kept = n - (4 * n + 4) // 5 + 1 if n else 0
-                chosen = shingles[np.argsort(rank[end - n:end], kind="stable")[:kept]]
-                prefixes.append(signed(chosen))
-                prints[2, k] = (mix(chosen) * mix(np.arange(1, len(chosen) + 1, dtype=np.uint64))).sum(dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(sizes), *(pa.array(signed(p)) for p in prints), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["doc_id", "text_hash", "n", "fp1", "fp2", "fp3", "prefix"])
+            rows = [(len(s), *_prints(s), _group(len(s), p), end) for s, (p, end) in zip(sets, order.prefixes(sets))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, pa.int64()) for c in zip(*rows))], names=["doc_id", "text_hash", "n", "fp1", "fp2", "g", "end"])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("text_hash"))
-    found = rows.mapInArrow(run, "doc_id bigint, text_hash bigint, n bigint, fp1 bigint, fp2 bigint, fp3 bigint, prefix array<bigint>")
+    found = rows.mapInArrow(run, "doc_id bigint, text_hash bigint, n bigint, fp1 bigint, fp2 bigint, g bigint, end bigint")
     return pinned(found.withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
 
 
-def _shared(heads: DataFrame) -> DataFrame:
-    """token, g, n, pos and pivot (a group) of all prefix entries whose shingle other groups have as well."""
-    entries = heads.select("g", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "g", (F.shiftleft("n", 32) + F.col("pos")).alias("np"))
-    placed = entries.repartition(partitions(heads.sparkSession), "token").sortWithinPartitions("token", F.xxhash64("g", "token"), "g")
+def _shared(docs: DataFrame, order: _Order) -> DataFrame:
+    """token, g and pivots of all prefix entries whose shingle other groups have as well.
+
+    Entries are made from the texts once more, which costs less than to keep or to join them; equal ones of copies are
+    dropped in each task before the shuffle. The pivots of a shingle are its first ``PIVOTS`` groups by hash.
+    """
+    spark = docs.sparkSession
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in pieces(batches):
+            sets = [s for s in Words(batch.column(0)).shingle_sets() if len(s)]
+            tokens, groups = [], []
+            for shingles, (prefix, _) in zip(sets, order.prefixes(sets) if sets else ()):
+                g = _group(len(shingles), prefix)
+                if g not in seen:
+                    tokens.append(prefix)
+                    groups.append(np.full(len(prefix), g))
+                    if len(seen) < SEEN:
+                        seen.add(g)
+            if tokens:
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tokens))), pa.array(np.concatenate(groups))], names=["token", "g"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row so far, its pivot, and whether the row before it has the same token
+        held = None  # token, group and pivots of the last row so far, and whether another group has the token
         for batch in batches:
-            token, g, np_ = (c.to_numpy() for c in batch.columns)
+            token, g = (c.to_numpy() for c in batch.columns)
             if not len(token):
                 continue
             if held is not None:
-                token, g, np_ = (np.concatenate([h, c]) for h, c in zip(held[:3], (token, g, np_)))
-            same = np.zeros(len(token), bool)
-            same[1:] = token[1:] == token[:-1]
-            first = np.maximum.accumulate(np.where(same, 0, np.arange(len(token))))
-            pivot = g[first]
+                token, g = np.concatenate([[held[0]], token]), np.concatenate([[held[1]], g])
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (g[1:] != g[:-1])
+            token, g = token[new], g[new]
+            start = np.ones(len(token), bool)
+            start[1:] = token[1:] != token[:-1]
+            first = np.maximum.accumulate(np.where(start, np.arange(len(token)), 0))
+            pivots = np.stack([g[np.minimum(first + k, len(g) - 1)] for k in range(PIVOTS)], axis=1)
+            for k in range(1, PIVOTS):  # a run may have fewer rows, so far
+                at = np.minimum(first + k, len(g) - 1)
+                pivots[:, k] = np.where(first[at] == first, pivots[:, k], pivots[:, 0])
+            alone = start.copy()
+            alone[:-1] &= start[1:]
             if held is not None:
-                pivot[first == 0] = held[3]
-                same[0] = held[4]
-            kept = same.copy()
-            kept[:-1] |= same[1:]
-            kept[-1] = False
-            yield _entries(token[kept], g[kept], np_[kept], pivot[kept])
-            held = (token[-1:], g[-1:], np_[-1:], pivot[-1], same[-1])
-        if held is not None and held[4]:
-            yield _entries(*held[:3], np.array([held[3]]))
+                run_ = first == 0
+                known = list(dict.fromkeys([*held[2], *g[run_][1:PIVOTS].tolist()]))[:PIVOTS]
+                pivots[run_] = (known + known[:1] * PIVOTS)[:PIVOTS]
+                if held[3]:
+                    alone[0] = False
+            keep = ~alone
+            keep[-1] = False
+            yield _rows(token[keep], g[keep], pivots[keep])
+            held = (token[-1], g[-1], pivots[-1].tolist(), not start[-1] or (held is not None and len(token) == 1 and held[3]))
+        if held is not None and held[3]:
+            yield _rows(np.array([held[0]]), np.array([held[1]]), np.array([held[2]]))
+
+    made = docs.select("text").mapInArrow(entries, "token bigint, g bigint")
+    placed = made.repartition(partitions(spark), "token").sortWithinPartitions("token", F.xxhash64("g"), "g")
+    return pinned(placed.mapInArrow(run, "token bigint, g bigint, pivots array<bigint>"), "shared-shingles")
+
 
-    return pinned(placed.mapInArrow(run, "token bigint, g bigint, n bigint, pos bigint, pivot bigint"), "shared-shingles")
+def _rows(token: np.ndarray, g: np.ndarray, pivots: np.ndarray) -> pa.RecordBatch:
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(pivots.ravel().astype(np.int64)), PIVOTS)
+    return pa.RecordBatch.from_arrays([pa.array(token), pa.array(g), flat.cast(pa.list_(pa.int64()))], names=["token", "g", "pivots"])
 
 
-def _entries(token: np.ndarray, g: np.ndarray, np_: np.ndarray, pivot: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in (token, g, np_ >> 32, np_ & 0xFFFFFFFF, pivot)], names=["token", "g", "n", "pos", "pivot"])
+def _may_link(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs (ga, gb, c) that may link: c prefix shingles in common, sizes and ends from ``groups``.
+
+    Of the set whose prefix ends first, all prefix shingles that the other has are in the other's prefix. So the
+    rest of that prefix is missing there, and what is missing is bounded by the similarity.
+    """
+    one = groups.select(F.col("g").alias("ga"), F.col("n").alias("na"), F.col("end").alias("ea"))
+    two = groups.select(F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("end").alias("eb"))
+    sized = pairs.join(one, "ga").join(two, "gb").filter("5 * least(na, nb) >= 4 * greatest(na, nb)")
+    both = F.expr("(4 * (na + nb) + 8) div 9")  # shingles that sets of these sizes must share
+    fits = lambda n: F.expr(f"{n} - (4 * {n} + 4) div 5 + 1") - F.col("c") <= F.col(n) - both
+    return sized.filter(F.when(F.col("ea") < F.col("eb"), fits("na")).when(F.col("ea") > F.col("eb"), fits("nb")).otherwise(fits("na") | fits("nb")))
+
+
+def _place(doc_ids: pa.Array, fp1: np.ndarray, bits: int) -> np.ndarray:
+    ids = pc.fill_null(doc_ids, -1).to_numpy(zero_copy_only=False).view(np.uint64)
+    return (mix(fp1.view(np.uint64) ^ mix(ids + SALT)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b: rows of classes) that link, decided on whole sets."""
-    wanted = pinned(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct().join(sets.select("row", "doc_id", "n", "fp1", "fp2"), "row"), "wanted")
+def _filter(wanted: DataFrame) -> tuple[int, np.ndarray]:
+    """A bit for each place that a wanted set (doc_id, fp1) hashes to: at most ``FILTER_BITS`` places, for any input.
+
+    It only spares the work for other texts; a larger corpus lets more of them through.
+    """
+    bits = min(FILTER_BITS, max(16, int(wanted.count() * 16).bit_length()))
+    part = min(bits, 20)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _place(batch.column(0), batch.column(1).to_numpy(), bits)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> part), pa.array(at)], names=["part", "place"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, np.zeros(1 << part, bool)
+        for batch in batches:
+            for k, at in zip(*(c.to_numpy() for c in batch.columns)):
+                if now is not None and k != now:
+                    yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([np.packbits(own).tobytes()])], names=["part", "packed"])
+                    own[:] = False
+                now = k
+                own[at & ((1 << part) - 1)] = True
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([np.packbits(own).tobytes()])], names=["part", "packed"])
+
+    rows = wanted.select("doc_id", "fp1").mapInArrow(places, "part bigint, place bigint").distinct()
+    packed = rows.repartition(partitions(wanted.sparkSession), "part").sortWithinPartitions("part").mapInArrow(pack, "part bigint, packed binary")
+    out = np.zeros((1 << bits) >> 3, np.uint8)
+    for row in packed.collect():
+        size = max(1, (1 << part) >> 3)
+        out[row["part"] * size:(row["part"] + 1) * size] = np.frombuffer(row["packed"], np.uint8)
+    return bits, out
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b: classes) that link, decided on whole sets."""
+    named = classes.select("rep", "doc_id", "fp1", "fp2")
+    both = pairs
+    for side in ("a", "b"):
+        both = both.join(named.select(F.col("rep").alias(side), F.struct("fp1", "fp2").alias(f"f{side}")), side)
+    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(named, "rep")
+    bits, known = _filter(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            packed, prints = [], []
-            for shingles in Words(batch.column(1)).shingle_sets():
-                packed.append(shingles.tobytes())
-                prints.append((int(mix(shingles).sum(dtype=np.uint64).view(np.int64)), int(mix(shingles ^ SALT).sum(dtype=np.uint64).view(np.int64))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([p[k] for p in prints], pa.int64()) for k in (0, 1)), pa.array(packed, pa.binary())], names=["doc_id", "fp1", "fp2", "s"])
-
-    texts = docs.select(F.col("doc_id").cast("bigint"), "text")
-    few = texts.alias("t").join(wanted.select(F.col("doc_id").alias("w")).distinct(), F.expr("t.doc_id <=> w"), "left_semi")
-    found = few.mapInArrow(run, "doc_id bigint, fp1 bigint, fp2 bigint, s binary").alias("f")
-    # Equal texts under one doc_id give the same set; one of them is enough.
-    held = (found.join(wanted.alias("w"), F.expr("f.doc_id <=> w.doc_id and f.fp1 = w.fp1 and f.fp2 = w.fp2"))
-            .select("row", "s").dropDuplicates(["row"]))
+            sets = list(Words(batch.column(1)).shingle_sets())
+            prints = np.array([_prints(s) for s in sets], np.int64).reshape(-1, 2)
+            at = _place(batch.column(0), np.ascontiguousarray(prints[:, 0]), bits)
+            kept = np.flatnonzero((known[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
+            if len(kept):
+                yield pa.RecordBatch.from_arrays([pa.array(prints[kept, 0]), pa.array(prints[kept, 1]), pa.array([sets[k].tobytes() for k in kept], pa.binary())], names=["fp1", "fp2", "s"])
+
+    held = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "fp1 bigint, fp2 bigint, s binary").select(F.struct("fp1", "fp2").alias("f"), "s")
     held = pinned(held, "whole-sets")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,48 +302,42 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
             kept = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
+                every = np.sort(np.concatenate([x, y]), kind="stable")
+                same = int((every[1:] == every[:-1]).sum())
                 kept.append(100 * same >= 80 * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    first = held.select(F.col("row").alias("a"), F.col("s").alias("x"))
-    second = held.select(F.col("row").alias("b"), F.col("s").alias("y"))
-    return pinned(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(test, "a bigint, b bigint"), "links")
-
-
-def _bound(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray) -> np.ndarray:
-    """The most shingles two sets can share that have the same shingle at these places of their orders."""
-    return np.minimum(p1, p2) + np.minimum(n1 - p1, n2 - p2)
+    first = held.select(F.col("f").alias("fa"), F.col("s").alias("x"))
+    second = held.select(F.col("f").alias("fb"), F.col("s").alias("y"))
+    return pinned(both.join(first, "fa").join(second, "fb").select("a", "b", "x", "y").mapInArrow(test, "a bigint, b bigint").distinct(), "links")
 
 
-def _remaining(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """Group pairs (ga < gb) that may link and have different labels. ``labels``: g, label."""
-    labelled = shared.select("token", "g", "n", "pos").join(labels, "g")
+def _remaining(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """Group pairs (ga < gb, c: shared prefix shingles) with different labels. ``groups``: g, n, label."""
+    labelled = shared.select("token", "g").join(groups.select("g", "n", "label"), "g")
     runs = labelled.groupBy("token").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
     open_ = labelled.join(runs.select("token", F.ceil(F.col("m") / RUN).cast("int").alias("blocks")), "token")
     open_ = open_.withColumn("own", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int"))
     # A long run meets block by block, so that no task holds all of it.
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     open_ = open_.withColumns({"b1": F.least("own", "other"), "b2": F.greatest("own", "other")})
-    placed = open_.select("token", "b1", "b2", "own", "g", "n", "pos", "label").repartition(partitions(shared.sparkSession), "token", "b1", "b2").sortWithinPartitions("token", "b1", "b2")
+    placed = open_.select("token", "b1", "b2", "own", "g", "n", "label").repartition(partitions(shared.sparkSession), "token", "b1", "b2").sortWithinPartitions("token", "b1", "b2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            own, g, n, pos, label = rows[:, 3:].T
+            own, g, n, label = rows[:, 3:].T
             across = rows[0, 1] != rows[0, 2]
             for at in range(0, len(rows), 512):
                 i = slice(at, at + 512)
                 ok = (label[i, None] != label) & (g[i, None] < g) & (5 * np.minimum(n[i, None], n) >= 4 * np.maximum(n[i, None], n))
                 if across:
                     ok &= own[i, None] != own
-                if ok.any():
-                    ok &= 9 * _bound(n[i, None], pos[i, None], n, pos) >= 4 * (n[i, None] + n)
-                    x, y = np.nonzero(ok)
-                    if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(g[i][x]), pa.array(g[y])], names=["ga", "gb"])
+                x, y = np.nonzero(ok)
+                if len(x):
+                    # The lower group comes first on either side of the blocks.
+                    yield pa.RecordBatch.from_arrays([pa.array(g[i][x]), pa.array(g[y])], names=["ga", "gb"])
 
         for batch in batches:
             rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], axis=1)
@@ -255,46 +351,51 @@ def _remaining(shared: DataFrame, labels: DataFrame) -> DataFrame:
         for some in held:
             yield from pairs(some)
 
-    return placed.mapInArrow(run, "ga bigint, gb bigint").distinct()
+    return placed.mapInArrow(run, "ga bigint, gb bigint").groupBy("ga", "gb").agg(F.count("*").alias("c"))
 
 
 def _labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
     """``classes`` with ``label``, the component of the class."""
-    found = pinned(components(links), "components")
+    found = components(links)
     return pinned(classes.join(found, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep")).drop("node"), "labelled")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """row, doc_id, text_hash, n_shingles, component_id, class (``rep``, the row that stands for all equal sets) and whether
     it is the one document of its component to keep, of every document."""
-    sets = _sets(docs)
+    order = _Order(docs)
+    sets = _sets(docs, order)
     key = ["n", "fp1", "fp2"]
-    classes = sets.filter("n > 0").groupBy(*key).agg(F.min("row").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.first("fp3").alias("fp3"))
-    classes = pinned(classes.join(classes.groupBy("n", "fp3").agg(F.min("rep").alias("g")), ["n", "fp3"]), "classes")
-    heads = classes.filter("rep = g").select("g").join(sets.select(F.col("row").alias("g"), "n", "prefix"), "g")
-    shared = _shared(heads)
-
-    fits = "pivot <> g and 5 * least(n, pivot_n) >= 4 * greatest(n, pivot_n)"
-    sizes = classes.filter("rep = g").select(F.col("g").alias("pivot"), F.col("n").alias("pivot_n"))
-    stars = shared.groupBy("g", "pivot").agg(F.count("*").alias("c"), F.first("n").alias("n")).join(sizes, "pivot").filter(fits)
-    best = Window.partitionBy("g").orderBy(F.desc("c"), "pivot")
-    stars = stars.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= PIVOTS).select(F.col("g").alias("a"), F.col("pivot").alias("b"))
-    inside = classes.filter("rep <> g").select(F.col("rep").alias("a"), F.col("g").alias("b"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    classes = sets.filter("n > 0").groupBy(*key, "g", "end").agg(first)
+    classes = pinned(classes.withColumns({"rep": F.col("first.row"), "doc_id": F.col("first.doc_id")}), "classes")
+    groups = pinned(classes.groupBy("g").agg(F.min("n").alias("n"), F.min("end").alias("end"), F.min("rep").alias("head")), "groups")
+    shared = _shared(docs, order)
+
+    # Pivots: classes with the head of their group, groups with the pivot that shares most of their prefix.
+    stars = shared.select(F.col("g").alias("ga"), F.explode(F.array_distinct("pivots")).alias("gb")).filter("ga <> gb").groupBy("ga", "gb").agg(F.count("*").alias("c"))
+    best = Window.partitionBy("ga").orderBy(F.desc("c"), "gb")
+    stars = _may_link(stars, groups).withColumn("k", F.row_number().over(best)).filter(F.col("k") <= PIVOTS)
+    heads = groups.select("g", "head")
+    stars = stars.join(heads.select(F.col("g").alias("ga"), F.col("head").alias("a")), "ga").join(heads.select(F.col("g").alias("gb"), F.col("head").alias("b")), "gb").select("a", "b")
+    inside = classes.select("rep", "g").join(heads, "g").filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
     tested = pinned(stars.union(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pivot-pairs")
-    links = _verified(tested, sets, docs)
+    links = _verified(tested, classes, docs)
     known = _labelled(classes, links)
 
     # A group whose classes have different labels is unlike all others and itself.
-    labels = known.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    labels = known.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("n"), F.min("rep").alias("head"))
+    labels = pinned(labels.withColumn("label", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-F.col("head") - 1)), "group-labels")
     mixed = labels.filter("low <> high").select("g")
-    group_pairs = _remaining(shared, labels.select("g", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-F.col("g") - 1).alias("label")))
-    group_pairs = group_pairs.union(mixed.select(F.col("g").alias("ga"), F.col("g").alias("gb")))
-    first = known.select(F.col("g").alias("ga"), F.col("rep").alias("a"), F.col("label").alias("la"))
-    second = known.select(F.col("g").alias("gb"), F.col("rep").alias("b"), F.col("label").alias("lb"))
-    rest = (group_pairs.join(first, "ga").join(second, "gb").filter("la <> lb and (ga <> gb or a < b)")
+    found = _may_link(_remaining(shared, labels), groups).select("ga", "gb")
+    found = found.union(mixed.select(F.col("g").alias("ga"), F.col("g").alias("gb")))
+    one = known.select(F.col("g").alias("ga"), F.col("rep").alias("a"), F.col("label").alias("la"))
+    two = known.select(F.col("g").alias("gb"), F.col("rep").alias("b"), F.col("label").alias("lb"))
+    rest = (found.join(one, "ga").join(two, "gb").filter("la <> lb and (ga <> gb or a < b)")
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
     rest = pinned(rest, "other-pairs")
-    known = _labelled(classes, links.union(_verified(rest, sets, docs)))
+    if rest.head(1):
+        known = _labelled(classes, links.union(_verified(rest, classes, docs)))
 
     names = known.groupBy("label").agg(F.min("first").alias("first"))
     named = pinned(known.drop("first").join(names, "label").select(*key, "rep", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("kept_row")), "named")
