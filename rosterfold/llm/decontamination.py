@@ -2,9 +2,9 @@
 
 Words of benchmark items and documents are hashed. A mask keeps some places of a window and ignores the others; equal
 hashes of the kept words are a hit, also where ignored words were substituted. Around each hit the item is laid on the
-document at that shift and compared word by word. The best stretch, where a word that agrees counts 1 and one that
-differs ``-PENALTY``, is an overlap when it begins and ends in words that agree, at least ``LEAST`` words agree and at
-least ``SIMILARITY`` of its words do. An item of fewer than ``LEAST`` words must agree as a whole; one of fewer than
+document at that shift and compared word by word. The stretch with the most
+words that agree, among those of which at least four fifths do, is an overlap when it has at least ``LEAST`` such words; it
+begins and ends in one. An item of fewer than ``LEAST`` words must agree as a whole; one of fewer than
 ``SHORTEST`` words says nothing and is never reported.
 
 Documents are read once and not shuffled. The benchmark is sent to the tasks in slices of at most about
@@ -26,7 +26,8 @@ from rosterfold.llm.shared import table
 from rosterfold.llm.words import PLACES, Words, mix, pieces
 
 MASKS = ("1101011011", "1011101101", "1110110011", "11111111")
-LEAST, SHORTEST, SIMILARITY, PENALTY = 13, 5, 0.8, 4
+LEAST, SHORTEST = 13, 5
+AGREES, DIFFERS = 1, 4  # a stretch adds up to 0 or more when at least four fifths of it agree
 SLICE_BYTES = 64 << 20
 _FILTER_BITS = 20
 OVERLAPS = "doc_id bigint, item_id bigint, doc_word bigint, item_word bigint, words bigint, same bigint"
@@ -97,12 +98,18 @@ class Seeds:
         if b <= a:
             return None
         equal = words.hashes[a:b] == own[a - start:b - start]
-        gain = np.concatenate([[0], np.cumsum(np.where(equal, 1, -PENALTY))])
-        drop = np.minimum.accumulate(gain)
-        end = int(np.argmax(gain - drop))
-        first = int(np.flatnonzero(gain[:end + 1] == drop[end])[-1])
-        same, length = int(equal[first:end].sum()), end - first
-        if len(own) < SHORTEST or same < min(LEAST, len(own)) or same < SIMILARITY * length:
+        # For each first word the farthest end up to which enough words agree.
+        gain = np.concatenate([[0], np.cumsum(np.where(equal, AGREES, -DIFFERS))])
+        later = np.maximum.accumulate(gain[::-1])[::-1]
+        ends = np.searchsorted(-later, -gain[:-1], "right") - 1
+        agree = np.concatenate([[0], np.cumsum(equal)])
+        first = int(np.argmax(agree[ends] - agree[:-1]))
+        inside = np.flatnonzero(equal[first:ends[first]])
+        if not len(inside):
+            return None
+        first, end = first + int(inside[0]), first + int(inside[-1]) + 1
+        same, length = len(inside), end - first
+        if len(own) < SHORTEST or same < min(LEAST, len(own)):
             return None
         return a + first - low, a + first - start, length, same
 
