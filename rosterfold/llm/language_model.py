@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from rosterfold.llm.shared import pinned, table
 from rosterfold.llm.words import Words, pieces, signed
 
-WORDS, COMMON = 767, 400_000
+WORDS, COMMON = 767, 100_000
 DIMENSIONS, NOISE, BATCH, RATE, SLOTS = 32, 64, 4096, 0.1, 16
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 
@@ -96,33 +96,41 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    top = counts.filter("shape >= 0").orderBy(F.desc("c"), "h").limit(COMMON).select("h", "c").toPandas()
-    total = counts.agg(F.sum("c"), F.count("*")).first()
-    size = min(WORDS, len(top))
-    own = top["h"].to_numpy(np.int64).view(np.uint64)
-    c = top["c"].to_numpy(np.int64)
-    outcomes = np.full(len(top), -1)
+    words = counts.filter("shape >= 0")
+    # Words by eighths of the logarithm of their count, a few hundred rows; the common ones are whole steps from the top.
+    step = F.floor(F.log2(F.col("c").cast("double")) * 8).cast("int")
+    least, common = None, 0
+    for row in sorted(words.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect(), key=lambda r: -r["step"]):
+        common += row["n"]
+        if common > COMMON:
+            break
+        least = row["c"]
+    top = words.filter(F.col("c") >= F.lit(least)).select("h", "shape", "c").toArrow()
+    own, kind, c = (top.column(k).to_numpy() for k in range(3))
+    order = np.lexsort((own, -c))
+    own, kind, c = own[order], kind[order], c[order]
+    size = min(WORDS, len(own))
+    outcomes = np.full(len(own), -1)
     outcomes[:size] = np.arange(1, size + 1)  # 0 is the end
     frequencies = np.zeros(1 + size + SHAPES)
     frequencies[1:size + 1] = c[:size]
-    class_n, ones = np.zeros(SHAPES), np.zeros(SHAPES)
+    class_n, ones, tokens, types = np.zeros(SHAPES), np.zeros(SHAPES), 0, 0
     # One row for each shape.
-    for row in counts.groupBy("shape").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("ones")).collect():
+    for row in counts.groupBy("shape").agg(F.sum("c").alias("n"), F.count("*").alias("types"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("ones")).collect():
+        tokens, types = tokens + row["n"], types + row["types"]
         if row["shape"] < 0:
             frequencies[0] = row["n"]
         else:
             class_n[row["shape"]], ones[row["shape"]] = row["n"], row["ones"]
     # The most frequent words are outcomes of their own and leave their class.
-    if size:
-        chosen = counts.filter((F.col("c") > int(c[size - 1])) | (F.col("c") == int(c[size - 1])) & (F.col("h") <= int(top["h"][size - 1])))
-        for row in chosen.filter("shape >= 0").groupBy("shape").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("ones")).collect():
-            class_n[row["shape"]] -= row["n"]
-            ones[row["shape"]] -= row["ones"]
+    class_n -= np.bincount(kind[:size], c[:size], SHAPES)
+    ones -= np.bincount(kind[:size], c[:size] == 1, SHAPES)
     frequencies[1 + size:] = class_n
     unseen = np.clip((ones + 0.5) / (class_n + 1.0), 1e-6, 0.9)
     unseen[class_n == 0] = 1.0  # only unknown words are left
-    order = np.argsort(own)
-    return Vocabulary(int(total[0] or 0), int(total[1]), own[order], c[order], outcomes[order], size, frequencies + 0.5, class_n, unseen)
+    h = own.view(np.uint64)
+    order = np.argsort(h)
+    return Vocabulary(tokens, types, h[order], c[order], outcomes[order], size, frequencies + 0.5, class_n, unseen)
 
 
 def _contexts(outcome: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
