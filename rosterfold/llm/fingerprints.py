@@ -12,7 +12,7 @@ than that number divided by ``LOW`` terms can be in a share of ``LOW`` of all do
 
 Defined cases: null texts count as empty; a text without lexicon terms is hashed with all its terms, one without terms
 has an all-zero fingerprint, and two of these are alike (1.0); documents follow each other in descending doc_id, null
-last, equal doc_ids by text; a single document follows itself; an empty table gives no rows.
+last, equal doc_ids by the packed text; a single document follows itself; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,44 +22,81 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rosterfold.llm.shared import new_folder, partitions, table
+from rosterfold.llm.shared import new_folder, partitions, pinned, table
 from rosterfold.llm.words import Words, mix, pieces, signed
 
 LOW, HIGH = 1 / 2000, 0.1
 LEVELS, SUBSETS = 12, 16
 BUSY = 0.75
+CANDIDATES = 2_000_000  # terms that may be sent to the tasks
 _SALTS = np.random.Generator(np.random.PCG64(411)).integers(1, 1 << 63, SUBSETS, dtype=np.uint64)
 
 
-def document_counts(docs: DataFrame) -> DataFrame:
-    """The number of documents each term (hashed) occurs in."""
+def _counted(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct terms of some texts, and in how many of them each occurs."""
+    own = [np.unique(words.of(k)) for k in range(len(words))]
+    return np.unique(np.concatenate(own) if own else np.zeros(0, np.uint64), return_counts=True)
+
+
+def _candidates(docs: DataFrame) -> DataFrame:
+    """Terms in a share of ``LOW`` of the documents of at least one batch. A term in such a share of all documents is in
+    such a share of some batch, so none is missing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [_counted(Words(piece.column(0))) for piece in pieces(iter([batch]))]
+            if parts:
+                terms, at = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
+                counts = np.bincount(at, np.concatenate([n for _, n in parts]), len(terms))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(terms[counts >= LOW * batch.num_rows]))], names=["term"])
+
+    return docs.select("text").mapInArrow(run, "term bigint").distinct()
+
+
+def document_counts(docs: DataFrame, among: np.ndarray | None = None) -> DataFrame:
+    """The number of documents each term (hashed) occurs in; ``among``: only these terms, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            words = Words(batch.column(0))
-            own = [np.unique(words.of(k)) for k in range(len(words))]
-            terms, counts = np.unique(np.concatenate(own) if own else np.zeros(0, np.uint64), return_counts=True)
+            terms, counts = _counted(Words(batch.column(0)))
+            if among is not None:
+                kept = _inside(among, terms)[1]
+                terms, counts = terms[kept], counts[kept]
             yield pa.RecordBatch.from_arrays([pa.array(signed(terms)), pa.array(counts.astype(np.int64))], names=["term", "n"])
 
     return docs.select("text").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def _inside(terms: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each hash is among the sorted terms, and whether it is."""
+    if not len(terms):
+        return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+    at = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
+    return at, terms[at] == hashes
+
+
+def _sorted(terms: DataFrame) -> np.ndarray:
+    return np.sort(terms.select("term").toArrow().column(0).to_numpy().view(np.uint64))
+
+
 def lexicon(docs: DataFrame) -> np.ndarray:
     """Sorted hashes of the terms in the band."""
     total = docs.count()
-    band = document_counts(docs).filter(F.col("n").between(max(1.0, LOW * total), max(1.0, HIGH * total)))
-    return np.sort(band.select("term").toPandas()["term"].to_numpy(np.int64).view(np.uint64))
+    candidates = pinned(_candidates(docs), "terms")
+    # Rare terms need not be shuffled, as long as the others fit in each task.
+    among = _sorted(candidates) if candidates.count() <= CANDIDATES else None
+    return _sorted(document_counts(docs, among).filter(F.col("n").between(max(1.0, LOW * total), max(1.0, HIGH * total))))
 
 
 def subset_hashes(words: Words, terms: np.ndarray) -> np.ndarray:
     """A 16-bit hash for each text, level and subset; 0 where the text has no term of the subset."""
     n = len(words)
     owner, hashes = words.owners(), words.hashes
-    place = np.minimum(np.searchsorted(terms, hashes), max(0, len(terms) - 1)) if len(terms) else np.zeros(len(hashes), np.int64)
-    inside = terms[place] == hashes if len(terms) else np.zeros(len(hashes), bool)
+    inside = _inside(terms, hashes)[1]
     fallback = np.bincount(owner[inside], minlength=n) == 0
     kept = inside | fallback[owner]
     owner, hashes = owner[kept], hashes[kept]
@@ -148,13 +185,28 @@ def _readable(rows: DataFrame) -> DataFrame:
 def with_edits(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness.
 
-    Texts are range partitioned once; the document that follows is then the row before. Only the first row of each
+    Texts are packed and range partitioned once; the document that follows is then the row before. Only the first row of each
     partition needs the last of an earlier one: these edge rows, two for each partition, are joined afterwards.
     """
     spark = docs.sparkSession
     names = [c.split()[0] for c in _RESULT.split(", ")]
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
-    placed = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = zstandard.ZstdCompressor()
+        for batch in batches:
+            packed = [codec.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(pack, "doc_id bigint, packed binary")
+    placed = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "packed")
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                texts = [codec.decompress(p.as_buffer()).decode("utf-8", "surrogatepass") for p in some.column(1)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -165,7 +217,7 @@ def with_edits(docs: DataFrame, terms: np.ndarray) -> DataFrame:
             blank[2] = pa.array(_packed(hashes), pa.binary())
             return pa.RecordBatch.from_arrays([ids, *blank, pa.array([part], pa.int32()), pa.array([role]), pa.array([text], pa.string())], names=[*names, "part", "role", "text"])
 
-        for batch in pieces(batches):
+        for batch in pieces(unpacked(batches)):
             texts = batch.column(1).to_pylist()
             hashes = subset_hashes(Words(batch.column(1)), terms)
             ids = batch.column(0)
