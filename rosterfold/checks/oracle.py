@@ -86,6 +86,7 @@ FX_UPDATE = f"""fx_update as (
  from events where event_type = 'click'))"""
 
 FX_USER_EVENTS = """fx_user_events as (
+ select *, list_position(['UserCreated', 'UserUpdated', 'GroupCreated', 'GroupInvitationAccepted', 'GroupRemoved'], event_type) as event_rank from (
  select o_orderdate as ts, o_orderkey as seq, 'users/cust-' || cast(o_custkey as varchar) as name,
   case o_orderstatus when 'O' then 'GroupCreated' when 'F' then 'GroupInvitationAccepted' else 'GroupRemoved' end as event_type,
   'groups/g-' || cast(o_orderkey % 7 as varchar) as group_name, cast(null as varchar) as display_name,
@@ -101,36 +102,36 @@ FX_USER_EVENTS = """fx_user_events as (
  from customer where c_custkey % 50 <> 49
  union all
  select timestamp '1998-01-01 12:00:00', -2, 'users/cust-' || cast(c_custkey as varchar), 'UserCreated', null, c_name, ''
- from customer where c_custkey % 50 = 48)"""
+ from customer where c_custkey % 50 = 48))"""
 
 USER_LOG = f"""user_log as (
- select *, row_number() over (partition by name, epoch order by ts, seq) as place from (
- select *, sum(case when event_type = 'UserCreated' then 1 else 0 end) over (partition by name order by ts, seq) as epoch
+ select *, row_number() over (partition by name, epoch order by ts, event_rank, seq) as place from (
+ select *, sum(case when event_type = 'UserCreated' then 1 else 0 end) over (partition by name order by ts, event_rank, seq) as epoch
  from fx_user_events)),
 user_versions as (
- select ts, seq, name, event_type, cast(epoch as bigint) as epoch,
+ select ts, event_rank, seq, name, event_type, cast(epoch as bigint) as epoch,
   case when epoch > 0 then cast(place as integer) end as aggregate_version,
-  case when epoch > 0 then last_value(display_name ignore nulls) over (partition by name order by ts, seq) end as display_name
+  case when epoch > 0 then last_value(display_name ignore nulls) over (partition by name order by ts, event_rank, seq) end as display_name
  from user_log),
 user_now as (
  select name, display_name, aggregate_version, {user_etag('name', 'aggregate_version')} as etag from (
- select *, row_number() over (partition by name order by ts desc, seq desc) as back from user_versions where epoch > 0)
+ select *, row_number() over (partition by name order by ts desc, event_rank desc, seq desc) as back from user_versions where epoch > 0)
  where back = 1)"""
 
 USER_GROUPS = """added as (
- select e.name, e.ts, e.seq, i.ordinal, case when event_type in ('UserCreated', 'UserUpdated')
+ select e.name, e.ts, e.event_rank, e.seq, i.ordinal, case when event_type in ('UserCreated', 'UserUpdated')
    then string_split(payload_groups, ',')[i.ordinal + 1] else group_name end as group_name
  from (select * from user_log where epoch > 0) e, (select unnest([0, 1]) as ordinal) i
  where (event_type in ('GroupCreated', 'GroupInvitationAccepted') and i.ordinal = 0)
   or (event_type in ('UserCreated', 'UserUpdated') and payload_groups <> '' and i.ordinal < len(string_split(payload_groups, ',')))),
-resets as (select name, ts, seq from user_log where epoch > 0 and event_type in ('UserCreated', 'UserUpdated')),
-removals as (select name, group_name, ts, seq from user_log where epoch > 0 and event_type = 'GroupRemoved'),
+resets as (select name, ts, event_rank, seq from user_log where epoch > 0 and event_type in ('UserCreated', 'UserUpdated')),
+removals as (select name, group_name, ts, event_rank, seq from user_log where epoch > 0 and event_type = 'GroupRemoved'),
 spans as (
- select a.*, (select min((r.ts, r.seq)) from resets r where r.name = a.name and (r.ts, r.seq) > (a.ts, a.seq)) as reset_at,
-  (select min((r.ts, r.seq)) from removals r where r.name = a.name and r.group_name = a.group_name and (r.ts, r.seq) > (a.ts, a.seq)) as removed_at
+ select a.*, (select min((r.ts, r.event_rank, r.seq)) from resets r where r.name = a.name and (r.ts, r.event_rank, r.seq) > (a.ts, a.event_rank, a.seq)) as reset_at,
+  (select min((r.ts, r.event_rank, r.seq)) from removals r where r.name = a.name and r.group_name = a.group_name and (r.ts, r.event_rank, r.seq) > (a.ts, a.event_rank, a.seq)) as removed_at
  from added a),
 groups_now as (
- select name, row_number() over (partition by name order by ts, seq, ordinal) as position, group_name, ts, seq
+ select name, row_number() over (partition by name order by ts, event_rank, seq, ordinal) as position, group_name, ts, seq
  from spans where reset_at is null and removed_at is null)"""
 
 FX_INVITATIONS = """fx_invitations as (
@@ -140,8 +141,9 @@ FX_INVITATIONS = """fx_invitations as (
 
 FX_DECISIONS = f"""fx_decisions as (
  select *, {invitation_etag('name', 'etag_version')} as etag from (
- select cast(l_orderkey as varchar) || '-' || cast(l_linenumber as varchar) || '-' || cast(l_partkey as varchar) as request_id,
-  l_shipdate as ts, l_linenumber as line, l_partkey as part,
+ select cast(l_orderkey as varchar) || '-' || cast(l_linenumber as varchar) || '-' || cast(l_partkey as varchar)
+   || '-' || strftime(l_shipdate, '%Y%m%d') || '-' || l_returnflag as request_id,
+  l_shipdate as ts,
   'users/cust-' || cast(o_custkey as varchar) || '/groupInvitations/inv-' || cast(l_orderkey as varchar) as name,
   case l_returnflag when 'A' then 'ACCEPTED' else 'REJECTED' end as action,
   case when l_linenumber = 3 then 2 when l_linestatus = 'O' then 1 else 0 end as etag_version
@@ -306,14 +308,14 @@ DECIDED = f"""{FX_INVITATIONS}, {FX_DECISIONS},
 stored as (select name, group_name, ts, {invitation_etag('name', '1')} as etag1, {invitation_etag('name', '2')} as etag2 from fx_invitations),
 met as (
  select d.*, s.group_name, s.ts as created_ts, s.etag1, s.etag2,
-  min(case when d.etag = s.etag1 then (d.ts, d.line, d.part) end) over (partition by d.name) as won
+  min(case when d.etag = s.etag1 then (d.ts, d.request_id) end) over (partition by d.name) as won
  from fx_decisions d left join stored s on d.name = s.name),
 replayed as (
  select *, case when etag1 is null then 'invitation'
-  when won is null or (ts, line, part) <= won then case when etag = etag1 then null else 'etag' end
+  when won is null or (ts, request_id) <= won then case when etag = etag1 then null else 'etag' end
   when etag = etag2 then 'state' else 'etag' end as gate from met)"""
 
-_DECISION_COLUMNS = f"""request_id, cast(line as integer) as line, part, name, action, gate,
+_DECISION_COLUMNS = f"""request_id, name, action, gate,
  cast(case gate when 'invitation' then 3 when 'etag' then 10 when 'state' then 9 else 0 end as integer) as code,
  case gate when 'invitation' then '{INVALID}' when 'etag' then 'Concurrency error.' when 'state' then ''
   else 'Group Invitation ' || lower(action) end as message,
@@ -401,16 +403,25 @@ select name, 'UserCreated' as event_type, request_id as seq, uid, display_name,
         "remove_group_outcomes": f"""with {FX_USER_EVENTS}, {USER_LOG}, {USER_GROUPS}, {FX_REMOVE},
 held as (select name, group_name, count(*) as equal from groups_now group by 1, 2),
 sizes as (select name, count(*) as total from groups_now group by 1),
-judged as (select r.*, u.aggregate_version as v, h.equal, s.total,
+judged as (select r.*, u.aggregate_version as v, u.display_name, h.equal, s.total,
   case when u.name is null then 'user' when h.equal is null then 'group' end as gate
  from fx_remove r left join user_now u on r.user_name = u.name left join held h on r.user_name = h.name and r.group_name = h.group_name
  left join sizes s on r.user_name = s.name)
 select request_id, user_name, group_name, gate, cast(case when gate is null then 0 else 5 end as integer) as code,
  case gate when 'user' then 'User with name ' || user_name || ' does not exists.'
   when 'group' then 'Group with name ' || group_name || ' does not exists.' else 'Group removed.' end as message,
- case when gate is null then total - equal end as groups_left,
+ case when gate is null then display_name end as display_name, case when gate is null then total - equal end as groups_left,
  case when gate is null then cast(v + 1 as integer) end as aggregate_version,
  case when gate is null then {user_etag('user_name', '(v + 1)')} end as etag from judged""",
+        "remove_group_items": f"""with {FX_USER_EVENTS}, {USER_LOG}, {USER_GROUPS}, {FX_REMOVE},
+passed as (select r.* from fx_remove r where (r.user_name, r.group_name) in (select (name, group_name) from groups_now))
+select p.request_id, row_number() over (partition by p.request_id order by g.position) as position, g.group_name
+from passed p join groups_now g on p.user_name = g.name and p.group_name <> g.group_name""",
+        "membership_from_invitations": f"""with {DECIDED}
+select regexp_extract(name, '(users/[a-z0-9-]+)/groupInvitations/[a-z0-9-]+', 1) as name, group_name, count(*) as times
+from replayed where gate is null and action = 'ACCEPTED' group by 1, 2""",
+        "membership_from_groups": """select 'users/cust-' || cast(o_custkey as varchar) as name, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as position,
+ 'groups/own-' || cast(o_orderkey as varchar) as group_name from orders where o_orderkey % 10 = 3""",
         "create_invitation_outcomes": f"""with {FX_USERS}, {FX_GROUPS}, {FX_INVITE}, {CREATE_INVITATIONS}
 select request_id, parent, group_name, gate, cast(case when gate is null then 0 else 3 end as integer) as code,
  case when gate is null then 'Group Invitation created.' else '{INVALID}' end as message, gate as violation_fields,
@@ -429,9 +440,10 @@ select {_DECISION_COLUMNS} from (select * replace (case when etag1 is null then
         "changelog_table": f"{user_changelog} select name, display_name, aggregate_version, etag from user_now",
         "user_groups": f"""{user_changelog}, {USER_GROUPS} select name, position, group_name, ts as since_ts, seq as since_seq from groups_now""",
         "group_spans": f"""{user_changelog}, {USER_GROUPS}
-select name, group_name, ts as since_ts, seq as since_seq, cast(ordinal as integer) as ordinal,
+select name, group_name, ts as since_ts, cast(event_rank as integer) as since_rank, seq as since_seq, cast(ordinal as integer) as ordinal,
  case when reset_at is null or removed_at < reset_at then removed_at[1] else reset_at[1] end as until_ts,
- case when reset_at is null or removed_at < reset_at then removed_at[2] else reset_at[2] end as until_seq from spans""",
+ cast(case when reset_at is null or removed_at < reset_at then removed_at[2] else reset_at[2] end as integer) as until_rank,
+ case when reset_at is null or removed_at < reset_at then removed_at[3] else reset_at[3] end as until_seq from spans""",
         "invitation_history": f"""with {INVITATION_LOG} select name, event_type, group_name, state, create_time, update_time,
  aggregate_version, {invitation_etag('name', 'aggregate_version')} as etag from invitation_log""",
         "invitation_snapshot": f"""with {INVITATION_LOG} select name, group_name, state, create_time, update_time,
@@ -471,16 +483,31 @@ from fx_lookup l left join sizes s on l.name = s.parent""",
         "orphan_events": f"{user_changelog} select name, ts, seq, event_type from user_versions where epoch = 0",
         "event_sinks": f"""with recursive {CREATE_WALK}, {FX_USERS}, {FX_UPDATE}, {UPDATE_JUDGED}, {FX_GROUPS}, {FX_INVITE},
 {CREATE_INVITATIONS}, {FX_USER_EVENTS}, {USER_LOG}, {USER_GROUPS}, {FX_REMOVE}, {DECIDED}
-select 'UserCreated' as event_type, count(*) as events from created where gate is null
-union all select 'UserUpdated', count(*) from judged where gate is null
-union all select 'GroupRemoved', count(*) from fx_remove r where (r.user_name, r.group_name) in (select (name, group_name) from groups_now)
-union all select 'GroupInvitationCreated', count(*) from invited where gate is null
-union all select 'GroupInvitation' || upper(action[1]) || lower(action[2:]), count(*) from replayed where gate is null group by 1""",
+select 'UserCreated' as event_type, name, ts, request_id as seq, '' as group_name, display_name, email, '' as state from created where gate is null
+union all select 'UserUpdated', name, ts, request_id, '', new_name, new_email, '' from judged where gate is null
+union all select 'GroupRemoved', user_name, ts, request_id, group_name, '', '', '' from fx_remove r
+ where (r.user_name, r.group_name) in (select (name, group_name) from groups_now)
+union all select 'GroupInvitationCreated', name, ts, request_id, group_name, '', '', 'PENDING' from invited where gate is null
+union all select 'GroupInvitation' || upper(action[1]) || lower(action[2:]), name, ts, 0, group_name, '', '', action from replayed where gate is null""",
+        "response_sinks": f"""with recursive {CREATE_WALK}, {FX_USERS}, {FX_UPDATE}, {UPDATE_JUDGED}, {FX_GROUPS}, {FX_INVITE},
+{CREATE_INVITATIONS}, {FX_USER_EVENTS}, {USER_LOG}, {USER_GROUPS}, {FX_REMOVE}, {DECIDED}
+select 'create_user' as pipeline, cast(request_id as varchar) as request_id, gate from created
+union all select 'update_user', cast(request_id as varchar), gate from judged
+union all select 'remove_group', cast(request_id as varchar), case when user_name not in (select name from user_now) then 'user'
+ when (user_name, group_name) not in (select (name, group_name) from groups_now) then 'group' end from fx_remove
+union all select 'create_invitation', cast(request_id as varchar), gate from invited
+union all select lower(action[:6]) || '_invitation', request_id, gate from replayed""",
     }
     queries["stream_user_fold"] = queries["user_snapshot"]
     queries["stream_multi_sink"] = f"""with {FX_USERS}, {FX_GROUPS}, {FX_INVITE}, {CREATE_INVITATIONS}
 select request_id, gate, cast(case when gate is null then 0 else 3 end as integer) as code,
  case when gate is null then name end as event_name from invited"""
     queries["stream_uid_map"] = queries["uid_name_map"]
+    queries["stream_update_users"] = f"select request_id, gate, aggregate_version from ({UPDATE_REPLAY})"
+    queries["stream_decide_invitations"] = f"with {DECIDED} select request_id, gate, case when gate is null then action end as state from replayed"
+    queries["stream_remove_groups"] = f"select request_id, gate, code, aggregate_version from ({queries['remove_group_outcomes']})"
+    queries["stream_invitation_fold"] = queries["invitation_snapshot"]
+    queries["stream_invitation_index"] = queries["invitation_index"]
+    queries["stream_user_groups"] = f"select name, position, group_name from ({queries['user_groups']})"
     queries["stream_create_users"] = f"""with recursive {CREATE_WALK} select request_id, uid, user_id, gate from created"""
     return queries

@@ -17,7 +17,8 @@ from rosterfold.operators.gates import passed
 from rosterfold.operators.skew import Probe, lookup
 from rosterfold.operators.workspace import new_folder, pinned
 from rosterfold.plans import invitations, lookups, users
-from rosterfold.schemas import CREATE_INVITATION_REQUEST, CREATE_USER_REQUEST, INVITATION_EVENT, USER_EVENT
+from rosterfold.schemas import (CREATE_INVITATION_REQUEST, CREATE_USER_REQUEST, DECIDE_INVITATION_REQUEST, INVITATION_EVENT,
+                                REMOVE_GROUP_REQUEST, UPDATE_USER_REQUEST, USER_EVENT)
 from rosterfold.sources import fixtures as fx
 from rosterfold.sources import tables
 from rosterfold.streaming import jobs
@@ -172,7 +173,12 @@ def _removals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def remove_group_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _removals(spark, sf_dir).select(
         "request_id", "user_name", "group_name", "gate", F.col("status.code").alias("code"),
-        F.col("status.message").alias("message"), "groups_left", "aggregate_version", "etag")
+        F.col("status.message").alias("message"), "display_name", "groups_left", "aggregate_version", "etag")
+
+
+@registered
+def remove_group_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return users.remaining_groups(_removals(spark, sf_dir), folds.user_groups(fx.user_events(spark, sf_dir)))
 
 
 def _invites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +197,7 @@ def _pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.invitation_snapshot(folds.invitation_history(fx.created_invitations(spark, sf_dir)))
 
 
-_DECISION_COLUMNS = ["request_id", "line", "part", "name", "action", "gate", "group_name", "state", "create_time",
+_DECISION_COLUMNS = ["request_id", "name", "action", "gate", "group_name", "state", "create_time",
                      "update_time", "aggregate_version", "etag"]
 
 
@@ -252,11 +258,14 @@ def group_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.group_spans(fx.user_events(spark, sf_dir))
 
 
+def _ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.created_invitations(spark, sf_dir).withColumn("ts", F.lit("1900-01-01").cast("timestamp_ntz"))
+
+
 def _invitation_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = pinned(invitations.decided_events(_decisions(spark, sf_dir)), "decided")
     # A decision follows its invitation whatever the dates in the test tables say.
-    ahead = fx.created_invitations(spark, sf_dir).withColumn("ts", F.lit("1900-01-01").cast("timestamp_ntz"))
-    return folds.invitation_history(ahead.unionByName(decided))
+    return folds.invitation_history(_ahead(spark, sf_dir).unionByName(decided))
 
 
 _INVITATION_COLUMNS = ["name", "group_name", "state", "create_time", "update_time", "aggregate_version", "etag"]
@@ -267,6 +276,21 @@ def invitation_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _invitation_history(spark, sf_dir).select("event_type", *_INVITATION_COLUMNS)
 
 
+@registered
+def membership_from_invitations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups that users are in because they accepted an invitation, end to end."""
+    joined = invitations.membership_events(invitations.decided_events(_decisions(spark, sf_dir)))
+    held = folds.user_groups(fx.member_births(spark, sf_dir).unionByName(joined))
+    return held.groupBy("name", "group_name").agg(F.count("*").alias("times"))
+
+
+@registered
+def membership_from_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups that users are in because they made them."""
+    made = invitations.group_created_events(fx.created_groups(spark, sf_dir))
+    return folds.user_groups(fx.member_births(spark, sf_dir).unionByName(made)).select("name", "position", "group_name")
+
+
 @registered
 def invitation_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.invitation_snapshot(_invitation_history(spark, sf_dir)).select(*_INVITATION_COLUMNS)
@@ -338,16 +362,31 @@ def list_invitation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def event_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All six kinds of events written to their folders and read back."""
+    """All six kinds of events, each pipeline written once to its folders, and read back."""
     root = new_folder(spark, "events")
-    tables.write_events(users.created_events(_creates(spark, sf_dir)), f"{root}/users")
-    tables.write_events(users.updated_events(_updates(spark, sf_dir)), f"{root}/users")
-    tables.write_events(users.removed_events(_removals(spark, sf_dir)), f"{root}/users")
-    tables.write_events(invitations.created_invitation_events(_invites(spark, sf_dir)), f"{root}/invitations")
-    tables.write_events(invitations.decided_events(_decisions(spark, sf_dir)), f"{root}/invitations")
-    log = tables.read_table(spark, f"{root}/users", USER_EVENT).select("event_type").unionByName(
-        tables.read_table(spark, f"{root}/invitations", INVITATION_EVENT).select("event_type"))
-    return log.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
+    tables.write_events(users.created_events(_creates(spark, sf_dir)), f"{root}/users", "create")
+    tables.write_events(users.updated_events(_updates(spark, sf_dir)), f"{root}/users", "update")
+    tables.write_events(users.removed_events(_removals(spark, sf_dir)), f"{root}/users", "remove")
+    tables.write_events(invitations.created_invitation_events(_invites(spark, sf_dir)), f"{root}/invitations", "create")
+    tables.write_events(invitations.decided_events(_decisions(spark, sf_dir)), f"{root}/invitations", "decide")
+    shown = ["event_type", "name", "ts", "seq", "group_name", "display_name", "email", "state"]
+    blank = F.lit("")
+    log = tables.read_table(spark, f"{root}/users", USER_EVENT).withColumn("state", blank).select(*shown)
+    return log.unionByName(tables.read_table(spark, f"{root}/invitations", INVITATION_EVENT)
+                           .withColumns({"display_name": blank, "email": blank, "seq": F.coalesce("seq", F.lit(0).cast("bigint"))}).select(*shown))
+
+
+@registered
+def response_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statuses of all six pipelines written and read back."""
+    root = new_folder(spark, "statuses")
+    decided = pinned(_decisions(spark, sf_dir), "decisions")
+    outcomes = {"create_user": _creates(spark, sf_dir), "update_user": _updates(spark, sf_dir), "remove_group": _removals(spark, sf_dir),
+                "create_invitation": _invites(spark, sf_dir), "accept_invitation": decided.filter("action = 'ACCEPTED'"),
+                "reject_invitation": decided.filter("action = 'REJECTED'")}
+    for name, rows in outcomes.items():
+        tables.write_statuses(rows, f"{root}/pipeline={name}", "all")
+    return spark.read.parquet(root).select("pipeline", "request_id", "gate")
 
 
 STRETCHES = 4
@@ -378,6 +417,58 @@ def stream_user_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.current(["name"]).select("name", "display_name", "aggregate_version", "etag")
 
 
+@registered
+def stream_update_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = new_folder(spark, "stream-updates")
+    work, outcomes, _ = jobs.update_requests(spark, root, lambda: fx.users(spark, sf_dir))
+    _replayed(fx.update_user_requests(spark, sf_dir), root, UPDATE_USER_REQUEST, work)
+    return outcomes.rows().select("request_id", "gate", "aggregate_version")
+
+
+@registered
+def stream_remove_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = new_folder(spark, "stream-removals")
+    log = fx.user_events(spark, sf_dir)
+    known, held = pinned(folds.user_snapshot(folds.user_history(log)), "users"), pinned(folds.user_groups(log), "groups")
+    work, outcomes = jobs.remove_requests(spark, root, lambda: known, lambda: held)
+    _replayed(fx.remove_group_requests(spark, sf_dir), root, REMOVE_GROUP_REQUEST, work)
+    return outcomes.rows().select("request_id", "gate", F.col("status.code").alias("code"), "aggregate_version")
+
+
+@registered
+def stream_decide_invitations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = new_folder(spark, "stream-decisions")
+    pending = pinned(_pending(spark, sf_dir), "pending")
+    work, outcomes, _ = jobs.decision_requests(spark, root, lambda: pending)
+    _replayed(pinned(fx.decision_requests(spark, sf_dir), "requests"), root, DECIDE_INVITATION_REQUEST, work)
+    return outcomes.rows().select("request_id", "gate", "state")
+
+
+@registered
+def stream_invitation_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = new_folder(spark, "stream-invitations")
+    work, _, state = jobs.invitation_fold(spark, root)
+    decided = pinned(invitations.decided_events(_decisions(spark, sf_dir)), "decided")
+    _replayed(_ahead(spark, sf_dir).unionByName(decided), root, INVITATION_EVENT, work)
+    return state.current(["name"]).select(*_INVITATION_COLUMNS)
+
+
+@registered
+def stream_invitation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = new_folder(spark, "stream-index")
+    work, index = jobs.invitation_index(spark, root)
+    _replayed(fx.created_invitations(spark, sf_dir), root, INVITATION_EVENT, work)
+    return index()
+
+
+@registered
+def stream_user_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = new_folder(spark, "stream-groups")
+    work, groups = jobs.user_group_log(spark, root)
+    _replayed(fx.user_events(spark, sf_dir), root, USER_EVENT, work)
+    return groups().select("name", "position", "group_name")
+
+
 @registered
 def stream_multi_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = new_folder(spark, "stream-invites")
@@ -393,7 +484,7 @@ def stream_multi_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def stream_uid_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = new_folder(spark, "stream-uids")
-    rows = users.created_events(_creates(spark, sf_dir))
+    rows = pinned(users.created_events(_creates(spark, sf_dir)), "created")
     work, table = jobs.uid_map(spark, root, ["ts", "seq"])
     _replayed(rows, root, USER_EVENT, work)
     return table.current(["uid"])

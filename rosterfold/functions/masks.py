@@ -12,8 +12,8 @@ def _names(values: list[str]) -> Column:
 
 
 def writable(mask: Column) -> Column:
-    """The mask without immutable fields; repeated paths collapse."""
-    return F.array_except(mask, _names(IMMUTABLE_USER_FIELDS))
+    """The mask without immutable fields and all paths below them; repeated paths collapse."""
+    return F.filter(F.array_distinct(mask), lambda path: ~F.substring_index(path, ".", 1).isin(IMMUTABLE_USER_FIELDS))
 
 
 def is_known(mask: Column) -> Column:
@@ -27,7 +27,3 @@ def covers(mask: Column, field: str) -> Column:
 def merged(mask: Column, field: str, requested: Column, current: Column) -> Column:
     return F.when(covers(mask, field), requested).otherwise(current)
 
-
-def merged_list(mask: Column, field: str, requested: Column, current: Column) -> Column:
-    """A masked list is appended to the stored one, never replaced."""
-    return F.when(covers(mask, field), F.concat(current, requested)).otherwise(current)

@@ -2,81 +2,104 @@
 
 A request is granted when its fields are valid and no earlier granted request has its first or its
 second key; a refused request holds nothing. That is a greedy matching in request order. It is
-computed in rounds over the live (not yet decided) requests: one that is the earliest of both its
-keys is granted, and everything else with one of those keys leaves. Every round is two
-map-side-combined minima and joins with tables that have one row per key, so no key is ever
+computed in rounds over the live (not yet decided) requests:
+
+* a request that is the earliest of both its keys is granted;
+* a request that is the earliest of one key and the second of the other has exactly one live request
+  before it, and its outcome is the opposite of that one's. Such requests point to their blocker;
+  pointers are doubled with the parity of the steps, so that a chain of n requests which block one
+  another in turn is decided in about log2(n) joins, back to where it begins;
+* everything that shares a key with a granted request leaves.
+
+Requests with two or more live requests before them wait for the next round. An input may be made
+so that many of them are left in each; it then takes more rounds, but no size changes the path. Every
+step is a minimum combined before the shuffle or a join with a table of one row per key, so no key is ever
 gathered in one place.
-
-Random orders settle in a few rounds. A chain of requests that block one another in turn can need
-many; when at most ``RESIDUE`` rows, a checked number, are left after ``MANY_ROUNDS``, one task ends
-the job in request order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from rosterfold.operators.skew import lookup
-from rosterfold.operators.workspace import pinned
-
-MANY_ROUNDS = 12
-RESIDUE = 100_000
+from rosterfold.operators.workspace import new_folder, pinned
 
 
 def allocated(requests: DataFrame, first: str, second: str, order: list[str],
-              held: DataFrame | None = None, many_rounds: int = MANY_ROUNDS) -> DataFrame:
-    """Granted requests as (first, second, *order) out of valid ones.
+              held: DataFrame | None = None) -> DataFrame:
+    """Granted requests as (first, second, *order) out of valid ones; ``order`` is unique.
 
     ``held`` lists pairs granted earlier, which block requests of any order.
     """
+    spark = requests.sparkSession
     live = requests.groupBy(first, second).agg(F.min(F.struct(*order)).alias("_place"))
     if held is not None:
         for key in (first, second):
-            live = lookup(live, held.select(key).distinct(), [key], ["_place"], "left_anti")
+            live = lookup(live, held.select(key), [key], ["_place"], "left_anti")
     live = pinned(live, "requests")
-    granted, rounds = [], 0
+    folder, rounds = new_folder(spark, "granted"), 0
     while True:
-        granted.append(pinned(_winners(live, first, second), "granted"))
+        path = f"{folder}/round={rounds}"
+        _granted(live, first, second).write.parquet(path)
+        now = spark.read.schema(live.schema).parquet(path)
         for key in (first, second):
-            live = lookup(live, granted[-1].select(key), [key], ["_place"], "left_anti")
+            live = lookup(live, now.select(key), [key], ["_place"], "left_anti")
         live = pinned(live, "live")
         rounds += 1
-        left = live.count()
-        if left == 0:
+        if live.isEmpty():
             break
-        if rounds >= many_rounds and left <= RESIDUE:
-            granted.append(pinned(_in_order(live, first, second), "granted"))
-            break
-    result = granted[0]
-    for more in granted[1:]:
-        result = result.unionByName(more)
-    return result.select(first, second, "_place.*")
-
-
-def _winners(live: DataFrame, first: str, second: str) -> DataFrame:
-    """Live requests that are the earliest of both their keys."""
-    of_first = live.groupBy(first).agg(F.min(F.struct("_place", second)).alias("_least"))
-    of_second = live.groupBy(second).agg(F.min(F.struct("_place", first)).alias("_least"))
-    return (of_first.select(first, F.col(f"_least.{second}").alias(second), "_least._place")
-            .join(of_second.select(F.col(f"_least.{first}").alias(first), second, "_least._place"),
-                  [first, second, "_place"], "left_semi"))
-
-
-def _in_order(live: DataFrame, first: str, second: str) -> DataFrame:
-    """Decide a residue of bounded size one by one."""
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        taken: tuple[set, set] = set(), set()
-        for batch in batches:
-            free = []
-            for a, b in zip(batch.column(first).to_pylist(), batch.column(second).to_pylist()):
-                free.append(a not in taken[0] and b not in taken[1])
-                if free[-1]:
-                    taken[0].add(a)
-                    taken[1].add(b)
-            yield batch.filter(pa.array(free, pa.bool_()))
-
-    return live.coalesce(1).sortWithinPartitions("_place").mapInArrow(decide, live.schema)
+    return spark.read.schema(live.schema).parquet(folder).select(first, second, "_place.*")
+
+
+def _places(live: DataFrame, key: str) -> DataFrame:
+    """The places of the earliest and the second request of each key."""
+    least = live.groupBy(key).agg(F.min("_place").alias("_one"))
+    later = lookup(live.select(key, "_place"), least, [key], ["_place"], "inner").filter(F.col("_place") > F.col("_one"))
+    return least.join(later.groupBy(key).agg(F.min("_place").alias("_two")), key, "left")
+
+
+def _granted(live: DataFrame, first: str, second: str) -> DataFrame:
+    """Live requests whose outcome is known to be a grant."""
+    ranked = live
+    for key in (first, second):
+        places = _places(live, key).select(key, F.col("_one").alias(f"_one_{key}"), F.col("_two").alias(f"_two_{key}"))
+        ranked = lookup(ranked, places, [key], ["_place"], "inner")
+
+    def at(number: str, key: str):
+        return F.coalesce(F.col("_place") == F.col(f"_{number}_{key}"), F.lit(False))
+
+    free = at("one", first) & at("one", second)
+    blocker = (F.when(at("one", first) & at("two", second), F.col(f"_one_{second}"))
+               .when(at("two", first) & at("one", second), F.col(f"_one_{first}")))
+    ranked = pinned(ranked.withColumns({"_free": free, "_to": blocker}).filter("_free or _to is not null")
+                    .select(first, second, "_place", "_free", "_to"), "ranked")
+    winners = ranked.filter("_free").select(first, second, "_place")
+    steps = ranked.filter("not _free").select("_place", "_to", F.lit(True).alias("_odd"))
+    ended = _followed(steps)
+    even = ended.filter("not _odd").join(winners.select(F.col("_place").alias("_to")), "_to", "left_semi").select("_place")
+    chained = ranked.select(first, second, "_place").join(even, "_place", "left_semi")
+    return winners.unionByName(chained.select(*winners.columns))
+
+
+def _followed(steps: DataFrame) -> DataFrame:
+    """Where each chain of pointers ends, and whether it has an odd number of steps."""
+    done, open_ = None, steps
+    while True:
+        onward = open_.select(F.col("_place").alias("_to"), F.col("_to").alias("_far"), F.col("_odd").alias("_odd_far"))
+        joined = pinned(open_.join(onward, "_to", "left"), "chain")
+        ended = joined.filter("_far is null").select("_place", "_to", "_odd")
+        done = ended if done is None else done.unionByName(ended)
+        open_ = joined.filter("_far is not null")
+        if open_.isEmpty():
+            return done
+        # Pointers may end at a row that is done by now, so those rows are followed too.
+        open_ = open_.select("_place", F.col("_far").alias("_to"), (F.col("_odd") != F.col("_odd_far")).alias("_odd"))
+        open_ = _with_done(open_, done)
+
+
+def _with_done(open_: DataFrame, done: DataFrame) -> DataFrame:
+    """Open pointers, with those that reach a finished row moved on to where that row ends."""
+    ends = done.select(F.col("_place").alias("_to"), F.col("_to").alias("_end"), F.col("_odd").alias("_odd_end"))
+    joined = open_.join(ends, "_to", "left")
+    return pinned(joined.select("_place", F.coalesce("_end", "_to").alias("_to"),
+                                F.when(F.col("_end").isNull(), F.col("_odd")).otherwise(F.col("_odd") != F.col("_odd_end")).alias("_odd")), "chain")

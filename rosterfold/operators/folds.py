@@ -8,13 +8,10 @@ from rosterfold.functions.etags import INVITATION_SECRET, USER_SECRET, etag
 from rosterfold.functions.names import invitation_parent
 from rosterfold.operators.ordered import OrderedRows, numbered
 from rosterfold.operators.skew import Probe, lookup
-from rosterfold.schemas import INVITATION_EVENT_ORDER, USER_EVENT_ORDER
+from rosterfold.schemas import INVITATION_EVENT_ORDER, INVITATION_EVENT_TYPES, USER_EVENT_ORDER, USER_EVENT_TYPES
 
-# Event names.
-USER_CREATED, USER_UPDATED = "UserCreated", "UserUpdated"
-GROUP_CREATED, GROUP_REMOVED = "GroupCreated", "GroupRemoved"
-INVITATION_CREATED = "GroupInvitationCreated"
-INVITATION_ACCEPTED, INVITATION_REJECTED = "GroupInvitationAccepted", "GroupInvitationRejected"
+USER_CREATED, USER_UPDATED, GROUP_CREATED, _, GROUP_REMOVED = USER_EVENT_TYPES
+INVITATION_CREATED, INVITATION_ACCEPTED, INVITATION_REJECTED = INVITATION_EVENT_TYPES
 
 
 def is_snapshot() -> Column:
@@ -142,8 +139,21 @@ def group_spans(events: DataFrame) -> DataFrame:
     added, resets, removed = _membership_changes(events, probe)
     ends = _first_after(_first_after(added, resets, ["name"], "_reset", probe), removed, ["name", "group_name"], "_gone", probe)
     until = F.least("_reset", "_gone")
-    return ends.select("name", "group_name", F.col("ts").alias("since_ts"), F.col("seq").alias("since_seq"), "ordinal",
-                       until["ts"].alias("until_ts"), until["seq"].alias("until_seq"))
+    return ends.select("name", "group_name", F.col("ts").alias("since_ts"), F.col("event_rank").alias("since_rank"),
+                       F.col("seq").alias("since_seq"), "ordinal", until["ts"].alias("until_ts"),
+                       until["event_rank"].alias("until_rank"), until["seq"].alias("until_seq"))
+
+
+def groups_at(spans: DataFrame, places: DataFrame) -> DataFrame:
+    """The group list of each place (name, ts, event_rank, seq, and other columns) of a user's history, as rows in list
+    order: the spans that are open right after that event."""
+    since, until = F.struct("since_ts", "since_rank", "since_seq"), F.struct("until_ts", "until_rank", "until_seq")
+    at = F.struct(*USER_EVENT_ORDER)
+    open_ = lookup(places, spans, ["name"], USER_EVENT_ORDER).filter(
+        F.col("group_name").isNotNull() & (since <= at) & (F.col("until_ts").isNull() | (at < until)))
+    order = [*USER_EVENT_ORDER, "since_ts", "since_rank", "since_seq", "ordinal"]
+    return (numbered(open_, ["name", *USER_EVENT_ORDER], order, "position")
+            .select(*places.columns, "position", "group_name"))
 
 
 def _first_after(rows: DataFrame, marks: DataFrame, keys: list[str], name: str, probe: Probe) -> DataFrame:

@@ -39,10 +39,6 @@ def passed(df: DataFrame) -> DataFrame:
     return df.filter(F.col("status.code") == OK)
 
 
-def failed(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("status.code") != OK)
-
-
 def is_passed() -> Column:
     return F.col("status.code") == OK
 

@@ -19,7 +19,8 @@ PIECES = "_pieces"
 SALT = "_salt"
 
 _ROWS_PER_TASK = ("spark.rosterfold.rowsPerTask", 4_000_000)
-_SMALL_BYTES = ("spark.rosterfold.smallInputBytes", 64 << 20)
+#: How many rows a frame may have for each row of the files below it before it is searched for heavy keys.
+_GROWTH = 4
 _SAMPLED_PER_KEY = 2_000
 
 
@@ -39,6 +40,14 @@ def fits_broadcast(df: DataFrame) -> bool:
     return planned_bytes(df) <= threshold
 
 
+def _stored_rows(df: DataFrame) -> int | None:
+    """Rows of the files a frame is made from, by their footers; None when it is not made from Parquet files."""
+    files = df.inputFiles()
+    if not files or not all(name.endswith(".parquet") for name in files):
+        return None
+    return df.sparkSession.read.parquet(*files).count()
+
+
 @dataclass(frozen=True)
 class HeavyKeys:
     """The heavy keys of a frame, one row each, with the number of pieces to spread it over."""
@@ -63,9 +72,10 @@ def heavy_keys(df: DataFrame, keys: list[str]) -> HeavyKeys | None:
     best the stored table that the joined rows came from.
     """
     spark = df.sparkSession
-    if planned_bytes(df) <= _setting(spark, _SMALL_BYTES):
-        return None
     limit = _setting(spark, _ROWS_PER_TASK)
+    stored = _stored_rows(df)
+    if (df.count() if stored is None else _GROWTH * stored) <= limit:
+        return None
     fraction = min(1.0, _SAMPLED_PER_KEY / limit)
     seen = df.select(*keys)
     if fraction < 1.0:

@@ -2,12 +2,11 @@
 
 Iterative operators and chunked scans read the same rows several times and must read the same rows
 each time, also after an executor is lost. They write them once, as Parquet, below the folder named
-by ``spark.checkpoint.dir``.
+by ``spark.checkpoint.dir``, or below the warehouse where that is unset.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rosterfold-"))
-    return spark.sparkContext.getCheckpointDir()
+    return folder or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def _own_folder(spark: SparkSession) -> str:
@@ -31,10 +25,14 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the tables this application wrote; frames that read them are of no use afterwards."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
-    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+    delete(spark, _own_folder(spark))
 
 
 def pinned(df: DataFrame, label: str) -> DataFrame:

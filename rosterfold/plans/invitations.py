@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rosterfold.functions import messages as text, status as st
 from rosterfold.functions.etags import INVITATION_SECRET, invitation_etag
 from rosterfold.functions.names import invitation_name, invitation_parent
-from rosterfold.operators.folds import INVITATION_ACCEPTED, INVITATION_CREATED, INVITATION_REJECTED
+from rosterfold.operators.folds import GROUP_CREATED, INVITATION_ACCEPTED, INVITATION_CREATED, INVITATION_REJECTED
 from rosterfold.operators.gates import Gate, judged, passed, when_passed
 from rosterfold.operators.ordered import with_minimum
 from rosterfold.operators.skew import Probe, exists_in, lookup
@@ -16,7 +16,7 @@ from rosterfold.schemas import INVITATION_EVENT, USER_EVENT, conform
 # Invitation states.
 PENDING, ACCEPTED, REJECTED = "PENDING", "ACCEPTED", "REJECTED"
 
-DECISION_ORDER = ["ts", "line", "part"]
+DECISION_ORDER = ["ts", "request_id"]
 
 
 def _unknown(field: str, name: Column) -> Column:
@@ -49,8 +49,7 @@ def create_invitations(requests: DataFrame, users: DataFrame, groups: DataFrame,
 
 
 def created_invitation_events(outcomes: DataFrame) -> DataFrame:
-    rows = passed(outcomes).withColumns({"seq": F.col("request_id"), "line": F.lit(0), "part": F.lit(0),
-                                         "event_type": F.lit(INVITATION_CREATED)})
+    rows = passed(outcomes).withColumns({"seq": F.col("request_id"), "event_type": F.lit(INVITATION_CREATED)})
     return conform(rows, INVITATION_EVENT)
 
 
@@ -69,7 +68,7 @@ def _decided(rows: DataFrame, etag_now: Column, state_now: Column, secret: str,
     success = st.ok(F.when(F.col("action") == ACCEPTED, text.INVITATION_ACCEPTED).otherwise(text.INVITATION_REJECTED))
     version = F.col("cur.aggregate_version") + 1
     return judged(rows, gates, success).select(
-        "request_id", *DECISION_ORDER, "name", "action", "gate", "status",
+        *DECISION_ORDER, "name", "action", "gate", "status",
         when_passed(F.col("cur.group_name")).alias("group_name"),
         when_passed(F.col("action")).alias("state"),
         when_passed(F.col("cur.create_time")).alias("create_time"),
@@ -110,8 +109,18 @@ def decided_events(outcomes: DataFrame) -> DataFrame:
     return conform(rows, INVITATION_EVENT)
 
 
-def membership_events(accepted: DataFrame, seq: Column) -> DataFrame:
-    """An accepted invitation as an event of the invited user, who joins the group."""
+def membership_events(accepted: DataFrame) -> DataFrame:
+    """An accepted invitation as an event of the invited user, who joins the group.
+
+    Invitations that a user accepts at one time join in the order of a hash of their names, which are unique.
+    """
     rows = (accepted.filter(F.col("event_type") == INVITATION_ACCEPTED)
-            .select("ts", seq.alias("seq"), invitation_parent("name").alias("name"), "event_type", "group_name"))
+            .select("ts", F.xxhash64("name").alias("seq"), invitation_parent("name").alias("name"), "event_type", "group_name"))
     return conform(rows.filter("name <> ''"), USER_EVENT, keep_null=("groups",))
+
+
+def group_created_events(groups: DataFrame) -> DataFrame:
+    """A created group (name, owner, ts, seq) as an event of its owner, who is its first member."""
+    rows = groups.filter("owner <> ''").select(
+        "ts", "seq", F.col("owner").alias("name"), F.lit(GROUP_CREATED).alias("event_type"), F.col("name").alias("group_name"))
+    return conform(rows, USER_EVENT, keep_null=("groups",))

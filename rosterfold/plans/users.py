@@ -56,7 +56,8 @@ def create_users(requests: DataFrame, held: DataFrame | None = None, secret: str
         rows = lookup(rows, granted.select(key, place.alias(f"_{key}_from")), [key], ["request_id"], probe=probe)
         taken[key] = F.coalesce(F.col(f"_{key}_from") < place, F.lit(False))
         if held is not None:
-            rows = exists_in(rows, held.select(key).distinct(), [key], ["request_id"], f"_{key}_held", probe)
+            asked = held.select(key).join(requests.select(key), key, "left_semi").distinct()
+            rows = exists_in(rows, asked, [key], ["request_id"], f"_{key}_held", probe)
             taken[key] = taken[key] | F.col(f"_{key}_held")
     gates = [
         Gate("uid", taken["uid"], st.error_info(
@@ -223,7 +224,11 @@ UPSERT_CREATE, UPSERT_UPDATE, UPSERT_INVALID = "create", "update", "invalid"
 def upsert_users(requests: DataFrame, users: DataFrame, secret: str = USER_SECRET,
                  domain: str = st.DOMAIN) -> DataFrame:
     """Update, or create when the user is absent and the request allows it. One route per request."""
+    # Only users with an asked name or uid can matter.
+    asked = requests.select("name", "uid").distinct()
     users = conform(users, USER)
+    named, known = users.join(asked, "name", "left_semi").select(*users.columns), users.join(asked, "uid", "left_semi").select(*users.columns)
+    users = pinned(named.union(known).distinct(), "asked-users")
     rows = exists_in(requests, users.select("name"), ["name"], ["request_id"], "_exists")
     route = (F.when(~is_user_name(F.col("name")), UPSERT_INVALID)
              .when(~F.col("_exists") & F.col("allow_missing"), UPSERT_CREATE).otherwise(UPSERT_UPDATE))
@@ -258,13 +263,14 @@ def upsert_users(requests: DataFrame, users: DataFrame, secret: str = USER_SECRE
 def remove_groups(requests: DataFrame, users: DataFrame, groups: DataFrame, secret: str = USER_SECRET) -> DataFrame:
     """Outcome of remove-group requests against users and their group rows (see ``user_groups``).
 
-    The resulting list is the user's group rows without the removed one; here it shows as the number
-    of elements left, because repeating whole lists per request would be quadratic.
+    The reply is the user with its version and etag after the removal. ``groups_left`` is the length of the
+    remaining list; its elements, one row each, are given by ``remaining_groups``.
     """
     held = pinned(groups.groupBy("name", "group_name").agg(F.count(F.lit(1)).alias("_equal")), "held")
     sizes = held.groupBy("name").agg(F.sum("_equal").alias("_size"))
-    state = users.select("name", "aggregate_version").join(sizes, "name", "left").select(
-        F.col("name").alias("user_name"), F.struct("aggregate_version", "_size").alias("cur"))
+    profile = ["uid", "display_name", "email"]
+    state = users.select("name", "aggregate_version", *profile).join(sizes, "name", "left").select(
+        F.col("name").alias("user_name"), F.struct("aggregate_version", "_size", *profile).alias("cur"))
     rows = lookup(requests, state, ["user_name"], ["request_id"])
     rows = lookup(rows, held.withColumnRenamed("name", "user_name"), ["user_name", "group_name"], ["request_id"],
                   probe=Probe(requests))
@@ -274,11 +280,20 @@ def remove_groups(requests: DataFrame, users: DataFrame, groups: DataFrame, secr
     version = F.col("cur.aggregate_version") + 1
     return judged(rows, gates, st.ok(text.GROUP_REMOVED)).select(
         *ORDER, "user_name", "group_name", "gate", "status",
+        *[when_passed(F.col(f"cur.{field}")).alias(field) for field in profile],
         when_passed(F.col("cur._size") - F.col("_equal")).alias("groups_left"),
         when_passed(version).alias("aggregate_version"),
         when_passed(user_etag(F.col("user_name"), version, secret)).alias("etag"))
 
 
+def remaining_groups(outcomes: DataFrame, groups: DataFrame) -> DataFrame:
+    """The list each passed removal leaves, as (request_id, position, group_name) rows in list order."""
+    asked = passed(outcomes).select("request_id", F.col("user_name").alias("name"), F.col("group_name").alias("_gone"))
+    held = groups.select("name", "group_name", F.col("position").alias("_place"))
+    left = lookup(asked, held, ["name"], ["request_id"], "inner").filter(F.col("group_name") != F.col("_gone"))
+    return numbered(left, ["request_id"], ["_place"], "position").select("request_id", "position", "group_name")
+
+
 def removed_events(outcomes: DataFrame) -> DataFrame:
     rows = passed(outcomes).select(F.col("user_name").alias("name"), "group_name", "ts", F.col("request_id").alias("seq"),
                                    F.lit(GROUP_REMOVED).alias("event_type"))

@@ -85,7 +85,7 @@ def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def created_invitations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "orders").filter("o_orderkey % 10 <> 9").selectExpr(
-        "o_orderdate as ts", "o_orderkey as seq", "0 as line", "0 as part",
+        "o_orderdate as ts", "o_orderkey as seq",
         f"concat({_ORDER_USER}, '/groupInvitations/inv-', cast(o_orderkey as string)) as name",
         f"'{INVITATION_CREATED}' as event_type", "concat('groups/g-', cast(o_orderkey % 7 as string)) as group_name",
         "'PENDING' as state", "o_orderdate as create_time")
@@ -98,8 +98,9 @@ def decision_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Both sides are big tables, so they are merged, also where the files are small enough to broadcast.
     orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").hint("merge")
     rows = lookup(lines, orders, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_shipdate"], "inner").selectExpr(
-        "concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as string), cast(l_partkey as string)) as request_id",
-        "l_shipdate as ts", "l_linenumber as line", "l_partkey as part",
+        """concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as string), cast(l_partkey as string),
+           date_format(l_shipdate, 'yyyyMMdd'), l_returnflag) as request_id""",
+        "l_shipdate as ts",
         f"concat({_ORDER_USER}, '/groupInvitations/inv-', cast(l_orderkey as string)) as name",
         "case l_returnflag when 'A' then 'ACCEPTED' else 'REJECTED' end as action",
         "case when l_linenumber = 3 then 2 when l_linestatus = 'O' then 1 else 0 end as etag_version")
@@ -107,6 +108,20 @@ def decision_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.conform(rows, s.DECIDE_INVITATION_REQUEST)
 
 
+def created_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups with their owner and the time they were made: one for each order of a tenth of the orders."""
+    return _table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 3").selectExpr(
+        "o_orderdate as ts", "o_orderkey as seq", "concat('groups/own-', cast(o_orderkey as string)) as name", f"{_ORDER_USER} as owner")
+
+
+def member_births(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A created event for every customer, ahead of all dates of the tables."""
+    rows = _table(spark, sf_dir, "customer").selectExpr(
+        "timestamp_ntz '1900-01-01 00:00:00' as ts", "cast(0 as bigint) as seq", f"{_CUSTOMER} as name", f"'{USER_CREATED}' as event_type",
+        "c_name as display_name", "cast(array() as array<string>) as groups")
+    return s.conform(rows, s.USER_EVENT)
+
+
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "orders").selectExpr(
         "concat('groups/g-', cast(o_orderkey % 5 as string)) as name").distinct()

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from rosterfold.operators.folds import latest
-from rosterfold.operators.gates import passed
 from rosterfold.schemas import conform
 
 KEEP_NULL = ("groups",)
@@ -17,23 +16,47 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return conform(spark.read.parquet(path), schema, KEEP_NULL)
 
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None,
+def read_stream(spark: SparkSession, path: str, schema: T.StructType,
                 source: str = "parquet", **options: str) -> DataFrame:
     """The same as a stream.
 
-    ``source="kafka"`` reads JSON values of a topic instead of files; it needs the Kafka connector
-    on the class path and the usual ``kafka.bootstrap.servers`` and ``subscribe`` options.
+    ``source="kafka"`` reads the well-formed JSON values of a topic instead of files; it needs the Kafka connector
+    on the class path and the usual ``kafka.bootstrap.servers`` and ``subscribe`` options. See ``malformed`` for the
+    other records.
     """
     if source == "kafka":
-        records = spark.readStream.format("kafka").options(**options).load()
-        parsed = records.select(F.from_json(F.col("value").cast("string"), schema).alias("record")).select("record.*")
-        return conform(parsed, schema, KEEP_NULL)
+        return well_formed(spark.readStream.format("kafka").options(**options).load(), schema)
     reader = spark.readStream.schema(schema).options(**options)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return conform(reader.format(source).load(path), schema, KEEP_NULL)
 
 
+_BROKEN = "_broken"
+
+
+def _parsed(records: DataFrame, schema: T.StructType) -> DataFrame:
+    """Records (key, value, timestamp) with their value parsed; ``_broken`` has the text of one that is no such object."""
+    value = F.col("value").cast("string")
+    wide = T.StructType([*schema, T.StructField(_BROKEN, T.StringType())])
+    record = F.from_json(value, wide, {"columnNameOfCorruptRecord": _BROKEN})
+    rows = records.withColumn("record", record)
+    broken = F.when(F.col("record").isNull(), F.coalesce(value, F.lit(""))).otherwise(F.col(f"record.{_BROKEN}"))
+    return rows.withColumn(_BROKEN, broken)
+
+
+def well_formed(records: DataFrame, schema: T.StructType) -> DataFrame:
+    """The rows of all records that parse; a record without a time of its own takes the one it was logged at."""
+    rows = _parsed(records, schema).filter(F.col(_BROKEN).isNull()).select("record.*", F.col("timestamp").alias("_logged")).drop(_BROKEN)
+    if "ts" in schema.fieldNames():
+        rows = rows.withColumn("ts", F.coalesce("ts", F.col("_logged").cast("timestamp_ntz")))
+    return conform(rows, schema, KEEP_NULL)
+
+
+def malformed(records: DataFrame, schema: T.StructType) -> DataFrame:
+    """Key, time and text of the records that do not parse, to be kept apart."""
+    return _parsed(records, schema).filter(F.col(_BROKEN).isNotNull()).select(
+        F.col("key").cast("string").alias("key"), "timestamp", F.col(_BROKEN).alias("value"))
+
+
 def read_events(spark: SparkSession, paths: dict[str, str], schema: T.StructType) -> DataFrame:
     """One log out of per-type tables: event type to path."""
     log = None
@@ -54,15 +77,18 @@ def write_table(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
-    """Events in one folder per event type, so that a reader of one type opens only that folder."""
-    events.write.mode(mode).partitionBy("event_type").parquet(path)
+RUN = "run"
 
 
-def write_statuses(outcomes: DataFrame, path: str, mode: str = "append") -> None:
-    """The status of every request, keyed by the request id."""
-    outcomes.select("request_id", "gate", "status").write.mode(mode).parquet(path)
+def write_events(events: DataFrame, path: str, run: str) -> None:
+    """Events in one folder per event type, so that a reader of one type opens only that folder.
+
+    A run owns a folder of its own in each and overwrites it, so that a run which is repeated leaves the same rows.
+    """
+    rows = events.withColumn(RUN, F.lit(run))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_type", RUN).parquet(path)
 
 
-def write_passed(outcomes: DataFrame, path: str, mode: str = "append") -> None:
-    passed(outcomes).write.mode(mode).parquet(path)
+def write_statuses(outcomes: DataFrame, path: str, run: str) -> None:
+    """The status of every request, keyed by the request id; repeatable as above."""
+    outcomes.select(F.col("request_id").cast("string").alias("request_id"), "gate", "status").write.mode("overwrite").parquet(f"{path}/{RUN}={run}")

@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rosterfold.functions.etags import USER_SECRET
 from rosterfold.operators import folds
 from rosterfold.operators.gates import passed
-from rosterfold.plans.invitations import create_invitations
-from rosterfold.plans.users import create_users
-from rosterfold.schemas import USER_EVENT_ORDER
+from rosterfold.operators.workspace import pinned
+from rosterfold.plans.invitations import create_invitations, replay_decisions
+from rosterfold.plans.users import create_users, remove_groups, replay_updates
+from rosterfold.schemas import INVITATION_EVENT_ORDER, USER_EVENT_ORDER
 from rosterfold.streaming.tables import BatchTable
 
 _USER_STATE = "name string, uid string, display_name string, email string, aggregate_version int, etag string"
-_USER_CHANGE = f"{_USER_STATE}, ts timestamp_ntz, seq bigint, event_type string"
+_USER_CHANGE = f"{_USER_STATE}, ts timestamp_ntz, event_rank int, seq bigint, event_type string"
 _UID_NAME = "uid string, name string"
 _STATUS = """struct<code:int, message:string, violations:array<struct<field:string, description:string>>,
  reason:string, domain:string, metadata:map<string,string>,
@@ -28,6 +29,17 @@ _STATUS = """struct<code:int, message:string, violations:array<struct<field:stri
 _INVITE_STATUS = f"request_id bigint, gate string, status {_STATUS}"
 _INVITE_EVENT = """request_id bigint, name string, group_name string, state string, create_time timestamp_ntz,
  aggregate_version int, etag string"""
+_UPDATE_OUTCOME = f"""request_id bigint, ts timestamp_ntz, name string, gate string, status {_STATUS}, uid string,
+ display_name string, email string, added_groups array<string>, aggregate_version int, etag string"""
+_REMOVE_OUTCOME = f"""request_id bigint, ts timestamp_ntz, user_name string, group_name string, gate string, status {_STATUS},
+ groups_left bigint, aggregate_version int, etag string"""
+_INVITATION_STATE = """name string, group_name string, state string, create_time timestamp_ntz, update_time timestamp_ntz,
+ aggregate_version int, etag string"""
+_INVITATION_CHANGE = f"{_INVITATION_STATE}, ts timestamp_ntz, event_rank int, seq bigint, request_id string, event_type string"
+_DECIDE_OUTCOME = f"request_id string, ts timestamp_ntz, action string, gate string, status {_STATUS}, {_INVITATION_STATE}"
+_LISTED = "name string, ts timestamp_ntz, event_rank int, seq bigint, request_id string"
+_MEMBER_EVENT = """ts timestamp_ntz, event_rank int, seq bigint, name string, event_type string, group_name string,
+ groups array<string>, added_groups array<string>"""
 _CREATE_OUTCOME = f"request_id bigint, ts timestamp_ntz, uid string, user_id string, gate string, status {_STATUS}"
 _HELD = "uid string, user_id string"
 
@@ -93,8 +105,100 @@ def user_requests(spark: SparkSession, root: str) -> tuple[Callable, BatchTable,
     held = BatchTable(spark, f"{root}/granted", _HELD)
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        taken = held.before(batch_id).select("uid", "user_id")
+        # Each pair is granted once, so the pair is the key of the state.
+        taken = held.current(["uid", "user_id"], batch_id)
         outcomes.write(create_users(batch, taken), batch_id)
         held.write(passed(outcomes.written(batch_id)), batch_id)
+        if (batch_id + 1) % COMPACT_EVERY == 0:
+            held.compact(["uid", "user_id"], batch_id)
 
     return work, outcomes, held
+
+
+def _known(state: BatchTable, start: DataFrame, key: str, batch: DataFrame, batch_id: int) -> DataFrame:
+    """State of the batch's keys: as earlier batches left it, else as it was at the start."""
+    now = state.current([key], batch_id, batch)
+    asked = start.join(batch.select(key).distinct(), key, "left_semi")
+    before = asked.join(now.select(key), key, "left_anti").select(*now.columns)
+    return pinned(now.unionByName(before), "known")
+
+
+def update_requests(spark: SparkSession, root: str, start: Callable[[], DataFrame]) -> tuple[Callable, BatchTable, BatchTable]:
+    """Judge update requests in order; each sees the updates of earlier batches. ``start``: the users to begin with."""
+    outcomes = BatchTable(spark, f"{root}/update_outcomes", _UPDATE_OUTCOME)
+    state = BatchTable(spark, f"{root}/updated_users", _USER_STATE)
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        users = _known(state, start(), "name", batch, batch_id)
+        outcomes.write(replay_updates(batch, users), batch_id)
+        state.write(folds.latest(passed(outcomes.written(batch_id)), ["name"], ["aggregate_version"]), batch_id)
+        if (batch_id + 1) % COMPACT_EVERY == 0:
+            state.compact(["name"], batch_id)
+
+    return work, outcomes, state
+
+
+def remove_requests(spark: SparkSession, root: str, users: Callable[[], DataFrame],
+                    groups: Callable[[], DataFrame]) -> tuple[Callable, BatchTable]:
+    """Judge remove-group requests against replicated users and group rows, which are read anew for every batch."""
+    outcomes = BatchTable(spark, f"{root}/remove_outcomes", _REMOVE_OUTCOME)
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        asked = batch.select(F.col("user_name").alias("name")).distinct()
+        known, held = (df.join(asked, "name", "left_semi") for df in (users(), groups()))
+        outcomes.write(remove_groups(batch, known, held), batch_id)
+
+    return work, outcomes
+
+
+def decision_requests(spark: SparkSession, root: str, start: Callable[[], DataFrame]) -> tuple[Callable, BatchTable, BatchTable]:
+    """Judge accept and reject requests in one order; each sees the decisions of earlier batches."""
+    outcomes = BatchTable(spark, f"{root}/decide_outcomes", _DECIDE_OUTCOME)
+    state = BatchTable(spark, f"{root}/decided_invitations", _INVITATION_STATE)
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        outcomes.write(replay_decisions(batch, _known(state, start(), "name", batch, batch_id)), batch_id)
+        state.write(passed(outcomes.written(batch_id)), batch_id)
+        if (batch_id + 1) % COMPACT_EVERY == 0:
+            state.compact(["name"], batch_id)
+
+    return work, outcomes, state
+
+
+def invitation_fold(spark: SparkSession, root: str) -> tuple[Callable, BatchTable, BatchTable]:
+    """Fold invitation events: (batch function, changelog table, state table)."""
+    changes = BatchTable(spark, f"{root}/invitation_changes", _INVITATION_CHANGE)
+    state = BatchTable(spark, f"{root}/invitations", _INVITATION_STATE)
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        history = folds.invitation_history(batch, state.current(["name"], batch_id, batch))
+        changes.write(history.filter(F.col("aggregate_version").isNotNull()), batch_id)
+        state.write(folds.latest(changes.written(batch_id), ["name"], INVITATION_EVENT_ORDER), batch_id)
+        if (batch_id + 1) % COMPACT_EVERY == 0:
+            state.compact(["name"], batch_id)
+
+    return work, changes, state
+
+
+def invitation_index(spark: SparkSession, root: str) -> tuple[Callable, Callable[[], DataFrame]]:
+    """Collect created invitations: (batch function, reader of the numbered index)."""
+    listed = BatchTable(spark, f"{root}/listed", _LISTED)
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        listed.write(batch.filter(F.col("event_type") == folds.INVITATION_CREATED), batch_id)
+
+    return work, lambda: folds.invitation_index(listed.rows())
+
+
+def user_group_log(spark: SparkSession, root: str) -> tuple[Callable, Callable[..., DataFrame]]:
+    """Keep what changes group lists: (batch function, reader of the current rows of all or some users).
+
+    Lists are rows of a log here and put together when they are read, so no list is rewritten for each of its changes.
+    """
+    log = BatchTable(spark, f"{root}/member_events", _MEMBER_EVENT)
+
+    def read(names: DataFrame | None = None) -> DataFrame:
+        events = log.rows()
+        return folds.user_groups(events if names is None else events.join(names.select("name").distinct(), "name", "left_semi"))
+
+    return log.write, read

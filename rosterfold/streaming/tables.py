@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from rosterfold.operators.folds import latest
+from rosterfold.operators.workspace import delete
 
 BATCH = "batch_id"
 
@@ -28,47 +29,71 @@ class BatchTable:
         names = T.StructType.fromDDL(self.columns).fieldNames()
         df.select(*names).write.mode("overwrite").parquet(f"{self.path}/{BATCH}={batch_id}")
 
-    def _complete(self, folder: str) -> list[str]:
-        """Names of the finished sub-folders of a folder."""
+    def _complete(self, folder: str, prefix: str, since: int = -1) -> list[int]:
+        """Numbers above ``since`` of the finished sub-folders of a folder."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         files = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
         if not files.exists(path):
             return []
-        found = [status.getPath() for status in files.listStatus(path) if status.isDirectory()]
-        return [p.getName() for p in found if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema(f"{self.columns}, {BATCH} bigint").parquet(path)
+        found = [status.getPath() for status in files.listStatus(path) if status.isDirectory() and status.getPath().getName().startswith(prefix)]
+        numbered = [(int(p.getName().removeprefix(prefix)), p) for p in found]
+        return sorted(n for n, p in numbered if n > since and files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    def _read(self, base: str, folders: list[str]) -> DataFrame:
+        schema = f"{self.columns}, {BATCH} bigint"
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).option("basePath", base).parquet(*folders)
+        return rows.select(*T.StructType.fromDDL(schema).fieldNames())
+
+    def _batches(self, since: int = -1, before: int | None = None) -> DataFrame:
+        """Rows of the finished batches in a range, from exactly their folders."""
+        numbers = [n for n in self._complete(self.path, f"{BATCH}=", since) if before is None or n < before]
+        return self._read(self.path, [f"{self.path}/{BATCH}={n}" for n in numbers])
 
     def before(self, batch_id: int | None = None) -> DataFrame:
         """Rows of all batches before the given one, so that a repeated batch does not see itself."""
-        if not self._complete(self.path):
-            return self.spark.createDataFrame([], f"{self.columns}, {BATCH} bigint")
-        rows = self._read(self.path)
-        return rows if batch_id is None else rows.filter(F.col(BATCH) < batch_id)
+        return self._batches(before=batch_id)
 
     def rows(self) -> DataFrame:
         return self.before().drop(BATCH)
 
     def written(self, batch_id: int) -> DataFrame:
-        return self.before().filter(F.col(BATCH) == batch_id).drop(BATCH)
+        return self._batches(batch_id - 1, batch_id + 1).drop(BATCH)
 
     def _compacted(self) -> str:
         return f"{self.path}-compacted"
 
+    def _covered(self, batch_id: int | None) -> int:
+        """The last batch of the latest compacted table that a reader before ``batch_id`` may use; -1 without one."""
+        done = [n for n in self._complete(self._compacted(), "upto=") if batch_id is None or n < batch_id]
+        return max(done, default=-1)
+
     def current(self, keys: list[str], batch_id: int | None = None, wanted: DataFrame | None = None) -> DataFrame:
-        """State before the given batch, of the keys in ``wanted`` only when that is given."""
-        rows = self.before(batch_id)
-        done = [int(name.removeprefix("upto=")) for name in self._complete(self._compacted())]
-        done = [number for number in done if batch_id is None or number < batch_id]
-        if done:
-            start = max(done)
-            rows = rows.filter(F.col(BATCH) > start).unionByName(self._read(f"{self._compacted()}/upto={start}"))
+        """State before the given batch, of the keys in ``wanted`` only when that is given.
+
+        Reads the latest compacted table and the batches after it. The wanted keys are a batch's, so they are few
+        beside the state, and rows of other keys are dropped before anything is shuffled by key.
+        """
+        start = self._covered(batch_id)
+        rows = self._batches(start, batch_id)
+        if start >= 0:
+            rows = rows.unionByName(self._read(self._compacted(), [f"{self._compacted()}/upto={start}"]))
         if wanted is not None:
-            rows = rows.join(wanted.select(*keys).distinct(), keys, "left_semi")
+            rows = rows.join(wanted.select(*keys).distinct(), keys, "left_semi").select(*rows.columns)
         return latest(rows, keys, [BATCH]).drop(BATCH)
 
     def compact(self, keys: list[str], batch_id: int) -> None:
-        """Write the state after a batch as one table, so that readers can skip the batches it covers."""
+        """Write the state after a batch as one table and delete what only older readers needed.
+
+        The table before it and the batches after that one stay: they are the state that a repeated batch reads.
+        """
+        earlier = self._covered(batch_id)
         state = self.current(keys, batch_id + 1).withColumn(BATCH, F.lit(batch_id).cast("long"))
         state.write.mode("overwrite").parquet(f"{self._compacted()}/upto={batch_id}")
+        for n in self._complete(self._compacted(), "upto="):
+            if n < earlier:
+                delete(self.spark, f"{self._compacted()}/upto={n}")
+        for n in self._complete(self.path, f"{BATCH}="):
+            if n <= earlier:
+                delete(self.spark, f"{self.path}/{BATCH}={n}")

@@ -9,8 +9,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from rosterfold.checks.session import local_session  # noqa: E402
 from rosterfold.operators.workspace import clear  # noqa: E402
 
-HEAVY = {"spark.rosterfold.rowsPerTask": "6", "spark.rosterfold.smallInputBytes": "0",
-         "spark.sql.autoBroadcastJoinThreshold": "-1"}
+HEAVY = {"spark.rosterfold.rowsPerTask": "6", "spark.sql.autoBroadcastJoinThreshold": "-1"}
 
 
 # Made at import, so that test modules can hold column expressions.

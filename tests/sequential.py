@@ -79,13 +79,20 @@ def replay_updates(users, requests):
     return out
 
 
+USER_EVENT_TYPES = ["UserCreated", "UserUpdated", "GroupCreated", "GroupInvitationAccepted", "GroupRemoved"]
+
+
+def event_place(event):
+    return event[0], 1 + USER_EVENT_TYPES.index(event[3]), event[1]
+
+
 def fold_users(events):
     """History rows (name, seq) -> (version, display_name) and, per name, the group list after each event.
 
     events are (ts, seq, name, event_type, group_name, display_name, groups, added_groups).
     """
     state, history, lists = {}, {}, {}
-    for _, seq, name, kind, group, shown, groups, added in sorted(events, key=lambda e: (e[0], e[1])):
+    for _, seq, name, kind, group, shown, groups, added in sorted(events, key=event_place):
         current = state.get(name)
         if kind == "UserCreated":
             current = (1, shown, list(groups or []) + list(added or []))
@@ -109,9 +116,9 @@ def fold_users(events):
 
 
 def replay_decisions(invitations, requests):
-    """gate by request id. invitations: name -> (state, version); requests (id, ts, line, part, name, etag, action)."""
+    """gate by request id. invitations: name -> (state, version); requests (id, ts, name, etag, action)."""
     state, gates = dict(invitations), {}
-    for rid, *place, name, etag, action in sorted(requests, key=lambda r: r[1:4]):
+    for rid, _, name, etag, action in sorted(requests, key=lambda r: (r[1], r[0])):
         if name not in state:
             gates[rid] = "invitation"
         elif etag != invitation_etag(name, state[name][1]):

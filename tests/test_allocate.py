@@ -65,13 +65,32 @@ def test_a_refused_request_frees_its_keys(spark):
     assert created_events(outcomes).count() == 1
 
 
-def test_a_long_chain_is_finished_in_order(spark):
-    """Request n shares one key with request n-1 and the other with n+1: a round decides only two."""
-    rows = [(n, START + timedelta(seconds=n), f"uid-{n // 2}", f"user-{(n + 1) // 2}") for n in range(60)]
-    df = spark.createDataFrame(rows, "request_id long, ts timestamp_ntz, uid string, user_id string")
-    for many_rounds in (3, 1_000):
-        got = allocated(df, "uid", "user_id", ["ts", "request_id"], many_rounds=many_rounds)
-        assert sorted(r.request_id for r in got.collect()) == list(range(0, 60, 2))
+@pytest.mark.parametrize("size", [60, 100_000])
+def test_a_long_chain_is_decided_by_doubling(spark, monkeypatch, size):
+    """Request n shares one key with request n-1 and the other with n+1: every outcome hangs on all before it."""
+    from rosterfold.operators import allocate
+
+    rounds = []
+    monkeypatch.setattr(allocate, "_granted", lambda *a, f=allocate._granted: (rounds.append(1), f(*a))[1])
+    n = F.col("id")
+    df = spark.range(size).select(n.alias("request_id"), F.timestamp_seconds(n).cast("timestamp_ntz").alias("ts"),
+                                  F.concat(F.lit("uid-"), F.floor(n / 2)).alias("uid"), F.concat(F.lit("user-"), F.floor((n + 1) / 2)).alias("user_id"))
+    got = allocated(df, "uid", "user_id", ["ts", "request_id"])
+    assert sorted(r.request_id for r in got.collect()) == list(range(0, size, 2)) and len(rounds) == 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_dense_pairs_equal_one_by_one_handling(spark, seed):
+    rng = random.Random(seed)
+    pairs = [(n, rng.randrange(25), rng.randrange(25)) for n in range(300)]
+    taken, want = (set(), set()), []
+    for n, a, b in pairs:
+        if a not in taken[0] and b not in taken[1]:
+            taken[0].add(a)
+            taken[1].add(b)
+            want.append(n)
+    got = allocated(spark.createDataFrame(pairs, "n int, a int, b int"), "a", "b", ["n"])
+    assert sorted(r.n for r in got.collect()) == want
 
 
 def test_counts_and_releases_make_the_last_write_table(spark):

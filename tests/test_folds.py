@@ -5,7 +5,7 @@ import pytest
 
 import sequential
 from rosterfold.operators import folds
-from rosterfold.schemas import INVITATION_EVENT, USER_EVENT, conform
+from rosterfold.schemas import INVITATION_EVENT, USER_EVENT, USER_EVENT_ORDER, conform
 
 START = datetime(2024, 1, 1)
 EVENT = ("ts timestamp_ntz, seq long, name string, event_type string, group_name string, display_name string, "
@@ -45,7 +45,7 @@ def test_user_history_and_snapshot(either, seed):
     assert got == want
     assert folds.orphans(history).count() == sum(v is None for v, _ in want.values()) > 0
     latest = {}
-    for _, seq, name, *_ in sorted(rows, key=lambda e: (e[0], e[1])):
+    for _, seq, name, *_ in sorted(rows, key=sequential.event_place):
         if want[name, seq][0]:
             latest[name] = want[name, seq]
     snapshot = {r.name: r for r in folds.user_snapshot(history).collect()}
@@ -66,18 +66,22 @@ def test_group_lists(either, seed):
 def test_group_spans_give_the_list_at_every_version(either):
     rows = random_events(5, size=160)
     _, lists = sequential.fold_users(rows)
-    places = {r[1]: (r[0], r[1]) for r in rows}
+    places = {r[1]: sequential.event_place(r) for r in rows}
     spans = folds.group_spans(log_of(either, rows)).collect()
     for name, steps in lists.items():
-        mine = sorted((s for s in spans if s.name == name), key=lambda s: (s.since_ts, s.since_seq, s.ordinal))
+        mine = sorted((s for s in spans if s.name == name), key=lambda s: (s.since_ts, s.since_rank, s.since_seq, s.ordinal))
         for seq, want in steps:
             now = places[seq]
-            assert [s.group_name for s in mine if (s.since_ts, s.since_seq) <= now
-                    and (s.until_ts is None or now < (s.until_ts, s.until_seq))] == want
+            assert [s.group_name for s in mine if (s.since_ts, s.since_rank, s.since_seq) <= now
+                    and (s.until_ts is None or now < (s.until_ts, s.until_rank, s.until_seq))] == want
+    listed = {}
+    for r in folds.groups_at(folds.group_spans(log_of(either, rows)), log_of(either, rows).select("name", *USER_EVENT_ORDER)).orderBy("position").collect():
+        listed.setdefault(r.seq, []).append(r.group_name)
+    assert listed == {seq: want for steps in lists.values() for seq, want in steps if want}
 
 
 def test_history_continues_from_an_earlier_snapshot(either):
-    rows = sorted(random_events(6), key=lambda e: (e[0], e[1]))
+    rows = sorted(random_events(6), key=sequential.event_place)
     want, _ = sequential.fold_users(rows)
     prior = folds.user_snapshot(folds.user_history(log_of(either, rows[:120])))
     later = folds.user_history(log_of(either, rows[120:]), prior)
@@ -86,11 +90,11 @@ def test_history_continues_from_an_earlier_snapshot(either):
 
 
 def test_snapshot_equals_history_cut_at_any_point(spark):
-    rows = sorted(random_events(7), key=lambda e: (e[0], e[1]))
+    rows = sorted(random_events(7), key=sequential.event_place)
     history = folds.user_history(log_of(spark, rows))
-    cut = rows[150][:2]
+    cut = sequential.event_place(rows[150])
     early = {r.name: r.aggregate_version for r in folds.user_snapshot(
-        history.filter(f"struct(ts, seq) <= struct(timestamp_ntz '{cut[0]}', {cut[1]}L)")).collect()}
+        history.filter(f"struct(ts, event_rank, seq) <= struct(timestamp_ntz '{cut[0]}', {cut[1]}, {cut[2]}L)")).collect()}
     again = {r.name: r.aggregate_version for r in folds.user_snapshot(
         folds.user_history(log_of(spark, rows[:151]))).collect()}
     assert early == again
@@ -111,9 +115,9 @@ def test_invitation_history_snapshot_and_index(either):
     rows = invitation_rows()
     log = conform(either.createDataFrame(
         rows, "ts timestamp_ntz, seq long, name string, event_type string, group_name string, state string"), INVITATION_EVENT)
-    log = log.fillna(0, ["line", "part"])
     want, version, names = {}, {}, {}
-    for _, seq, name, kind, group, state in sorted(rows):
+    order = ["GroupInvitationCreated", "GroupInvitationAccepted", "GroupInvitationRejected"]
+    for _, seq, name, kind, group, state in sorted(rows, key=lambda r: (r[0], order.index(r[3]), r[1])):
         if kind == "GroupInvitationCreated":
             version[name] = 1
             names.setdefault("/".join(name.split("/")[:2]), []).insert(0, name)
@@ -132,8 +136,8 @@ def test_invitation_history_snapshot_and_index(either):
 
 
 def test_names_without_a_parent_are_kept_apart(spark):
-    log = spark.createDataFrame([(START, 1, 0, 0, "odd"), (START, 2, 0, 0, "users/a/groupInvitations/b")],
-                                "ts timestamp_ntz, seq long, line int, part long, name string")
+    log = spark.createDataFrame([(START, 1, 1, "", "odd"), (START, 1, 2, "", "users/a/groupInvitations/b")],
+                                "ts timestamp_ntz, event_rank int, seq long, request_id string, name string")
     assert [r.parent for r in folds.invitation_index(log).collect()] == ["users/a"]
     assert [r.name for r in folds.unnamed_parents(log).collect()] == ["odd"]
 

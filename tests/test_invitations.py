@@ -9,7 +9,8 @@ from rosterfold.functions.status import flat_status
 from rosterfold.operators import folds
 from rosterfold.plans import invitations as inv
 from rosterfold.plans.lookups import BLOCK, find_users, get_users, groups_of, list_invitations
-from rosterfold.schemas import (CREATE_INVITATION_REQUEST, DECIDE_INVITATION_REQUEST, INVITATION, LOOKUP_REQUEST, conform)
+from rosterfold.schemas import (CREATE_INVITATION_REQUEST, DECIDE_INVITATION_REQUEST, INVITATION, INVITATION_EVENT, LOOKUP_REQUEST,
+                                conform)
 
 START = datetime(2024, 1, 1, 0, 0, 0, 123456)
 
@@ -22,7 +23,7 @@ def stored_of(spark, states):
 
 def decisions_of(spark, rows):
     return conform(spark.createDataFrame(
-        rows, "request_id string, ts timestamp_ntz, line int, part long, name string, etag string, action string"),
+        rows, "request_id string, ts timestamp_ntz, name string, etag string, action string"),
         DECIDE_INVITATION_REQUEST)
 
 
@@ -35,23 +36,41 @@ def test_replayed_decisions_equal_one_by_one_handling(either, seed):
     for n in range(200):
         name = names[0] if rng.random() < 0.35 else rng.choice([*names, "users/a/groupInvitations/none"])
         tag = sequential.invitation_etag(name, states.get(name, ("", 1))[1] + rng.choice([-1, 0, 1, 1]))
-        rows.append((f"r{n}", START + timedelta(minutes=rng.randrange(20)), rng.randrange(3), n, name, tag,
-                     rng.choice(["ACCEPTED", "REJECTED"])))
+        # Few times, so that very many requests have equal ones.
+        rows.append((f"r{n}", START + timedelta(minutes=rng.randrange(4)), name, tag, rng.choice(["ACCEPTED", "REJECTED"])))
     outcomes = inv.replay_decisions(decisions_of(either, rows), stored_of(either, states))
     want = sequential.replay_decisions(states, rows)
     assert {r.request_id: r.gate for r in outcomes.collect()} == want
     decided = inv.decided_events(outcomes)
     assert decided.count() == sum(gate is None for gate in want.values())
-    joined = inv.membership_events(decided, F.col("part")).collect()
+    joined = inv.membership_events(decided).collect()
     assert {r.name for r in joined} == {"users/a"} and all(r.event_type == "GroupInvitationAccepted" for r in joined)
 
 
+def test_equal_times(spark):
+    """Of two requests on one invitation at one time only the first may succeed, and a decision at the time of its
+    invitation follows it."""
+    name, tag = "users/a/groupInvitations/p", sequential.invitation_etag
+    rows = [("r2", START, name, tag(name, 1), "REJECTED"), ("r1", START, name, tag(name, 1), "ACCEPTED")]
+    outcomes = inv.replay_decisions(decisions_of(spark, rows), stored_of(spark, {name: ("PENDING", 1)}))
+    assert {r.request_id: r.gate for r in outcomes.collect()} == {"r1": None, "r2": "etag"}
+    created = conform(spark.createDataFrame([(START, 99, name, "GroupInvitationCreated", "PENDING")],
+                                            "ts timestamp_ntz, seq long, name string, event_type string, state string"), INVITATION_EVENT)
+    state = folds.invitation_snapshot(folds.invitation_history(created.unionByName(inv.decided_events(outcomes)))).collect()
+    assert [(s.state, s.aggregate_version) for s in state] == [("ACCEPTED", 2)]
+
+
+def test_groups_of_owners(spark):
+    made = spark.createDataFrame([(START, 1, "groups/g", "users/a"), (START, 2, "groups/h", "")], "ts timestamp_ntz, seq long, name string, owner string")
+    assert [(r.name, r.group_name, r.event_type) for r in inv.group_created_events(made).collect()] == [("users/a", "groups/g", "GroupCreated")]
+
+
 def test_decision_statuses(spark):
     states = {"users/a/groupInvitations/p": ("PENDING", 1), "users/a/groupInvitations/d": ("REJECTED", 2)}
     tag = sequential.invitation_etag
     p, d = states
-    rows = [("none", START, 1, 1, "x", "", "ACCEPTED"), ("stale", START, 1, 1, p, tag(p, 9), "ACCEPTED"),
-            ("done", START, 1, 1, d, tag(d, 2), "ACCEPTED"), ("ok", START, 1, 2, p, tag(p, 1), "REJECTED")]
+    rows = [("none", START, "x", "", "ACCEPTED"), ("stale", START, p, tag(p, 9), "ACCEPTED"),
+            ("done", START, d, tag(d, 2), "ACCEPTED"), ("ok", START, p, tag(p, 1), "REJECTED")]
     outcomes = inv.decide_invitations(decisions_of(spark, rows), stored_of(spark, states), domain="svc")
     flat = {r.request_id: r for r in flat_status(outcomes, "request_id", "state", "update_time", "etag", "group_name").collect()}
     assert {k: r.code for k, r in flat.items()} == {"none": 3, "stale": 10, "done": 9, "ok": 0}

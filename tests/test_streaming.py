@@ -7,13 +7,13 @@ from rosterfold.operators import folds
 from rosterfold.sources import tables
 from rosterfold.streaming import jobs
 from rosterfold.streaming.tables import BatchTable
-from rosterfold.schemas import USER_EVENT
+from rosterfold.schemas import CREATE_USER_REQUEST, USER_EVENT
 from test_allocate import random_requests, requests_of
 from test_folds import log_of, random_events
 
 
 def test_user_fold_in_batches_equals_one_fold(spark, tmp_path):
-    rows = sorted(random_events(11), key=lambda e: (e[0], e[1]))
+    rows = sorted(random_events(11), key=sequential.event_place)
     want = {r.name: r for r in folds.user_snapshot(folds.user_history(log_of(spark, rows))).collect()}
     for parts in (1, 3):
         root = str(tmp_path / f"p{parts}")
@@ -29,7 +29,7 @@ def test_user_fold_in_batches_equals_one_fold(spark, tmp_path):
 
 
 def test_a_repeated_batch_changes_nothing(spark, tmp_path):
-    rows = sorted(random_events(12, size=80), key=lambda e: (e[0], e[1]))
+    rows = sorted(random_events(12, size=80), key=sequential.event_place)
     work, changes, state = jobs.user_fold(spark, str(tmp_path))
     work(log_of(spark, rows[:40]), 0)
     work(log_of(spark, rows[40:]), 1)
@@ -65,7 +65,8 @@ def test_create_requests_in_batches_equal_one_run(spark, tmp_path):
 def test_tables_by_type_and_changelog(spark, tmp_path):
     rows = random_events(14, size=60)
     log = log_of(spark, rows)
-    tables.write_events(log, str(tmp_path / "events"))
+    for _ in range(2):  # a repeated run leaves the same rows
+        tables.write_events(log, str(tmp_path / "events"), "r1")
     back = tables.read_events(spark, {kind: str(tmp_path / "events" / f"event_type={kind}")
                                       for kind in {r[3] for r in rows}}, USER_EVENT)
     assert sorted(map(repr, back.drop("display_name").collect())) == sorted(map(repr, log.drop("display_name").collect()))
@@ -75,6 +76,29 @@ def test_tables_by_type_and_changelog(spark, tmp_path):
     assert {r.name: r.aggregate_version for r in current.collect()} == want
 
 
+def test_old_batches_are_deleted_and_unfinished_ones_not_read(spark, tmp_path):
+    table = BatchTable(spark, str(tmp_path / "t"), "name string, v int")
+    for number in range(60):
+        table.write(spark.createDataFrame([(f"k{number % 7}", number)], "name string, v int").coalesce(1), number)
+        if (number + 1) % 20 == 0:
+            table.compact(["name"], number)
+    assert {r.name: r.v for r in table.current(["name"]).collect()} == {f"k{n % 7}": n for n in range(53, 60)}
+    assert {r.name: r.v for r in table.current(["name"], 59).collect()} == {f"k{n % 7}": n for n in range(52, 59)}
+    left = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "t").iterdir())
+    assert left == list(range(40, 60)) and sorted(p.name for p in (tmp_path / "t-compacted").iterdir()) == ["upto=39", "upto=59"]
+    (tmp_path / "t" / "batch_id=60").mkdir()
+    (tmp_path / "t" / "batch_id=60" / "part-0.parquet").write_bytes(b"unfinished")
+    assert {r.name for r in table.current(["name"]).collect()} == {f"k{n}" for n in range(7)}
+
+
+def test_malformed_records_are_kept_apart(spark):
+    records = spark.createDataFrame(
+        [("a", '{"request_id": 1, "uid": "u"}', datetime(2024, 1, 1)), ("b", "not json", datetime(2024, 1, 1)), ("c", None, datetime(2024, 1, 1))],
+        "key string, value string, timestamp timestamp")
+    assert [(r.request_id, r.uid, r.ts is None) for r in tables.well_formed(records, CREATE_USER_REQUEST).collect()] == [(1, "u", False)]
+    assert sorted((r.key, r.value) for r in tables.malformed(records, CREATE_USER_REQUEST).collect()) == [("b", "not json"), ("c", "")]
+
+
 def test_an_absent_table_is_empty(spark, tmp_path):
     table = BatchTable(spark, str(tmp_path / "none"), "name string")
     assert table.rows().count() == 0 and table.current(["name"]).columns == ["name"]
