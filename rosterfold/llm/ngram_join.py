@@ -395,7 +395,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
     rest = pinned(rest, "other-pairs")
     if rest.head(1):
-        known = _labelled(classes, links.union(_verified(rest, classes, docs)))
+        # Only links between components are new; they join labels.
+        ends = known.select(F.col("rep").alias("a"), F.col("label").alias("la")), known.select(F.col("rep").alias("b"), F.col("label").alias("lb"))
+        new = pinned(_verified(rest, classes, docs).join(ends[0], "a").join(ends[1], "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "new-links")
+        if new.head(1):
+            moved = components(new).select(F.col("node").alias("label"), F.col("label").alias("_to"))
+            known = pinned(known.join(moved, "label", "left").withColumn("label", F.coalesce("_to", "label")).drop("_to"), "relabelled")
 
     names = known.groupBy("label").agg(F.min("first").alias("first"))
     named = pinned(known.drop("first").join(names, "label").select(*key, "rep", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("kept_row")), "named")
