@@ -9,9 +9,8 @@ is so high share a shingle among their first ``n - ceil(0.8 n) + 1`` in any comm
    classes of equal prefix and size a group.
 3. ``_shared``: the prefix shingles that two or more groups have, each with pivots, its first groups by hash.
 4. Groups are tested against pivots first, which joins large sets of near copies in linear work.
-5. Group pairs that share prefix shingles and are not yet known to be connected (``_remaining``) are filtered by their
-   sizes and by how many prefix shingles they share (``_may_link``), all expanded to pairs of classes, and tested. Long
-   runs are cut in blocks.
+5. Group pairs that are not yet known to be connected, share a prefix shingle, and pass the filters by size and by place
+   in the prefix (``_remaining``) are all expanded to pairs of classes and tested. Long runs are cut in blocks.
 
 Whether two classes link is decided on their whole sets. Members of a class are never expanded into pairs.
 
@@ -37,7 +36,7 @@ HEAVY = 16  # documents from which a bucket counts as frequent
 HEAVY_BUCKETS = 500_000
 RANGE_BITS = 22
 FLUSH = 8_000_000
-PIVOTS = 3
+PIVOTS, TESTED = 8, 3  # pivots of a shingle, and how many of them a group is tested against
 RUN = 4096
 SEEN = 200_000  # groups a task remembers, to drop copies early
 FILTER_BITS = 28
@@ -158,10 +157,10 @@ def _sets(docs: DataFrame, order: _Order) -> DataFrame:
 
 
 def _shared(docs: DataFrame, order: _Order) -> DataFrame:
-    """token, g and pivots of all prefix entries whose shingle other groups have as well.
+    """token, g and pos (the place in the prefix) of all prefix entries whose shingle other groups have as well.
 
     Entries are made from the texts once more, which costs less than to keep or to join them; equal ones of copies are
-    dropped in each task before the shuffle. The pivots of a shingle are its first ``PIVOTS`` groups by hash.
+    dropped in each task before the shuffle.
     """
     spark = docs.sparkSession
 
@@ -169,62 +168,60 @@ def _shared(docs: DataFrame, order: _Order) -> DataFrame:
         seen: set[int] = set()
         for batch in pieces(batches):
             sets = [s for s in Words(batch.column(0)).shingle_sets() if len(s)]
-            tokens, groups = [], []
+            tokens, groups, places = [], [], []
             for shingles, (prefix, _) in zip(sets, order.prefixes(sets) if sets else ()):
                 g = _group(len(shingles), prefix)
                 if g not in seen:
                     tokens.append(prefix)
                     groups.append(np.full(len(prefix), g))
+                    places.append(np.arange(len(prefix), dtype=np.int32))
                     if len(seen) < SEEN:
                         seen.add(g)
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tokens))), pa.array(np.concatenate(groups))], names=["token", "g"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tokens))), pa.array(np.concatenate(groups)), pa.array(np.concatenate(places))], names=["token", "g", "pos"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # token, group and pivots of the last row so far, and whether another group has the token
+        held = None  # the last row so far, and whether another group has its token
         for batch in batches:
-            token, g = (c.to_numpy() for c in batch.columns)
+            token, g, pos = (c.to_numpy() for c in batch.columns)
             if not len(token):
                 continue
             if held is not None:
-                token, g = np.concatenate([[held[0]], token]), np.concatenate([[held[1]], g])
+                token, g, pos = (np.concatenate([h, c]) for h, c in zip(held, (token, g, pos)))
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (g[1:] != g[:-1])
-            token, g = token[new], g[new]
+            token, g, pos = token[new], g[new], pos[new]
             start = np.ones(len(token), bool)
             start[1:] = token[1:] != token[:-1]
-            first = np.maximum.accumulate(np.where(start, np.arange(len(token)), 0))
-            pivots = np.stack([g[np.minimum(first + k, len(g) - 1)] for k in range(PIVOTS)], axis=1)
-            for k in range(1, PIVOTS):  # a run may have fewer rows, so far
-                at = np.minimum(first + k, len(g) - 1)
-                pivots[:, k] = np.where(first[at] == first, pivots[:, k], pivots[:, 0])
+            if held is not None:
+                start[0] = not held[3]
             alone = start.copy()
             alone[:-1] &= start[1:]
-            if held is not None:
-                run_ = first == 0
-                known = list(dict.fromkeys([*held[2], *g[run_][1:PIVOTS].tolist()]))[:PIVOTS]
-                pivots[run_] = (known + known[:1] * PIVOTS)[:PIVOTS]
-                if held[3]:
-                    alone[0] = False
-            keep = ~alone
-            keep[-1] = False
-            yield _rows(token[keep], g[keep], pivots[keep])
-            held = (token[-1], g[-1], pivots[-1].tolist(), not start[-1] or (held is not None and len(token) == 1 and held[3]))
+            alone[-1] = True
+            yield pa.RecordBatch.from_arrays([pa.array(c[~alone]) for c in (token, g, pos)], names=["token", "g", "pos"])
+            held = (token[-1:], g[-1:], pos[-1:], not start[-1])
         if held is not None and held[3]:
-            yield _rows(np.array([held[0]]), np.array([held[1]]), np.array([held[2]]))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[:3]], names=["token", "g", "pos"])
 
-    made = docs.select("text").mapInArrow(entries, "token bigint, g bigint")
-    placed = made.repartition(partitions(spark), "token").sortWithinPartitions("token", F.xxhash64("g"), "g")
-    return pinned(placed.mapInArrow(run, "token bigint, g bigint, pivots array<bigint>"), "shared-shingles")
+    made = docs.select("text").mapInArrow(entries, "token bigint, g bigint, pos int")
+    placed = made.repartition(partitions(spark), "token").sortWithinPartitions("token", "g")
+    return pinned(placed.mapInArrow(run, "token bigint, g bigint, pos int"), "shared-shingles")
 
 
-def _rows(token: np.ndarray, g: np.ndarray, pivots: np.ndarray) -> pa.RecordBatch:
-    flat = pa.FixedSizeListArray.from_arrays(pa.array(pivots.ravel().astype(np.int64)), PIVOTS)
-    return pa.RecordBatch.from_arrays([pa.array(token), pa.array(g), flat.cast(pa.list_(pa.int64()))], names=["token", "g", "pivots"])
+def _stars(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs (ga, gb, c) of groups with pivots, the groups of each prefix shingle that have the most of their own prefix in
+    common with others. An unchanged original has it all, its near copies only what they left unchanged."""
+    least = Window.partitionBy("token").orderBy(F.desc("degree"), "g")
+    degrees = groups.join(shared.groupBy("g").agg(F.count("*").alias("shared")), "g")
+    prefix = F.expr("n - (4 * n + 4) div 5 + 1")
+    # Shares in steps, so that hashes decide between groups that are about alike.
+    ranked = degrees.select("g", (F.floor(8 * F.col("shared") / prefix) * 1024 + F.pmod(F.xxhash64("g"), F.lit(1024))).alias("degree"))
+    pivots = (shared.join(ranked, "g").withColumn("k", F.row_number().over(least)).filter(F.col("k") <= PIVOTS).select("token", F.col("g").alias("gb")))
+    return shared.select("token", F.col("g").alias("ga")).join(pivots, "token").filter("ga <> gb").groupBy("ga", "gb").agg(F.count("*").alias("c"))
 
 
 def _may_link(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs (ga, gb, c) that may link: c prefix shingles in common, sizes and ends from ``groups``.
+    """Pairs (ga, gb, c) worth a test: c prefix shingles known to be in common, sizes and ends from ``groups``.
 
     Of the set whose prefix ends first, all prefix shingles that the other has are in the other's prefix. So the
     rest of that prefix is missing there, and what is missing is bounded by the similarity.
@@ -313,27 +310,33 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
 
 
 def _remaining(shared: DataFrame, groups: DataFrame) -> DataFrame:
-    """Group pairs (ga < gb, c: shared prefix shingles) with different labels. ``groups``: g, n, label."""
-    labelled = shared.select("token", "g").join(groups.select("g", "n", "label"), "g")
+    """Group pairs (ga < gb) with different labels that may link. ``groups``: g, n, label.
+
+    Sets of sizes n and m link only if they share at least o = ceil(4 (n + m) / 9) shingles. Then they share one among the
+    first n - o + 1 of the one and the first m - o + 1 of the other, so pairs are made only from entries at such places.
+    """
+    labelled = shared.join(groups.select("g", "n", "label"), "g")
     runs = labelled.groupBy("token").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
     open_ = labelled.join(runs.select("token", F.ceil(F.col("m") / RUN).cast("int").alias("blocks")), "token")
     open_ = open_.withColumn("own", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int"))
     # A long run meets block by block, so that no task holds all of it.
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     open_ = open_.withColumns({"b1": F.least("own", "other"), "b2": F.greatest("own", "other")})
-    placed = open_.select("token", "b1", "b2", "own", "g", "n", "label").repartition(partitions(shared.sparkSession), "token", "b1", "b2").sortWithinPartitions("token", "b1", "b2")
+    placed = open_.select("token", "b1", "b2", "own", "g", "n", "pos", "label").repartition(partitions(shared.sparkSession), "token", "b1", "b2").sortWithinPartitions("token", "b1", "b2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            own, g, n, label = rows[:, 3:].T
+            own, g, n, pos, label = rows[:, 3:].T
             across = rows[0, 1] != rows[0, 2]
             for at in range(0, len(rows), 512):
                 i = slice(at, at + 512)
                 ok = (label[i, None] != label) & (g[i, None] < g) & (5 * np.minimum(n[i, None], n) >= 4 * np.maximum(n[i, None], n))
                 if across:
                     ok &= own[i, None] != own
+                both = (4 * (n[i, None] + n) + 8) // 9
+                ok &= (pos[i, None] <= n[i, None] - both) & (pos <= n - both)
                 x, y = np.nonzero(ok)
                 if len(x):
                     # The lower group comes first on either side of the blocks.
@@ -351,7 +354,7 @@ def _remaining(shared: DataFrame, groups: DataFrame) -> DataFrame:
         for some in held:
             yield from pairs(some)
 
-    return placed.mapInArrow(run, "ga bigint, gb bigint").groupBy("ga", "gb").agg(F.count("*").alias("c"))
+    return placed.mapInArrow(run, "ga bigint, gb bigint").distinct()
 
 
 def _labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -373,9 +376,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = _shared(docs, order)
 
     # Pivots: classes with the head of their group, groups with the pivot that shares most of their prefix.
-    stars = shared.select(F.col("g").alias("ga"), F.explode(F.array_distinct("pivots")).alias("gb")).filter("ga <> gb").groupBy("ga", "gb").agg(F.count("*").alias("c"))
+    stars = _stars(shared, groups)
     best = Window.partitionBy("ga").orderBy(F.desc("c"), "gb")
-    stars = _may_link(stars, groups).withColumn("k", F.row_number().over(best)).filter(F.col("k") <= PIVOTS)
+    stars = _may_link(stars, groups).withColumn("k", F.row_number().over(best)).filter(F.col("k") <= TESTED)
     heads = groups.select("g", "head")
     stars = stars.join(heads.select(F.col("g").alias("ga"), F.col("head").alias("a")), "ga").join(heads.select(F.col("g").alias("gb"), F.col("head").alias("b")), "gb").select("a", "b")
     inside = classes.select("rep", "g").join(heads, "g").filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
@@ -387,7 +390,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = known.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("n"), F.min("rep").alias("head"))
     labels = pinned(labels.withColumn("label", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-F.col("head") - 1)), "group-labels")
     mixed = labels.filter("low <> high").select("g")
-    found = _may_link(_remaining(shared, labels), groups).select("ga", "gb")
+    found = _remaining(shared, labels)
     found = found.union(mixed.select(F.col("g").alias("ga"), F.col("g").alias("gb")))
     one = known.select(F.col("g").alias("ga"), F.col("rep").alias("a"), F.col("label").alias("la"))
     two = known.select(F.col("g").alias("gb"), F.col("rep").alias("b"), F.col("label").alias("lb"))
