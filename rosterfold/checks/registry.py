@@ -13,7 +13,6 @@ from rosterfold.functions.names import invitation_parent
 from rosterfold.functions.status import flat_status
 from rosterfold.functions.text import strip_blank, units
 from rosterfold.operators import folds
-from rosterfold.operators.gates import passed
 from rosterfold.operators.skew import Probe, lookup
 from rosterfold.operators.workspace import new_folder, pinned
 from rosterfold.plans import invitations, lookups, users
