@@ -36,7 +36,7 @@ HEAVY = 16  # documents from which a bucket counts as frequent
 HEAVY_BUCKETS = 500_000
 RANGE_BITS = 22
 FLUSH = 3_000_000  # shingles a task holds before it codes them
-PIVOTS, TESTED = 8, 3  # pivots of a shingle, and how many of them a group is tested against
+PIVOTS, TESTED = 16, 8  # pivots of a shingle, and how many of them a group is tested against
 RUN = 4096
 SEEN = 200_000  # groups a task remembers, to drop copies early
 FILTER_BITS = 28
