@@ -137,9 +137,13 @@ def _group(n: int, prefix: np.ndarray) -> int:
     return int(signed(mix(h + np.uint64(n)))[0])
 
 
+def _print(shingles: np.ndarray, salt: np.uint64) -> int:
+    return int(signed(mix(shingles ^ salt).sum(keepdims=True, dtype=np.uint64))[0])
+
+
 def _prints(shingles: np.ndarray) -> tuple[int, int]:
     """A 128-bit fingerprint of a set."""
-    return tuple(int(signed(mix(shingles ^ salt).sum(keepdims=True, dtype=np.uint64))[0]) for salt in (np.uint64(0), SALT))
+    return _print(shingles, np.uint64(0)), _print(shingles, SALT)
 
 
 def _sets(docs: DataFrame, order: _Order) -> DataFrame:
@@ -285,11 +289,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             sets = list(Words(batch.column(1)).shingle_sets())
-            prints = np.array([_prints(s) for s in sets], np.int64).reshape(-1, 2)
-            at = _place(batch.column(0), np.ascontiguousarray(prints[:, 0]), bits)
+            prints = np.array([_print(s, np.uint64(0)) for s in sets], np.int64)
+            at = _place(batch.column(0), prints, bits)
             kept = np.flatnonzero((known[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
             if len(kept):
-                yield pa.RecordBatch.from_arrays([pa.array(prints[kept, 0]), pa.array(prints[kept, 1]), pa.array([sets[k].tobytes() for k in kept], pa.binary())], names=["fp1", "fp2", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(prints[kept]), pa.array([_print(sets[k], SALT) for k in kept], pa.int64()), pa.array([sets[k].tobytes() for k in kept], pa.binary())], names=["fp1", "fp2", "s"])
 
     held = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "fp1 bigint, fp2 bigint, s binary").select(F.struct("fp1", "fp2").alias("f"), "s")
     held = pinned(held, "whole-sets")
