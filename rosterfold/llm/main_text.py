@@ -1,12 +1,15 @@
 """Main text of web pages, with the site's template removed.
 
-A page is parsed into elements. Navigation, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments go by their tag, role or class. The rest is taken from ``article`` elements if the page has any, else
-from ``main``, else from the whole body. Every container in it that a template could have made is hashed with all
-its markup; Spark counts on how many pages of each host a hash occurs, and those on at least ``LEAST_PAGES`` pages and
-``SHARE`` of the host's pages are cut out, unless they hold more than half of a page's text (then the page is a copy, not
-a frame). Paragraphs and headings inside an article are content and not candidates, so that articles that
-quote the same passage keep it.
+A page is parsed into elements. The text is taken from ``article`` elements if the page has any, else from ``main``, else
+from the whole body. Every block-level element in it is hashed with all its markup, and so is text that stands beside other
+blocks without an element of its own. Spark counts on how many pages of each host a hash occurs. Containers on at least
+``LEAST_PAGES`` pages and ``SHARE`` of the host's pages are cut out, unless they hold more than half of a page's text (then
+the page is a copy, not a frame). Paragraphs, headings, items, whole articles and bare text inside an article or ``main``
+are cut only from ``PROSE_SHARE`` of the pages on, so that articles that quote the same passage keep it, and never when
+nothing would be left of the page.
+
+As a supplement, navigation, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
+go by their tag, role or class, whatever their count; what these or the choice of article take out is not counted.
 
 A block is the text between two block-level tags; its references are decoded, white space becomes one space, and blocks
 are joined by an empty line.
@@ -19,17 +22,18 @@ are pages of their own; an empty table gives no rows; other columns are not carr
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rosterfold.llm.shared import pinned, table
 from rosterfold.llm.words import pieces
 
-LEAST_PAGES, SHARE = 5, 0.1
+LEAST_PAGES, SHARE, PROSE_SHARE = 5, 0.1, 0.5
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z""", re.S)
@@ -73,8 +77,13 @@ def _unwanted(tag: str, attributes: str, region: int) -> bool:
     return False
 
 
+def _hashed(markup: str, prose: bool) -> int:
+    """A hash whose lowest bit tells prose, which takes a higher share of pages to be cut."""
+    return int.from_bytes(blake2b(markup.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) & -2 | prose
+
+
 def blocks(html: str) -> list[tuple[str, list[int]]]:
-    """The blocks of the main text in page order, each with the hashes of the containers around it."""
+    """The blocks of the main text in page order, each with the hashes of the elements around it."""
     found: list[tuple[int, list[str], list[_Node]]] = []  # region, pieces of text, containers around it
     stack: list[_Node] = []
     text: list[str] = []
@@ -149,75 +158,85 @@ def blocks(html: str) -> list[tuple[str, list[int]]]:
     close(0, n)
 
     top = max((r for r, *_ in found), default=0)
+    found = [run for run in found if run[0] == top]
+    runs = Counter(node.hash for _, _, around in found for node in around)
     out, hashes = [], {}
-    for r, parts, around in found:
-        if r < top:
-            continue
+    for _, parts, around in found:
         clean = " ".join(unescape("".join(parts)).split())
         if clean:
             up = []
             for node in around:
-                if node.tag in ("html", "body", "article", "main") or top and node.region == top and node.tag in _PROSE or top and node.region < top:
+                if node.tag in ("html", "body") or node.region < top:
                     continue
                 if node.hash not in hashes:
                     a, b = node.hash
-                    hashes[node.hash] = int.from_bytes(blake2b(html[a:b].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+                    hashes[node.hash] = _hashed(html[a:b], node.tag in ("article", "main") or top > 0 and node.tag in _PROSE)
                 up.append(hashes[node.hash])
+            if not up or runs[around[-1].hash] > 1:
+                up.append(_hashed("text " + clean, True))
             out.append((clean, up))
     return out
 
 
-def _joined(parsed: list[dict], doomed: set[int]) -> str:
-    """The blocks outside the containers in ``doomed`` that hold at most half of the text."""
-    if doomed:
-        total = sum(len(b["text"]) for b in parsed)
+def _joined(parsed: list[tuple[str, list[int]]], doomed: set[int]) -> str:
+    """The blocks outside the containers in ``doomed`` that hold at most half of the text, and outside its prose if any are left."""
+    frames = {h for h in doomed if not h & 1}
+    if frames:
+        total = sum(len(text) for text, _ in parsed)
         held: dict[int, int] = {}
-        for b in parsed:
-            for h in set(b["up"]):
-                held[h] = held.get(h, 0) + len(b["text"])
-        doomed = {h for h in doomed if 2 * held.get(h, 0) <= total}
-    return "\n\n".join(b["text"] for b in parsed if doomed.isdisjoint(b["up"]))
-
-
-BLOCKS = "blocks array<struct<text: string, up: array<bigint>>>"
+        for text, up in parsed:
+            for h in set(up):
+                held[h] = held.get(h, 0) + len(text)
+        frames = {h for h in frames if 2 * held.get(h, 0) <= total}
+    kept = [b for b in parsed if frames.isdisjoint(b[1])]
+    prose = {h for h in doomed if h & 1}
+    own = [b for b in kept if prose.isdisjoint(b[1])]
+    return "\n\n".join(text for text, _ in own or kept)
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, a row id, and the blocks of each page."""
+    """page (a hash of url and html), host, and the distinct hashes of each page's elements."""
     host = F.lower(F.coalesce(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    rows = pages.select("page_id", "url", host.alias("host"), "html")
-    kind = pa.list_(pa.struct([("text", pa.string()), ("up", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "html"):
-            parsed = [[{"text": t, "up": up} for t, up in blocks(html or "")] for html in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(parsed, kind)], names=["page_id", "url", "host", "blocks"])
+            trees = [list({h for _, up in blocks(html or "") for h in up}) for html in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(trees, pa.list_(pa.int64()))], names=["page", "host", "trees"])
 
-    id_type = pages.schema["page_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"page_id {id_type}, url string, host string, {BLOCKS}").withColumn("row", F.monotonically_increasing_id())
+    return pages.select(_page(), host.alias("host"), "html").mapInArrow(run, "page bigint, host string, trees array<bigint>")
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
-    parsed = pinned(parse(pages), "pages")
-    trees = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["up"])))
-    # Only pages with containers that a template could have made take part in the counts and the join.
-    held = parsed.select("row", "host", F.explode(trees).alias("tree"))
+def _page() -> Column:
+    return F.xxhash64("url", "html").alias("page")
+
+
+def recurring(parsed: DataFrame) -> DataFrame:
+    """page and doomed: which hashes of each page are to be cut; pages without any have no row."""
+    held = parsed.select("page", "host", F.explode("trees").alias("tree"))
+    held = held.select("page", "host", F.col("tree").bitwiseAND(F.lit(-2)).alias("tree"), F.col("tree").bitwiseAND(F.lit(1)).alias("prose"))
     sizes = parsed.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = held.groupBy("host", "tree").agg(F.count("*").alias("n"))
-    recurring = pinned(counts.join(sizes, "host").filter((F.col("n") >= LEAST_PAGES) & (F.col("n") >= SHARE * F.col("pages"))).select("host", "tree"), "templates")
-    doomed = held.join(recurring, ["host", "tree"]).groupBy("row").agg(F.collect_set("tree").alias("doomed"))  # a page's own containers
-    plain = parsed.filter(F.size(trees) == 0).select("page_id", "url", F.array_join(F.transform("blocks", lambda b: b["text"]), "\n\n").alias("text"))
+    counts = held.groupBy("host", "tree").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_PAGES)
+    shares = counts.join(sizes, "host").filter(F.col("n") >= SHARE * F.col("pages"))
+    often = pinned(shares.select("host", "tree", (F.col("n") >= PROSE_SHARE * F.col("pages")).alias("often")), "templates")
+    doomed = held.join(often, ["host", "tree"]).filter("often or prose = 0")
+    return pinned(doomed.groupBy("page").agg(F.collect_set(F.col("tree") + F.col("prose")).alias("doomed")), "doomed")  # a page's own elements
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """page_id, url, text and n_chars of every page.
+
+    Pages are parsed once to count and once more to cut, so that no blocks are written or shuffled.
+    """
+    doomed = recurring(pinned(parse(pages), "pages"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [_joined(b, set(d or ())) for b, d in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        for batch in pieces(batches, "html"):
+            texts = [_joined(blocks(html or ""), set(d or ())) for html, d in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    framed = parsed.filter(F.size(trees) > 0).join(doomed, "row", "left").select("page_id", "url", "blocks", "doomed")
     id_type = pages.schema["page_id"].dataType.simpleString()
-    both = plain.unionByName(framed.mapInArrow(cut, f"page_id {id_type}, url string, text string"))
-    return both.withColumn("n_chars", F.char_length("text").cast("bigint"))
+    rows = pages.select("page_id", "url", "html", _page()).join(doomed, "page", "left").select("page_id", "url", "html", "doomed")
+    return rows.mapInArrow(cut, f"page_id {id_type}, url string, text string").withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
 def op10_site_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,3 +54,16 @@ def test_odd_rows(spark):
     got = extract(frame).collect()
     assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 0), (1, 0), (2, 1), (2, 1), (3, 20_000 * 17 - 2), (4, 4)]
     assert extract(frame.limit(0)).collect() == []
+
+
+def test_what_recurs_inside_articles_goes_and_quotes_stay(spark):
+    def made(k, host, extra=""):
+        return f"<html><body><main><article><h1>Title {k}</h1><p>Own words {k}.</p>{extra}<ul><li>point {k}<li>Write to us</ul><h2>Read on</h2><span>Sign up for more</span><p>Get our letter every week.</p></article><article><p>Teaser</p></article></main></body></html>"
+
+    quote = "<blockquote>A passage that some quote.</blockquote>"
+    rows = [(k, f"http://d.example/{k}", made(k, "d.example", quote if k < LEAST_PAGES else "")) for k in range(3 * LEAST_PAGES)]
+    rows += [(100 + k, f"http://e.example/{k}", made(k, "e.example")) for k in range(LEAST_PAGES - 1)]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for k in range(3 * LEAST_PAGES):
+        assert got[k].split("\n\n") == [f"Title {k}", f"Own words {k}.", *(["A passage that some quote."] if k < LEAST_PAGES else []), f"point {k}"]
+    assert all(got[100 + k].endswith("Write to us\n\nRead on\n\nSign up for more\n\nGet our letter every week.\n\nTeaser") for k in range(LEAST_PAGES - 1))
