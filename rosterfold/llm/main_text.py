@@ -9,7 +9,10 @@ are cut only from ``PROSE_SHARE`` of the pages on, so that articles that quote t
 nothing would be left of the page.
 
 As a supplement, navigation, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
-go by their tag, role or class, whatever their count; what these or the choice of article take out is not counted.
+go by their tag, role or name, whatever their count; what these or the choice of article take out is not counted. A name is
+a whole token of the class or the whole id, never a piece of a compound one. Names take out no body, ``main`` or outer
+``article``, and nothing that holds one, unless the page has another that no name is around. Inside an article, ids of headings and
+prose say nothing, and other ids only when they tell reader comments.
 
 A block is the text between two block-level tags; its references are decoded, white space becomes one space, and blocks
 are joined by an empty line.
@@ -45,36 +48,44 @@ _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PROSE = _HEADING | frozenset("p li dd dt td th tr tbody thead blockquote pre figcaption".split())
 _DROPPED = frozenset("nav aside footer form head script style noscript template iframe svg math object canvas button select textarea input dialog menu".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-_NAMES = frozenset("ad ads advert adverts advertisement advertising adbox adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion replies reply respond related share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split())
-_SPLIT = re.compile(r"[\s_-]+")
+_READERS = frozenset("comment comments commentlist comment-list comments-area comment-respond disqus disqus_thread replies reply respond".split())
+_NAMES = _READERS | frozenset("ad ads advert adverts advertisement advertising adbox adsense banner breadcrumb breadcrumbs consent cookie cookies disclaimer footer gdpr login menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion related share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget cookie-banner cookie-notice newsletter-signup related-articles related-posts share-box share-buttons site-footer social-share".split())
 # An opening tag ends an open element of the same group, up to the nearest container.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _HOLDS = frozenset("ul ol dl table body html article section div td th main".split())
 
 
 class _Node:
-    __slots__ = ("tag", "dropped", "region", "hash", "start")
+    __slots__ = ("tag", "dropped", "named", "region", "hash", "start")
 
-    def __init__(self, tag: str, dropped: bool, region: int, start: int):
-        self.tag, self.dropped, self.region, self.start, self.hash = tag, dropped, region, start, None
+    def __init__(self, tag: str, dropped: bool, named: int, region: int, start: int):
+        self.tag, self.dropped, self.named, self.region, self.start, self.hash = tag, dropped, named, region, start, None
 
 
-def _unwanted(tag: str, attributes: str, region: int) -> bool:
+def _unwanted(tag: str, attributes: str, region: int) -> tuple[bool, int]:
+    """Whether tag, role or style tell that an element goes; and its name: 1 a name of ``_NAMES``, 2 one of reader comments."""
     if tag in _DROPPED or tag == "header" and region < 2:
-        return True
+        return True, 0
     if not attributes or tag in ("html", "body"):
-        return False
+        return False, 0
+    named = 0
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name in ("class", "id"):
-            names = _SPLIT.split(value)
-            if not _NAMES.isdisjoint(names) or region < 2 and "header" in names:
-                return True
+            if tag == "main" or tag == "article" and region < 2:
+                continue
+            names = value.split() if name == "class" else [value.strip()]
+            if name == "id" and region == 2:
+                names = [] if tag in _PROSE else _READERS.intersection(names)
+            if not _READERS.isdisjoint(names):
+                named = 2
+            elif not _NAMES.isdisjoint(names) or region < 2 and "header" in names:
+                named = max(named, 1)
         elif name == "role" and value in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, 0
         elif name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+            return True, 0
+    return False, named
 
 
 def _hashed(markup: str, prose: bool) -> int:
@@ -85,6 +96,8 @@ def _hashed(markup: str, prose: bool) -> int:
 def blocks(html: str) -> list[tuple[str, list[int]]]:
     """The blocks of the main text in page order, each with the hashes of the elements around it."""
     found: list[tuple[int, list[str], list[_Node]]] = []  # region, pieces of text, containers around it
+    marks: list[int] = []  # for each of them the name around its article or main
+    names: list[tuple[int, int]] = []  # region and name of the open elements that have one
     stack: list[_Node] = []
     text: list[str] = []
     # Regions: 0 the body, 1 main, 2 an article.
@@ -93,13 +106,20 @@ def blocks(html: str) -> list[tuple[str, list[int]]]:
     def flush() -> None:
         if text:
             found.append((region, text.copy(), [n for n in stack if n.tag in _BLOCK]))
+            marks.append(max((k for _, k in names), default=0))
             text.clear()
 
+    def hidden() -> bool:
+        """A name hides what is in its element, up to an article or main in it."""
+        return dropped > 0 or bool(names) and names[-1][0] == region
+
     def close(k: int, end: int) -> None:
         nonlocal dropped, region
         while len(stack) > k:
             node = stack.pop()
             dropped -= node.dropped
+            if node.named:
+                names.pop()
             region = stack[-1].region if stack else 0
             node.hash = (node.start, end)
 
@@ -108,7 +128,7 @@ def blocks(html: str) -> list[tuple[str, list[int]]]:
     while at < n:
         match = _TOKEN.search(html, at)
         stop = match.start() if match else n
-        if stop > at and not dropped:
+        if stop > at and not hidden():
             text.append(html[at:stop])
         if not match:
             break
@@ -141,7 +161,7 @@ def blocks(html: str) -> list[tuple[str, list[int]]]:
                     elif open_ in _HOLDS:
                         break
         elif tag == "br":
-            if not dropped:
+            if not hidden():
                 text.append(" ")
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
@@ -149,14 +169,23 @@ def blocks(html: str) -> list[tuple[str, list[int]]]:
             continue
         if tag in _VOID or attributes.endswith("/") and tag in ("svg", "path"):
             continue
-        gone = _unwanted(tag, attributes, region)
+        gone, named = _unwanted(tag, attributes, region)
         inner = 2 if tag == "article" else max(region, 1) if tag == "main" else region
-        stack.append(_Node(tag, gone, inner, match.start()))
+        if named:
+            names.append((inner, named))
+        stack.append(_Node(tag, gone, named, inner, match.start()))
         dropped += gone
         region = inner
     flush()
     close(0, n)
 
+    if any(marks):
+        # Articles with no name around them come first, then all but reader comments.
+        shown = [(run, mark) for run, mark in zip(found, marks) if "".join(run[1]).strip()]
+        if any(run[0] and not mark for run, mark in shown):
+            found = [run for run, mark in shown if not mark]
+        elif any(mark < 2 for _, mark in shown):
+            found = [run for run, mark in shown if mark < 2]
     top = max((r for r, *_ in found), default=0)
     found = [run for run in found if run[0] == top]
     runs = Counter(node.hash for _, _, around in found for node in around)

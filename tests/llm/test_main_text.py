@@ -67,3 +67,20 @@ def test_what_recurs_inside_articles_goes_and_quotes_stay(spark):
     for k in range(3 * LEAST_PAGES):
         assert got[k].split("\n\n") == [f"Title {k}", f"Own words {k}.", *(["A passage that some quote."] if k < LEAST_PAGES else []), f"point {k}"]
     assert all(got[100 + k].endswith("Write to us\n\nRead on\n\nSign up for more\n\nGet our letter every week.\n\nTeaser") for k in range(LEAST_PAGES - 1))
+
+
+@pytest.mark.parametrize("html, expected", [
+    ("<div class='layout has-sidebar'><p>a</p></div><main class='with-sidebar'><p>m</p></main>", "m"),
+    ("<div class='layout has-sidebar'><p>a</p></div>", "a"),
+    ("<article class='post comments-closed category-social'><p>x</p></article>", "x"),
+    ("<article class='social'><p>x</p><div class='ad'>no</div></article>", "x"),
+    ("<div class='menu sidebar'>no<main class='notice'><p>m</p><div class='share'>no</div></main>no</div>", "m"),
+    ("<body class='login'><div id=sidebar>no<article><p>x</p></article></div><p>outside</p>", "x"),
+    ("<article><h2 id='related-work'>Related</h2><p>x</p><h2 id=related>More</h2><section id='social-history'><p>y</p></section><section id=notice><p>z</p></section></article>", "Related\n\nx\n\nMore\n\ny\n\nz"),
+    ("<article><p>x</p><article class=comment><p>reader</p></article></article><div class=related><article>teaser</article></div>", "x"),
+    ("<p>words</p><div id=comments><article>reader</article></div>", "words"),
+    ("<main><p>m</p><section class='comments wide'><article>reader</article></section></main>", "m"),
+    ("<nav>no<article>no</article></nav><p>a<div class=sidebar>no</div>b", "a\n\nb"),
+])
+def test_names_are_whole_and_keep_articles(html, expected):
+    assert text(html) == expected
