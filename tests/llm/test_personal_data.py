@@ -59,3 +59,19 @@ def test_odd_rows(frames):
     docs = [*ODD, (20, "a@b.cd " * 4000, "", ""), (20, "a@b.cd " * 4000, "", "")]
     check(frames.docs(docs, extra=True), docs)
     assert personal_data(frames.docs([])).collect() == []
+
+
+def test_spaced_and_spelled_identifiers_are_discovered(frames):
+    docs = [(k, f"some words here call me at +1 499 555 {1000 + k} thanks a lot, or write to me{k}@host{k}.com soon", "", "") for k in range(12)]
+    cases = {
+        "words call me at 499 555 1000 thanks": ("499 555 1000", "phone"), "words call me at (499) 555-1000 thanks": ("(499) 555-1000", "phone"),
+        "words call me at (499 555 1001), thanks": ("499 555 1001", "phone"), "words call me at 4990 - 555 - 1002 thanks": ("4990 - 555 - 1002", "phone"),
+        "words call me at GB29 NWBK 6016 1331 9268 19 thanks": ("GB29 NWBK 6016 1331 9268 19", "phone"), "words call me at 0049-555-1234567 4 thanks": ("0049-555-1234567 4", "phone"),
+        "or write to name at host dot com soon": ("name at host dot com", "email"), "or write to a.b [at] host [dot] co.uk soon": ("a.b [at] host [dot] co.uk", "email"),
+        "the years 1999 2000 2001 2002 in all, we met at noon dot": None, "words call me at " + "12 " * 40 + "thanks": None,
+    }
+    docs += [(50 + k, t, "", "") for k, t in enumerate(cases)] + [(99, "words call me at " + "7 " * 30_000, "", "")]
+    rows = {r["doc_id"]: r for r in check(frames.docs(docs), docs)}
+    for k, (text, want) in enumerate(cases.items()):
+        assert [(text[s["start"]:s["end"]], KINDS[s["like"]]) for s in rows[50 + k]["found"] or []] == ([want] if want else []), text
+    assert not any(rows[k]["found"] for k in range(12))
