@@ -1,7 +1,9 @@
 """Benchmark passages in training documents, found by spaced-seed hashing.
 
 Words of benchmark items and documents are hashed. A mask keeps some places of a window and ignores the others; equal
-hashes of the kept words are a hit, also where ignored words were substituted. Around each hit the item is laid on the
+hashes of the kept words are a hit, also where ignored words were substituted. The mask of four words misses no overlap: m
+substitutions leave m + 1 runs of at least max(13, 4 m) equal words together, so that one run has four at least. Hits on lines that
+have too few equal words in all are dropped together. Around each hit the item is laid on the
 document at that shift and compared word by word. The stretch with the most
 words that agree, among those of which at least four fifths do, is an overlap when it has at least ``LEAST`` such words; it
 begins and ends in one. An item of fewer than ``LEAST`` words must agree as a whole; one of fewer than
@@ -25,10 +27,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rosterfold.llm.shared import table
 from rosterfold.llm.words import PLACES, Words, mix, pieces
 
-MASKS = ("1101011011", "1011101101", "1110110011", "11111111")
+MASKS = ("1101011011", "1011101101", "1110110011", "11111111", "1111")
 LEAST, SHORTEST = 13, 5
 AGREES, DIFFERS = 1, 4  # a stretch adds up to 0 or more when at least four fifths of it agree
 SLICE_BYTES = 64 << 20
+_COMPARED = 1 << 21  # words compared at once
 _FILTER_BITS = 20
 OVERLAPS = "doc_id bigint, item_id bigint, doc_word bigint, item_word bigint, words bigint, same bigint"
 
@@ -84,12 +87,33 @@ class Seeds:
         lined = np.concatenate(lined)
         text = np.searchsorted(words.bounds, lined[:, 0], "right") - 1
         best: dict[tuple[int, int], tuple] = {}
-        for t, item, start in np.unique(np.stack([text, lined[:, 1], lined[:, 2]], axis=1), axis=0).tolist():
+        lines = np.unique(np.stack([text, lined[:, 1], lined[:, 2]], axis=1), axis=0)
+        for t, item, start in lines[self._enough(words, lines)].tolist():
             found = self._aligned(words, t, item, start)
             if found and found[3] > best.get((t, item), (0, 0, 0, 0))[3]:
                 best[t, item] = found
         return [(t, item, *found) for (t, item), found in best.items()]
 
+    def _enough(self, words: Words, lines: np.ndarray) -> np.ndarray:
+        """Whether each (text, item, start) has as many equal words in all as an overlap must have."""
+        text, item, start = lines.T
+        own = self.bounds[item]
+        size = self.bounds[item + 1] - own
+        low, high = np.maximum(start, words.bounds[text]), np.minimum(start + size, words.bounds[text + 1])
+        ends = np.cumsum(high - low)
+        out = np.zeros(len(lines), np.int64)
+        at = 0
+        while at < len(lines):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _COMPARED, "right")))
+            some = slice(at, stop)
+            n = (high - low)[some]
+            firsts = np.cumsum(n) - n
+            step = np.arange(int(n.sum())) - np.repeat(firsts, n)
+            equal = words.hashes[np.repeat(low[some], n) + step] == self.hashes[np.repeat((low - start + own)[some], n) + step]
+            out[some] = np.add.reduceat(equal, firsts, dtype=np.int64)  # a hit has words, so no line is empty
+            at = stop
+        return out >= np.minimum(LEAST, size)
+
     def _aligned(self, words: Words, text: int, item: int, start: int) -> tuple[int, int, int, int] | None:
         """``start``: the word of the batch on which the item's first word lies; may be before the text."""
         own = self.hashes[self.bounds[item]:self.bounds[item + 1]]

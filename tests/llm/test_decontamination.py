@@ -42,3 +42,22 @@ def test_odd_and_empty(spark, frames):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert overlaps(frame, none).collect() == [] and clean(frame, none).count() == len(ODD)
     assert overlaps(frames.docs([]), bench).collect() == []
+
+
+def test_no_pattern_of_substitutions_is_missed():
+    from itertools import combinations
+
+    import pyarrow as pa
+
+    from rosterfold.llm.decontamination import Seeds
+    from rosterfold.llm.words import Words
+
+    for n in (*range(13, 21), 25):
+        item = [f"w{k}" for k in range(n)]
+        texts, most = [], min(n - 13, n // 5)
+        for m in range(most + 1):
+            for changed in combinations(range(1, n - 1), m):
+                texts.append(" ".join("other" if k in changed else w for k, w in enumerate(item)))
+        found = Seeds([1], [" ".join(item)]).overlaps(Words(pa.array(texts)))
+        assert sorted(r[0] for r in found) == list(range(len(texts)))
+        assert all(r[2:] == (0, 0, n, n - texts[r[0]].split().count("other")) for r in found)
