@@ -419,11 +419,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def first_of_each(docs: DataFrame) -> DataFrame:
     """One document of each component, the one of the smallest doc_id, and all documents without shingles.
 
-    Rows of equal doc_id and equal text are one document here: they stay or go together.
+    Of rows that repeat the kept one's doc_id (also null) and text, one stays, the least in all its columns.
     """
-    found = pinned(near_duplicates(docs).select("doc_id", "text_hash", "kept"), "duplicates")
-    gone = found.groupBy("doc_id", "text_hash").agg(F.max("kept").alias("kept")).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    return docs.join(gone, F.expr("doc_id <=> _id") & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    found = pinned(near_duplicates(docs).select("doc_id", "text_hash", "n_shingles", "kept"), "duplicates")
+    repeats = F.col("kept") & (F.col("n") > 1) & (F.col("n_shingles") > 0)
+    keys = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
+        F.max("kept").alias("kept"), F.count("*").alias("n"), F.max(F.coalesce("n_shingles", F.lit(0))).alias("n_shingles"))
+    gone = keys.filter(~F.col("kept") | repeats).select("_id", "_hash")
+    again = pinned(keys.filter(repeats).select("_id", "_hash"), "repeats")
+    own = F.expr("doc_id <=> _id") & (F.xxhash64("text") == F.col("_hash"))
+    rest = docs.join(gone, own, "left_anti")
+    if not again.head(1):
+        return rest
+    # The least row is combined before the shuffle, so that copies of one text do not meet in one task.
+    least = docs.join(again, own, "left_semi").groupBy(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash")).agg(F.min(F.struct(*docs.columns)).alias("_least"))
+    return rest.union(least.select("_least.*"))
 
 
 def op6_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:

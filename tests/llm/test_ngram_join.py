@@ -90,3 +90,9 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(128, 90), (5, 5)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {k: 0 for k in range(41)} | {k: 90 for k in [90, *range(100, 130)]}
+
+
+def test_one_of_rows_that_repeat_stays(frames):
+    text = "a quiet morning by the river with nothing much to tell"
+    docs = [(1, text, "en", "s")] * 3 + [(2, text, "en", "s")] * 2 + [(None, "other words of a text that has no number at all", "en", "s")] * 4 + [(3, "", "en", "s")] * 2
+    assert sorted(r["doc_id"] or 0 for r in first_of_each(frames.docs(docs, extra=True)).collect()) == [0, 1, 3, 3]
