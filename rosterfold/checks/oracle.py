@@ -302,6 +302,66 @@ select request_id, name, route, gate, code, uid, display_name, email, aggregate_
  case when gate is null then {user_etag('name', 'aggregate_version')} end as etag from outcomes"""
 
 
+# Histories of several request tables, walked through one user's requests and events at a time.
+
+
+def _near(ts: str) -> str:
+    return f"timestamp '2024-01-01' + to_minutes(cast(18 * date_diff('day', date '1995-01-01', cast({ts} as date)) as integer))"
+
+
+KNOWN_FIELDS = "['name', 'uid', 'display_name', 'email', 'groups', 'aggregate_version', 'etag']"
+
+NEAR_LOG = f"""{FX_USER_EVENTS.replace('fx_user_events as', 'far_user_events as')},
+fx_user_events as (select * replace ({_near('ts')} as ts) from far_user_events),
+{USER_LOG}"""
+
+REMOVE_WALK = f"""{FX_USER_EVENTS}, {FX_REMOVE},
+steps as (
+ select name, {_near('ts')} as ts, event_rank, seq, event_type, group_name, display_name, payload_groups, cast(null as bigint) as request_id from fx_user_events
+ union all select user_name, ts, 5, request_id, 'asked', group_name, null, null, request_id from fx_remove),
+ordered as (select *, row_number() over (partition by name order by ts, event_rank, seq) as n from steps),
+walk as (
+ select distinct name, cast(0 as bigint) as n, cast(0 as bigint) as version, cast(null as varchar) as shown, cast([] as varchar[]) as members,
+  cast(null as bigint) as request_id, cast(null as varchar) as group_name, cast(null as varchar) as gate from steps
+ union all
+ select name, n, case when event_type = 'UserCreated' then 1 when version = 0 or gate is not null then version else version + 1 end,
+  case when event_type in ('UserCreated', 'UserUpdated') then display_name else shown end,
+  case when event_type = 'UserCreated' then [] when version = 0 or gate is not null then members
+   when event_type = 'UserUpdated' then [x for x in string_split(payload_groups, ',') if x <> '']
+   when event_type in ('GroupRemoved', 'asked') then [x for x in members if x <> group_name] else list_append(members, group_name) end,
+  request_id, group_name, gate
+ from (select o.*, w.version, w.shown, w.members, case when event_type <> 'asked' then null when w.version = 0 then 'user'
+   when not list_contains(w.members, o.group_name) then 'group' end as gate
+  from walk w join ordered o on o.name = w.name and o.n = w.n + 1)),
+removed as (select *, name as user_name from walk where request_id is not null)"""
+
+UPSERT_REPLAY = f"""with recursive {FX_USERS}, {FX_UPDATE},
+ordered as (select *, {trim('display_name')} as own_name, {trim('email')} as own_mail, row_number() over (partition by name order by ts, request_id) as n from fx_update),
+judged as (select *, {user_id_errors("replace(name, 'users/', '')")[1]} as id_texts, {profile_errors('own_name', 'own_mail', 'uid')[1]} as own_texts from ordered),
+walk as (
+ select distinct f.name, cast(0 as bigint) as n, u.uid, coalesce(u.aggregate_version, 0) as version, u.display_name as shown, u.email as mail,
+  cast(null as bigint) as request_id, cast(null as varchar) as route, cast(null as varchar) as gate from fx_update f left join fx_users u on f.name = u.name
+ union all
+ select name, n, case when route = 'create' and gate is null then asked_uid else uid end,
+  case when gate is not null then version when route = 'create' then 1 else version + 1 end,
+  case when gate is not null then shown when route = 'create' then own_name else new_name end,
+  case when gate is not null then mail when route = 'create' then own_mail else new_mail end, request_id, route, gate
+ from (
+  select *, case route when 'invalid' then 'name' when 'create' then case when id_texts <> '' then 'user_id_format' when own_texts <> '' then 'fields' end
+   else case when version = 0 then 'user' when etag <> {user_etag('name', 'version')} then 'etag' when not list_has_all({KNOWN_FIELDS}, mask) then 'mask'
+    when {profile_errors('new_name', 'new_mail', 'uid')[1]} <> '' then 'fields' end end as gate
+  from (
+   select w.name, j.n, w.uid, w.version, w.shown, w.mail, j.request_id, j.uid as asked_uid, j.etag, j.mask, j.id_texts, j.own_texts, j.own_name, j.own_mail,
+    {trim("case when list_contains(j.mask, 'display_name') then j.display_name else w.shown end")} as new_name,
+    {trim("case when list_contains(j.mask, 'email') then j.email else w.mail end")} as new_mail,
+    case when not (starts_with(w.name, 'users/') and length(w.name) between 10 and 69) then 'invalid' when w.version = 0 and j.allow_missing then 'create' else 'update' end as route
+   from walk w join judged j on j.name = w.name and j.n = w.n + 1)))
+select request_id, name, route, gate,
+ cast(case gate when 'user' then 5 when 'etag' then 10 when 'mask' then 3 when 'fields' then 3 when 'name' then 3 when 'user_id_format' then 3 else 0 end as integer) as code,
+ case when gate is null then uid end as uid, case when gate is null then shown end as display_name, case when gate is null then mail end as email,
+ case when gate is null then cast(version as integer) end as aggregate_version, case when gate is null then {user_etag('name', 'version')} end as etag
+from walk where n > 0"""
+
 # Invitations.
 
 DECIDED = f"""{FX_INVITATIONS}, {FX_DECISIONS},
@@ -351,6 +411,54 @@ CREATE_INVITATIONS = f"""invited as (
    substr(digest, 17, 4) || '-' || substr(digest, 21, 12) as name
  from (select *, sha256(cast(request_id as varchar)) as digest from fx_invite))"""
 
+# Users that create requests make on the way have the names that other requests ask for in vain.
+FX_NEWCOMERS = FX_CREATE.replace("'uid-' ||", "'uid-new-' ||").replace("'user-' || cast((user_id * 3 + event_id) % 197 as varchar)", "'none-' || cast(user_id as varchar)")
+
+DIRECTORY = f"""with recursive {CREATE_WALK.replace(FX_CREATE, FX_NEWCOMERS)}, {FX_USERS}, {FX_UPDATE}, {FX_GROUPS}, {FX_INVITE}, {CREATE_INVITATIONS}, {FX_REMOVE}, {DECIDED},
+guesses as (
+ select request_id, ts, name, display_name, email, case when request_id % 6 = 2 then ['groups'] else mask end as mask,
+  case when request_id % 6 = 2 then ['groups/g-' || cast(request_id % 7 as varchar)] else [] end as appended,
+  case when request_id % 5 = 0 then '"stale"' else {user_etag('name', '(1 + 13 * (day(ts) - 1) // 30 + request_id % 4)')} end as etag from fx_update),
+steps as (
+ select name, ts, 1 as rank, request_id as seq, 'create' as kind, uid, display_name as shown, email as mail, null as etag, cast([] as varchar[]) as mask, cast([] as varchar[]) as names
+ from created where gate is null
+ union all select name, ts, 2, request_id, 'update', null, display_name, email, etag, mask, appended from guesses
+ union all select 'users/cust-' || cast(o_custkey as varchar), {_near('o_orderdate')}, 3, o_orderkey, 'join', null, null, null, null, [], ['groups/own-' || cast(o_orderkey as varchar)] from orders
+ union all select regexp_extract(name, '(users/[a-z0-9-]+)/groupInvitations/[a-z0-9-]+', 1), {_near('ts')}, 4, row_number() over (), 'join', null, null, null, null, [], [group_name]
+ from replayed where gate is null and action = 'ACCEPTED'
+ union all select user_name, ts, 5, request_id, 'remove', null, null, null, null, [], [group_name] from fx_remove),
+ordered as (select *, row_number() over (partition by name order by ts, rank, seq) as n from steps),
+life as (
+ select distinct s.name, cast(0 as bigint) as n, u.uid, cast(coalesce(u.aggregate_version, 0) as bigint) as version, u.display_name as shown, u.email as mail,
+  cast([] as varchar[]) as members, cast(null as bigint) as request_id, cast('' as varchar) as kind, cast(null as varchar) as gate
+ from steps s left join fx_users u on s.name = u.name
+ union all
+ select name, n, case when kind = 'create' then new_uid else uid end,
+  case when kind = 'create' then 1 when version = 0 or gate is not null then version else version + 1 end,
+  case when kind in ('create', 'update') and gate is null then new_name else shown end, case when kind in ('create', 'update') and gate is null then new_mail else mail end,
+  case when version = 0 or gate is not null then members when kind = 'remove' then [x for x in members if x <> names[1]]
+   when kind = 'join' or list_contains(mask, 'groups') then list_concat(members, names) else members end, seq, kind, gate
+ from (
+  select *, case kind when 'update' then case when version = 0 then 'user' when etag <> {user_etag('name', 'version')} then 'etag'
+    when not list_has_all({KNOWN_FIELDS}, mask) then 'mask' when {profile_errors('new_name', 'new_mail', 'uid')[1]} <> '' then 'fields' end
+   when 'remove' then case when version = 0 then 'user' when not list_contains(members, names[1]) then 'group' end end as gate
+  from (
+   select l.name, o.n, l.uid, l.version, l.shown, l.mail, l.members, o.seq, o.kind, o.etag, o.mask, o.names, o.uid as new_uid,
+    {trim("case when o.kind = 'create' or list_contains(o.mask, 'display_name') then o.shown else l.shown end")} as new_name,
+    {trim("case when o.kind = 'create' or list_contains(o.mask, 'email') then o.mail else l.mail end")} as new_mail
+   from life l join ordered o on o.name = l.name and o.n = l.n + 1))),
+outcomes as (
+ select kind as pipeline, cast(request_id as varchar) as request_id, gate, version as aggregate_version, {user_etag('name', 'version')} as etag
+ from life where kind in ('update', 'remove')
+ union all select 'create', cast(request_id as varchar), gate, 1, {user_etag('name', '1')} from created
+ union all select 'invite', cast(i.request_id as varchar), case when i.gate = 'group' then 'group' when u.name is null and (c.ts is null or c.ts > i.ts) then 'parent' end, 1,
+  {invitation_etag('i.name', '1')} from invited i left join fx_users u on i.parent = u.name left join (select * from created where gate is null) c on c.name = i.parent
+ union all select 'decide', request_id, gate, 2, etag2 from replayed)
+select pipeline, request_id, gate, cast(case when gate is null then 0
+  when gate = 'etag' then 10 when gate = 'state' then 9 when gate in ('uid', 'user_id') then 6
+  when gate = 'user' or pipeline = 'remove' then 5 else 3 end as integer) as code,
+ case when gate is null then cast(aggregate_version as integer) end as aggregate_version, case when gate is null then etag end as etag from outcomes"""
+
 _READ_USER = """cast(case gate when 'uid' then 5 when 'name' then 3 when 'user' then 5 else 0 end as integer) as code"""
 
 
@@ -413,6 +521,14 @@ select request_id, user_name, group_name, gate, cast(case when gate is null then
  case when gate is null then display_name end as display_name, case when gate is null then total - equal end as groups_left,
  case when gate is null then cast(v + 1 as integer) end as aggregate_version,
  case when gate is null then {user_etag('user_name', '(v + 1)')} end as etag from judged""",
+        "remove_group_replay": f"""with recursive {REMOVE_WALK}
+select request_id, user_name, group_name, gate, cast(case when gate is null then 0 else 5 end as integer) as code,
+ case gate when 'user' then 'User with name ' || user_name || ' does not exists.'
+  when 'group' then 'Group with name ' || group_name || ' does not exists.' else 'Group removed.' end as message,
+ case when gate is null then shown end as display_name, case when gate is null then cast(len(members) as bigint) end as groups_left,
+ case when gate is null then cast(version as integer) end as aggregate_version, case when gate is null then {user_etag('user_name', 'version')} end as etag from removed""",
+        "upsert_replay": UPSERT_REPLAY,
+        "directory_replay": DIRECTORY,
         "remove_group_items": f"""with {FX_USER_EVENTS}, {USER_LOG}, {USER_GROUPS}, {FX_REMOVE},
 passed as (select r.* from fx_remove r where (r.user_name, r.group_name) in (select (name, group_name) from groups_now))
 select p.request_id, row_number() over (partition by p.request_id order by g.position) as position, g.group_name
@@ -421,7 +537,7 @@ from passed p join groups_now g on p.user_name = g.name and p.group_name <> g.gr
 select regexp_extract(name, '(users/[a-z0-9-]+)/groupInvitations/[a-z0-9-]+', 1) as name, group_name, count(*) as times
 from replayed where gate is null and action = 'ACCEPTED' group by 1, 2""",
         "membership_from_groups": """select 'users/cust-' || cast(o_custkey as varchar) as name, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as position,
- 'groups/own-' || cast(o_orderkey as varchar) as group_name from orders where o_orderkey % 10 = 3""",
+ 'groups/own-' || cast(o_orderkey as varchar) as group_name from orders""",
         "create_invitation_outcomes": f"""with {FX_USERS}, {FX_GROUPS}, {FX_INVITE}, {CREATE_INVITATIONS}
 select request_id, parent, group_name, gate, cast(case when gate is null then 0 else 3 end as integer) as code,
  case when gate is null then 'Group Invitation created.' else '{INVALID}' end as message, gate as violation_fields,
@@ -480,6 +596,16 @@ select l.request_id, l.name as parent, case when total is null then 'index' end
  case when total is null then null when page_offset + page_size < total
   then to_base64(encode(cast(page_offset + page_size as varchar))) else '' end as next_page_token
 from fx_lookup l left join sizes s on l.name = s.parent""",
+        "groups_at_version": f"""with {NEAR_LOG}, {USER_GROUPS}, {FX_LOOKUP},
+places as (select l.request_id, v.name, v.ts, v.event_rank, v.seq, v.aggregate_version from fx_lookup l join user_versions v
+ on l.name = v.name and v.epoch = 1 and v.aggregate_version = 1 + l.request_id % 12)
+select p.request_id, p.name, p.aggregate_version, row_number() over (partition by p.request_id order by s.ts, s.event_rank, s.seq, s.ordinal) as position, s.group_name
+from places p join spans s on p.name = s.name and (s.ts, s.event_rank, s.seq) <= (p.ts, p.event_rank, p.seq)
+ and (s.reset_at is null or (p.ts, p.event_rank, p.seq) < s.reset_at) and (s.removed_at is null or (p.ts, p.event_rank, p.seq) < s.removed_at)""",
+        "user_as_of": f"""with {NEAR_LOG}, {FX_LOOKUP},
+seen as (select l.request_id, l.name, v.display_name, v.aggregate_version, row_number() over (partition by l.request_id order by v.ts desc, v.event_rank desc, v.seq desc) as back
+ from fx_lookup l left join user_versions v on v.name = l.name and v.epoch > 0 and v.ts <= l.ts)
+select request_id, name, display_name, aggregate_version, case when aggregate_version is not null then {user_etag('name', 'aggregate_version')} end as etag from seen where back = 1""",
         "orphan_events": f"{user_changelog} select name, ts, seq, event_type from user_versions where epoch = 0",
         "event_sinks": f"""with recursive {CREATE_WALK}, {FX_USERS}, {FX_UPDATE}, {UPDATE_JUDGED}, {FX_GROUPS}, {FX_INVITE},
 {CREATE_INVITATIONS}, {FX_USER_EVENTS}, {USER_LOG}, {USER_GROUPS}, {FX_REMOVE}, {DECIDED}
@@ -489,16 +615,24 @@ union all select 'GroupRemoved', user_name, ts, request_id, group_name, '', '',
  where (r.user_name, r.group_name) in (select (name, group_name) from groups_now)
 union all select 'GroupInvitationCreated', name, ts, request_id, group_name, '', '', 'PENDING' from invited where gate is null
 union all select 'GroupInvitation' || upper(action[1]) || lower(action[2:]), name, ts, 0, group_name, '', '', action from replayed where gate is null""",
-        "response_sinks": f"""with recursive {CREATE_WALK}, {FX_USERS}, {FX_UPDATE}, {UPDATE_JUDGED}, {FX_GROUPS}, {FX_INVITE},
-{CREATE_INVITATIONS}, {FX_USER_EVENTS}, {USER_LOG}, {USER_GROUPS}, {FX_REMOVE}, {DECIDED}
-select 'create_user' as pipeline, cast(request_id as varchar) as request_id, gate from created
-union all select 'update_user', cast(request_id as varchar), gate from judged
-union all select 'remove_group', cast(request_id as varchar), case when user_name not in (select name from user_now) then 'user'
- when (user_name, group_name) not in (select (name, group_name) from groups_now) then 'group' end from fx_remove
-union all select 'create_invitation', cast(request_id as varchar), gate from invited
-union all select lower(action[:6]) || '_invitation', request_id, gate from replayed""",
+        "response_sinks": f"""select 'create_user' as pipeline, cast(request_id as varchar) as request_id, gate, code, message, coalesce(violation_fields, '') as violation_fields from ({CREATE_OUTCOMES})
+union all select 'update_user', cast(request_id as varchar), gate, code, message, coalesce(violation_fields, '') from ({UPDATE_SNAPSHOT})
+union all select 'remove_group', cast(request_id as varchar), gate, code, message, '' from (__REMOVED__)
+union all select 'create_invitation', cast(request_id as varchar), gate, code, message, coalesce(violation_fields, '') from (__INVITED__)
+union all select lower(action[:6]) || '_invitation', request_id, gate, code, message, coalesce(violation_fields, '') from (with {DECIDED} select {_DECISION_COLUMNS} from replayed)""",
     }
+    queries["response_sinks"] = (queries["response_sinks"].replace("__REMOVED__", queries["remove_group_outcomes"])
+                                 .replace("__INVITED__", queries["create_invitation_outcomes"]))
+    queries["stream_event_sinks"] = f"""select 'UserCreated' as event_type, name, ts, '' as group_name, display_name, email, '' as state
+ from (with recursive {CREATE_WALK} select * from created where gate is null)
+union all select 'UserUpdated', u.name, f.ts, '', u.display_name, u.email, '' from ({UPDATE_REPLAY}) u join (with {FX_UPDATE} select * from fx_update) f using (request_id) where u.gate is null
+union all select 'GroupRemoved', r.user_name, f.ts, r.group_name, '', '', '' from ({queries['remove_group_outcomes']}) r join (with {FX_REMOVE} select * from fx_remove) f using (request_id) where r.gate is null
+union all select 'GroupInvitation' || upper(action[1]) || lower(action[2:]), name, ts, group_name, '', '', action from (with {DECIDED} select * from replayed where gate is null)
+union all select 'Released uid', uid, ts, '', '', '', '' from (with recursive {CREATE_WALK} select * from created where gate in ('user_id_format', 'user_id', 'fields'))
+union all select 'Released user_id', user_id, ts, '', '', '', '' from (with recursive {CREATE_WALK} select * from created where gate = 'fields')"""
     queries["stream_user_fold"] = queries["user_snapshot"]
+    queries["stream_user_state"] = queries["user_snapshot"]
+    queries["stream_uid_counts"] = f"with {FX_CREATE} select uid, count(*) as value from fx_create group by uid"
     queries["stream_multi_sink"] = f"""with {FX_USERS}, {FX_GROUPS}, {FX_INVITE}, {CREATE_INVITATIONS}
 select request_id, gate, cast(case when gate is null then 0 else 3 end as integer) as code,
  case when gate is null then name end as event_name from invited"""

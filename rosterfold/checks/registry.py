@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -15,12 +16,12 @@ from rosterfold.functions.text import strip_blank, units
 from rosterfold.operators import folds
 from rosterfold.operators.skew import Probe, lookup
 from rosterfold.operators.workspace import new_folder, pinned
-from rosterfold.plans import invitations, lookups, users
+from rosterfold.plans import directory, invitations, lookups, users
 from rosterfold.schemas import (CREATE_INVITATION_REQUEST, CREATE_USER_REQUEST, DECIDE_INVITATION_REQUEST, INVITATION_EVENT,
-                                REMOVE_GROUP_REQUEST, UPDATE_USER_REQUEST, USER_EVENT)
+                                REMOVE_GROUP_REQUEST, UPDATE_USER_REQUEST, USER_EVENT, USER_EVENT_ORDER, USER_EVENT_TYPES)
 from rosterfold.sources import fixtures as fx
 from rosterfold.sources import tables
-from rosterfold.streaming import jobs
+from rosterfold.streaming import jobs, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -180,6 +181,14 @@ def remove_group_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return users.remaining_groups(_removals(spark, sf_dir), folds.user_groups(fx.user_events(spark, sf_dir)))
 
 
+@registered
+def remove_group_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removals in their place among the events of the log, each after the removals before it."""
+    outcomes = directory.replay_removals(fx.remove_group_requests(spark, sf_dir), fx.near_user_events(spark, sf_dir))
+    return outcomes.select("request_id", "user_name", "group_name", "gate", F.col("status.code").alias("code"), F.col("status.message").alias("message"),
+                           "display_name", "groups_left", "aggregate_version", "etag")
+
+
 def _invites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return invitations.create_invitations(fx.create_invitation_requests(spark, sf_dir), fx.users(spark, sf_dir),
                                           fx.groups(spark, sf_dir))
@@ -222,6 +231,25 @@ def upsert_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
                            "display_name", "email", "aggregate_version", "etag")
 
 
+@registered
+def upsert_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcomes = users.replay_upserts(fx.update_user_requests(spark, sf_dir), fx.users(spark, sf_dir))
+    return outcomes.select("request_id", "name", "route", "gate", F.col("status.code").alias("code"), "uid",
+                           "display_name", "email", "aggregate_version", "etag")
+
+
+@registered
+def directory_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All request tables in one order: the outcome of every request."""
+    got = directory.replay(fx.users(spark, sf_dir), _pending(spark, sf_dir), directory.Requests(
+        creates=fx.newcomer_requests(spark, sf_dir), updates=fx.informed_update_requests(spark, sf_dir), removals=fx.remove_group_requests(spark, sf_dir),
+        invites=fx.create_invitation_requests(spark, sf_dir), decisions=fx.near_decision_requests(spark, sf_dir), made=fx.known_and_made_groups(spark, sf_dir)))
+    kinds = {"create": got.created, "update": got.updated, "remove": got.removed.withColumnRenamed("user_name", "name"), "invite": got.invited, "decide": got.decided}
+    rows = [df.select(F.lit(kind).alias("pipeline"), F.col("request_id").cast("string").alias("request_id"), "gate", F.col("status.code").alias("code"),
+                      "aggregate_version", "etag") for kind, df in kinds.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 # Folds.
 
 
@@ -257,6 +285,24 @@ def group_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.group_spans(fx.user_events(spark, sf_dir))
 
 
+@registered
+def groups_at_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group lists that users had at the versions that requests name."""
+    log = fx.near_user_events(spark, sf_dir)
+    history = pinned(folds.user_history(log).select("name", *USER_EVENT_ORDER, "epoch", "aggregate_version"), "history")
+    asked = fx.lookup_requests(spark, sf_dir).select("request_id", "name", (1 + F.col("request_id") % 12).cast("int").alias("aggregate_version"))
+    places = lookup(asked, history.filter("epoch = 1"), ["name", "aggregate_version"], ["request_id"], "inner").drop("epoch")
+    return folds.groups_at(folds.group_spans(log), places).select("request_id", "name", "aggregate_version", "position", "group_name")
+
+
+@registered
+def user_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users that requests ask for as they were at the time of the request."""
+    asked = fx.lookup_requests(spark, sf_dir).select("request_id", "name", "ts", F.lit(len(USER_EVENT_TYPES) + 1).alias("event_rank"), F.col("request_id").alias("seq"))
+    history = folds.user_history(fx.near_user_events(spark, sf_dir))
+    return folds.state_at(history, asked, ["display_name", "aggregate_version", "etag"]).select("request_id", "name", "display_name", "aggregate_version", "etag")
+
+
 def _ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.created_invitations(spark, sf_dir).withColumn("ts", F.lit("1900-01-01").cast("timestamp_ntz"))
 
@@ -343,15 +389,23 @@ def get_user_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def list_invitations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = folds.invitation_snapshot(_invitation_history(spark, sf_dir))
-    return lookups.list_invitations(fx.lookup_requests(spark, sf_dir), _index(spark, sf_dir), state)[1].select(
+    """Pages of the asked parents; only their invitations and the decisions on these are folded."""
+    asked = pinned(fx.lookup_requests(spark, sf_dir), "asked")
+    made = pinned(lookups.of_parents(fx.created_invitations(spark, sf_dir), asked), "made")
+    pending = folds.invitation_snapshot(folds.invitation_history(made))
+    decided = pinned(invitations.decided_events(invitations.replay_decisions(lookups.of_parents(fx.decision_requests(spark, sf_dir), asked), pending)), "decided")
+    ahead = made.withColumn("ts", F.lit("1900-01-01").cast("timestamp_ntz"))
+    state = folds.invitation_snapshot(folds.invitation_history(ahead.unionByName(decided)))
+    return lookups.list_invitations(asked, folds.invitation_index(made), state)[1].select(
         "request_id", "parent", "position", "name", "group_name", "state", "aggregate_version", "etag")
 
 
 @registered
 def list_invitation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = _pending(spark, sf_dir)
-    rows = lookups.list_invitations(fx.lookup_requests(spark, sf_dir), _index(spark, sf_dir), state)[0]
+    asked = fx.lookup_requests(spark, sf_dir)
+    made = pinned(lookups.of_parents(fx.created_invitations(spark, sf_dir), asked), "made")
+    state = folds.invitation_snapshot(folds.invitation_history(made))
+    rows = lookups.list_invitations(asked, folds.invitation_index(made), state)[0]
     return rows.select("request_id", "parent", "gate", F.col("status.code").alias("code"),
                        F.col("status.message").alias("message"), "total", "next_page_token")
 
@@ -385,26 +439,35 @@ def response_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
                 "reject_invitation": decided.filter("action = 'REJECTED'")}
     for name, rows in outcomes.items():
         tables.write_statuses(rows, f"{root}/pipeline={name}", "all")
-    return spark.read.parquet(root).select("pipeline", "request_id", "gate")
+    rows = spark.read.parquet(root)
+    return rows.select("pipeline", "request_id", "gate", F.col("status.code").alias("code"), F.col("status.message").alias("message"),
+                       F.coalesce(F.array_join("status.violations.field", ","), F.lit("")).alias("violation_fields"))
 
 
 STRETCHES = 4
 
 
-def _replayed(df: DataFrame, root: str, schema: StructType, work: Callable[[DataFrame, int], None]) -> None:
-    """Let rows arrive in a few stretches of time and process each stretch as it arrives."""
+def _replayed(df: DataFrame, root: str, schema: StructType, work: Callable[[DataFrame, int], None],
+              shape: Callable[[DataFrame], DataFrame] | None = None, stretches: int = STRETCHES) -> None:
+    """Let rows arrive in a few stretches of time and process each stretch as it arrives, every time by a query that is started anew.
+
+    ``shape`` is what Spark does to the stream where it keeps state itself."""
     spark, path = df.sparkSession, f"{root}/in"
     bounds = df.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
     if bounds.low is None:
         return
-    width = (bounds.high - bounds.low) / STRETCHES
-    for stretch in range(STRETCHES):
+    width = (bounds.high - bounds.low) / stretches
+    for stretch in range(stretches):
         start, end = bounds.low + stretch * width, bounds.low + (stretch + 1) * width
         arriving = df.filter((F.col("ts") >= start) if stretch else F.lit(True))
-        if stretch < STRETCHES - 1:
+        if stretch < stretches - 1:
             arriving = arriving.filter(F.col("ts") < end)
         arriving.write.mode("append").parquet(path)
-        jobs.run_to_end(tables.read_stream(spark, path, schema), f"{root}/progress", work)
+        stream = tables.read_stream(spark, path, schema)
+        if shape is None:
+            jobs.run_to_end(stream, f"{root}/progress", work)
+        else:
+            stateful.run_to_end(shape(stream), f"{root}/progress", work)
 
 
 @registered
@@ -463,7 +526,7 @@ def stream_invitation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def stream_user_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = new_folder(spark, "stream-groups")
-    work, groups = jobs.user_group_log(spark, root)
+    work, groups, _ = jobs.user_group_lists(spark, root)
     _replayed(fx.user_events(spark, sf_dir), root, USER_EVENT, work)
     return groups().select("name", "position", "group_name")
 
@@ -496,3 +559,45 @@ def stream_create_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     work, outcomes, _ = jobs.user_requests(spark, root)
     _replayed(rows, root, CREATE_USER_REQUEST, work)
     return outcomes.rows().select("request_id", "uid", "user_id", "gate")
+
+
+@registered
+def stream_uid_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each uid was asked for, counted by a streaming aggregation."""
+    root = new_folder(spark, "stream-counts")
+    shape, work, table = stateful.counts(spark, root, "uid")
+    _replayed(fx.create_user_requests(spark, sf_dir), root, CREATE_USER_REQUEST, work, shape)
+    return table.current(["uid"])
+
+
+@registered
+def stream_user_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current users, folded by a keyed state processor."""
+    root = new_folder(spark, "stream-state")
+    shape, work, table = stateful.user_state(spark, root)
+    _replayed(fx.user_events(spark, sf_dir), root, USER_EVENT, work, shape)
+    return table.current(["name"]).select("name", "display_name", "aggregate_version", "etag")
+
+
+@registered
+def stream_event_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the create, update, remove and decide streams write beside their statuses: events, and releases of keys."""
+    root = new_folder(spark, "stream-events")
+    log = fx.user_events(spark, sf_dir)
+    known, held = pinned(folds.user_snapshot(folds.user_history(log)), "users"), pinned(folds.user_groups(log), "groups")
+    pending = pinned(_pending(spark, sf_dir), "pending")
+    streams = {
+        "create": (fx.create_user_requests(spark, sf_dir), CREATE_USER_REQUEST, lambda at: jobs.user_requests(spark, at)),
+        "update": (fx.update_user_requests(spark, sf_dir), UPDATE_USER_REQUEST, lambda at: jobs.update_requests(spark, at, lambda: fx.users(spark, sf_dir))),
+        "remove": (fx.remove_group_requests(spark, sf_dir), REMOVE_GROUP_REQUEST, lambda at: jobs.remove_requests(spark, at, lambda: known, lambda: held)),
+        "decide": (pinned(fx.decision_requests(spark, sf_dir), "requests"), DECIDE_INVITATION_REQUEST, lambda at: jobs.decision_requests(spark, at, lambda: pending))}
+    parts = []
+    for pipeline, (requests, schema, job) in streams.items():
+        at = f"{root}/{pipeline}"
+        _replayed(requests, at, schema, job(at)[0], stretches=2)
+        events = jobs.event_sink(spark, at, pipeline).rows()
+        parts.append(events.select("event_type", "name", "ts", *[F.col(c) if c in events.columns else F.lit("").alias(c) for c in ("group_name", "display_name", "email", "state")]))
+    freed = jobs.release_sink(spark, f"{root}/create").rows()
+    blank = [F.lit("").alias(c) for c in ("group_name", "display_name", "email", "state")]
+    parts.append(freed.select(F.concat(F.lit("Released "), "kind").alias("event_type"), F.col("key").alias("name"), "ts", *blank))
+    return reduce(DataFrame.unionByName, parts)

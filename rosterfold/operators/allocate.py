@@ -12,14 +12,14 @@ computed in rounds over the live (not yet decided) requests:
 * everything that shares a key with a granted request leaves.
 
 Requests with two or more live requests before them wait for the next round. An input may be made
-so that many of them are left in each; it then takes more rounds, but no size changes the path. Every
-step is a minimum combined before the shuffle or a join with a table of one row per key, so no key is ever
-gathered in one place.
+so that many of them are left in each; it then takes more rounds, but no size changes the path. Only the
+two earliest requests of a key can be decided, and each task keeps no more than two of a key before it sends
+them, so no key is ever gathered in one place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from rosterfold.operators.skew import lookup
 from rosterfold.operators.workspace import new_folder, pinned
@@ -51,55 +51,38 @@ def allocated(requests: DataFrame, first: str, second: str, order: list[str],
     return spark.read.schema(live.schema).parquet(folder).select(first, second, "_place.*")
 
 
-def _places(live: DataFrame, key: str) -> DataFrame:
-    """The places of the earliest and the second request of each key."""
-    least = live.groupBy(key).agg(F.min("_place").alias("_one"))
-    later = lookup(live.select(key, "_place"), least, [key], ["_place"], "inner").filter(F.col("_place") > F.col("_one"))
-    return least.join(later.groupBy(key).agg(F.min("_place").alias("_two")), key, "left")
+def _earliest(live: DataFrame, key: str, other: str) -> DataFrame:
+    """The two earliest requests of each key, with their number and the place of the first."""
+    order = Window.partitionBy(key).orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (live.select(key, other, "_place")
+            .withColumns({f"_nth_{key}": F.row_number().over(order), f"_one_{key}": F.min("_place").over(order)})
+            .filter(F.col(f"_nth_{key}") <= 2))
 
 
 def _granted(live: DataFrame, first: str, second: str) -> DataFrame:
     """Live requests whose outcome is known to be a grant."""
-    ranked = live
-    for key in (first, second):
-        places = _places(live, key).select(key, F.col("_one").alias(f"_one_{key}"), F.col("_two").alias(f"_two_{key}"))
-        ranked = lookup(ranked, places, [key], ["_place"], "inner")
-
-    def at(number: str, key: str):
-        return F.coalesce(F.col("_place") == F.col(f"_{number}_{key}"), F.lit(False))
-
-    free = at("one", first) & at("one", second)
-    blocker = (F.when(at("one", first) & at("two", second), F.col(f"_one_{second}"))
-               .when(at("two", first) & at("one", second), F.col(f"_one_{first}")))
-    ranked = pinned(ranked.withColumns({"_free": free, "_to": blocker}).filter("_free or _to is not null")
-                    .select(first, second, "_place", "_free", "_to"), "ranked")
-    winners = ranked.filter("_free").select(first, second, "_place")
-    steps = ranked.filter("not _free").select("_place", "_to", F.lit(True).alias("_odd"))
-    ended = _followed(steps)
-    even = ended.filter("not _odd").join(winners.select(F.col("_place").alias("_to")), "_to", "left_semi").select("_place")
-    chained = ranked.select(first, second, "_place").join(even, "_place", "left_semi")
-    return winners.unionByName(chained.select(*winners.columns))
+    ranked = _earliest(live, first, second).join(_earliest(live, second, first), [first, second, "_place"])
+    one, two = F.col(f"_nth_{first}") == 1, F.col(f"_nth_{second}") == 1
+    # The only live request before one that is the first of one key and the second of the other.
+    blocker = F.when(one & ~two, F.col(f"_one_{second}")).when(~one & two, F.col(f"_one_{first}"))
+    ranked = pinned(ranked.filter(one | two).select(first, second, "_place", blocker.alias("_to")), "ranked")
+    winners = ranked.filter("_to is null").select(first, second, "_place")
+    steps = ranked.filter("_to is not null").select("_place", "_to", F.lit(True).alias("_odd"))
+    if steps.isEmpty():
+        return winners
+    even = (_followed(steps).filter("not _odd")
+            .join(winners.select(F.col("_place").alias("_to")), "_to", "left_semi").select("_place"))
+    return winners.unionByName(ranked.join(even, "_place", "left_semi").select(*winners.columns))
 
 
 def _followed(steps: DataFrame) -> DataFrame:
     """Where each chain of pointers ends, and whether it has an odd number of steps."""
-    done, open_ = None, steps
+    rows = steps
     while True:
-        onward = open_.select(F.col("_place").alias("_to"), F.col("_to").alias("_far"), F.col("_odd").alias("_odd_far"))
-        joined = pinned(open_.join(onward, "_to", "left"), "chain")
-        ended = joined.filter("_far is null").select("_place", "_to", "_odd")
-        done = ended if done is None else done.unionByName(ended)
-        open_ = joined.filter("_far is not null")
-        if open_.isEmpty():
-            return done
-        # Pointers may end at a row that is done by now, so those rows are followed too.
-        open_ = open_.select("_place", F.col("_far").alias("_to"), (F.col("_odd") != F.col("_odd_far")).alias("_odd"))
-        open_ = _with_done(open_, done)
-
-
-def _with_done(open_: DataFrame, done: DataFrame) -> DataFrame:
-    """Open pointers, with those that reach a finished row moved on to where that row ends."""
-    ends = done.select(F.col("_place").alias("_to"), F.col("_to").alias("_end"), F.col("_odd").alias("_odd_end"))
-    joined = open_.join(ends, "_to", "left")
-    return pinned(joined.select("_place", F.coalesce("_end", "_to").alias("_to"),
-                                F.when(F.col("_end").isNull(), F.col("_odd")).otherwise(F.col("_odd") != F.col("_odd_end")).alias("_odd")), "chain")
+        onward = rows.select(F.col("_place").alias("_to"), F.col("_to").alias("_far"), F.col("_odd").alias("_odd_far"))
+        joined = rows.join(onward, "_to", "left")
+        rows = pinned(joined.select(
+            "_place", F.coalesce("_far", "_to").alias("_to"), F.col("_far").isNull().alias("_ended"),
+            F.when(F.col("_far").isNull(), F.col("_odd")).otherwise(F.col("_odd") != F.col("_odd_far")).alias("_odd")), "chain")
+        if rows.filter("not _ended").isEmpty():
+            return rows.select("_place", "_to", "_odd")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rosterfold.functions.etags import INVITATION_SECRET, USER_SECRET, etag
 from rosterfold.functions.names import invitation_parent
+from rosterfold.operators.intervals import open_at
 from rosterfold.operators.ordered import OrderedRows, numbered
 from rosterfold.operators.skew import Probe, lookup
 from rosterfold.schemas import INVITATION_EVENT_ORDER, INVITATION_EVENT_TYPES, USER_EVENT_ORDER, USER_EVENT_TYPES
@@ -86,19 +87,27 @@ def user_snapshot(history: DataFrame) -> DataFrame:
     return latest(known, ["name"], USER_EVENT_ORDER)
 
 
-def _starts(events: DataFrame) -> DataFrame:
-    """Place of each user's first created event: earlier events have no subject."""
-    return (events.filter(F.col("event_type") == USER_CREATED)
-            .groupBy("name").agg(F.min(F.struct(*USER_EVENT_ORDER)).alias("_born")))
+def before_all() -> Column:
+    """A place before all events, where users begin that a log finds already there."""
+    return F.struct(F.lit("0001-01-01").cast("timestamp_ntz").alias("ts"), F.lit(0).alias("event_rank"), F.lit(0).cast("bigint").alias("seq"))
 
 
-def _membership_changes(events: DataFrame, probe: Probe) -> tuple[DataFrame, DataFrame, DataFrame]:
+def births(events: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """Place ``_born`` of each user's first created event, ahead of all places for users in ``prior``: earlier events have
+    no subject."""
+    born = events.filter(F.col("event_type") == USER_CREATED).select("name", F.struct(*USER_EVENT_ORDER).alias("_born"))
+    if prior is not None:
+        born = born.unionByName(prior.select("name", before_all().alias("_born")))
+    return born.groupBy("name").agg(F.min("_born").alias("_born"))
+
+
+def membership_changes(events: DataFrame, probe: Probe, prior: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Added memberships, places of list resets per user, and removals, of events that have a subject.
 
     A created or updated event with a list resets the user's list to it. An updated event without
     one leaves the list alone; what an event appends is in ``added_groups``.
     """
-    events = lookup(events.withColumn("_at", F.struct(*USER_EVENT_ORDER)), _starts(events), ["name"],
+    events = lookup(events.withColumn("_at", F.struct(*USER_EVENT_ORDER)), births(events, prior), ["name"],
                     USER_EVENT_ORDER, "inner", probe)
     events = events.filter(F.col("_at") >= F.col("_born")).drop("_born")
     resets = events.filter((F.col("event_type") == USER_CREATED) | (is_snapshot() & F.col("groups").isNotNull()))
@@ -117,7 +126,7 @@ def user_groups(events: DataFrame) -> DataFrame:
     the same group exists; both are maxima per key. Equal elements are kept, as the list keeps them.
     """
     probe = Probe(events)
-    added, resets, removed = _membership_changes(events, probe)
+    added, resets, removed = membership_changes(events, probe)
     reset = resets.groupBy("name").agg(F.max("_at").alias("_reset"))
     gone = removed.groupBy("name", "group_name").agg(F.max("_at").alias("_gone"))
     order = [*USER_EVENT_ORDER, "ordinal"]
@@ -136,7 +145,7 @@ def group_spans(events: DataFrame) -> DataFrame:
     (since, ordinal) order. One row per addition, where a list per version would be quadratic.
     """
     probe = Probe(events)
-    added, resets, removed = _membership_changes(events, probe)
+    added, resets, removed = membership_changes(events, probe)
     ends = _first_after(_first_after(added, resets, ["name"], "_reset", probe), removed, ["name", "group_name"], "_gone", probe)
     until = F.least("_reset", "_gone")
     return ends.select("name", "group_name", F.col("ts").alias("since_ts"), F.col("event_rank").alias("since_rank"),
@@ -146,16 +155,26 @@ def group_spans(events: DataFrame) -> DataFrame:
 
 def groups_at(spans: DataFrame, places: DataFrame) -> DataFrame:
     """The group list of each place (name, ts, event_rank, seq, and other columns) of a user's history, as rows in list
-    order: the spans that are open right after that event."""
-    since, until = F.struct("since_ts", "since_rank", "since_seq"), F.struct("until_ts", "until_rank", "until_seq")
-    at = F.struct(*USER_EVENT_ORDER)
-    open_ = lookup(places, spans, ["name"], USER_EVENT_ORDER).filter(
-        F.col("group_name").isNotNull() & (since <= at) & (F.col("until_ts").isNull() | (at < until)))
-    order = [*USER_EVENT_ORDER, "since_ts", "since_rank", "since_seq", "ordinal"]
-    return (numbered(open_, ["name", *USER_EVENT_ORDER], order, "position")
+    order: the spans that are open right after that event. Users with many spans and many places are not compared pair by pair."""
+    until = F.when(F.col("until_ts").isNotNull(), F.struct(F.col("until_ts").alias("ts"), F.col("until_rank").alias("event_rank"), F.col("until_seq").alias("seq")))
+    held = spans.select("name", "group_name", F.struct(F.col("since_ts").alias("ts"), F.col("since_rank").alias("event_rank"), F.col("since_seq").alias("seq")).alias("_since"),
+                        "ordinal", until.alias("_until"))
+    listed = open_at(places.withColumn("_place", F.struct(*USER_EVENT_ORDER)), held, ["name"], "_place", "_since", "_until")
+    return (numbered(listed, places.columns, ["_since", "ordinal"], "position")
             .select(*places.columns, "position", "group_name"))
 
 
+def state_at(history: DataFrame, places: DataFrame, columns: list[str]) -> DataFrame:
+    """``places`` (name, ts, event_rank, seq, and others) with ``columns`` of the user right after them, null before it exists.
+
+    History and places are read in one order, and each place takes the last state before it; no pair is made of them.
+    """
+    state = history.filter(F.col("aggregate_version").isNotNull()).select("name", *USER_EVENT_ORDER, F.struct(*columns).alias("_state"), F.lit(0).alias("_asks"))
+    merged = places.withColumn("_asks", F.lit(1)).unionByName(state, allowMissingColumns=True)
+    rows = OrderedRows.of(merged, ["name"], [*USER_EVENT_ORDER, "_asks"]).running(lasts={"_state": F.col("_state")}).rows()
+    return rows.filter("_asks = 1").select(*places.columns, *[F.col(f"_state.{c}").alias(c) for c in columns])
+
+
 def _first_after(rows: DataFrame, marks: DataFrame, keys: list[str], name: str, probe: Probe) -> DataFrame:
     """Add the place ``_at`` of the first mark after each row of its key, null without one.
 

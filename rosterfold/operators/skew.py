@@ -19,8 +19,9 @@ PIECES = "_pieces"
 SALT = "_salt"
 
 _ROWS_PER_TASK = ("spark.rosterfold.rowsPerTask", 4_000_000)
-#: How many rows a frame may have for each row of the files below it before it is searched for heavy keys.
+#: How many rows a frame may have for each row of its sources before it is searched for heavy keys.
 _GROWTH = 4
+_BYTES_PER_ROW, _UNKNOWN = 16, 1 << 60
 _SAMPLED_PER_KEY = 2_000
 
 
@@ -40,12 +41,14 @@ def fits_broadcast(df: DataFrame) -> bool:
     return planned_bytes(df) <= threshold
 
 
-def _stored_rows(df: DataFrame) -> int | None:
-    """Rows of the files a frame is made from, by their footers; None when it is not made from Parquet files."""
-    files = df.inputFiles()
-    if not files or not all(name.endswith(".parquet") for name in files):
-        return None
-    return df.sparkSession.read.parquet(*files).count()
+def _source_rows(df: DataFrame) -> int | None:
+    """How many rows the sources of a frame have at most, by the size that Catalyst knows of them; None when it knows none.
+
+    A row of a stored table takes ``_BYTES_PER_ROW`` or more. No file is opened and no name is listed for it.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    return None if total >= _UNKNOWN else total // _BYTES_PER_ROW
 
 
 @dataclass(frozen=True)
@@ -73,8 +76,8 @@ def heavy_keys(df: DataFrame, keys: list[str]) -> HeavyKeys | None:
     """
     spark = df.sparkSession
     limit = _setting(spark, _ROWS_PER_TASK)
-    stored = _stored_rows(df)
-    if (df.count() if stored is None else _GROWTH * stored) <= limit:
+    known = _source_rows(df)
+    if (df.count() if known is None else _GROWTH * known) <= limit:
         return None
     fraction = min(1.0, _SAMPLED_PER_KEY / limit)
     seen = df.select(*keys)

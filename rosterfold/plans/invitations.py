@@ -17,6 +17,7 @@ from rosterfold.schemas import INVITATION_EVENT, USER_EVENT, conform
 PENDING, ACCEPTED, REJECTED = "PENDING", "ACCEPTED", "REJECTED"
 
 DECISION_ORDER = ["ts", "request_id"]
+STORED = ["name", "group_name", "state", "create_time", "aggregate_version", "etag"]
 
 
 def _unknown(field: str, name: Column) -> Column:
@@ -35,7 +36,11 @@ def create_invitations(requests: DataFrame, users: DataFrame, groups: DataFrame,
     The etag belongs to the generated name, so it equals the one the stored invitation gets.
     """
     rows = exists_in(requests, groups.select(F.col("name").alias("group_name")), ["group_name"], ["request_id"], "_group")
-    rows = exists_in(rows, users.select(F.col("name").alias("parent")), ["parent"], ["request_id"], "_parent", Probe(requests))
+    return invited(exists_in(rows, users.select(F.col("name").alias("parent")), ["parent"], ["request_id"], "_parent", Probe(requests)), secret)
+
+
+def invited(rows: DataFrame, secret: str = INVITATION_SECRET) -> DataFrame:
+    """Outcome of create requests that say whether their group (``_group``) and their parent (``_parent``) exist."""
     gates = [Gate("group", ~F.col("_group"), _unknown("group", F.col("group_name"))),
              Gate("parent", ~F.col("_parent"), _unknown("parent", F.col("parent")))]
     name = invitation_name(F.col("parent"), F.col("request_id"))
@@ -54,9 +59,12 @@ def created_invitation_events(outcomes: DataFrame) -> DataFrame:
 
 
 def _with_stored(requests: DataFrame, invitations: DataFrame, probe: Probe) -> DataFrame:
-    stored = invitations.select("name", F.struct("group_name", "state", "create_time", "aggregate_version",
-                                                 "etag").alias("cur"))
-    return lookup(requests.withColumnRenamed("etag", "request_etag"), stored, ["name"], DECISION_ORDER, probe=probe)
+    since = ["since"] if "since" in invitations.columns else []
+    stored = invitations.select("name", F.struct(*STORED[1:]).alias("cur"), *since)
+    rows = lookup(requests.withColumnRenamed("etag", "request_etag"), stored, ["name"], DECISION_ORDER, probe=probe)
+    if since:  # an invitation that is made on the way is not there before
+        rows = rows.withColumn("cur", F.when(F.col("since").isNull() | (F.col("since") <= F.col("ts")), F.col("cur"))).drop("since")
+    return rows
 
 
 def _decided(rows: DataFrame, etag_now: Column, state_now: Column, secret: str, domain: str) -> DataFrame:
@@ -79,7 +87,10 @@ def _decided(rows: DataFrame, etag_now: Column, state_now: Column, secret: str,
 
 def decide_invitations(requests: DataFrame, invitations: DataFrame, secret: str = INVITATION_SECRET,
                        domain: str = st.DOMAIN) -> DataFrame:
-    """Outcome of accept and reject requests that all see the same stored invitations."""
+    """Outcome of accept and reject requests that all see the same stored invitations.
+
+    Where the invitations have a time ``since``, requests before it do not find them.
+    """
     rows = _with_stored(requests, invitations, Probe(requests))
     return _decided(rows, F.col("cur.etag"), F.col("cur.state"), secret, domain)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from rosterfold.functions import messages as text, status as st
-from rosterfold.functions.names import is_user_name
+from rosterfold.functions.names import invitation_parent, is_user_name
 from rosterfold.functions.paging import page_offset, page_token
 from rosterfold.operators.gates import Gate, judged, is_passed, when_passed
 from rosterfold.operators.skew import Probe, lookup
@@ -39,10 +39,11 @@ def get_users(requests: DataFrame, users: DataFrame) -> DataFrame:
 def find_users(requests: DataFrame, uid_names: DataFrame, users: DataFrame) -> DataFrame:
     """Users by uid: uid to name, then name to user.
 
-    The two state tables have one row per key, so they are joined first and requests only once.
+    The two state tables have one row per key, so they are cut to the asked uids and joined first, and requests only once.
     """
-    directory = uid_names.select(F.col("uid").alias("asked_uid"), "name").join(_stored(users), "name", "left")
     asked = requests.select("request_id", F.col("uid").alias("asked_uid"))
+    named = uid_names.select(F.col("uid").alias("asked_uid"), "name").join(asked.select("asked_uid").distinct(), "asked_uid", "left_semi")
+    directory = named.join(_stored(users), "name", "left")
     rows = lookup(asked, directory, ["asked_uid"], ["request_id"])
     unknown = Gate("uid", F.col("name").isNull(),
                    st.not_found(F.format_string(text.NO_UID, "asked_uid")))
@@ -57,6 +58,12 @@ def groups_of(requests: DataFrame, users: DataFrame, groups: DataFrame, probe: P
     return lookup(groups, asked, ["name"], ["position"], "left_semi", probe)
 
 
+def of_parents(rows: DataFrame, requests: DataFrame) -> DataFrame:
+    """Rows with an invitation ``name`` whose parent some request asks for; made before these rows are folded or judged."""
+    asked = requests.select(F.col("name").alias("_parent")).distinct()
+    return lookup(rows.withColumn("_parent", invitation_parent("name")), asked, ["_parent"], ["name"], "left_semi").select(*rows.columns)
+
+
 def list_invitations(requests: DataFrame, index: DataFrame, invitations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pages of parents' invitations, newest first: (answers, items).
 

@@ -19,7 +19,7 @@ from rosterfold.operators.gates import Gate, judged, passed, when_passed
 from rosterfold.operators.ordered import OrderedRows, numbered
 from rosterfold.operators.skew import Probe, exists_in, lookup
 from rosterfold.operators.workspace import pinned
-from rosterfold.schemas import USER, USER_EVENT, conform
+from rosterfold.schemas import USER, USER_EVENT, USER_EVENT_ORDER, USER_EVENT_TYPES, conform
 
 ORDER = ["ts", "request_id"]
 
@@ -40,16 +40,22 @@ def _checked(requests: DataFrame) -> DataFrame:
         "_errors": rules.profile_violations(F.col("display_name"), F.col("email"), F.col("uid"))})
 
 
+def _granted(requests: DataFrame, held: DataFrame | None) -> DataFrame:
+    rows = _checked(requests)
+    valid = rows.filter(~rules.broken(F.col("_id_errors")) & ~rules.broken(F.col("_errors")))
+    return allocated(valid.select("uid", "user_id", *ORDER), "uid", "user_id", ORDER, held)
+
+
 def create_users(requests: DataFrame, held: DataFrame | None = None, secret: str = USER_SECRET,
-                 domain: str = st.DOMAIN) -> DataFrame:
+                 domain: str = st.DOMAIN, granted: DataFrame | None = None) -> DataFrame:
     """Outcome of every create request.
 
     The uid and the user id each go to the first request that passes everything. ``held`` lists the
-    (uid, user_id) pairs of users that exist already.
+    (uid, user_id) pairs of users that exist already, ``granted`` what is allocated where that is known.
     """
     rows = _checked(requests)
-    valid = rows.filter(~rules.broken(F.col("_id_errors")) & ~rules.broken(F.col("_errors")))
-    granted = allocated(valid.select("uid", "user_id", *ORDER), "uid", "user_id", ORDER, held)
+    if granted is None:
+        granted = _granted(requests, held)
     place, probe = F.struct(*ORDER), Probe(requests)
     taken = {"uid": F.lit(False), "user_id": F.lit(False)}
     for key in taken:
@@ -136,6 +142,33 @@ def _with_current(requests: DataFrame, users: DataFrame, probe: Probe) -> DataFr
     return lookup(requests, state, ["name"], ["request_id"], probe=probe)
 
 
+def place_of(event_type: str) -> Column:
+    """Where a request's event stands among the events of its user."""
+    rank = USER_EVENT_TYPES.index(event_type) + 1
+    return F.struct("ts", F.lit(rank).alias("event_rank"), F.col("request_id").alias("seq"))
+
+
+def _since_birth(rows: DataFrame, births: DataFrame | None, probe: Probe) -> DataFrame:
+    """Without the stored user on requests that come before it exists."""
+    if births is None:
+        return rows
+    known = births.select("name", F.struct(*USER_EVENT_ORDER).alias("_born"))
+    rows = lookup(rows, known, ["name"], ["request_id"], probe=probe)
+    early = F.coalesce(F.col("_born") > place_of(USER_UPDATED), F.lit(False))
+    return rows.withColumn("cur", F.when(~early, F.col("cur"))).drop("_born")
+
+
+def _with_bumps(rows: DataFrame, bumps: DataFrame | None, probe: Probe) -> DataFrame:
+    """Add ``_bumps``, how many of the other events of its user come before each request."""
+    if bumps is None:
+        return rows.withColumn("_bumps", F.lit(0).cast("bigint"))
+    asks = rows.withColumns({**{c: place_of(USER_UPDATED)[c] for c in ("event_rank", "seq")}, "_ask": F.lit(True)})
+    merged = asks.unionByName(bumps.select("name", *USER_EVENT_ORDER, F.lit(False).alias("_ask")), allowMissingColumns=True)
+    return (OrderedRows.of(merged, ["name"], [*USER_EVENT_ORDER, "_ask"], probe=probe)
+            .running(sums={"_bumps": F.when(F.col("_ask"), 0).otherwise(1)}).rows()
+            .filter("_ask").drop("event_rank", "seq", "_ask"))
+
+
 def update_users(requests: DataFrame, users: DataFrame, secret: str = USER_SECRET,
                  domain: str = st.DOMAIN) -> DataFrame:
     """Outcome of update requests that all see the same state.
@@ -152,34 +185,49 @@ def update_users(requests: DataFrame, users: DataFrame, secret: str = USER_SECRE
     return _updated(outcome, F.col("cur.aggregate_version"), F.col("_new_display_name"), F.col("_new_email"), secret)
 
 
-def _named_versions(rows: DataFrame, probe: Probe, secret: str) -> DataFrame:
+def _named_versions(rows: DataFrame, bumps: DataFrame | None, probe: Probe, secret: str) -> DataFrame:
     """How far above the stored version is the version each distinct etag of a user names?
 
-    A user with d distinct etags in the log cannot move more than d versions, so d candidate tags
-    per user, made from the rows themselves, are enough to read every etag that can matter.
+    A user with d distinct etags in the log cannot move more than d versions by its updates, and not more than one by each
+    other event. So as many candidate tags as the user has etags and events, made from those rows themselves, are
+    enough to read every etag that can matter.
     """
     tags = rows.select("name", "request_etag", F.col("cur.aggregate_version").alias("_base")).distinct()
-    placed = numbered(tags, ["name"], ["request_etag"], "_nth", probe=probe)
+    steps = tags
+    if bumps is not None:
+        bases = tags.select("name", "_base").distinct()
+        moved = lookup(bumps.select("name", *USER_EVENT_ORDER), bases, ["name"], USER_EVENT_ORDER, "inner")
+        steps = tags.unionByName(moved.select("name", F.concat_ws(" ", "ts", "event_rank", "seq").alias("request_etag"), "_base"))
+    placed = numbered(steps, ["name"], ["request_etag"], "_nth", probe=probe)
     level = (F.col("_nth") - 1).cast("int")
-    candidates = placed.select("name", level.alias("level"), user_etag(
+    candidates = placed.select("name", level.alias("named"), user_etag(
         F.col("name"), F.col("_base") + level, secret).alias("request_etag"))
     return tags.select("name", "request_etag").join(candidates, ["name", "request_etag"])
 
 
-def replay_updates(requests: DataFrame, users: DataFrame, secret: str = USER_SECRET,
-                   domain: str = st.DOMAIN) -> DataFrame:
+def replay_updates(requests: DataFrame, users: DataFrame, secret: str = USER_SECRET, domain: str = st.DOMAIN,
+                   bumps: DataFrame | None = None, births: DataFrame | None = None) -> DataFrame:
     """Outcome of update requests in order, each seeing the effects of those before it.
 
     A request takes effect when it names the version its user has at that moment and its mask and
     fields are fine. Once a user was updated all stored fields are valid, so fields outside the mask
     matter only on the starting version, and whether a request is fine depends on nothing but
     itself, the version it names and the stored user.
+
+    ``bumps`` are the other events of users, which move a version by one each: groups that are joined, made or removed.
+    What a request names, less the stored version and the bumps before it, is the number of updates it expects to
+    have taken effect, so the chain of updates is the same with and without them. ``births`` has the
+    created event of users that begin to exist on the way; before it they are not there.
     """
     requests = requests.withColumnRenamed("etag", "request_etag")
     probe = Probe(requests)
-    rows = _against_current(_with_current(requests, conform(users, USER), probe))
-    named = _named_versions(rows.filter("cur is not null"), probe, secret)
-    rows = pinned(lookup(rows, named, ["name", "request_etag"], ["request_id"], probe=probe), "updates")
+    rows = _against_current(_since_birth(_with_current(requests, conform(users, USER), probe), births, probe))
+    rows = _with_bumps(rows, bumps, probe)
+    if bumps is not None:
+        rows = pinned(rows, "bumped")
+    named = _named_versions(rows.filter("cur is not null"), bumps, probe, secret)
+    rows = lookup(rows, named, ["name", "request_etag"], ["request_id"], probe=probe)
+    rows = pinned(rows.withColumn("level", (F.col("named") - F.col("_bumps")).cast("int")).drop("named"), "updates")
 
     def judged_value(field: str) -> Column:
         from_store = (F.col("level") > 0) & ~masks.covers(F.col("_mask"), field)
@@ -187,7 +235,7 @@ def replay_updates(requests: DataFrame, users: DataFrame, secret: str = USER_SEC
 
     rows = rows.withColumn("_errors", rules.profile_violations(
         judged_value("display_name"), judged_value("email"), F.col("cur.uid")))
-    able = rows.filter(F.col("level").isNotNull() & masks.is_known(F.col("_mask")) & ~rules.broken(F.col("_errors")))
+    able = rows.filter((F.col("level") >= 0) & F.col("cur").isNotNull() & masks.is_known(F.col("_mask")) & ~rules.broken(F.col("_errors")))
     effects = effective(able.select("name", "level", *ORDER), "name", ORDER).withColumn("_effect", F.lit(1))
 
     # The join key tells every row apart, so no key of it is heavy.
@@ -206,7 +254,7 @@ def replay_updates(requests: DataFrame, users: DataFrame, secret: str = USER_SEC
         kept = F.col(f"_kept_{field}")
         return F.when(kept.isNotNull(), kept["v"]).otherwise(strip_blank(F.col(f"cur.{field}")))
 
-    return _updated(outcome, F.col("cur.aggregate_version") + before, value_now("display_name"), value_now("email"),
+    return _updated(outcome, F.col("cur.aggregate_version") + F.col("_bumps") + before, value_now("display_name"), value_now("email"),
                     secret)
 
 
@@ -221,29 +269,28 @@ def updated_events(outcomes: DataFrame) -> DataFrame:
 UPSERT_CREATE, UPSERT_UPDATE, UPSERT_INVALID = "create", "update", "invalid"
 
 
-def upsert_users(requests: DataFrame, users: DataFrame, secret: str = USER_SECRET,
-                 domain: str = st.DOMAIN) -> DataFrame:
-    """Update, or create when the user is absent and the request allows it. One route per request."""
-    # Only users with an asked name or uid can matter.
+def _asked_users(requests: DataFrame, users: DataFrame) -> DataFrame:
+    """Only users with an asked name or uid can matter."""
     asked = requests.select("name", "uid").distinct()
     users = conform(users, USER)
     named, known = users.join(asked, "name", "left_semi").select(*users.columns), users.join(asked, "uid", "left_semi").select(*users.columns)
-    users = pinned(named.union(known).distinct(), "asked-users")
-    rows = exists_in(requests, users.select("name"), ["name"], ["request_id"], "_exists")
-    route = (F.when(~is_user_name(F.col("name")), UPSERT_INVALID)
-             .when(~F.col("_exists") & F.col("allow_missing"), UPSERT_CREATE).otherwise(UPSERT_UPDATE))
-    rows = rows.withColumn("route", route).drop("_exists")
+    return pinned(named.union(known).distinct(), "asked-users")
+
+
+def _as_creates(rows: DataFrame) -> DataFrame:
+    return rows.select(*ORDER, "uid", user_id_of(F.col("name")).alias("user_id"), "display_name", "email")
+
 
-    created = rows.filter(F.col("route") == UPSERT_CREATE).select(
-        *ORDER, "uid", user_id_of(F.col("name")).alias("user_id"), "display_name", "email")
-    held = users.select("uid", user_id_of(F.col("name")).alias("user_id"))
-    created = create_users(created, held, secret, domain).withColumn("name", user_name(F.col("user_id")))
+def _held(users: DataFrame) -> DataFrame:
+    return users.select("uid", user_id_of(F.col("name")).alias("user_id"))
+
+
+def _upserted(rows: DataFrame, created: DataFrame, updated: DataFrame) -> DataFrame:
+    """The outcomes of all routes of ``rows`` in one shape."""
+    created = created.withColumn("name", user_name(F.col("user_id")))
     created = created.withColumns({field: when_passed(value) for field, value in {
         "uid": F.col("uid"), "display_name": strip_blank(F.col("display_name")), "email": strip_blank(F.col("email"))
     }.items()})
-
-    updated = update_users(rows.filter(F.col("route") == UPSERT_UPDATE).drop("route"), users, secret, domain)
-
     invalid = judged(rows.filter(F.col("route") == UPSERT_INVALID), [Gate("name", F.lit(True), st.status(
         st.INVALID_ARGUMENT, F.format_string(text.BAD_NAME, "name")))], st.ok(""))
 
@@ -257,6 +304,55 @@ def upsert_users(requests: DataFrame, users: DataFrame, secret: str = USER_SECRE
             .unionByName(invalid.select(*columns)))
 
 
+def upsert_users(requests: DataFrame, users: DataFrame, secret: str = USER_SECRET,
+                 domain: str = st.DOMAIN) -> DataFrame:
+    """Update, or create when the user is absent and the request allows it. One route per request.
+
+    All requests see the same users, so a second upsert of an absent user takes the create route too and finds its name
+    taken; ``replay_upserts`` lets every request see the earlier ones.
+    """
+    users = _asked_users(requests, users)
+    rows = exists_in(requests, users.select("name"), ["name"], ["request_id"], "_exists")
+    route = (F.when(~is_user_name(F.col("name")), UPSERT_INVALID)
+             .when(~F.col("_exists") & F.col("allow_missing"), UPSERT_CREATE).otherwise(UPSERT_UPDATE))
+    rows = rows.withColumn("route", route).drop("_exists")
+    created = create_users(_as_creates(rows.filter(F.col("route") == UPSERT_CREATE)), _held(users), secret, domain)
+    updated = update_users(rows.filter(F.col("route") == UPSERT_UPDATE).drop("route"), users, secret, domain)
+    return _upserted(rows, created, updated)
+
+
+def replay_upserts(requests: DataFrame, users: DataFrame, secret: str = USER_SECRET,
+                   domain: str = st.DOMAIN) -> DataFrame:
+    """Upserts in order: the first that is granted an absent user's name creates it, later ones of that name update it.
+
+    The allocation of uids and names is that of create requests: a later request of a granted name could not be granted
+    whatever its route, so who is granted does not depend on the routes. Requests of the name before the granted one
+    keep the create route, later ones become links of the update chain that begins at version 1.
+    """
+    users = _asked_users(requests, users)
+    probe = Probe(requests)
+    rows = exists_in(requests, users.select("name"), ["name"], ["request_id"], "_exists", probe)
+    rows = pinned(rows.withColumn("_valid", is_user_name(F.col("name"))), "upserts")
+    creating = rows.filter(F.col("_valid") & ~F.col("_exists") & F.col("allow_missing"))
+    granted = pinned(_granted(_as_creates(creating), _held(users)), "granted-upserts")
+
+    place = F.struct(*ORDER)
+    firsts = granted.select(user_name(F.col("user_id")).alias("name"), place.alias("_first"))
+    rows = lookup(rows, firsts, ["name"], ["request_id"], probe=probe)
+    there = F.col("_exists") | F.coalesce(F.col("_first") < place, F.lit(False))
+    route = (F.when(~F.col("_valid"), UPSERT_INVALID)
+             .when(~there & F.col("allow_missing"), UPSERT_CREATE).otherwise(UPSERT_UPDATE))
+    rows = pinned(rows.withColumns({"route": route, "_there": there}).select(*requests.columns, "route", "_there"), "routes")
+
+    creates = _as_creates(rows.filter(F.col("route") == UPSERT_CREATE))
+    created = pinned(create_users(creates, _held(users), secret, domain, granted), "upserts-created")
+    added = conform(created_events(created).withColumn("aggregate_version", F.lit(1)), USER).withColumn("etag", user_etag(F.col("name"), F.lit(1), secret))
+    updates = rows.filter(F.col("route") == UPSERT_UPDATE)
+    updated = replay_updates(updates.filter("_there").select(*requests.columns), users.unionByName(added), secret, domain)
+    early = update_users(updates.filter("not _there").select(*requests.columns), users.limit(0), secret, domain)
+    return _upserted(rows, created, updated.unionByName(early))
+
+
 # Remove a group
 
 

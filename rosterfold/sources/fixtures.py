@@ -27,6 +27,12 @@ def _events(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return _table(spark, sf_dir, "events").filter(F.col("event_type") == kind)
 
 
+def _brought_near(rows: DataFrame) -> DataFrame:
+    """The dates of orders and shipments moved into the weeks of the request tables, a day to 18 minutes, in their order."""
+    minutes = "18 * datediff(cast(ts as date), date '1995-01-01')"
+    return rows.withColumn("ts", F.expr(f"timestampadd(MINUTE, {minutes}, timestamp_ntz '2024-01-01 00:00:00')"))
+
+
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "customer").selectExpr(
         f"{_CUSTOMER} as name", "concat('uid-', cast(c_custkey as string)) as uid", "c_name as display_name",
@@ -109,8 +115,8 @@ def decision_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def created_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups with their owner and the time they were made: one for each order of a tenth of the orders."""
-    return _table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 3").selectExpr(
+    """Groups with their owner and the time they were made: one for each order."""
+    return _table(spark, sf_dir, "orders").selectExpr(
         "o_orderdate as ts", "o_orderkey as seq", "concat('groups/own-', cast(o_orderkey as string)) as name", f"{_ORDER_USER} as owner")
 
 
@@ -151,3 +157,38 @@ def lookup_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
            else concat('uid-', cast(user_id as string)) end as uid""",
         "base64(encode(cast(cast(event_id % 4 as int) * 3 as string), 'UTF-8')) as page_token", "3 as page_size")
     return s.conform(rows, s.LOOKUP_REQUEST)
+
+
+# Tables whose times lie together, for histories of all of them.
+
+
+def near_user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _brought_near(user_events(spark, sf_dir))
+
+
+def near_decision_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _brought_near(decision_requests(spark, sf_dir))
+
+
+def known_and_made_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups that were always there, without a time, and those that users make."""
+    always = groups(spark, sf_dir).selectExpr("cast(null as timestamp_ntz) as ts", "cast(0 as bigint) as seq", "name", "owner")
+    return _brought_near(created_groups(spark, sf_dir)).select("ts", "seq", "name", "owner").unionByName(always)
+
+
+def newcomer_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Create requests for the names that other requests use without a user."""
+    return create_user_requests(spark, sf_dir).withColumns({
+        "user_id": F.expr("case when user_id in ('ab', 'Bad_Name') then user_id else concat('none-', substr(uid, 5)) end"),
+        "uid": F.expr("concat('uid-new-', substr(uid, 5))")})
+
+
+def informed_update_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Update requests that guess the version a user has by then, some of which append a group."""
+    rows = update_user_requests(spark, sf_dir)
+    guess = F.expr("1 + (13 * (day(ts) - 1)) div 30 + request_id % 4")
+    appends = F.col("request_id") % 6 == 2
+    return rows.withColumns({
+        "etag": F.when(F.col("request_id") % 5 == 0, '"stale"').otherwise(user_etag(F.col("name"), guess)),
+        "mask": F.when(appends, F.array(F.lit("groups"))).otherwise(F.col("mask")),
+        "groups": F.when(appends, F.array(F.concat(F.lit("groups/g-"), (F.col("request_id") % 7).cast("string")))).otherwise(F.col("groups"))})

@@ -10,15 +10,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from rosterfold.functions.etags import USER_SECRET
-from rosterfold.operators import folds
+from rosterfold.functions.names import invitation_parent
+from rosterfold.operators import folds, summaries
 from rosterfold.operators.gates import passed
+from rosterfold.operators.ordered import numbered
+from rosterfold.operators.skew import lookup
 from rosterfold.operators.workspace import pinned
-from rosterfold.plans.invitations import create_invitations, replay_decisions
-from rosterfold.plans.users import create_users, remove_groups, replay_updates
-from rosterfold.schemas import INVITATION_EVENT_ORDER, USER_EVENT_ORDER
-from rosterfold.streaming.tables import BatchTable
+from rosterfold.plans.invitations import create_invitations, decided_events, replay_decisions
+from rosterfold.plans.users import created_events, create_users, releases, remove_groups, removed_events, replay_updates, updated_events
+from rosterfold.schemas import INVITATION_EVENT, INVITATION_EVENT_ORDER, USER_EVENT, USER_EVENT_ORDER
+from rosterfold.streaming.tables import BATCH, BatchTable
 
 _USER_STATE = "name string, uid string, display_name string, email string, aggregate_version int, etag string"
 _USER_CHANGE = f"{_USER_STATE}, ts timestamp_ntz, event_rank int, seq bigint, event_type string"
@@ -37,16 +41,33 @@ _INVITATION_STATE = """name string, group_name string, state string, create_time
  aggregate_version int, etag string"""
 _INVITATION_CHANGE = f"{_INVITATION_STATE}, ts timestamp_ntz, event_rank int, seq bigint, request_id string, event_type string"
 _DECIDE_OUTCOME = f"request_id string, ts timestamp_ntz, action string, gate string, status {_STATUS}, {_INVITATION_STATE}"
-_LISTED = "name string, ts timestamp_ntz, event_rank int, seq bigint, request_id string"
-_MEMBER_EVENT = """ts timestamp_ntz, event_rank int, seq bigint, name string, event_type string, group_name string,
- groups array<string>, added_groups array<string>"""
-_CREATE_OUTCOME = f"request_id bigint, ts timestamp_ntz, uid string, user_id string, gate string, status {_STATUS}"
+_LISTED = "parent string, ordinal bigint, name string"
+_COUNTER = "parent string, total bigint"
+_CREATE_OUTCOME = f"""request_id bigint, ts timestamp_ntz, uid string, user_id string, display_name string, email string, gate string,
+ status {_STATUS}, name string, aggregate_version int, etag string"""
 _HELD = "uid string, user_id string"
 
 
 COMPACT_EVERY = 20
 
 
+def _columns(schema: StructType) -> str:
+    return ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in schema)
+
+
+_RELEASE = "kind string, key string, value bigint, ts timestamp_ntz, request_id bigint"
+
+
+def event_sink(spark: SparkSession, root: str, pipeline: str) -> BatchTable:
+    """The events of one of the pipelines ``create``, ``update``, ``remove`` and ``decide``, written with its statuses in each batch."""
+    return BatchTable(spark, f"{root}/{pipeline}_events", _columns(INVITATION_EVENT if pipeline == "decide" else USER_EVENT))
+
+
+def release_sink(spark: SparkSession, root: str) -> BatchTable:
+    """Keys that refused create requests give back."""
+    return BatchTable(spark, f"{root}/releases", _RELEASE)
+
+
 def run_to_end(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None]) -> None:
     """Process everything available, batch after batch, and stop."""
     query = (stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
@@ -57,7 +78,7 @@ def run_to_end(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, in
 def user_fold(spark: SparkSession, root: str, secret: str = USER_SECRET) -> tuple[Callable, BatchTable, BatchTable]:
     """Fold user events: (batch function, changelog table, state table)."""
     changes = BatchTable(spark, f"{root}/user_changes", _USER_CHANGE)
-    state = BatchTable(spark, f"{root}/users", _USER_STATE)
+    state = BatchTable(spark, f"{root}/users", _USER_STATE, split="name")
 
     def work(batch: DataFrame, batch_id: int) -> None:
         history = folds.user_history(batch, state.current(["name"], batch_id, batch), secret)
@@ -100,19 +121,29 @@ def invitation_requests(spark: SparkSession, root: str, users: Callable[[], Data
 
 
 def user_requests(spark: SparkSession, root: str) -> tuple[Callable, BatchTable, BatchTable]:
-    """Judge create-user requests against everything granted by earlier batches."""
+    """Judge create-user requests against everything granted by earlier batches.
+
+    What was granted is kept twice, split by either key, so a batch opens the parts of its own uids and user ids.
+    """
     outcomes = BatchTable(spark, f"{root}/create_outcomes", _CREATE_OUTCOME)
-    held = BatchTable(spark, f"{root}/granted", _HELD)
+    held = {key: BatchTable(spark, f"{root}/granted_by_{key}", _HELD, split=key) for key in ("uid", "user_id")}
+    events, freed_keys = event_sink(spark, root, "create"), release_sink(spark, root)
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        # Each pair is granted once, so the pair is the key of the state.
-        taken = held.current(["uid", "user_id"], batch_id)
-        outcomes.write(create_users(batch, taken), batch_id)
-        held.write(passed(outcomes.written(batch_id)), batch_id)
-        if (batch_id + 1) % COMPACT_EVERY == 0:
-            held.compact(["uid", "user_id"], batch_id)
-
-    return work, outcomes, held
+        batch = pinned(batch, "batch")
+        known = [table.current([key], batch_id, batch).select("uid", "user_id") for key, table in held.items()]
+        outcomes.write(create_users(batch, pinned(known[0].union(known[1]).distinct(), "held")), batch_id)
+        done = outcomes.written(batch_id)
+        events.write(created_events(done), batch_id)
+        uids, ids = (freed.select(F.lit(kind).alias("kind"), F.col(kind).alias("key"), "value", "ts", "request_id")
+                     for kind, freed in zip(("uid", "user_id"), releases(done)))
+        freed_keys.write(uids.unionByName(ids), batch_id)
+        for key, table in held.items():
+            table.write(passed(done), batch_id)
+            if (batch_id + 1) % COMPACT_EVERY == 0:
+                table.compact([key], batch_id)
+
+    return work, outcomes, held["uid"]
 
 
 def _known(state: BatchTable, start: DataFrame, key: str, batch: DataFrame, batch_id: int) -> DataFrame:
@@ -126,11 +157,13 @@ def _known(state: BatchTable, start: DataFrame, key: str, batch: DataFrame, batc
 def update_requests(spark: SparkSession, root: str, start: Callable[[], DataFrame]) -> tuple[Callable, BatchTable, BatchTable]:
     """Judge update requests in order; each sees the updates of earlier batches. ``start``: the users to begin with."""
     outcomes = BatchTable(spark, f"{root}/update_outcomes", _UPDATE_OUTCOME)
-    state = BatchTable(spark, f"{root}/updated_users", _USER_STATE)
+    state = BatchTable(spark, f"{root}/updated_users", _USER_STATE, split="name")
+    events = event_sink(spark, root, "update")
 
     def work(batch: DataFrame, batch_id: int) -> None:
         users = _known(state, start(), "name", batch, batch_id)
         outcomes.write(replay_updates(batch, users), batch_id)
+        events.write(updated_events(outcomes.written(batch_id)), batch_id)
         state.write(folds.latest(passed(outcomes.written(batch_id)), ["name"], ["aggregate_version"]), batch_id)
         if (batch_id + 1) % COMPACT_EVERY == 0:
             state.compact(["name"], batch_id)
@@ -142,11 +175,13 @@ def remove_requests(spark: SparkSession, root: str, users: Callable[[], DataFram
                     groups: Callable[[], DataFrame]) -> tuple[Callable, BatchTable]:
     """Judge remove-group requests against replicated users and group rows, which are read anew for every batch."""
     outcomes = BatchTable(spark, f"{root}/remove_outcomes", _REMOVE_OUTCOME)
+    events = event_sink(spark, root, "remove")
 
     def work(batch: DataFrame, batch_id: int) -> None:
         asked = batch.select(F.col("user_name").alias("name")).distinct()
         known, held = (df.join(asked, "name", "left_semi") for df in (users(), groups()))
         outcomes.write(remove_groups(batch, known, held), batch_id)
+        events.write(removed_events(outcomes.written(batch_id)), batch_id)
 
     return work, outcomes
 
@@ -154,10 +189,12 @@ def remove_requests(spark: SparkSession, root: str, users: Callable[[], DataFram
 def decision_requests(spark: SparkSession, root: str, start: Callable[[], DataFrame]) -> tuple[Callable, BatchTable, BatchTable]:
     """Judge accept and reject requests in one order; each sees the decisions of earlier batches."""
     outcomes = BatchTable(spark, f"{root}/decide_outcomes", _DECIDE_OUTCOME)
-    state = BatchTable(spark, f"{root}/decided_invitations", _INVITATION_STATE)
+    state = BatchTable(spark, f"{root}/decided_invitations", _INVITATION_STATE, split="name")
+    events = event_sink(spark, root, "decide")
 
     def work(batch: DataFrame, batch_id: int) -> None:
         outcomes.write(replay_decisions(batch, _known(state, start(), "name", batch, batch_id)), batch_id)
+        events.write(decided_events(outcomes.written(batch_id)), batch_id)
         state.write(passed(outcomes.written(batch_id)), batch_id)
         if (batch_id + 1) % COMPACT_EVERY == 0:
             state.compact(["name"], batch_id)
@@ -168,7 +205,7 @@ def decision_requests(spark: SparkSession, root: str, start: Callable[[], DataFr
 def invitation_fold(spark: SparkSession, root: str) -> tuple[Callable, BatchTable, BatchTable]:
     """Fold invitation events: (batch function, changelog table, state table)."""
     changes = BatchTable(spark, f"{root}/invitation_changes", _INVITATION_CHANGE)
-    state = BatchTable(spark, f"{root}/invitations", _INVITATION_STATE)
+    state = BatchTable(spark, f"{root}/invitations", _INVITATION_STATE, split="name")
 
     def work(batch: DataFrame, batch_id: int) -> None:
         history = folds.invitation_history(batch, state.current(["name"], batch_id, batch))
@@ -180,25 +217,51 @@ def invitation_fold(spark: SparkSession, root: str) -> tuple[Callable, BatchTabl
     return work, changes, state
 
 
-def invitation_index(spark: SparkSession, root: str) -> tuple[Callable, Callable[[], DataFrame]]:
-    """Collect created invitations: (batch function, reader of the numbered index)."""
-    listed = BatchTable(spark, f"{root}/listed", _LISTED)
+def invitation_index(spark: SparkSession, root: str) -> tuple[Callable, Callable[..., DataFrame]]:
+    """Number created invitations as they come: (batch function, reader of the index of all or some parents).
+
+    An invitation gets the next ordinal of its parent and keeps it; a counter for each parent is all that a batch reads, and
+    only those of its own parents. The position, newest first, is count - ordinal + 1. Invitations of later batches are newer.
+    """
+    entries = BatchTable(spark, f"{root}/index_entries", _LISTED, split="parent")
+    counters = BatchTable(spark, f"{root}/index_counts", _COUNTER, split="parent")
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        listed.write(batch.filter(F.col("event_type") == folds.INVITATION_CREATED), batch_id)
+        made = batch.filter(F.col("event_type") == folds.INVITATION_CREATED).withColumn("parent", invitation_parent("name")).filter("parent <> ''")
+        made = pinned(numbered(made.select("parent", "name", *INVITATION_EVENT_ORDER), ["parent"], INVITATION_EVENT_ORDER, "nth"), "listed")
+        sizes = pinned(made.groupBy("parent").agg(F.count(F.lit(1)).alias("added")), "added")
+        before = counters.current(["parent"], batch_id, sizes)
+        totals = pinned(sizes.join(before, "parent", "left").withColumn("before", F.coalesce("total", F.lit(0).cast("bigint"))), "totals")
+        placed = lookup(made, totals.select("parent", "before"), ["parent"], ["name"], "inner")
+        entries.write(placed.withColumn("ordinal", F.col("before") + F.col("nth")), batch_id)
+        counters.write(totals.withColumn("total", F.col("before") + F.col("added")), batch_id)
+        if (batch_id + 1) % COMPACT_EVERY == 0:
+            counters.compact(["parent"], batch_id)
+            entries.compact(["parent"], batch_id, lambda rows: rows)
 
-    return work, lambda: folds.invitation_index(listed.rows())
+    def read(parents: DataFrame | None = None) -> DataFrame:
+        wanted = None if parents is None else parents.select("parent").distinct()
+        totals = counters.current(["parent"], wanted=wanted)
+        rows = lookup(entries.stored(["parent"], wanted=wanted), totals, ["parent"], ["ordinal"], "inner")
+        return rows.select("parent", (F.col("total") - F.col("ordinal") + 1).alias("position"), "name")
 
+    return work, read
 
-def user_group_log(spark: SparkSession, root: str) -> tuple[Callable, Callable[..., DataFrame]]:
-    """Keep what changes group lists: (batch function, reader of the current rows of all or some users).
 
-    Lists are rows of a log here and put together when they are read, so no list is rewritten for each of its changes.
+def user_group_lists(spark: SparkSession, root: str) -> tuple[Callable, Callable[..., DataFrame], BatchTable]:
+    """Keep group lists as summaries: (batch function, reader of the lists of all or some users, table of summaries).
+
+    A batch writes the summary of its own events and reads nothing; a reader, and now and then a compaction, merges summaries.
     """
-    log = BatchTable(spark, f"{root}/member_events", _MEMBER_EVENT)
+    table = BatchTable(spark, f"{root}/group_summaries", summaries.COLUMNS, split="name")
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        table.write(summaries.summary(batch), batch_id)
+        if (batch_id + 1) % COMPACT_EVERY == 0:
+            table.compact(["name"], batch_id, summaries.merged)
 
     def read(names: DataFrame | None = None) -> DataFrame:
-        events = log.rows()
-        return folds.user_groups(events if names is None else events.join(names.select("name").distinct(), "name", "left_semi"))
+        wanted = None if names is None else names.select("name").distinct()
+        return summaries.lists(table.stored(["name"], wanted=wanted).drop(BATCH))
 
-    return log.write, read
+    return work, read, table

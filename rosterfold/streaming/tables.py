@@ -4,19 +4,24 @@ Every micro-batch owns the folder ``batch_id=N`` of each table and overwrites it
 that runs again after a failure leaves the same rows. A state table holds one row per key and batch
 that touched the key; the current row of a key is the one of its latest batch. Now and then the
 current rows are written as one table, and later reads start there.
+
+A table that is ``split`` by a key has a folder for each of a number of parts, by a hash of the key, in every batch folder. A reader
+that asks for some keys opens the folders of their parts and no other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from rosterfold.operators.folds import latest
 from rosterfold.operators.workspace import delete
 
 BATCH = "batch_id"
+PART = "part"
 
 
 @dataclass(frozen=True)
@@ -24,10 +29,22 @@ class BatchTable:
     spark: SparkSession
     path: str
     columns: str
+    split: str | None = None
+    parts: int = 16
+
+    def _part(self) -> Column:
+        return F.pmod(F.xxhash64(self.split), F.lit(self.parts)).cast("int")
+
+    def _save(self, df: DataFrame, folder: str) -> None:
+        if self.split is None:
+            df.write.mode("overwrite").parquet(folder)
+        else:
+            # One row for each key and batch, so the parts are of one size.
+            df.withColumn(PART, self._part()).repartition(PART).write.mode("overwrite").partitionBy(PART).parquet(folder)
 
     def write(self, df: DataFrame, batch_id: int) -> None:
         names = T.StructType.fromDDL(self.columns).fieldNames()
-        df.select(*names).write.mode("overwrite").parquet(f"{self.path}/{BATCH}={batch_id}")
+        self._save(df.select(*names), f"{self.path}/{BATCH}={batch_id}")
 
     def _complete(self, folder: str, prefix: str, since: int = -1) -> list[int]:
         """Numbers above ``since`` of the finished sub-folders of a folder."""
@@ -39,17 +56,34 @@ class BatchTable:
         numbered = [(int(p.getName().removeprefix(prefix)), p) for p in found]
         return sorted(n for n, p in numbered if n > since and files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
-    def _read(self, base: str, folders: list[str]) -> DataFrame:
+    def _folders(self, folder: str, parts: set[int] | None) -> list[str]:
+        """The folder itself, or those of its parts that are asked for and there."""
+        if parts is None:
+            return [folder]
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        names = {status.getPath().getName() for status in files.listStatus(path) if status.isDirectory()}
+        return [f"{folder}/{PART}={n}" for n in sorted(parts) if f"{PART}={n}" in names]
+
+    def _asked(self, wanted: DataFrame | None) -> set[int] | None:
+        """The parts of wanted keys, at most all of them; None without a split or without wanted keys."""
+        if self.split is None or wanted is None:
+            return None
+        return {row[PART] for row in wanted.select(self._part().alias(PART)).distinct().collect()}
+
+    def _read(self, base: str, folders: list[str], parts: set[int] | None = None) -> DataFrame:
         schema = f"{self.columns}, {BATCH} bigint"
+        folders = [part for folder in folders for part in self._folders(folder, parts)]
         if not folders:
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).option("basePath", base).parquet(*folders)
+        stored = schema if self.split is None else f"{schema}, {PART} int"
+        rows = self.spark.read.schema(stored).option("basePath", base).parquet(*folders)
         return rows.select(*T.StructType.fromDDL(schema).fieldNames())
 
-    def _batches(self, since: int = -1, before: int | None = None) -> DataFrame:
+    def _batches(self, since: int = -1, before: int | None = None, parts: set[int] | None = None) -> DataFrame:
         """Rows of the finished batches in a range, from exactly their folders."""
         numbers = [n for n in self._complete(self.path, f"{BATCH}=", since) if before is None or n < before]
-        return self._read(self.path, [f"{self.path}/{BATCH}={n}" for n in numbers])
+        return self._read(self.path, [f"{self.path}/{BATCH}={n}" for n in numbers], parts)
 
     def before(self, batch_id: int | None = None) -> DataFrame:
         """Rows of all batches before the given one, so that a repeated batch does not see itself."""
@@ -69,28 +103,33 @@ class BatchTable:
         done = [n for n in self._complete(self._compacted(), "upto=") if batch_id is None or n < batch_id]
         return max(done, default=-1)
 
-    def current(self, keys: list[str], batch_id: int | None = None, wanted: DataFrame | None = None) -> DataFrame:
-        """State before the given batch, of the keys in ``wanted`` only when that is given.
+    def stored(self, keys: list[str], batch_id: int | None = None, wanted: DataFrame | None = None) -> DataFrame:
+        """All rows before the given batch that were not compacted away, of the keys in ``wanted`` only when that is given.
 
-        Reads the latest compacted table and the batches after it. The wanted keys are a batch's, so they are few
-        beside the state, and rows of other keys are dropped before anything is shuffled by key.
+        Reads the latest compacted table and the batches after it; of a split table, the parts of the wanted keys. The wanted keys
+        are a batch's, so they are few beside the state, and rows of other keys are dropped before anything is shuffled by key.
         """
-        start = self._covered(batch_id)
-        rows = self._batches(start, batch_id)
+        start, parts = self._covered(batch_id), self._asked(wanted)
+        rows = self._batches(start, batch_id, parts)
         if start >= 0:
-            rows = rows.unionByName(self._read(self._compacted(), [f"{self._compacted()}/upto={start}"]))
+            rows = rows.unionByName(self._read(self._compacted(), [f"{self._compacted()}/upto={start}"], parts))
         if wanted is not None:
             rows = rows.join(wanted.select(*keys).distinct(), keys, "left_semi").select(*rows.columns)
-        return latest(rows, keys, [BATCH]).drop(BATCH)
+        return rows
+
+    def current(self, keys: list[str], batch_id: int | None = None, wanted: DataFrame | None = None) -> DataFrame:
+        """State before the given batch: the latest row of each key."""
+        return latest(self.stored(keys, batch_id, wanted), keys, [BATCH]).drop(BATCH)
 
-    def compact(self, keys: list[str], batch_id: int) -> None:
+    def compact(self, keys: list[str], batch_id: int, merge: Callable[[DataFrame], DataFrame] | None = None) -> None:
         """Write the state after a batch as one table and delete what only older readers needed.
 
-        The table before it and the batches after that one stay: they are the state that a repeated batch reads.
+        ``merge`` makes the state of all stored rows; without it that is the latest row of each key. The table before it and the
+        batches after that one stay: they are the state that a repeated batch reads.
         """
         earlier = self._covered(batch_id)
-        state = self.current(keys, batch_id + 1).withColumn(BATCH, F.lit(batch_id).cast("long"))
-        state.write.mode("overwrite").parquet(f"{self._compacted()}/upto={batch_id}")
+        state = self.current(keys, batch_id + 1) if merge is None else merge(self.stored(keys, batch_id + 1).drop(BATCH))
+        self._save(state.withColumn(BATCH, F.lit(batch_id).cast("long")), f"{self._compacted()}/upto={batch_id}")
         for n in self._complete(self._compacted(), "upto="):
             if n < earlier:
                 delete(self.spark, f"{self._compacted()}/upto={n}")

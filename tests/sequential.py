@@ -129,3 +129,108 @@ def replay_decisions(invitations, requests):
             state[name] = (action, state[name][1] + 1)
             gates[rid] = None
     return gates
+
+
+def name_ok(name):
+    return name.startswith("users/") and 10 <= units(name) <= 69
+
+
+def replay_upserts(users, requests):
+    """(route, gate, version) by request id; users: name -> (uid, display_name, email, version); requests are
+    (request_id, ts, name, uid, etag, mask, display_name, email, allow_missing)."""
+    state, uids, out = dict(users), {u[0] for u in users.values()}, {}
+    for rid, ts, name, uid, etag, mask, shown, mail, allowed in sorted(requests, key=lambda r: (r[1], r[0])):
+        if not name_ok(name):
+            out[rid] = ("invalid", "name", None)
+        elif name not in state and allowed:
+            user_id = name.replace("users/", "")
+            gate = ("uid" if uid in uids else "user_id_format" if not user_id_ok(user_id)
+                    else "fields" if not profile_ok(shown.strip(BLANK), mail.strip(BLANK), uid) else None)
+            out[rid] = ("create", gate, None if gate else 1)
+            if gate is None:
+                state[name] = (uid, shown.strip(BLANK), mail.strip(BLANK), 1)
+                uids.add(uid)
+        else:
+            outcome = replay_updates(state, [(rid, ts, name, etag, mask, shown, mail)])[rid]
+            out[rid] = ("update", outcome[0], outcome[3])
+            if outcome[0] is None:
+                state[name] = (state[name][0], *outcome[1:])
+    return out
+
+
+class Directory:
+    """The whole service, one request at a time."""
+
+    def __init__(self, users, groups, pending):
+        """users: name -> (uid, display_name, email, version, groups); groups: known names; pending: invitation name -> group."""
+        self.users = {n: [*u[:4], list(u[4])] for n, u in users.items()}
+        self.uids, self.groups = {u[0] for u in users.values()}, set(groups)
+        self.invitations = {n: [g, "PENDING", 1] for n, g in pending.items()}
+
+    def create(self, uid, user_id, shown, mail):
+        name, shown, mail = f"users/{user_id}", shown.strip(BLANK), mail.strip(BLANK)
+        if uid in self.uids:
+            return "uid", None
+        if not user_id_ok(user_id):
+            return "user_id_format", None
+        if name in self.users:
+            return "user_id", None
+        if not profile_ok(shown, mail, uid):
+            return "fields", None
+        self.users[name] = [uid, shown, mail, 1, []]
+        self.uids.add(uid)
+        return None, 1
+
+    def update(self, name, etag, mask, shown, mail, groups):
+        if name not in self.users:
+            return "user", None
+        user, paths = self.users[name], set(mask) - FIXED
+        if etag != user_etag(name, user[3]):
+            return "etag", None
+        if not paths <= KNOWN:
+            return "mask", None
+        shown = (shown if "display_name" in paths else user[1]).strip(BLANK)
+        mail = (mail if "email" in paths else user[2]).strip(BLANK)
+        if not profile_ok(shown, mail, user[0]):
+            return "fields", None
+        user[1:] = [shown, mail, user[3] + 1, user[4] + (list(groups) if "groups" in paths else [])]
+        return None, user[3]
+
+    def make(self, group, owner):
+        self.groups.add(group)
+        self._join(owner, group)
+
+    def _join(self, name, group):
+        if name in self.users:
+            self.users[name][3] += 1
+            self.users[name][4].append(group)
+
+    def remove(self, name, group):
+        if name not in self.users:
+            return "user", None, None
+        user = self.users[name]
+        if group not in user[4]:
+            return "group", None, None
+        user[3:] = [user[3] + 1, [g for g in user[4] if g != group]]
+        return None, user[3], len(user[4])
+
+    def invite(self, name, parent, group):
+        if group not in self.groups:
+            return "group", None
+        if parent not in self.users:
+            return "parent", None
+        self.invitations[name] = [group, "PENDING", 1]
+        return None, 1
+
+    def decide(self, name, etag, action):
+        if name not in self.invitations:
+            return "invitation", None
+        invitation = self.invitations[name]
+        if etag != invitation_etag(name, invitation[2]):
+            return "etag", None
+        if invitation[1] != "PENDING":
+            return "state", None
+        invitation[1:] = [action, 2]
+        if action == "ACCEPTED":
+            self._join(re.search("(users/[a-z0-9-]+)/groupInvitations/[a-z0-9-]+", name)[1], invitation[0])
+        return None, 2

@@ -1,11 +1,12 @@
+import random
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 import sequential
-from rosterfold.operators import folds
+from rosterfold.operators import folds, summaries
 from rosterfold.sources import tables
-from rosterfold.streaming import jobs
+from rosterfold.streaming import jobs, stateful
 from rosterfold.streaming.tables import BatchTable
 from rosterfold.schemas import CREATE_USER_REQUEST, USER_EVENT
 from test_allocate import random_requests, requests_of
@@ -59,7 +60,7 @@ def test_create_requests_in_batches_equal_one_run(spark, tmp_path):
         work(requests_of(spark, rows[number * 50:(number + 1) * 50]), number)
     want = sequential.create_users(rows)
     assert {r.request_id: r.gate for r in outcomes.rows().collect()} == want
-    assert held.rows().count() == sum(gate is None for gate in want.values())
+    assert held.current(["uid"]).count() == sum(gate is None for gate in want.values())
 
 
 def test_tables_by_type_and_changelog(spark, tmp_path):
@@ -104,3 +105,135 @@ def test_an_absent_table_is_empty(spark, tmp_path):
     assert table.rows().count() == 0 and table.current(["name"]).columns == ["name"]
     table.write(spark.createDataFrame([("a",)], "name string").withColumn("at", F.lit(datetime(2024, 1, 1))), 3)
     assert table.before(3).count() == 0 and table.rows().count() == 1
+
+
+def test_a_split_table_opens_only_the_parts_of_wanted_keys(spark, tmp_path):
+    plain, split = BatchTable(spark, str(tmp_path / "a"), "name string, v int"), BatchTable(spark, str(tmp_path / "b"), "name string, v int", split="name")
+    for number in range(6):
+        rows = spark.createDataFrame([(f"k{n}", 100 * number + n) for n in range(number, 60)], "name string, v int")
+        for table in (plain, split):
+            table.write(rows, number)
+            if number == 3:
+                table.compact(["name"], number)
+    wanted = spark.createDataFrame([("k7",), ("k8",), ("zz",)], "name string")
+    for before in (None, 5, 3):
+        for keys in (None, wanted):
+            rows = [sorted(map(tuple, table.current(["name"], before, keys).collect())) for table in (plain, split)]
+            assert rows[0] == rows[1] and len(rows[0]) == (60 if keys is None else 2)
+    # The compacted table and the two batches after it, each with the parts of at most three keys.
+    opened, every = split.stored(["name"], None, wanted).inputFiles(), split.stored(["name"]).inputFiles()
+    assert 0 < len(opened) <= 9 < len(every)
+    parts = {r["part"] for r in wanted.select(split._part().alias("part")).collect()}
+    assert {int(f.split("part=")[1].split("/")[0]) for f in opened} <= parts
+    split.write(rows_of_no_key(spark), 6)
+    assert split.current(["name"], None, wanted).count() == 2
+
+
+def rows_of_no_key(spark):
+    return spark.createDataFrame([], "name string, v int")
+
+
+def test_create_requests_open_the_parts_of_their_keys(spark, tmp_path, monkeypatch):
+    work, _, held = jobs.user_requests(spark, str(tmp_path))
+    many = [(n, datetime(2024, 1, 1), f"uid-{n}", f"user-{n}", "Some name", "m@x") for n in range(200)]
+    work(requests_of(spark, many), 0)
+    opened = []
+    read = BatchTable._read
+
+    def counted(self, base, folders, parts=None):
+        rows = read(self, base, folders, parts)
+        if parts is not None:
+            opened.append(len(rows.inputFiles()))
+        return rows
+
+    monkeypatch.setattr(BatchTable, "_read", counted)
+    work(requests_of(spark, [(900, datetime(2024, 1, 2), "uid-3", "user-new", "Some name", "m@x"), (901, datetime(2024, 1, 2), "uid-new", "user-5", "Some name", "m@x")]), 1)
+    assert opened and max(opened) <= 2
+    monkeypatch.undo()
+    assert held.stored(["uid"]).select("uid").distinct().count() == 200
+
+
+def test_index_is_kept_incrementally(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(datetime(2024, 1, 1 + k // 20), k, f"users/{rng.choice('aab')}/groupInvitations/i{k}", "GroupInvitationCreated", f"r{k}") for k in range(90)]
+    frame = lambda part: conform_invitations(spark, part)
+    work, index = jobs.invitation_index(spark, str(tmp_path))
+    for number, start in enumerate(range(0, 90, 30)):
+        work(frame(rows[start:start + 30]), number)
+        work(frame(rows[start:start + 30]), number)  # repeated
+    want = sorted(map(tuple, folds.invitation_index(frame(rows)).collect()))
+    assert sorted(map(tuple, index().collect())) == want
+    one = spark.createDataFrame([("users/b",)], "parent string")
+    assert sorted(map(tuple, index(one).collect())) == [r for r in want if r[0] == "users/b"]
+    # A batch writes rows of its own parents only, and no ordinal changes.
+    work(frame([(datetime(2024, 2, 1), 99, "users/b/groupInvitations/last", "GroupInvitationCreated", "r99")]), 3)
+    assert [p.name for p in (tmp_path / "index_counts" / "batch_id=3").glob("part=*")] == [p.name for p in (tmp_path / "index_entries" / "batch_id=3").glob("part=*")]
+    assert [r.name for r in index(one).filter("position = 1").collect()] == ["users/b/groupInvitations/last"]
+
+
+def conform_invitations(spark, rows):
+    from rosterfold.schemas import INVITATION_EVENT, conform
+
+    return conform(spark.createDataFrame(rows, "ts timestamp_ntz, seq long, name string, event_type string, request_id string"), INVITATION_EVENT)
+
+
+def plain(df):
+    return sorted(map(repr, df.collect()))
+
+
+def test_summaries_merge_in_any_order(spark):
+    rng, rows = random.Random(21), random_events(21, size=240)
+    want = plain(folds.user_groups(log_of(spark, rows)))
+    for parts in (2, 5):
+        rng.shuffle(rows)
+        pieces = [summaries.summary(log_of(spark, rows[k::parts])) for k in range(parts)]
+        forward = pieces[0]
+        for piece in pieces[1:]:
+            forward = summaries.merged(forward.unionByName(piece))
+        backward = pieces[-1]
+        for piece in reversed(pieces):  # the last one twice
+            backward = summaries.merged(piece.unionByName(backward))
+        assert plain(forward) == plain(backward)
+        assert plain(summaries.lists(forward)) == want
+        assert forward.count() < len(rows)
+
+
+def test_group_lists_read_compacted_summaries(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "COMPACT_EVERY", 2)
+    rows = sorted(random_events(22, size=120), key=sequential.event_place)
+    work, read, table = jobs.user_group_lists(spark, str(tmp_path))
+    for number in range(5):
+        work(log_of(spark, rows[number * 24:(number + 1) * 24]), number)
+    work(log_of(spark, rows[96:]), 4)
+    want = folds.user_groups(log_of(spark, rows))
+    assert plain(read()) == plain(want)
+    one = spark.createDataFrame([("users/hot1",)], "name string")
+    assert plain(read(one)) == plain(want.filter("name = 'users/hot1'"))
+    # Batches before the compaction before last are gone, so nothing reads the whole log.
+    assert sorted(p.name for p in (tmp_path / "group_summaries").glob("batch_id=*")) == ["batch_id=2", "batch_id=3", "batch_id=4"]
+    assert table.current(["name"]).count() > 0
+
+
+def test_counts_of_a_stream_go_on_after_a_restart(spark, tmp_path):
+    rows = sorted(random_requests(31), key=lambda r: (r[1], r[0]))
+    counted, work, table = stateful.counts(spark, str(tmp_path), "uid")
+    for number in range(3):
+        requests_of(spark, rows[number * 50:(number + 1) * 50]).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = tables.read_stream(spark, str(tmp_path / "in"), CREATE_USER_REQUEST)
+        stateful.run_to_end(counted(stream), str(tmp_path / "progress"), work)  # a new query each time
+    want = {}
+    for row in rows[:150]:
+        want[row[2]] = want.get(row[2], 0) + 1
+    assert {r.uid: r.value for r in table.current(["uid"]).collect()} == want
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").count("RocksDB") == 0
+
+
+def test_keyed_state_equals_the_fold(spark, tmp_path):
+    rows = sorted(random_events(33), key=sequential.event_place)
+    folded, work, table = stateful.user_state(spark, str(tmp_path))
+    for number in range(3):
+        log_of(spark, rows[number * 100:(number + 1) * 100]).write.mode("append").parquet(str(tmp_path / "in"))
+        stateful.run_to_end(folded(tables.read_stream(spark, str(tmp_path / "in"), USER_EVENT)), str(tmp_path / "progress"), work)
+    want = {r.name: (r.aggregate_version, r.display_name, r.etag) for r in folds.user_snapshot(folds.user_history(log_of(spark, rows))).collect()}
+    assert {r.name: (r.aggregate_version, r.display_name, r.etag) for r in table.current(["name"]).collect()} == want
+    assert any(r.before for r in [table.before(1).groupBy().agg(F.count("*").alias("before")).first()])
