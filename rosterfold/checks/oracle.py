@@ -596,6 +596,12 @@ select l.request_id, l.name as parent, case when total is null then 'index' end
  case when total is null then null when page_offset + page_size < total
   then to_base64(encode(cast(page_offset + page_size as varchar))) else '' end as next_page_token
 from fx_lookup l left join sizes s on l.name = s.parent""",
+        "unnamed_parents": """select 'people/' || cast(o_custkey as varchar) || '/groupInvitations/inv-' || cast(o_orderkey as varchar) as name,
+ 'groups/g-' || cast(o_orderkey % 7 as varchar) as group_name from orders where o_orderstatus = 'P'""",
+        "laid_out_tables": f"""{user_changelog}
+select u.name, display_name, aggregate_version, etag, events from user_now u join (select name, count(*) as events from fx_user_events group by name) using (name)""",
+        "malformed_requests": f"""with {FX_CREATE} select case when request_id % 7 in (1, 2) then 'malformed' else 'request' end as kind, cast(request_id as varchar) as key,
+ case when request_id % 7 not in (1, 2) then uid end as uid, ts from fx_create""",
         "groups_at_version": f"""with {NEAR_LOG}, {USER_GROUPS}, {FX_LOOKUP},
 places as (select l.request_id, v.name, v.ts, v.event_rank, v.seq, v.aggregate_version from fx_lookup l join user_versions v
  on l.name = v.name and v.epoch = 1 and v.aggregate_version = 1 + l.request_id % 12)

@@ -20,7 +20,7 @@ from rosterfold.plans import directory, invitations, lookups, users
 from rosterfold.schemas import (CREATE_INVITATION_REQUEST, CREATE_USER_REQUEST, DECIDE_INVITATION_REQUEST, INVITATION_EVENT,
                                 REMOVE_GROUP_REQUEST, UPDATE_USER_REQUEST, USER_EVENT, USER_EVENT_ORDER, USER_EVENT_TYPES)
 from rosterfold.sources import fixtures as fx
-from rosterfold.sources import tables
+from rosterfold.sources import layout, tables
 from rosterfold.streaming import jobs, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -360,9 +360,37 @@ def orphan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.orphans(_user_history(spark, sf_dir)).select("name", "ts", "seq", "event_type")
 
 
+@registered
+def unnamed_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invitations whose name has no parent part are kept apart."""
+    return folds.unnamed_parents(fx.oddly_named_invitations(spark, sf_dir)).select("name", "group_name")
+
+
+def laid_out_state(spark: SparkSession, sf_dir: str, buckets: int = 8) -> DataFrame:
+    """Users with the number of their events, from event and history tables that are laid out by user."""
+    log = layout.laid_out(fx.user_events(spark, sf_dir), "events", "name", USER_EVENT_ORDER, buckets)
+    history = layout.laid_out(folds.user_history(log), "history", "name", USER_EVENT_ORDER, buckets)
+    counts = log.groupBy("name").agg(F.count(F.lit(1)).alias("events"))
+    return folds.user_snapshot(history).join(counts, "name").select("name", "display_name", "aggregate_version", "etag", "events")
+
+
+@registered
+def laid_out_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return laid_out_state(spark, sf_dir)
+
+
 # Reads.
 
 
+@registered
+def malformed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a topic, those that parse and those that are kept apart."""
+    records = fx.request_records(spark, sf_dir)
+    good = tables.well_formed(records, CREATE_USER_REQUEST).select(F.lit("request").alias("kind"), F.col("request_id").cast("string").alias("key"), "uid", "ts")
+    bad = tables.malformed(records, CREATE_USER_REQUEST).select(F.lit("malformed").alias("kind"), "key", F.lit(None).cast("string").alias("uid"), F.col("timestamp").cast("timestamp_ntz").alias("ts"))
+    return good.unionByName(bad)
+
+
 @registered
 def get_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lookups.get_users(fx.lookup_requests(spark, sf_dir), fx.users(spark, sf_dir))

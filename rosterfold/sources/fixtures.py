@@ -159,6 +159,23 @@ def lookup_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.conform(rows, s.LOOKUP_REQUEST)
 
 
+def oddly_named_invitations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Created invitations, some under names that have no user in front."""
+    rows = _table(spark, sf_dir, "orders").selectExpr(
+        "o_orderdate as ts", "o_orderkey as seq",
+        f"case o_orderstatus when 'P' then concat('people/', cast(o_custkey as string)) else {_ORDER_USER} end || '/groupInvitations/inv-' || cast(o_orderkey as string) as name",
+        f"'{INVITATION_CREATED}' as event_type", "concat('groups/g-', cast(o_orderkey % 7 as string)) as group_name")
+    return s.conform(rows, s.INVITATION_EVENT)
+
+
+def request_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Create requests as records of a topic (key, value, timestamp); some values are cut off, some are not there."""
+    rows = create_user_requests(spark, sf_dir)
+    value = F.to_json(F.struct("request_id", "uid", "user_id", "display_name", "email"))
+    cut = F.when(F.col("request_id") % 7 == 1, F.substring(value, 1, 20)).when(F.col("request_id") % 7 != 2, value)
+    return rows.select(F.col("request_id").cast("string").alias("key"), cut.alias("value"), F.col("ts").cast("timestamp").alias("timestamp"))
+
+
 # Tables whose times lie together, for histories of all of them.
 
 

@@ -161,13 +161,13 @@ def random_directory(seed, appending, size=240):
     return users, pending, steps
 
 
-@pytest.mark.parametrize(("seed", "appending", "size"), [(1, False, 220), (2, True, 220)])
+@pytest.mark.parametrize(("seed", "appending", "size"), [(1, False, 200), (2, True, 130)])
 def test_directory_equals_one_by_one_handling(spark, seed, appending, size):
     against_one_by_one_handling(spark, *random_directory(seed, appending, size))
 
 
 def test_directory_with_heavy_keys(heavy):
-    against_one_by_one_handling(heavy, *random_directory(3, True, 90))
+    against_one_by_one_handling(heavy, *random_directory(3, True, 60))
 
 
 def against_one_by_one_handling(spark, users, pending, steps):
