@@ -637,6 +637,7 @@ union all select 'GroupInvitation' || upper(action[1]) || lower(action[2:]), nam
 union all select 'Released uid', uid, ts, '', '', '', '' from (with recursive {CREATE_WALK} select * from created where gate in ('user_id_format', 'user_id', 'fields'))
 union all select 'Released user_id', user_id, ts, '', '', '', '' from (with recursive {CREATE_WALK} select * from created where gate = 'fields')"""
     queries["stream_user_fold"] = queries["user_snapshot"]
+    queries["stream_remove_replay"] = f"select request_id, gate, groups_left, aggregate_version, etag from ({queries['remove_group_replay']})"
     queries["stream_user_state"] = queries["user_snapshot"]
     queries["stream_uid_counts"] = f"with {FX_CREATE} select uid, count(*) as value from fx_create group by uid"
     queries["stream_multi_sink"] = f"""with {FX_USERS}, {FX_GROUPS}, {FX_INVITE}, {CREATE_INVITATIONS}

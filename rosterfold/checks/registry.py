@@ -525,6 +525,17 @@ def stream_remove_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.rows().select("request_id", "gate", F.col("status.code").alias("code"), "aggregate_version")
 
 
+@registered
+def stream_remove_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removals in their place among the events, as both arrive."""
+    root = new_folder(spark, "stream-ordered-removals")
+    work, outcomes, _ = jobs.ordered_removals(spark, root)
+    asked = fx.remove_group_requests(spark, sf_dir).select("ts", F.col("user_name").alias("name"), "group_name", F.col("request_id").alias("asked_id"),
+                                                           F.lit(jobs.REMOVE_ASKED).alias("event_type"))
+    _replayed(fx.near_user_events(spark, sf_dir).unionByName(asked, allowMissingColumns=True), root, jobs.MEMBER_LOG, work)
+    return outcomes.rows().select("request_id", "gate", "groups_left", "aggregate_version", "etag")
+
+
 @registered
 def stream_decide_invitations(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = new_folder(spark, "stream-decisions")

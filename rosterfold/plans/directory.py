@@ -29,14 +29,16 @@ _PROFILE = ["uid", "display_name", "email"]
 
 
 def _prior_groups(users: DataFrame) -> DataFrame:
-    return users.select("name", folds.before_all().alias("_at"), F.posexplode("groups").alias("ordinal", "group_name"))
+    return users.select("name", F.posexplode("groups").alias("ordinal", "group_name"))
 
 
-def _removal_effects(requests: DataFrame, events: DataFrame, prior: DataFrame) -> DataFrame:
-    """The requests with ``_at``, whether their user exists, and what they find: ``equal`` elements, and ``left`` after them."""
+def _removal_effects(requests: DataFrame, events: DataFrame, prior: DataFrame, groups: DataFrame) -> DataFrame:
+    """The requests with ``_at``, whether their user exists, and what they find: ``equal`` elements, and ``left`` after them.
+
+    ``groups`` are the elements that the lists of ``prior`` users have before all events."""
     probe = Probe(events)
     added, resets, removed = folds.membership_changes(events, probe, prior)
-    added = added.select("name", "group_name", "_at", "ordinal").unionByName(_prior_groups(prior).select("name", "group_name", "_at", "ordinal"))
+    added = added.select("name", "group_name", "_at", "ordinal").unionByName(groups.select("name", "group_name", folds.before_all().alias("_at"), "ordinal"))
     asked = requests.withColumnRenamed("user_name", "name").withColumn("_at", usr.place_of(folds.GROUP_REMOVED))
     asked = lookup(asked, folds.births(events, prior), ["name"], ["request_id"], probe=Probe(requests.withColumnRenamed("user_name", "name")))
     asked = pinned(asked.withColumn("_exists", F.coalesce(F.col("_born") <= F.col("_at"), F.lit(False))).drop("_born"), "removals")
@@ -73,9 +75,17 @@ def replay_removals(requests: DataFrame, events: DataFrame, prior: DataFrame | N
     their groups. The reply is the user right after the removal, as in ``users.remove_groups``.
     """
     prior = _no_users(events) if prior is None else conform(prior, USER)
+    return continued_removals(requests, events, prior, _prior_groups(prior), secret)[0]
+
+
+def continued_removals(requests: DataFrame, events: DataFrame, prior: DataFrame, groups: DataFrame,
+                       secret: str = USER_SECRET) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same where the lists of ``prior`` users are rows (name, ordinal, group_name): (outcomes, all events, their history)."""
     events = conform(events, USER_EVENT, keep_null=("groups", "display_name"))
-    effects = pinned(_removal_effects(requests, events, prior), "removal-effects")
-    return _removal_outcomes(effects, folds.user_history(events.unionByName(_removal_events(effects)), prior, secret))
+    effects = pinned(_removal_effects(requests, events, prior, groups), "removal-effects")
+    log = events.unionByName(_removal_events(effects))
+    history = folds.user_history(log, prior, secret)
+    return _removal_outcomes(effects, history), log, history
 
 
 def _no_users(events: DataFrame) -> DataFrame:
@@ -152,7 +162,7 @@ def replay(start: DataFrame, pending: DataFrame, requests: Requests, secret: str
     settled, grown = appending.isEmpty(), None
     while True:
         log = outside if grown is None else outside.unionByName(grown)
-        effects = pinned(_removal_effects(requests.removals, log, start), "removal-effects")
+        effects = pinned(_removal_effects(requests.removals, log, start, _prior_groups(start)), "removal-effects")
         gone = _removal_events(effects)
         moved = log.filter(F.col("event_type") != folds.USER_CREATED).filter(F.col("event_type") != folds.USER_UPDATED).unionByName(gone)
         moved = lookup(moved, folds.births(outside, start), ["name"], USER_EVENT_ORDER, "inner", Probe(outside))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from rosterfold.functions.etags import USER_SECRET
 from rosterfold.functions.names import invitation_parent
@@ -19,6 +19,7 @@ from rosterfold.operators.gates import passed
 from rosterfold.operators.ordered import numbered
 from rosterfold.operators.skew import lookup
 from rosterfold.operators.workspace import pinned
+from rosterfold.plans.directory import continued_removals
 from rosterfold.plans.invitations import create_invitations, decided_events, replay_decisions
 from rosterfold.plans.users import created_events, create_users, releases, remove_groups, removed_events, replay_updates, updated_events
 from rosterfold.schemas import INVITATION_EVENT, INVITATION_EVENT_ORDER, USER_EVENT, USER_EVENT_ORDER
@@ -37,6 +38,8 @@ _UPDATE_OUTCOME = f"""request_id bigint, ts timestamp_ntz, name string, gate str
  display_name string, email string, added_groups array<string>, aggregate_version int, etag string"""
 _REMOVE_OUTCOME = f"""request_id bigint, ts timestamp_ntz, user_name string, group_name string, gate string, status {_STATUS},
  groups_left bigint, aggregate_version int, etag string"""
+_ORDERED_OUTCOME = f"""request_id bigint, ts timestamp_ntz, user_name string, group_name string, gate string, status {_STATUS}, uid string,
+ display_name string, email string, groups_left bigint, aggregate_version int, etag string"""
 _INVITATION_STATE = """name string, group_name string, state string, create_time timestamp_ntz, update_time timestamp_ntz,
  aggregate_version int, etag string"""
 _INVITATION_CHANGE = f"{_INVITATION_STATE}, ts timestamp_ntz, event_rank int, seq bigint, request_id string, event_type string"
@@ -186,6 +189,40 @@ def remove_requests(spark: SparkSession, root: str, users: Callable[[], DataFram
     return work, outcomes
 
 
+#: Remove-group requests among user events.
+MEMBER_LOG = StructType([*USER_EVENT, StructField("asked_id", LongType())])
+REMOVE_ASKED = "RemoveGroupAsked"
+
+
+def ordered_removals(spark: SparkSession, root: str, secret: str = USER_SECRET) -> tuple[Callable, BatchTable, BatchTable]:
+    """Judge remove-group requests in their place among user events: (batch function, outcomes, state of users).
+
+    The stream has events and requests in one order, requests as rows of the type ``REMOVE_ASKED`` with their id. Profiles and
+    versions are a state table, lists are kept as summaries; of both only the parts of the batch's users are opened.
+    """
+    outcomes = BatchTable(spark, f"{root}/ordered_outcomes", _ORDERED_OUTCOME)
+    state = BatchTable(spark, f"{root}/ordered_users", _USER_STATE, split="name")
+    held = user_group_lists(spark, root)[2]
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        batch = pinned(batch, "batch")
+        asked = batch.filter(F.col("event_type") == REMOVE_ASKED).select(F.col("asked_id").alias("request_id"), "ts", F.col("name").alias("user_name"), "group_name")
+        events = batch.filter(F.col("event_type") != REMOVE_ASKED).drop("asked_id")
+        known = pinned(state.current(["name"], batch_id, batch), "known")
+        before = summaries.lists(held.stored(["name"], batch_id, batch).drop(BATCH))
+        groups = pinned(before.select("name", F.col("position").cast("int").alias("ordinal"), "group_name"), "lists")
+        judged, log, history = continued_removals(asked, events, known, groups, secret)
+        log = pinned(log, "log")
+        outcomes.write(judged, batch_id)
+        state.write(folds.user_snapshot(history), batch_id)
+        held.write(summaries.summary(log), batch_id)
+        if (batch_id + 1) % COMPACT_EVERY == 0:
+            state.compact(["name"], batch_id)
+            held.compact(["name"], batch_id, summaries.merged)
+
+    return work, outcomes, state
+
+
 def decision_requests(spark: SparkSession, root: str, start: Callable[[], DataFrame]) -> tuple[Callable, BatchTable, BatchTable]:
     """Judge accept and reject requests in one order; each sees the decisions of earlier batches."""
     outcomes = BatchTable(spark, f"{root}/decide_outcomes", _DECIDE_OUTCOME)
