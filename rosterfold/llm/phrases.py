@@ -41,7 +41,7 @@ LEAST, TOP = 10, 2000
 RARE, END = np.uint64(0), np.uint64(1)
 TABLE_BITS, SLICE_BITS = 27, 14
 #: Words whose edges a task counts at a time, and about as many as a bucket holds.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 _KIND = np.zeros(256, np.int8)
 _KIND[[0x20, 0x09]] = 1
@@ -278,7 +278,8 @@ def graph(docs: DataFrame, words: DataFrame, least: int) -> DataFrame:
             pa.array(np.concatenate([out, flow[node], n[edge]]))], names=["a", "b", "c", "n"])
 
     sent = docs.select("text", "lang").mapInArrow(counted, "bucket bigint, edges binary")
-    dealt = sent.repartition(min(partitions(spark), 1 << log), "bucket").sortWithinPartitions("bucket")
+    # A few buckets to a task, so tasks do not grow with the corpus.
+    dealt = sent.repartition(max(partitions(spark), (1 << log) >> 3), "bucket").sortWithinPartitions("bucket")
     return pinned(dealt.mapInArrow(merged, "a bigint, b bigint, c bigint, n bigint"), "phrase-graph")
 
 
