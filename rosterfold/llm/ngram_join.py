@@ -12,7 +12,10 @@ is so high share a shingle among their first ``n - ceil(0.8 n) + 1`` in any comm
 5. Group pairs that are not yet known to be connected, share a prefix shingle, and pass the filters by size and by place
    in the prefix (``_remaining``) are all expanded to pairs of classes and tested. Long runs are cut in blocks.
 
-Whether two classes link is decided on their whole sets. Members of a class are never expanded into pairs.
+Whether two classes link is decided on their whole sets, for all pairs that a bound leaves: a set's sketch is a row of bits, each
+the parity of the shingles that fall on it, so two sketches differ in no more places than the sets do in shingles. Pairs
+whose sketches differ in more places than sets that link may are dropped, and only the others get their sets
+(``_within_reach``). Members of a class are never expanded into pairs.
 
 Defined cases: null and empty texts have no shingles, link with nothing, and are a component of their own; a text of one
 to four words is one shingle; equal texts link, whatever their doc_id; a null doc_id is never a component's
@@ -40,6 +43,7 @@ PIVOTS, TESTED = 16, 8  # pivots of a shingle, and how many of them a group is t
 RUN = 4096
 SEEN = 200_000  # groups a task remembers, to drop copies early
 FILTER_BITS = 28
+SKETCH_BITS = 1024
 SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -277,6 +281,31 @@ def _filter(wanted: DataFrame) -> tuple[int, np.ndarray]:
     return bits, out
 
 
+def _sketch(shingles: np.ndarray) -> bytes:
+    """The parity of the shingles on each of ``SKETCH_BITS`` places."""
+    places = (mix(shingles ^ (SALT << np.uint64(1))) >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64)
+    return np.packbits(np.bincount(places, minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
+
+
+def _within_reach(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs (a, b, fa, fb) whose sketches do not rule a link out. Sets of n and m shingles that link differ in at most
+    n + m - 2 ceil(4 (n + m) / 9) of them."""
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (4, 5))
+            size = batch.column(6).to_numpy()
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            yield batch.select(["a", "b", "fa", "fb"]).filter(pa.array(apart <= size - 2 * ((4 * size + 8) // 9)))
+
+    first = held.select(F.col("f").alias("fa"), F.col("sketch").alias("x"), F.col("size").alias("na"))
+    second = held.select(F.col("f").alias("fb"), F.col("sketch").alias("y"), F.col("size").alias("nb"))
+    rows = pairs.join(first, "fa").join(second, "fb").select("a", "b", "fa", "fb", "x", "y", (F.col("na") + F.col("nb")).alias("sizes"))
+    print_ = "struct<fp1: bigint, fp2: bigint>"
+    return pinned(rows.mapInArrow(test, f"a bigint, b bigint, fa {print_}, fb {print_}").distinct(), "near-pairs")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b: classes) that link, decided on whole sets."""
     named = classes.select("rep", "doc_id", "fp1", "fp2")
@@ -293,9 +322,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
             at = _place(batch.column(0), prints, bits)
             kept = np.flatnonzero((known[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
             if len(kept):
-                yield pa.RecordBatch.from_arrays([pa.array(prints[kept]), pa.array([_print(sets[k], SALT) for k in kept], pa.int64()), pa.array([sets[k].tobytes() for k in kept], pa.binary())], names=["fp1", "fp2", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(prints[kept]), pa.array([_print(sets[k], SALT) for k in kept], pa.int64()), pa.array([sets[k].tobytes() for k in kept], pa.binary()),
+                                                  pa.array([_sketch(sets[k]) for k in kept], pa.binary()), pa.array([len(sets[k]) for k in kept], pa.int64())],
+                                                 names=["fp1", "fp2", "s", "sketch", "size"])
 
-    held = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "fp1 bigint, fp2 bigint, s binary").select(F.struct("fp1", "fp2").alias("f"), "s")
+    held = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "fp1 bigint, fp2 bigint, s binary, sketch binary, size bigint").select(F.struct("fp1", "fp2").alias("f"), "s", "sketch", "size")
     held = pinned(held, "whole-sets")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +341,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
 
     first = held.select(F.col("f").alias("fa"), F.col("s").alias("x"))
     second = held.select(F.col("f").alias("fb"), F.col("s").alias("y"))
-    return pinned(both.join(first, "fa").join(second, "fb").select("a", "b", "x", "y").mapInArrow(test, "a bigint, b bigint").distinct(), "links")
+    near = _within_reach(both.select("a", "b", "fa", "fb"), held)
+    return pinned(near.join(first, "fa").join(second, "fb").select("a", "b", "x", "y").mapInArrow(test, "a bigint, b bigint").distinct(), "links")
 
 
 def _remaining(shared: DataFrame, groups: DataFrame) -> DataFrame:

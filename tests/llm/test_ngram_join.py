@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given, settings, strategies as st
 from odd_rows import ODD, words_of
 
 from rosterfold.llm import ngram_join
@@ -96,3 +98,35 @@ def test_one_of_rows_that_repeat_stays(frames):
     text = "a quiet morning by the river with nothing much to tell"
     docs = [(1, text, "en", "s")] * 3 + [(2, text, "en", "s")] * 2 + [(None, "other words of a text that has no number at all", "en", "s")] * 4 + [(3, "", "en", "s")] * 2
     assert sorted(r["doc_id"] or 0 for r in first_of_each(frames.docs(docs, extra=True)).collect()) == [0, 1, 3, 3]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.integers(0, 2 ** 64 - 1), max_size=400), st.sets(st.integers(0, 2 ** 64 - 1), max_size=80), st.integers(0, 60))
+def test_sketches_differ_in_no_more_places_than_sets(one, more, left_out):
+    other = set(sorted(one)[left_out:]) | more
+    x, y = (np.frombuffer(ngram_join._sketch(np.array(sorted(s), np.uint64)), np.uint8) for s in (one, other))
+    assert len(x) * 8 == ngram_join.SKETCH_BITS and int(np.bitwise_count(x ^ y).sum()) <= len(one ^ other)
+
+
+def test_a_family_of_near_copies_is_not_verified_pair_by_pair(frames, monkeypatch):
+    # 5 of 200 words changed in each copy: two copies differ too much from each other, and each from the original just so.
+    draw = random.Random(8)
+    base = [f"w{draw.randrange(900)}" for _ in range(200)]
+    docs = []
+    for k in range(240):
+        copy = list(base)
+        for at in draw.sample(range(200), 5):
+            copy[at] = f"x{draw.randrange(10 ** 6)}"
+        docs.append((k, " ".join(copy), "en", "s"))
+    tested, kept = [], []
+    plain = ngram_join._within_reach
+
+    def counted(pairs, held):
+        near = plain(pairs, held)
+        tested.append(pairs.count())
+        kept.append(near.count())
+        return near
+
+    monkeypatch.setattr(ngram_join, "_within_reach", counted)
+    compare(frames.docs(docs), docs)
+    assert sum(kept) <= 240 < sum(tested)
