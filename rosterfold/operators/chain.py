@@ -45,14 +45,15 @@ def effective(requests: DataFrame, key: str, order: list[str]) -> DataFrame:
              .unionByName(starts.select(key, "place")).distinct())
     steps = pinned(steps.join(aimed, [key, "place"], "left_semi"), "chain")
 
-    reached, span = starts, 1
+    # What was reached is a union of written tables, one for each round.
+    reached, span = pinned(starts, "chain"), 1
     while True:
         found = lookup(reached, steps.select(key, "place", "goal"), [key, "place"], ["level"], "inner").select(
             key, (F.col("level") + span).alias("level"), F.col("goal").alias("place"))
         found = pinned(found, "chain")
         if found.isEmpty():
             break
-        reached = pinned(reached.unionByName(found), "chain")
+        reached = reached.unionByName(found)
         onward = steps.select(key, F.col("place").alias("goal"), F.col("goal").alias("further"))
         steps = pinned(lookup(steps, onward, [key, "goal"], ["place"], "inner").select(
             key, "place", F.col("further").alias("goal"), "level"), "chain")
