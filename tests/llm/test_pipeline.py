@@ -46,7 +46,7 @@ def test_odd_rows(spark, frames, rows):
 
 
 def test_a_query_for_each_operator():
-    assert [q.split("_")[0] for q in registry.QUERIES] == [*(f"op{n}" for n in range(1, 11)), "pipeline"]
+    assert [q.split("_")[0] for q in registry.QUERIES] == [*(f"op{n}" for n in range(1, 14)), "pipeline"]
 
 
 def test_mix_equals_its_sql(spark):
