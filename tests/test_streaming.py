@@ -237,3 +237,26 @@ def test_keyed_state_equals_the_fold(spark, tmp_path):
     want = {r.name: (r.aggregate_version, r.display_name, r.etag) for r in folds.user_snapshot(folds.user_history(log_of(spark, rows))).collect()}
     assert {r.name: (r.aggregate_version, r.display_name, r.etag) for r in table.current(["name"]).collect()} == want
     assert any(r.before for r in [table.before(1).groupBy().agg(F.count("*").alias("before")).first()])
+
+
+def test_one_call_of_the_processor_folds_many_users(spark, tmp_path):
+    rows = sorted(random_events(34), key=sequential.event_place)
+
+    class Value:
+        state = None
+
+        def get(self):
+            return self.state
+
+        def update(self, state):
+            self.state = state
+
+    fold, got = stateful.UserFold(), {}
+    fold.users = Value()
+    for number in range(3):
+        events = log_of(spark, rows[number * 100:(number + 1) * 100]).toPandas()
+        for changed in fold.handleInputRows((0,), iter([events[:40], events[40:]]), None):
+            got.update({r.name: (r.aggregate_version, r.display_name) for r in changed.itertuples()})
+    want = folds.user_snapshot(folds.user_history(log_of(spark, rows))).collect()
+    assert got == {r.name: (r.aggregate_version, r.display_name) for r in want} and len(got) > 1
+    assert sorted(fold.users.state[0]) == sorted(got)
