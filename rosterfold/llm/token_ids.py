@@ -20,6 +20,7 @@ import re
 import struct
 import zlib
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 from itertools import pairwise
 from operator import attrgetter
@@ -35,7 +36,7 @@ from rosterfold.llm.words import pieces
 BLOCK = 1 << 20
 LANES = 2048
 CHECKPOINT = 256  # steps
-CACHED = 400_000  # chunks a Python worker remembers
+CACHED = 500_000  # chunks after which a Python worker keeps those of late and forgets the ones before them
 PUNCTUATION = ".,;:!?*#$%&@|()[]{}<>=+-~^/\\'\""  # neither letters, digits nor white space
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
@@ -58,11 +59,21 @@ class Chunks(dict):
         # The letter that stands for each byte in a byte-level vocabulary: itself where it is visible, else the next
         # free one from 256 on.
         visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        self.letters = {b: b for b in visible} | {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*visible}))}
-        self.space = chr(self.letters[32]) if self.lead else ""
+        letters = {b: b for b in visible} | {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*visible}))}
+        self.letters = "".join(chr(letters[b]) for b in range(256))
+        self.space = self.letters[32] if self.lead else ""
+        self.earlier: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        """Remember what was used since the last turn, so that frequent chunks stay."""
+        self.earlier = dict(self)
+        self.clear()
 
     def __missing__(self, key: str) -> bytes:
-        if not self.plain:
+        ids = self.earlier.get(key)
+        if ids is not None:
+            pass
+        elif not self.plain:
             ids = self.whole(self.lead + key)
         elif "\n" in key and len(key) > 1 and _lines(key):
             first, *rest = key.split("\n")
@@ -78,7 +89,7 @@ class Chunks(dict):
                 if not again:
                     return ids
             else:
-                letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                letters = word if word.isascii() else charmap_decode(word.encode(), "strict", self.letters)[0]
                 ids = array(self.code, map(_ID, self.model.tokenize(self.space + letters))).tobytes()
         self[key] = ids
         return ids
@@ -90,6 +101,8 @@ class Chunks(dict):
 def _lines(key: str) -> bool:
     """Whether every line break stands between visible characters."""
     parts = key.split("\n")
+    if parts == key.split():
+        return True
     return all(parts) and not any(a[-1].isspace() or b[0].isspace() for a, b in pairwise(parts))
 
 
@@ -117,7 +130,7 @@ class Encoder:
             return self.bare.whole(text) + self.end
         for known in (self.bare, self.spaced):
             if len(known) > CACHED:
-                known.clear()
+                known.turn()
         first, *rest = text.split(" ")
         return (self.bare[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest)) + self.end
 

@@ -71,3 +71,17 @@ def test_empty_table(spark, frames):
     folder = new_folder(spark, "ids")
     T.write_ids(T.tokenize(frames.docs([]), PATH), "<u2", folder)
     assert T.read_ids(spark, folder).collect() == []
+
+
+def test_recent_chunks_stay_when_a_worker_forgets(monkeypatch):
+    encoder = T.Encoder(PATH, 0)
+    want = encoder.encode("Über alpha beta\ngamma, delta")
+    monkeypatch.setattr(T, "CACHED", 1)
+
+    class Gone:
+        def tokenize(self, word):
+            raise AssertionError(word)
+
+    encoder.spaced.model = encoder.bare.model = Gone()
+    assert encoder.encode("Über alpha beta\ngamma, delta") == want
+    assert len(encoder.spaced) <= 4
