@@ -10,7 +10,7 @@ with one first word is that word's count.
    in no candidate, nor can a candidate's part be rarer than the candidate. Tasks know the others by a bit table of at most
    ``2 ** TABLE_BITS`` places; a rare word is ``RARE`` in the graph. A rare word that shares its place with another one
    only makes the graph larger.
-2. Tasks count the edges of a few million words at a time and send them, packed, to the bucket of their first pair; each bucket is
+2. Tasks count the edges of some hundred thousand words at a time and send them, packed, to the bucket of their first pair; each bucket is
    merged on its own, sorted by whole edges. Buckets are as many as the corpus needs, so one always fits in a task, and
    a pair that holds a third of all rows has been counted before it is sent.
 3. Of the merged graph, nodes and edges of ``LEAST`` or more remain. A node whose whole flow comes in by one edge and leaves by one
@@ -40,8 +40,10 @@ from rosterfold.operators.skew import lookup
 LEAST, TOP = 10, 2000
 RARE, END = np.uint64(0), np.uint64(1)
 TABLE_BITS, SLICE_BITS = 27, 14
-#: Words whose edges a task counts at a time, and about as many as a bucket holds.
-CHUNK = 1 << 20
+#: Words whose edges a task counts at a time; a bucket holds about four times as many.
+CHUNK = 1 << 18
+#: Bytes of text that are split into words at a time.
+READ = 1 << 19
 
 _KIND = np.zeros(256, np.int8)
 _KIND[[0x20, 0x09]] = 1
@@ -91,7 +93,7 @@ class Pieces:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[Pieces]:
-    for batch in pieces(batches):
+    for batch in pieces(batches, limit=READ):
         found = Pieces(batch.column("text"), batch.column("lang"))
         if len(found.ids):
             yield found
@@ -222,7 +224,7 @@ def graph(docs: DataFrame, words: DataFrame, least: int) -> DataFrame:
     total = words.filter("word is null").agg(F.sum("n").alias("n")).first()["n"] or 0
     bits, found_bits = _bit_table(known)
     bit_table = spark.sparkContext.broadcast(found_bits)
-    log = max(int(total // CHUNK).bit_length(), (partitions(spark) - 1).bit_length())
+    log = max(int(total // (4 * CHUNK)).bit_length(), (partitions(spark) - 1).bit_length())
     shift = np.uint64(64 - log)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -135,3 +135,12 @@ def test_scores_past_64_bits(spark):
     assert row.select(ph._score("f1", "f2").alias("s")).first()["s"] == 1_000_000 * big * big // ((big + 5) * (big + 11))
     exact = spark.createDataFrame([(3, 3, 3)], "a bigint, f1 bigint, f2 bigint").withColumn("f1", F.col("f1"))
     assert exact.select(ph._score("f1", "f2").alias("s")).first()["s"] == 1_000_000
+
+
+def test_texts_are_read_in_small_pieces():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["some words " * 9000] * 30), pa.array(["en"] * 30)], names=["text", "lang"])
+    read = list(ph._read(iter([batch])))
+    assert max(len(found.raw) for found in read) <= 1 << 19 and ph.CHUNK <= 1 << 18
+    assert sum(len(found.ids) for found in read) == 30 * 18000
