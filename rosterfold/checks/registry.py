@@ -15,7 +15,7 @@ from rosterfold.functions.status import flat_status
 from rosterfold.functions.text import strip_blank, units
 from rosterfold.operators import folds
 from rosterfold.operators.skew import Probe, lookup
-from rosterfold.operators.workspace import new_folder, pinned
+from rosterfold.operators.workspace import move_files, new_folder, pinned
 from rosterfold.plans import directory, invitations, lookups, users
 from rosterfold.schemas import (CREATE_INVITATION_REQUEST, CREATE_USER_REQUEST, DECIDE_INVITATION_REQUEST, INVITATION_EVENT,
                                 REMOVE_GROUP_REQUEST, UPDATE_USER_REQUEST, USER_EVENT, USER_EVENT_ORDER, USER_EVENT_TYPES)
@@ -485,12 +485,14 @@ def _replayed(df: DataFrame, root: str, schema: StructType, work: Callable[[Data
     if bounds.low is None:
         return
     width = (bounds.high - bounds.low) / stretches
+    stretch_of = F.lit(stretches - 1)
+    for stretch in reversed(range(stretches - 1)):
+        stretch_of = F.when(F.col("ts") < bounds.low + (stretch + 1) * width, stretch).otherwise(stretch_of)
+    # All rows are written at once, and the files of a stretch arrive when its turn comes.
+    rows = df.filter(F.col("ts").isNotNull()).withColumn("stretch", stretch_of)
+    rows.write.option("compression", "zstd").partitionBy("stretch").parquet(f"{root}/arriving")
     for stretch in range(stretches):
-        start, end = bounds.low + stretch * width, bounds.low + (stretch + 1) * width
-        arriving = df.filter((F.col("ts") >= start) if stretch else F.lit(True))
-        if stretch < stretches - 1:
-            arriving = arriving.filter(F.col("ts") < end)
-        arriving.write.mode("append").parquet(path)
+        move_files(spark, f"{root}/arriving/stretch={stretch}", path, f"{stretch}-")
         stream = tables.read_stream(spark, path, schema)
         if shape is None:
             jobs.run_to_end(stream, f"{root}/progress", work)
@@ -536,12 +538,17 @@ def stream_remove_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.rows().select("request_id", "gate", "groups_left", "aggregate_version", "etag")
 
 
+def _laid_out_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending invitations, stored by name, so that no batch sends them."""
+    return layout.laid_out(_pending(spark, sf_dir), "pending", "name", ["group_name"], int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 @registered
 def stream_decide_invitations(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = new_folder(spark, "stream-decisions")
-    pending = pinned(_pending(spark, sf_dir), "pending")
+    pending = _laid_out_pending(spark, sf_dir)
     work, outcomes, _ = jobs.decision_requests(spark, root, lambda: pending)
-    _replayed(pinned(fx.decision_requests(spark, sf_dir), "requests"), root, DECIDE_INVITATION_REQUEST, work)
+    _replayed(fx.decision_requests(spark, sf_dir), root, DECIDE_INVITATION_REQUEST, work)
     return outcomes.rows().select("request_id", "gate", "state")
 
 
@@ -624,12 +631,12 @@ def stream_event_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = new_folder(spark, "stream-events")
     log = fx.user_events(spark, sf_dir)
     known, held = pinned(folds.user_snapshot(folds.user_history(log)), "users"), pinned(folds.user_groups(log), "groups")
-    pending = pinned(_pending(spark, sf_dir), "pending")
+    pending = _laid_out_pending(spark, sf_dir)
     streams = {
         "create": (fx.create_user_requests(spark, sf_dir), CREATE_USER_REQUEST, lambda at: jobs.user_requests(spark, at)),
         "update": (fx.update_user_requests(spark, sf_dir), UPDATE_USER_REQUEST, lambda at: jobs.update_requests(spark, at, lambda: fx.users(spark, sf_dir))),
         "remove": (fx.remove_group_requests(spark, sf_dir), REMOVE_GROUP_REQUEST, lambda at: jobs.remove_requests(spark, at, lambda: known, lambda: held)),
-        "decide": (pinned(fx.decision_requests(spark, sf_dir), "requests"), DECIDE_INVITATION_REQUEST, lambda at: jobs.decision_requests(spark, at, lambda: pending))}
+        "decide": (fx.decision_requests(spark, sf_dir), DECIDE_INVITATION_REQUEST, lambda at: jobs.decision_requests(spark, at, lambda: pending))}
     parts = []
     for pipeline, (requests, schema, job) in streams.items():
         at = f"{root}/{pipeline}"

@@ -30,6 +30,16 @@ def delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
+def move_files(spark: SparkSession, folder: str, to: str, prefix: str) -> None:
+    """Move the files of a folder, if it is there, under names that begin with ``prefix``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.mkdirs(path(to))
+    for status in files.listStatus(path(folder)) if files.exists(path(folder)) else []:
+        if not files.rename(status.getPath(), path(to, prefix + status.getPath().getName())):
+            raise OSError(f"{status.getPath()} was not moved")
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the tables this application wrote; frames that read them are of no use afterwards."""
     delete(spark, _own_folder(spark))

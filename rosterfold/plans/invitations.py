@@ -58,10 +58,13 @@ def created_invitation_events(outcomes: DataFrame) -> DataFrame:
     return conform(rows, INVITATION_EVENT)
 
 
-def _with_stored(requests: DataFrame, invitations: DataFrame, probe: Probe) -> DataFrame:
+def _with_stored(requests: DataFrame, invitations: DataFrame, probe: Probe, changed: DataFrame | None = None) -> DataFrame:
     since = ["since"] if "since" in invitations.columns else []
     stored = invitations.select("name", F.struct(*STORED[1:]).alias("cur"), *since)
     rows = lookup(requests.withColumnRenamed("etag", "request_etag"), stored, ["name"], DECISION_ORDER, probe=probe)
+    if changed is not None:
+        later = changed.select("name", F.struct(*STORED[1:]).alias("_later"))
+        rows = lookup(rows, later, ["name"], DECISION_ORDER, probe=probe).withColumn("cur", F.coalesce("_later", "cur")).drop("_later")
     if since:  # an invitation that is made on the way is not there before
         rows = rows.withColumn("cur", F.when(F.col("since").isNull() | (F.col("since") <= F.col("ts")), F.col("cur"))).drop("since")
     return rows
@@ -96,14 +99,15 @@ def decide_invitations(requests: DataFrame, invitations: DataFrame, secret: str
 
 
 def replay_decisions(requests: DataFrame, invitations: DataFrame, secret: str = INVITATION_SECRET,
-                     domain: str = st.DOMAIN) -> DataFrame:
+                     domain: str = st.DOMAIN, changed: DataFrame | None = None) -> DataFrame:
     """Outcome of accept and reject requests in order.
 
     A pending invitation is decided by the first request that carries its etag; that is a minimum
-    per invitation. Later requests meet the next version, which is no longer pending.
+    per invitation. Later requests meet the next version, which is no longer pending. ``changed`` has
+    the invitations that are not as in ``invitations`` any more.
     """
     place, probe = F.struct(*DECISION_ORDER), Probe(requests)
-    rows = _with_stored(requests, invitations, probe)
+    rows = _with_stored(requests, invitations, probe, changed)
     deciding = (F.col("request_etag") == F.col("cur.etag")) & (F.col("cur.state") == PENDING)
     rows = with_minimum(rows, ["name"], F.when(deciding, place), "_won", DECISION_ORDER, probe)
     late = F.coalesce(place > F.col("_won"), F.lit(False))

@@ -230,7 +230,8 @@ def decision_requests(spark: SparkSession, root: str, start: Callable[[], DataFr
     events = event_sink(spark, root, "decide")
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        outcomes.write(replay_decisions(batch, _known(state, start(), "name", batch, batch_id)), batch_id)
+        # The state and the start are joined by name as they are, so that neither is written or sent once more.
+        outcomes.write(replay_decisions(batch, start(), changed=state.current(["name"], batch_id, batch)), batch_id)
         events.write(decided_events(outcomes.written(batch_id)), batch_id)
         state.write(passed(outcomes.written(batch_id)), batch_id)
         if (batch_id + 1) % COMPACT_EVERY == 0:

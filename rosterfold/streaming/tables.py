@@ -37,10 +37,10 @@ class BatchTable:
 
     def _save(self, df: DataFrame, folder: str) -> None:
         if self.split is None:
-            df.write.mode("overwrite").parquet(folder)
+            df.write.mode("overwrite").option("compression", "zstd").parquet(folder)
         else:
             # One row for each key and batch, so the parts are of one size.
-            df.withColumn(PART, self._part()).repartition(PART).write.mode("overwrite").partitionBy(PART).parquet(folder)
+            df.withColumn(PART, self._part()).repartition(PART).write.mode("overwrite").option("compression", "zstd").partitionBy(PART).parquet(folder)
 
     def write(self, df: DataFrame, batch_id: int) -> None:
         names = T.StructType.fromDDL(self.columns).fieldNames()

@@ -11,6 +11,7 @@ from rosterfold.streaming.tables import BatchTable
 from rosterfold.schemas import CREATE_USER_REQUEST, USER_EVENT
 from test_allocate import random_requests, requests_of
 from test_folds import log_of, random_events
+from test_invitations import decisions_of, stored_of
 
 
 def test_user_fold_in_batches_equals_one_fold(spark, tmp_path):
@@ -260,3 +261,35 @@ def test_one_call_of_the_processor_folds_many_users(spark, tmp_path):
     want = folds.user_snapshot(folds.user_history(log_of(spark, rows))).collect()
     assert got == {r.name: (r.aggregate_version, r.display_name) for r in want} and len(got) > 1
     assert sorted(fold.users.state[0]) == sorted(got)
+
+
+def test_decisions_in_batches_send_the_state_once(spark, tmp_path, monkeypatch):
+    rng = random.Random(35)
+    names = [f"users/a/groupInvitations/i{n}" for n in range(20)]
+    states = {n: (rng.choice(["PENDING", "PENDING", "ACCEPTED"]), rng.choice([1, 3])) for n in names}
+    rows = []
+    for n in range(150):
+        name = rng.choice([*names, "users/a/groupInvitations/none"])
+        tag = sequential.invitation_etag(name, states.get(name, ("", 1))[1] + rng.choice([0, 0, 1]))
+        rows.append((f"r{n:03}", datetime(2024, 1, 1 + n // 10), name, tag, rng.choice(["ACCEPTED", "REJECTED"])))
+    start = stored_of(spark, states)
+
+    def unwanted(df, label):
+        raise AssertionError(label)
+
+    monkeypatch.setattr(jobs, "pinned", unwanted)
+    work, outcomes, _ = jobs.decision_requests(spark, str(tmp_path), lambda: start)
+    for number in (0, 1, 1, 2):
+        work(decisions_of(spark, rows[number * 50:(number + 1) * 50]), number)
+    assert {r.request_id: r.gate for r in outcomes.rows().collect()} == sequential.replay_decisions(states, rows)
+
+
+def test_rows_arrive_in_stretches(spark, tmp_path):
+    from rosterfold.checks.registry import _replayed
+
+    rows = sorted(random_events(36), key=sequential.event_place)
+    seen = []
+    _replayed(log_of(spark, rows), str(tmp_path), USER_EVENT, lambda batch, number: seen.append(sorted((r.ts, r.seq) for r in batch.select("ts", "seq").collect())))
+    assert sorted(sum(seen, [])) == sorted((r.ts, r.seq) for r in log_of(spark, rows).collect())
+    assert len(seen) > 1 and all(a[-1][0] < b[0][0] for a, b in zip(seen, seen[1:]))
+    assert not list(tmp_path.glob("arriving/*/*.parquet"))
