@@ -16,8 +16,19 @@ from rosterfold.operators.workspace import new_folder, pinned
 __all__ = ["in_order", "new_folder", "partitions", "pinned", "table", "text_or_empty"]
 
 
+#: Bytes of rows that Spark hands a Python worker at a time, where the session says nothing else: two pieces of ``words.PIECE``.
+BATCH_BYTES = 4 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def importable(spark: SparkSession) -> None:
-    """Let Python workers find this package where the driver has it, also when the session began elsewhere."""
+    """Let Python workers find this package where the driver has it, also when the session began elsewhere.
+
+    Rows come to the workers in batches of ``BATCH_BYTES``. Spark counts 10,000 rows to a batch, whatever their size, and holds each batch
+    outside its heap and in the worker too; rows of texts or of packed sets may have any size.
+    """
+    if spark.conf.get(_BATCH_BYTES, None) is None:
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
