@@ -5,12 +5,14 @@ operators: creations depend on no later state; groups and invitations exist from
 alone; a removal depends on the list events before it and on no other removal's outcome; an update depends on how many events
 moved its user before it and on the updates before it. Only updates that append groups can matter to removals, which
 matter to updates: where there are such updates, both are computed again until the appended groups stay the same. Each time
-all requests are right up to the first one that was not, so this ends, and with the only order there is.
+all requests of a user are right up to the first one that was not, so this ends, and with the only order there is. Users do not
+depend on one another there, so only those are computed again whose appended groups changed ahead of one of their removals.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -130,6 +132,39 @@ def _there(rows: DataFrame, known: DataFrame, key: str, flag: str, probe: Probe)
     return found.withColumn(flag, F.coalesce(F.col("_since") <= F.col("ts"), F.lit(False))).drop("_since")
 
 
+def _some(rows: DataFrame, names: DataFrame, spread: list[str], how: str = "left_semi", key: str = "name") -> DataFrame:
+    """The rows of some users, or of all others."""
+    return lookup(rows, names.withColumnRenamed("name", key), [key], spread, how).select(*rows.columns)
+
+
+@dataclass(frozen=True)
+class _Part:
+    """Users whose removals and updates are computed together, and all that concerns them."""
+
+    start: DataFrame
+    everyone: DataFrame
+    born: DataFrame
+    outside: DataFrame
+    removals: DataFrame
+    updates: DataFrame
+
+    def of(self, names: DataFrame) -> _Part:
+        users = [pinned(df.join(names, "name", "left_semi").select(*df.columns), "some-users") for df in (self.start, self.everyone, self.born)]
+        return _Part(*users, pinned(_some(self.outside, names, USER_EVENT_ORDER), "some-events"),
+                     pinned(_some(self.removals, names, ["request_id"], key="user_name"), "some-removals"),
+                     pinned(_some(self.updates, names, ["request_id"]), "some-updates"))
+
+
+def _unsettled(now: DataFrame, before: DataFrame | None, removals: DataFrame) -> DataFrame:
+    """Names of users whose appended groups are not those ``before`` at a time when a removal of theirs is still to come."""
+    key = ["name", "ts", "seq"]
+    changed = now.select(*key)
+    if before is not None:
+        changed = changed.join(before, key, "left_anti").unionByName(before.select(*key).join(now, key, "left_anti"))
+    last = removals.groupBy(F.col("user_name").alias("name")).agg(F.max("ts").alias("_last"))
+    return changed.groupBy("name").agg(F.min("ts").alias("_first")).join(last, "name").filter("_last >= _first").select("name")
+
+
 def replay(start: DataFrame, pending: DataFrame, requests: Requests, secret: str = USER_SECRET,
            invitation_secret: str = INVITATION_SECRET, domain: str = st.DOMAIN) -> Replayed:
     """Let all requests take their turn, by time, then kind of event, then id.
@@ -159,21 +194,27 @@ def replay(start: DataFrame, pending: DataFrame, requests: Requests, secret: str
     outside = inv.group_created_events(requests.made.filter("ts is not null")).unionByName(inv.membership_events(inv.decided_events(decided)))
     outside = pinned(outside.unionByName(born), "outside")
     appending = requests.updates.filter(masks.covers(masks.writable(F.col("mask")), "groups") & (F.size("groups") > 0))
-    settled, grown = appending.isEmpty(), None
+    settled, grown, rounds = appending.isEmpty(), None, []
+    part = _Part(start, everyone, born, outside, requests.removals, requests.updates)
     while True:
-        log = outside if grown is None else outside.unionByName(grown)
-        effects = pinned(_removal_effects(requests.removals, log, start, _prior_groups(start)), "removal-effects")
-        gone = _removal_events(effects)
-        moved = log.filter(F.col("event_type") != folds.USER_CREATED).filter(F.col("event_type") != folds.USER_UPDATED).unionByName(gone)
-        moved = lookup(moved, folds.births(outside, start), ["name"], USER_EVENT_ORDER, "inner", Probe(outside))
+        log = part.outside if grown is None else part.outside.unionByName(grown)
+        effects = pinned(_removal_effects(part.removals, log, part.start, _prior_groups(part.start)), "removal-effects")
+        moved = log.filter(F.col("event_type") != folds.USER_CREATED).filter(F.col("event_type") != folds.USER_UPDATED).unionByName(_removal_events(effects))
+        moved = lookup(moved, folds.births(part.outside, part.start), ["name"], USER_EVENT_ORDER, "inner", Probe(part.outside))
         moved = pinned(moved.filter(F.struct(*USER_EVENT_ORDER) > F.col("_born")).select("name", *USER_EVENT_ORDER), "moved")
-        updated = pinned(usr.replay_updates(requests.updates, everyone, secret, domain, bumps=moved, births=born), "updated")
+        updated = pinned(usr.replay_updates(part.updates, part.everyone, secret, domain, bumps=moved, births=part.born), "updated")
+        if not settled:
+            now = pinned(usr.updated_events(updated).filter(F.size("added_groups") > 0), "grown")
+            again = pinned(_unsettled(now, grown, part.removals), "unsettled")
+            settled = again.isEmpty()
         if settled:
+            rounds.append((effects, updated))
             break
-        now = pinned(usr.updated_events(updated).filter(F.size("added_groups") > 0), "grown")
-        key = ["name", "ts", "seq"]
-        settled = grown is not None and now.count() == grown.count() and now.join(grown, key, "left_anti").isEmpty()
-        grown = now
+        # What is computed again is a part of what was computed last, so each user has the rows of its last time.
+        rounds.append(tuple(_some(rows, again, ["request_id"], "left_anti") for rows in (effects, updated)))
+        part, grown = part.of(again), pinned(_some(now, again, USER_EVENT_ORDER), "grown")
+    effects, updated = (reduce(DataFrame.unionByName, rows) for rows in zip(*rounds))
+    gone = _removal_events(effects)
 
     events = pinned(outside.unionByName(usr.updated_events(updated)).unionByName(gone), "events")
     history = folds.user_history(events, start, secret)

@@ -201,3 +201,35 @@ def against_one_by_one_handling(spark, users, pending, steps):
     assert sum(v[0] is None for (k, _), v in want.items() if k == "update" and v) > 5
     versions = {r.seq: r.aggregate_version for r in got.history.filter("event_type = 'UserUpdated'").collect()}
     assert versions == {rid: v for (k, rid), (g, v, *_) in rows.items() if k == "update" and g is None}
+
+
+def test_only_users_whose_appended_groups_matter_are_computed_again(spark, monkeypatch):
+    users = {f"users/u{k}": (f"v{k}", f"User {k}", "u@x", 1, ["g1"]) for k in range(3)}
+    at = [START + timedelta(minutes=k) for k in range(4)]
+    # u0 appends a group that is removed later, u1 appends one after its removal, u2 appends nothing.
+    updates = [(1, at[1], "users/u0", ["groups"], ["g2"]), (2, at[2], "users/u1", ["groups"], ["g2"]), (3, at[1], "users/u2", ["email"], [])]
+    removals = [(4, at[2], "users/u0", "g2"), (5, at[1], "users/u1", "g2"), (6, at[2], "users/u2", "g1")]
+    rows = [(r, t, n, sequential.user_etag(n, 1), mask, "Some name", "m@x", groups) for r, t, n, mask, groups in updates]
+    empty = lambda schema: conform(spark.createDataFrame([], "request_id long, ts timestamp_ntz").select("ts"), schema)
+    requests = directory.Requests(
+        creates=empty(CREATE_USER_REQUEST), invites=empty(CREATE_INVITATION_REQUEST), decisions=empty(DECIDE_INVITATION_REQUEST),
+        updates=conform(spark.createDataFrame(rows, "request_id long, ts timestamp_ntz, name string, etag string, mask array<string>, display_name string, email string, groups array<string>"), UPDATE_USER_REQUEST),
+        removals=conform(spark.createDataFrame(removals, "request_id long, ts timestamp_ntz, user_name string, group_name string"), REMOVE_GROUP_REQUEST),
+        made=spark.createDataFrame([], "ts timestamp_ntz, seq long, name string, owner string"))
+    pending = spark.createDataFrame([], "name string, group_name string, state string, create_time timestamp_ntz, aggregate_version int, etag string")
+    seen, effects = [], directory._removal_effects
+    monkeypatch.setattr(directory, "_removal_effects", lambda asked, *rest: (seen.append(sorted(r[0] for r in asked.select("user_name").collect())), effects(asked, *rest))[1])
+    got = directory.replay(users_of(spark, users), pending, requests)
+    assert seen == [sorted(users), ["users/u0"]]
+    assert {r.request_id: (r.gate, r.aggregate_version, r.groups_left) for r in got.removed.collect()} == {4: (None, 3, 1), 5: ("group", None, None), 6: (None, 3, 0)}
+    assert {r.request_id: (r.gate, r.aggregate_version) for r in got.updated.collect()} == {1: (None, 2), 2: (None, 2), 3: (None, 2)}
+
+
+def test_rows_of_some_users_and_of_all_others(either):
+    rows = [(f"u{k % 3}", k) for k in range(60)] + [("u1", k) for k in range(60, 100)]
+    df = either.createDataFrame(rows, "user_name string, request_id long")
+    names = either.createDataFrame([("u1",), ("u9",)], "name string")
+    for how, inside in (("left_semi", True), ("left_anti", False)):
+        got = directory._some(df, names, ["request_id"], how, "user_name")
+        assert got.columns == df.columns
+        assert sorted(map(tuple, got.collect())) == sorted(r for r in rows if (r[0] == "u1") == inside)
