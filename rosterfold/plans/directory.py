@@ -20,11 +20,11 @@ from rosterfold.functions import masks, messages as text, status as st
 from rosterfold.functions.etags import INVITATION_SECRET, USER_SECRET, user_etag
 from rosterfold.functions.names import user_id_of
 from rosterfold.operators import folds
-from rosterfold.operators.gates import Gate, judged, when_passed
+from rosterfold.operators.gates import judged, when_passed
 from rosterfold.operators.membership import removals_in_order
 from rosterfold.operators.skew import Probe, lookup
 from rosterfold.operators.workspace import pinned
-from rosterfold.plans import invitations as inv, users as usr
+from rosterfold.plans import invitations as inv, removals as rem, users as usr
 from rosterfold.schemas import USER, USER_EVENT, USER_EVENT_ORDER, conform
 
 _PROFILE = ["uid", "display_name", "email"]
@@ -62,9 +62,7 @@ def _removal_outcomes(effects: DataFrame, history: DataFrame) -> DataFrame:
         "name", F.struct(*USER_EVENT_ORDER).alias("_at"), F.struct("aggregate_version", "etag", *_PROFILE).alias("now"))
     # Two removals of one user are told apart by their places, so no key is heavy.
     rows = effects.join(after, ["name", "_at"], "left").withColumnRenamed("name", "user_name")
-    gates = [Gate("user", ~F.col("_exists"), st.not_found(F.format_string(text.NO_USER, "user_name"))),
-             Gate("group", F.coalesce(F.col("equal") == 0, F.lit(True)), st.not_found(F.format_string(text.NO_GROUP, "group_name")))]
-    return judged(rows, gates, st.ok(text.GROUP_REMOVED)).select(
+    return judged(rows, rem.removal_gates(F.col("_exists"), F.col("equal")), st.ok(text.GROUP_REMOVED)).select(
         *usr.ORDER, "user_name", "group_name", "gate", "status", *[when_passed(F.col(f"now.{c}")).alias(c) for c in _PROFILE],
         when_passed(F.col("left")).alias("groups_left"), when_passed(F.col("now.aggregate_version")).alias("aggregate_version"),
         when_passed(F.col("now.etag")).alias("etag"))
@@ -77,17 +75,9 @@ def replay_removals(requests: DataFrame, events: DataFrame, prior: DataFrame | N
     their groups. The reply is the user right after the removal, as in ``users.remove_groups``.
     """
     prior = _no_users(events) if prior is None else conform(prior, USER)
-    return continued_removals(requests, events, prior, _prior_groups(prior), secret)[0]
-
-
-def continued_removals(requests: DataFrame, events: DataFrame, prior: DataFrame, groups: DataFrame,
-                       secret: str = USER_SECRET) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The same where the lists of ``prior`` users are rows (name, ordinal, group_name): (outcomes, all events, their history)."""
-    events = conform(events, USER_EVENT, keep_null=("groups", "display_name"))
-    effects = pinned(_removal_effects(requests, events, prior, groups), "removal-effects")
-    log = events.unionByName(_removal_events(effects))
-    history = folds.user_history(log, prior, secret)
-    return _removal_outcomes(effects, history), log, history
+    counts = _prior_groups(prior).groupBy("name", "group_name").agg(F.count(F.lit(1)).alias("n"))
+    names = events.select("name").unionByName(requests.select(F.col("user_name").alias("name"))).unionByName(counts.select("name"))
+    return rem.outcomes(rem.walked(rem.steps_of(events, requests), prior, counts, names), secret)
 
 
 def _no_users(events: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from rosterfold.operators.gates import passed
 from rosterfold.operators.ordered import numbered
 from rosterfold.operators.skew import lookup
 from rosterfold.operators.workspace import pinned
-from rosterfold.plans.directory import continued_removals
+from rosterfold.plans import removals
 from rosterfold.plans.invitations import create_invitations, decided_events, replay_decisions
 from rosterfold.plans.users import created_events, create_users, releases, remove_groups, removed_events, replay_updates, updated_events
 from rosterfold.schemas import INVITATION_EVENT, INVITATION_EVENT_ORDER, USER_EVENT, USER_EVENT_ORDER
@@ -40,6 +40,7 @@ _REMOVE_OUTCOME = f"""request_id bigint, ts timestamp_ntz, user_name string, gro
  groups_left bigint, aggregate_version int, etag string"""
 _ORDERED_OUTCOME = f"""request_id bigint, ts timestamp_ntz, user_name string, group_name string, gate string, status {_STATUS}, uid string,
  display_name string, email string, groups_left bigint, aggregate_version int, etag string"""
+_GROUP_COUNT = "name string, group_name string, n bigint, as_of bigint"
 _INVITATION_STATE = """name string, group_name string, state string, create_time timestamp_ntz, update_time timestamp_ntz,
  aggregate_version int, etag string"""
 _INVITATION_CHANGE = f"{_INVITATION_STATE}, ts timestamp_ntz, event_rank int, seq bigint, request_id string, event_type string"
@@ -197,28 +198,26 @@ REMOVE_ASKED = "RemoveGroupAsked"
 def ordered_removals(spark: SparkSession, root: str, secret: str = USER_SECRET) -> tuple[Callable, BatchTable, BatchTable]:
     """Judge remove-group requests in their place among user events: (batch function, outcomes, state of users).
 
-    The stream has events and requests in one order, requests as rows of the type ``REMOVE_ASKED`` with their id. Profiles and
-    versions are a state table, lists are kept as summaries; of both only the parts of the batch's users are opened.
+    The stream has events and requests in one order, requests as rows of the type ``REMOVE_ASKED`` with their id. Profiles and versions
+    are one state table, how many elements of each group a user holds is another; of both only the parts of the batch's users are opened.
     """
     outcomes = BatchTable(spark, f"{root}/ordered_outcomes", _ORDERED_OUTCOME)
     state = BatchTable(spark, f"{root}/ordered_users", _USER_STATE, split="name")
-    held = user_group_lists(spark, root)[2]
+    held = BatchTable(spark, f"{root}/ordered_groups", _GROUP_COUNT, split="name")
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        batch = pinned(batch, "batch")
         asked = batch.filter(F.col("event_type") == REMOVE_ASKED).select(F.col("asked_id").alias("request_id"), "ts", F.col("name").alias("user_name"), "group_name")
-        events = batch.filter(F.col("event_type") != REMOVE_ASKED).drop("asked_id")
-        known = pinned(state.current(["name"], batch_id, batch), "known")
-        before = summaries.lists(held.stored(["name"], batch_id, batch).drop(BATCH))
-        groups = pinned(before.select("name", F.col("position").cast("int").alias("ordinal"), "group_name"), "lists")
-        judged, log, history = continued_removals(asked, events, known, groups, secret)
-        log = pinned(log, "log")
-        outcomes.write(judged, batch_id)
-        state.write(folds.user_snapshot(history), batch_id)
-        held.write(summaries.summary(log), batch_id)
+        steps = pinned(removals.steps_of(batch.filter(F.col("event_type") != REMOVE_ASKED), asked), "steps")
+        names = pinned(steps.select("name").distinct(), "names")
+        counts = removals.counts_now(held.stored(["name"], batch_id, names))
+        all_names = steps.select("name").unionByName(held.stored(["name"], batch_id).select("name"))
+        done = pinned(removals.walked(steps, state.current(["name"], batch_id, names), counts, all_names), "walked")
+        outcomes.write(removals.outcomes(done, secret), batch_id)
+        state.write(removals.users_after(done, secret), batch_id)
+        held.write(removals.counts_after(done).withColumn("as_of", F.lit(batch_id).cast("bigint")), batch_id)
         if (batch_id + 1) % COMPACT_EVERY == 0:
             state.compact(["name"], batch_id)
-            held.compact(["name"], batch_id, summaries.merged)
+            held.compact(["name"], batch_id, removals.counts_now)
 
     return work, outcomes, state
 

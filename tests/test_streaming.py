@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 
 import sequential
 from rosterfold.operators import folds, summaries
+from rosterfold.plans import directory, removals
 from rosterfold.sources import tables
 from rosterfold.streaming import jobs, stateful
 from rosterfold.streaming.tables import BatchTable
-from rosterfold.schemas import CREATE_USER_REQUEST, USER_EVENT
+from rosterfold.schemas import CREATE_USER_REQUEST, USER_EVENT, conform
 from test_allocate import random_requests, requests_of
 from test_folds import log_of, random_events
 from test_invitations import decisions_of, stored_of
@@ -293,3 +294,49 @@ def test_rows_arrive_in_stretches(spark, tmp_path):
     assert sorted(sum(seen, [])) == sorted((r.ts, r.seq) for r in log_of(spark, rows).collect())
     assert len(seen) > 1 and all(a[-1][0] < b[0][0] for a, b in zip(seen, seen[1:]))
     assert not list(tmp_path.glob("arriving/*/*.parquet"))
+
+
+def test_ordered_removals_in_batches(either, tmp_path):
+    rng = random.Random(21)
+    rows = sorted(random_events(21), key=sequential.event_place)
+    times = [row[0] for row in rows]
+    asked = [(n, rng.choice(times), rng.choice(["users/hot1", "users/c1", "users/c2", "users/none"]), rng.choice(["g0", "g1", "g2", "g9"])) for n in range(1000, 1120)]
+    requests = either.createDataFrame(asked, "request_id long, ts timestamp_ntz, user_name string, group_name string")
+    events = log_of(either, rows)
+    shown = ["request_id", "gate", "groups_left", "aggregate_version", "display_name", "etag"]
+    want = {tuple(r) for r in directory.replay_removals(requests, events).select(*shown).collect()}
+    assert {gate for _, gate, *_ in want} == {None, "user", "group"}
+    asks = requests.select("ts", F.col("user_name").alias("name"), "group_name", F.col("request_id").alias("asked_id"), F.lit(jobs.REMOVE_ASKED).alias("event_type"))
+    log = events.unionByName(asks, allowMissingColumns=True)
+    work, outcomes, _ = jobs.ordered_removals(either, str(tmp_path))
+    places = sorted(set(times))
+    cuts = [places[0], places[len(places) // 3], places[2 * len(places) // 3], datetime(2999, 1, 1)]
+    for batch_id in (0, 1, 1, 2):
+        work(log.filter((F.col("ts") >= cuts[batch_id]) & (F.col("ts") < cuts[batch_id + 1])), batch_id)
+    assert {tuple(r) for r in outcomes.rows().select(*shown).collect()} == want
+
+
+def test_ordered_removals_keep_a_number_for_each_group(spark, tmp_path):
+    at = [datetime(2024, 1, 1, hour) for hour in range(5)]
+    event = "ts timestamp_ntz, seq long, name string, event_type string, group_name string, display_name string, groups array<string>, asked_id long"
+
+    def batch(*rows):
+        return conform(spark.createDataFrame(rows, event), jobs.MEMBER_LOG, keep_null=("groups",))
+
+    work, outcomes, _ = jobs.ordered_removals(spark, str(tmp_path))
+    work(batch((at[0], 1, "users/abcd", "UserCreated", None, "Name", ["g1"] * 50 + ["g2"] * 3 + ["g3"], None)), 0)
+    held = lambda: spark.read.parquet(f"{tmp_path}/ordered_groups/batch_id=*")
+    assert {(r.group_name, r.n) for r in held().collect()} == {("g1", 50), ("g2", 3), ("g3", 1)} and held().count() == 3
+    work(batch((at[1], 2, "users/abcd", "GroupCreated", "g3", None, None, None), (at[2], 0, "users/abcd", jobs.REMOVE_ASKED, "g1", None, None, 7)), 1)
+    work(batch((at[3], 3, "users/abcd", "UserUpdated", None, "New", ["g3"], None), (at[4], 0, "users/abcd", jobs.REMOVE_ASKED, "g2", None, None, 8),
+               (at[4], 0, "users/abcd", jobs.REMOVE_ASKED, "g3", None, None, 9)), 2)
+    assert {(r.request_id, r.gate, r.groups_left, r.aggregate_version) for r in outcomes.rows().collect()} == {
+        (7, None, 5, 3), (8, "group", None, None), (9, None, 0, 5)}
+
+
+def test_steps_of_ordinary_users_are_sent_once(spark):
+    rows = log_of(spark, random_events(22))
+    requests = spark.createDataFrame([], "request_id long, ts timestamp_ntz, user_name string, group_name string")
+    done = removals.walked(removals.steps_of(rows, requests), spark.createDataFrame([], "name string, uid string, display_name string, email string, aggregate_version int"),
+                           spark.createDataFrame([], "name string, group_name string, n long"), rows.select("name"))
+    assert done._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
