@@ -164,9 +164,9 @@ def update_user_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _removals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = fx.user_events(spark, sf_dir)
-    return users.remove_groups(fx.remove_group_requests(spark, sf_dir), folds.user_snapshot(folds.user_history(log)),
-                               folds.user_groups(log))
+    requests = fx.remove_group_requests(spark, sf_dir)
+    log = users.log_of_asked(fx.user_events(spark, sf_dir), requests)
+    return users.remove_groups(requests, folds.user_snapshot(folds.user_history(log)), folds.user_groups(log))
 
 
 @registered

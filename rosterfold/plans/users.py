@@ -356,6 +356,12 @@ def replay_upserts(requests: DataFrame, users: DataFrame, secret: str = USER_SEC
 # Remove a group
 
 
+def log_of_asked(events: DataFrame, requests: DataFrame) -> DataFrame:
+    """The events of the users that remove-group requests name; no other user's state matters to them."""
+    asked = pinned(requests.select(F.col("user_name").alias("name")).distinct(), "asked")
+    return pinned(lookup(events, asked, ["name"], USER_EVENT_ORDER, "left_semi").select(*events.columns), "asked-events")
+
+
 def remove_groups(requests: DataFrame, users: DataFrame, groups: DataFrame, secret: str = USER_SECRET) -> DataFrame:
     """Outcome of remove-group requests against users and their group rows (see ``user_groups``).
 

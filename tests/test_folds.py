@@ -5,6 +5,7 @@ import pytest
 
 import sequential
 from rosterfold.operators import folds
+from rosterfold.plans import users
 from rosterfold.schemas import INVITATION_EVENT, USER_EVENT, USER_EVENT_ORDER, conform
 
 START = datetime(2024, 1, 1)
@@ -146,3 +147,16 @@ def test_last_writer_wins_in_the_uid_map(spark):
     rows = spark.createDataFrame([("u", "old", 1, 1), ("u", "new", 1, 2), ("v", "only", 5, 1)],
                                  "uid string, name string, ts int, seq int")
     assert {r.uid: r.name for r in folds.uid_names(rows, ["ts", "seq"]).collect()} == {"u": "new", "v": "only"}
+
+
+def test_the_log_of_asked_users(either):
+    rows = random_events(3)
+    requests = either.createDataFrame([(n, rows[0][0], name, "g1") for n, name in enumerate(["users/hot1", "users/hot1", "users/c1", "users/none"])],
+                                      "request_id long, ts timestamp_ntz, user_name string, group_name string")
+    log = log_of(either, rows)
+    some = users.log_of_asked(log, requests)
+    assert some.columns == log.columns
+    assert sorted((r.name, r.seq) for r in some.collect()) == sorted((row[2], row[1]) for row in rows if row[2] in ("users/hot1", "users/c1"))
+    outcomes = [{tuple(map(str, r)) for r in users.remove_groups(requests, folds.user_snapshot(folds.user_history(events)), folds.user_groups(events)).collect()}
+                for events in (log, some)]
+    assert outcomes[0] == outcomes[1] and len(outcomes[0]) == 4
