@@ -520,9 +520,7 @@ def stream_update_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def stream_remove_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = new_folder(spark, "stream-removals")
-    log = fx.user_events(spark, sf_dir)
-    known, held = pinned(folds.user_snapshot(folds.user_history(log)), "users"), pinned(folds.user_groups(log), "groups")
-    work, outcomes = jobs.remove_requests(spark, root, lambda: known, lambda: held)
+    work, outcomes = jobs.remove_requests_of_log(spark, root, lambda: fx.user_events(spark, sf_dir))
     _replayed(fx.remove_group_requests(spark, sf_dir), root, REMOVE_GROUP_REQUEST, work)
     return outcomes.rows().select("request_id", "gate", F.col("status.code").alias("code"), "aggregate_version")
 
@@ -629,13 +627,11 @@ def stream_user_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_event_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the create, update, remove and decide streams write beside their statuses: events, and releases of keys."""
     root = new_folder(spark, "stream-events")
-    log = fx.user_events(spark, sf_dir)
-    known, held = pinned(folds.user_snapshot(folds.user_history(log)), "users"), pinned(folds.user_groups(log), "groups")
     pending = _laid_out_pending(spark, sf_dir)
     streams = {
         "create": (fx.create_user_requests(spark, sf_dir), CREATE_USER_REQUEST, lambda at: jobs.user_requests(spark, at)),
         "update": (fx.update_user_requests(spark, sf_dir), UPDATE_USER_REQUEST, lambda at: jobs.update_requests(spark, at, lambda: fx.users(spark, sf_dir))),
-        "remove": (fx.remove_group_requests(spark, sf_dir), REMOVE_GROUP_REQUEST, lambda at: jobs.remove_requests(spark, at, lambda: known, lambda: held)),
+        "remove": (fx.remove_group_requests(spark, sf_dir), REMOVE_GROUP_REQUEST, lambda at: jobs.remove_requests_of_log(spark, at, lambda: fx.user_events(spark, sf_dir))),
         "decide": (fx.decision_requests(spark, sf_dir), DECIDE_INVITATION_REQUEST, lambda at: jobs.decision_requests(spark, at, lambda: pending))}
     parts = []
     for pipeline, (requests, schema, job) in streams.items():

@@ -21,7 +21,7 @@ from rosterfold.operators.skew import lookup
 from rosterfold.operators.workspace import pinned
 from rosterfold.plans import removals
 from rosterfold.plans.invitations import create_invitations, decided_events, replay_decisions
-from rosterfold.plans.users import created_events, create_users, releases, remove_groups, removed_events, replay_updates, updated_events
+from rosterfold.plans.users import created_events, create_users, log_of_asked, releases, remove_groups, removed_events, replay_updates, updated_events
 from rosterfold.schemas import INVITATION_EVENT, INVITATION_EVENT_ORDER, USER_EVENT, USER_EVENT_ORDER
 from rosterfold.streaming.tables import BATCH, BatchTable
 
@@ -178,13 +178,30 @@ def update_requests(spark: SparkSession, root: str, start: Callable[[], DataFram
 def remove_requests(spark: SparkSession, root: str, users: Callable[[], DataFrame],
                     groups: Callable[[], DataFrame]) -> tuple[Callable, BatchTable]:
     """Judge remove-group requests against replicated users and group rows, which are read anew for every batch."""
+
+    def state(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        asked = batch.select(F.col("user_name").alias("name")).distinct()
+        return users().join(asked, "name", "left_semi"), groups().join(asked, "name", "left_semi")
+
+    return _removing(spark, root, state)
+
+
+def remove_requests_of_log(spark: SparkSession, root: str, log: Callable[[], DataFrame]) -> tuple[Callable, BatchTable]:
+    """The same against a log of user events; each batch folds the events of the users that it names."""
+
+    def state(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        events = log_of_asked(log(), batch)
+        return folds.user_snapshot(folds.user_history(events)), folds.user_groups(events)
+
+    return _removing(spark, root, state)
+
+
+def _removing(spark: SparkSession, root: str, state: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> tuple[Callable, BatchTable]:
     outcomes = BatchTable(spark, f"{root}/remove_outcomes", _REMOVE_OUTCOME)
     events = event_sink(spark, root, "remove")
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        asked = batch.select(F.col("user_name").alias("name")).distinct()
-        known, held = (df.join(asked, "name", "left_semi") for df in (users(), groups()))
-        outcomes.write(remove_groups(batch, known, held), batch_id)
+        outcomes.write(remove_groups(batch, *state(batch)), batch_id)
         events.write(removed_events(outcomes.written(batch_id)), batch_id)
 
     return work, outcomes

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import sequential
 from rosterfold.operators import folds, summaries
 from rosterfold.plans import directory, removals
+from rosterfold.plans.users import remove_groups
 from rosterfold.sources import tables
 from rosterfold.streaming import jobs, stateful
 from rosterfold.streaming.tables import BatchTable
@@ -340,3 +341,15 @@ def test_steps_of_ordinary_users_are_sent_once(spark):
     done = removals.walked(removals.steps_of(rows, requests), spark.createDataFrame([], "name string, uid string, display_name string, email string, aggregate_version int"),
                            spark.createDataFrame([], "name string, group_name string, n long"), rows.select("name"))
     assert done._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_removals_against_a_log(spark, tmp_path):
+    rows = random_events(23, size=60)
+    log = log_of(spark, rows)
+    requests = spark.createDataFrame([(n, rows[0][0], name, f"g{n % 4}") for n, name in enumerate(["users/hot1", "users/none"] * 4)],
+                                     "request_id long, ts timestamp_ntz, user_name string, group_name string")
+    work, outcomes = jobs.remove_requests_of_log(spark, str(tmp_path), lambda: log)
+    work(requests, 0)
+    want = remove_groups(requests, folds.user_snapshot(folds.user_history(log)), folds.user_groups(log))
+    shown = ["request_id", "gate", "groups_left", "aggregate_version", "etag"]
+    assert {tuple(r) for r in outcomes.rows().select(*shown).collect()} == {tuple(r) for r in want.select(*shown).collect()}
